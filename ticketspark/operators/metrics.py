@@ -62,49 +62,54 @@ def class_report(oc: DataFrame) -> DataFrame:
     )
 
 
-def rounded(df: DataFrame, cols: list[str], places: int = 6) -> DataFrame:
+def rounded(df: DataFrame, cols: list[str], places: int | None = 6) -> DataFrame:
+    """Round ``cols`` at the query edge (None: leave exact)."""
+    if places is None:
+        return df
     return df.select(*[F.round(F.col(c), places).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 
-def classification_report(oc: DataFrame) -> DataFrame:
+def classification_report(oc: DataFrame, places: int | None = 6) -> DataFrame:
     r = class_report(oc).select(ARM, "label", "precision", "recall", "f1", "support")
-    return rounded(r, ["precision", "recall", "f1"])
+    return rounded(r, ["precision", "recall", "f1"], places)
 
 
-def accuracy(oc: DataFrame) -> DataFrame:
+def accuracy(oc: DataFrame, places: int | None = 6) -> DataFrame:
     """(arm, n_rows, n_correct, accuracy): UNPARSEABLE and out-of-label rows are wrong."""
-    return oc.groupBy(ARM).agg(
+    a = oc.groupBy(ARM).agg(
         F.sum("n").cast("long").alias("n_rows"),
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).cast("long").alias("n_correct"),
-    ).withColumn("accuracy", F.round(_safe_div(F.col("n_correct"), F.col("n_rows")), 6))
+    ).withColumn("accuracy", _safe_div(F.col("n_correct"), F.col("n_rows")))
+    return rounded(a, ["accuracy"], places)
 
 
-def unparseable_rate(oc: DataFrame, sentinel: str = UNPARSEABLE) -> DataFrame:
-    return oc.groupBy(ARM).agg(
+def unparseable_rate(oc: DataFrame, sentinel: str = UNPARSEABLE, places: int | None = 6) -> DataFrame:
+    u = oc.groupBy(ARM).agg(
         F.sum("n").cast("long").alias("n_rows"),
         F.sum(F.when(F.col("predicted") == sentinel, F.col("n")).otherwise(0)).cast("long").alias("n_unparseable"),
-    ).withColumn("unparseable_rate", F.round(_safe_div(F.col("n_unparseable"), F.col("n_rows")), 6))
+    ).withColumn("unparseable_rate", _safe_div(F.col("n_unparseable"), F.col("n_rows")))
+    return rounded(u, ["unparseable_rate"], places)
 
 
-def macro_avg(oc: DataFrame) -> DataFrame:
+def macro_avg(oc: DataFrame, places: int | None = 6) -> DataFrame:
     """Unweighted mean of per-class P, R, F1 (mean of F1s, not F1 of means)."""
     r = class_report(oc).groupBy(ARM).agg(
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
         F.avg("f1").alias("f1"), F.sum("support").cast("long").alias("support"))
-    return rounded(r, ["precision", "recall", "f1"])
+    return rounded(r, ["precision", "recall", "f1"], places)
 
 
-def weighted_avg(oc: DataFrame) -> DataFrame:
+def weighted_avg(oc: DataFrame, places: int | None = 6) -> DataFrame:
     r = class_report(oc).groupBy(ARM).agg(
         _safe_div(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("precision"),
         _safe_div(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("recall"),
         _safe_div(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1"),
         F.sum("support").cast("long").alias("support"))
-    return rounded(r, ["precision", "recall", "f1"])
+    return rounded(r, ["precision", "recall", "f1"], places)
 
 
-def micro_avg(oc: DataFrame) -> DataFrame:
+def micro_avg(oc: DataFrame, places: int | None = 6) -> DataFrame:
     """(arm, row_kind, precision, recall, f1, support).
 
     ``row_kind`` is ``accuracy`` when every prediction is a listed label (then all
@@ -124,7 +129,7 @@ def micro_avg(oc: DataFrame) -> DataFrame:
         p.alias("precision"), r.alias("recall"),
         _safe_div(2 * p * r, p + r).alias("f1"),
         F.col("support").cast("long").alias("support"))
-    return rounded(m, ["precision", "recall", "f1"])
+    return rounded(m, ["precision", "recall", "f1"], places)
 
 
 def confusion_matrix(oc: DataFrame) -> DataFrame:
@@ -147,13 +152,13 @@ def confusion_pivot(oc: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def metrics_summary(oc: DataFrame, n_per_class: int | None = None,
-                    model: str = "", eval_type: str = "") -> DataFrame:
+                    model: str = "", eval_type: str = "", places: int | None = 6) -> DataFrame:
     """(arm, model, eval_type, n_samples, samples_per_class, accuracy, macro_f1,
     weighted_f1, unparseable_rate): the scalar part of the metric document."""
-    acc = accuracy(oc).select(ARM, F.col("n_rows").alias("n_samples"), "accuracy")
-    mac = macro_avg(oc).select(ARM, F.col("f1").alias("macro_f1"))
-    wei = weighted_avg(oc).select(ARM, F.col("f1").alias("weighted_f1"))
-    unp = unparseable_rate(oc).select(ARM, "unparseable_rate")
+    acc = accuracy(oc, places).select(ARM, F.col("n_rows").alias("n_samples"), "accuracy")
+    mac = macro_avg(oc, places).select(ARM, F.col("f1").alias("macro_f1"))
+    wei = weighted_avg(oc, places).select(ARM, F.col("f1").alias("weighted_f1"))
+    unp = unparseable_rate(oc, places=places).select(ARM, "unparseable_rate")
     spc = F.lit(n_per_class).cast("long") if n_per_class is not None else F.lit(None).cast("long")
     return acc.join(mac, ARM).join(wei, ARM).join(unp, ARM).select(
         ARM, F.lit(model).alias("model"), F.lit(eval_type).alias("eval_type"), "n_samples",
@@ -167,15 +172,15 @@ def metrics_rounded(summary: DataFrame, places: int = 3) -> DataFrame:
                ("accuracy", "macro_f1", "weighted_f1", "unparseable_rate")])
 
 
-def report_entries(oc: DataFrame) -> DataFrame:
+def report_entries(oc: DataFrame, places: int | None = None) -> DataFrame:
     """(arm, key, precision, recall, f1, support) -- per-class rows plus the average
     rows, keyed as in the reference's ``per_class_report``."""
-    cls = classification_report(oc).select(ARM, F.col("label").alias("key"), "precision",
+    cls = classification_report(oc, places).select(ARM, F.col("label").alias("key"), "precision",
                                            "recall", "f1", F.col("support").cast("double"))
-    mic = micro_avg(oc).select(ARM, F.col("row_kind").alias("key"), "precision", "recall", "f1",
+    mic = micro_avg(oc, places).select(ARM, F.col("row_kind").alias("key"), "precision", "recall", "f1",
                                F.col("support").cast("double"))
-    mac = macro_avg(oc).select(ARM, F.lit("macro avg").alias("key"), "precision", "recall", "f1",
+    mac = macro_avg(oc, places).select(ARM, F.lit("macro avg").alias("key"), "precision", "recall", "f1",
                                F.col("support").cast("double"))
-    wei = weighted_avg(oc).select(ARM, F.lit("weighted avg").alias("key"), "precision", "recall",
+    wei = weighted_avg(oc, places).select(ARM, F.lit("weighted avg").alias("key"), "precision", "recall",
                                   "f1", F.col("support").cast("double"))
     return cls.unionByName(mic).unionByName(mac).unionByName(wei)

@@ -33,13 +33,13 @@ def metrics_document(oc: DataFrame, model: str, eval_type: str,
     (The reference writes the ``accuracy`` entry as a bare number; a Spark map needs
     one value type, so here it is a struct whose three scores all equal accuracy.)
     """
-    entries = M.report_entries(oc).select(
+    entries = M.report_entries(oc, None).select(
         M.ARM, F.struct(F.col("key"), F.struct(
             F.col("precision"), F.col("recall"), F.col("f1").alias("f1-score"),
             F.col("support"))).alias("e"))
     report = entries.groupBy(M.ARM).agg(
         F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("per_class_report"))
-    summary = M.metrics_summary(oc, n_per_class, model, eval_type)
+    summary = M.metrics_summary(oc, n_per_class, model, eval_type, places=None)
     return summary.join(report, M.ARM)
 
 

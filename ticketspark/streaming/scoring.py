@@ -15,7 +15,6 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,8 +41,7 @@ def start_scoring(stream: DataFrame, predict: Callable[[DataFrame], DataFrame],
     """Score every micro-batch and append responses under ``sink_dir/batch_id=<n>``."""
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        out = score_requests(batch, predict).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        out.drop("batch_id").write.mode("overwrite").parquet(
+        score_requests(batch, predict).write.mode("overwrite").parquet(
             os.path.join(sink_dir, f"batch_id={batch_id}"))
 
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
