@@ -12,7 +12,7 @@ from ticketspark.streaming.scoring import request_stream, start_scoring
 
 def _predict(rules):
     return lambda df: P.predict_keyword(df, rules, id_col="request_id", text_col="text",
-                                        carry=["message"])
+                                        carry=["message", "error_kind"])
 
 
 def test_stream_equals_batch_and_restart_is_idempotent(spark, tmp_dir):

@@ -36,32 +36,49 @@ def outcomes(df: DataFrame, actual: str = "intent", predicted: str = "predicted_
                       F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def label_stats(oc: DataFrame) -> DataFrame:
+    """(arm, label, support, tp, n_predicted) for every value seen as actual or predicted.
+
+    Each outcome cell contributes to its actual label (support, tp) and to its
+    predicted label (n_predicted) through one ``explode``, so one aggregation yields
+    all per-label counts -- no self-joins of the outcome table. Labels of the arm's
+    label set are exactly the rows with support > 0; rows with support 0 are
+    out-of-label outputs such as ``UNPARSEABLE``.
+    """
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    contrib = oc.select(ARM, F.explode(F.array(
+        F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), hit.alias("tp"),
+                 zero.alias("n_predicted")),
+        F.struct(F.col("predicted").alias("label"), zero.alias("support"), zero.alias("tp"),
+                 F.col("n").alias("n_predicted")),
+    )).alias("c")).select(ARM, "c.*").where(F.col("label").isNotNull())
+    return contrib.groupBy(ARM, "label").agg(
+        F.sum("support").cast("long").alias("support"), F.sum("tp").cast("long").alias("tp"),
+        F.sum("n_predicted").cast("long").alias("n_predicted"))
+
+
 def arm_labels(oc: DataFrame) -> DataFrame:
     """(arm, labels): sorted distinct actual labels per arm, size-guarded."""
-    return oc.groupBy(ARM).agg(
+    return oc.where(F.col("actual").isNotNull()).groupBy(ARM).agg(
         guard_size(F.array_sort(F.collect_set("actual")), MAX_CLASSES, "label set").alias("labels"))
 
 
-def class_report(oc: DataFrame) -> DataFrame:
-    """(arm, label, precision, recall, f1, support, tp, n_predicted) per label."""
-    labels = arm_labels(oc).select(ARM, F.explode("labels").alias("label"))
-    support = oc.groupBy(ARM, F.col("actual").alias("label")).agg(F.sum("n").alias("support"))
-    tp = oc.where(F.col("actual") == F.col("predicted")).groupBy(
-        ARM, F.col("actual").alias("label")).agg(F.sum("n").alias("tp"))
-    pred = oc.groupBy(ARM, F.col("predicted").alias("label")).agg(F.sum("n").alias("n_predicted"))
-    r = (labels.join(support, [ARM, "label"], "left").join(tp, [ARM, "label"], "left")
-         .join(pred, [ARM, "label"], "left").fillna(0, ["support", "tp", "n_predicted"]))
-    return r.select(
+def _with_scores(stats: DataFrame) -> DataFrame:
+    return stats.select(
         ARM, "label",
         _safe_div(F.col("tp"), F.col("n_predicted")).alias("precision"),
         _safe_div(F.col("tp"), F.col("support")).alias("recall"),
         _safe_div(2 * F.col("tp"), F.col("support") + F.col("n_predicted")).alias("f1"),
-        F.col("support").cast("long").alias("support"),
-        F.col("tp").cast("long").alias("tp"),
-        F.col("n_predicted").cast("long").alias("n_predicted"),
+        "support", "tp", "n_predicted",
     )
 
 
+def class_report(oc: DataFrame) -> DataFrame:
+    """(arm, label, precision, recall, f1, support, tp, n_predicted) per label."""
+    return _with_scores(label_stats(oc).where(F.col("support") > 0))
+
+
 def rounded(df: DataFrame, cols: list[str], places: int | None = 6) -> DataFrame:
     """Round ``cols`` at the query edge (None: leave exact)."""
     if places is None:
@@ -115,16 +132,16 @@ def micro_avg(oc: DataFrame, places: int | None = 6) -> DataFrame:
     ``row_kind`` is ``accuracy`` when every prediction is a listed label (then all
     three equal accuracy) and ``micro avg`` otherwise, as in the reference's report.
     """
-    cr = class_report(oc).groupBy(ARM).agg(
-        F.sum("tp").alias("tp"), F.sum("n_predicted").alias("in_label_pred"),
+    in_set = F.col("support") > 0
+    m = label_stats(oc).groupBy(ARM).agg(
+        F.sum(F.when(in_set, F.col("tp")).otherwise(0)).alias("tp"),
+        F.sum(F.when(in_set, F.col("n_predicted")).otherwise(0)).alias("in_label_pred"),
         F.sum("support").alias("support"))
-    tot = oc.groupBy(ARM).agg(F.sum("n").alias("n_rows"))
-    m = cr.join(tot, ARM)
     p = _safe_div(F.col("tp"), F.col("in_label_pred"))
     r = _safe_div(F.col("tp"), F.col("support"))
     m = m.select(
         ARM,
-        F.when(F.col("in_label_pred") == F.col("n_rows"), F.lit("accuracy"))
+        F.when(F.col("in_label_pred") == F.col("support"), F.lit("accuracy"))
         .otherwise(F.lit("micro avg")).alias("row_kind"),
         p.alias("precision"), r.alias("recall"),
         _safe_div(2 * p * r, p + r).alias("f1"),
@@ -152,15 +169,25 @@ def confusion_pivot(oc: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def metrics_summary(oc: DataFrame, n_per_class: int | None = None,
-                    model: str = "", eval_type: str = "", places: int | None = 6) -> DataFrame:
+                    model: str = "", eval_type: str = "", places: int | None = 6,
+                    sentinel: str = UNPARSEABLE) -> DataFrame:
     """(arm, model, eval_type, n_samples, samples_per_class, accuracy, macro_f1,
-    weighted_f1, unparseable_rate): the scalar part of the metric document."""
-    acc = accuracy(oc, places).select(ARM, F.col("n_rows").alias("n_samples"), "accuracy")
-    mac = macro_avg(oc, places).select(ARM, F.col("f1").alias("macro_f1"))
-    wei = weighted_avg(oc, places).select(ARM, F.col("f1").alias("weighted_f1"))
-    unp = unparseable_rate(oc, places=places).select(ARM, "unparseable_rate")
+    weighted_f1, unparseable_rate): the scalar part of the metric document, in one
+    aggregation over the per-label statistics."""
+    sc = _with_scores(label_stats(oc))
+    in_set = F.col("support") > 0
+    n = F.sum("support")
+    agg = sc.groupBy(ARM).agg(
+        n.cast("long").alias("n_samples"),
+        _safe_div(F.sum("tp"), n).alias("accuracy"),
+        F.avg(F.when(in_set, F.col("f1"))).alias("macro_f1"),
+        _safe_div(F.sum(F.col("f1") * F.col("support")), n).alias("weighted_f1"),
+        _safe_div(F.sum(F.when(F.col("label") == sentinel, F.col("n_predicted")).otherwise(0)), n)
+        .alias("unparseable_rate"),
+    )
+    agg = rounded(agg, ["accuracy", "macro_f1", "weighted_f1", "unparseable_rate"], places)
     spc = F.lit(n_per_class).cast("long") if n_per_class is not None else F.lit(None).cast("long")
-    return acc.join(mac, ARM).join(wei, ARM).join(unp, ARM).select(
+    return agg.select(
         ARM, F.lit(model).alias("model"), F.lit(eval_type).alias("eval_type"), "n_samples",
         spc.alias("samples_per_class"), "accuracy", "macro_f1", "weighted_f1", "unparseable_rate")
 

@@ -414,7 +414,7 @@ def event_label_rules(spark, d) -> DataFrame:
 def q_score_requests(spark, d):
     rules = event_label_rules(spark, d)
     return S.score_requests(fx.requests(spark, d), lambda df: P.predict_keyword(
-        df, rules, id_col="request_id", text_col="text", carry=["message"]))
+        df, rules, id_col="request_id", text_col="text", carry=["message", "error_kind"]))
 
 
 def _routed(spark, d) -> DataFrame:

@@ -39,27 +39,31 @@ def tickets2(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFr
     )
 
 
+def _pick(b: F.Column, first: list[F.Column], rest: F.Column) -> F.Column:
+    """Value for bucket ``b`` (0..15): ``first[b]`` while listed, else ``rest``.
+
+    One array lookup, so the bucket hash is evaluated once per use of the column,
+    not once per branch of a CASE.
+    """
+    return F.element_at(F.array(*first, *([rest] * (16 - len(first)))), (b + 1).cast("int"))
+
+
 def _arm_a_output(label: F.Column, b: F.Column) -> F.Column:
     # Raw outputs of the weak arm by bucket 0..6; 7..15 echo the label.
-    return (
-        F.when(b == 0, F.lit("none"))
-        .when(b == 1, F.lit("view"))
-        .when(b == 2, F.lit("sort_list"))
-        .when(b == 3, F.concat(F.lit('  "'), F.upper(label), F.lit('." ')))
-        .when(b == 4, F.concat(F.lit("Intent: "), label))
-        .when(b == 5, F.lit("click or view"))
-        .when(b == 6, F.lit(""))
-        .otherwise(label)
-    )
+    return _pick(b, [
+        F.lit("none"),
+        F.lit("view"),
+        F.lit("sort_list"),
+        F.concat(F.lit('  "'), F.upper(label), F.lit('." ')),
+        F.concat(F.lit("Intent: "), label),
+        F.lit("click or view"),
+        F.lit(""),
+    ], label)
 
 
 def _arm_b_output(label: F.Column, b: F.Column) -> F.Column:
     # Strong arm, bucket 0 -> "view", 1 -> label in double quotes.
-    return (
-        F.when(b == 0, F.lit("view"))
-        .when(b == 1, F.concat(F.lit('"'), label, F.lit('"')))
-        .otherwise(label)
-    )
+    return _pick(b, [F.lit("view"), F.concat(F.lit('"'), label, F.lit('"'))], label)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,16 +85,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bucket("R", "event_id")
     label = F.col("event_type")
     # Request bodies by bucket 0..5; 6..15 are well-formed requests.
-    body = (
-        F.when(b == 0, F.lit("{bad"))
-        .when(b == 1, F.lit("[1]"))
-        .when(b == 2, F.concat(F.lit('{"msg":"'), label, F.lit('"}')))
-        .when(b == 3, F.lit('{"message":null}'))
-        .when(b == 4, F.lit('{"message":"  "}'))
-        .when(b == 5, F.lit('{"message":5,"x":1}'))
-        .otherwise(F.concat(F.lit('{"message":"'), label, F.lit('","user":'),
-                            F.col("user_id").cast("string"), F.lit("}")))
-    )
+    body = _pick(b, [
+        F.lit("{bad"),
+        F.lit("[1]"),
+        F.concat(F.lit('{"msg":"'), label, F.lit('"}')),
+        F.lit('{"message":null}'),
+        F.lit('{"message":"  "}'),
+        F.lit('{"message":5,"x":1}'),
+    ], F.concat(F.lit('{"message":"'), label, F.lit('","user":'),
+                F.col("user_id").cast("string"), F.lit("}")))
     return ev.select(F.col("event_id").alias("request_id"), body.alias("body"),
                      label.alias("intent"))
 
