@@ -16,17 +16,25 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The ASCII whitespace set (same as the \s class above).
+WS_CHARS = " \t\n\r\f\u000b"
+
+
 def strip_ws(col: Column | str) -> Column:
     """Remove leading and trailing whitespace (``str.strip()`` on ASCII space)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def tokens(col: Column | str, lowercase: bool = True) -> Column:
-    """Whitespace tokens of the whole text, empty tokens removed."""
-    c = _c(col)
+    """Whitespace tokens of the whole text (none empty; [] for blank text).
+
+    The text is stripped first, so splitting on runs of whitespace cannot yield an
+    empty token; no per-element lambda is needed.
+    """
+    c = strip_ws(_c(col))
     if lowercase:
         c = F.lower(c)
-    return F.filter(F.split(c, r"\s+"), lambda t: t != F.lit(""))
+    return F.when(c == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(c, r"\s+"))
 
 
 def word_count(col: Column | str) -> Column:

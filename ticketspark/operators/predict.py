@@ -88,39 +88,52 @@ _SHIFT = 1 << 20
 
 @dataclass
 class NaiveBayesModel:
-    """Sparse multinomial NB: ``weights`` (token, class, w) plus one (token, null, 1.0)
-    counter row per vocabulary token; ``classes`` (class, prior, dflt) in label order.
+    """Sparse multinomial NB kept as its sufficient statistics.
 
-    log P(t|c) = log(cnt_ct + a) - log(T_c + a|V|) = w_ct + dflt_c, where
-    w_ct = log(cnt_ct + a) - log(a) is non-zero only for tokens seen with class c.
+    ``counts`` (class, token, cnt) -- the only table that grows with the data -- and
+    ``docs`` (class, n_docs), one row per class. Derived on read:
+    ``weights`` (token, class, w) plus one (token, null, 1.0) counter row per
+    vocabulary token, and ``classes`` (class, prior, dflt), where
+
+    log P(t|c) = log(cnt_ct + a) - log(T_c + a|V|) = w_ct + dflt_c,
+    w_ct = log(cnt_ct + a) - log(a), non-zero only for tokens seen with class c.
     """
-    weights: DataFrame
-    classes: DataFrame
-    alpha: float
+    counts: DataFrame
+    docs: DataFrame
+    alpha: float = 1.0
+
+    @property
+    def weights(self) -> DataFrame:
+        a = self.alpha
+        seen = self.counts.select("token", "class",
+                                  (F.log(F.col("cnt") + F.lit(a)) - F.log(F.lit(a))).alias("w"))
+        counter = self.counts.select("token").distinct().select(
+            "token", F.lit(None).cast("string").alias("class"), F.lit(1.0).alias("w"))
+        return seen.unionByName(counter)
+
+    @property
+    def classes(self) -> DataFrame:
+        a = self.alpha
+        v = self.counts.select(F.count_distinct("token")).scalar()
+        n_tok = self.counts.groupBy("class").agg(F.sum("cnt").alias("n_tokens"))
+        cls = guard_rows(self.docs.join(n_tok, "class", "left"), MAX_CLASSES, "class table")
+        tot = F.sum("n_docs").over(Window.partitionBy())
+        return cls.select(
+            "class",
+            (F.log(F.col("n_docs")) - F.log(tot)).alias("prior"),
+            (F.log(F.lit(a)) - F.log(F.coalesce(F.col("n_tokens"), F.lit(0)) + F.lit(a) * v)).alias("dflt"),
+        )
 
 
 def fit_naive_bayes(train: DataFrame, text_col: str = "instruction", label_col: str = "intent",
                     alpha: float = 1.0) -> NaiveBayesModel:
+    """Token counts per class (map-side combined) and documents per class."""
     docs = train.select(F.col(label_col).alias("class"), F.col(text_col).alias("_text")).where(
         F.col("class").isNotNull())
-    toks = docs.select("class", F.explode(tokens(F.col("_text"))).alias("token"))
-    counts = toks.groupBy("class", "token").agg(F.count(F.lit(1)).alias("cnt"))
-    vocab_size = counts.select("token").distinct().agg(F.count(F.lit(1)).alias("V"))
+    counts = docs.select("class", F.explode(tokens(F.col("_text"))).alias("token")).groupBy(
+        "class", "token").agg(F.count(F.lit(1)).alias("cnt"))
     n_docs = docs.groupBy("class").agg(F.count(F.lit(1)).alias("n_docs"))
-    n_tok = counts.groupBy("class").agg(F.sum("cnt").alias("n_tokens"))
-    cls = guard_rows(n_docs.join(n_tok, "class", "left"), MAX_CLASSES, "class table")
-    tot = F.sum("n_docs").over(Window.partitionBy())
-    v = vocab_size.scalar()
-    classes = cls.select(
-        "class",
-        (F.log(F.col("n_docs")) - F.log(tot)).alias("prior"),
-        (F.log(F.lit(alpha)) - F.log(F.coalesce(F.col("n_tokens"), F.lit(0)) + F.lit(alpha) * v)).alias("dflt"),
-    )
-    seen = counts.select("token", "class",
-                         (F.log(F.col("cnt") + F.lit(alpha)) - F.log(F.lit(alpha))).alias("w"))
-    counter = counts.select("token").distinct().select(
-        "token", F.lit(None).cast("string").alias("class"), F.lit(1.0).alias("w"))
-    return NaiveBayesModel(seen.unionByName(counter), classes, alpha)
+    return NaiveBayesModel(counts, n_docs, alpha)
 
 
 def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ticket_id",

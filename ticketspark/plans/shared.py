@@ -68,8 +68,10 @@ def nb_model(spark, d, which: str = "split") -> predict.NaiveBayesModel:
     def build():
         src = split_dedup(spark, d) if which == "split" else split_rows(spark, d)
         m = predict.fit_naive_bayes(side(src, "train"))
-        return predict.NaiveBayesModel(materialize(m.weights, f"nb-weights-{which}"),
-                                       materialize(m.classes, f"nb-classes-{which}"), m.alpha)
+        # the fitted model is saved as a table: its token counts (and the tiny
+        # per-class document counts); weights and priors are derived on read
+        return predict.NaiveBayesModel(materialize(m.counts, f"nb-counts-{which}"),
+                                       materialize(m.docs, f"nb-docs-{which}"), m.alpha)
     return memo(spark, d, f"nb-{which}", build)
 
 
