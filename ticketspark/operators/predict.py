@@ -88,52 +88,55 @@ _SHIFT = 1 << 20
 
 @dataclass
 class NaiveBayesModel:
-    """Sparse multinomial NB kept as its sufficient statistics.
+    """Sparse multinomial naive Bayes as two tables.
 
-    ``counts`` (class, token, cnt) -- the only table that grows with the data -- and
-    ``docs`` (class, n_docs), one row per class. Derived on read:
-    ``weights`` (token, class, w) plus one (token, null, 1.0) counter row per
-    vocabulary token, and ``classes`` (class, prior, dflt), where
+    ``weights`` (token, class, w, first) -- the only part that grows with the data;
+    ``first`` is 1 on exactly one row per token, so summing it over a document's
+    matches counts its in-vocabulary tokens -- and ``classes`` (class, prior, dflt),
+    one row per class, where
 
     log P(t|c) = log(cnt_ct + a) - log(T_c + a|V|) = w_ct + dflt_c,
     w_ct = log(cnt_ct + a) - log(a), non-zero only for tokens seen with class c.
     """
-    counts: DataFrame
-    docs: DataFrame
+    weights: DataFrame
+    classes: DataFrame
     alpha: float = 1.0
 
-    @property
-    def weights(self) -> DataFrame:
-        a = self.alpha
-        seen = self.counts.select("token", "class",
-                                  (F.log(F.col("cnt") + F.lit(a)) - F.log(F.lit(a))).alias("w"))
-        counter = self.counts.select("token").distinct().select(
-            "token", F.lit(None).cast("string").alias("class"), F.lit(1.0).alias("w"))
-        return seen.unionByName(counter)
-
-    @property
-    def classes(self) -> DataFrame:
-        a = self.alpha
-        v = self.counts.select(F.count_distinct("token")).scalar()
-        n_tok = self.counts.groupBy("class").agg(F.sum("cnt").alias("n_tokens"))
-        cls = guard_rows(self.docs.join(n_tok, "class", "left"), MAX_CLASSES, "class table")
-        tot = F.sum("n_docs").over(Window.partitionBy())
-        return cls.select(
-            "class",
-            (F.log(F.col("n_docs")) - F.log(tot)).alias("prior"),
-            (F.log(F.lit(a)) - F.log(F.coalesce(F.col("n_tokens"), F.lit(0)) + F.lit(a) * v)).alias("dflt"),
-        )
 
-
-def fit_naive_bayes(train: DataFrame, text_col: str = "instruction", label_col: str = "intent",
-                    alpha: float = 1.0) -> NaiveBayesModel:
-    """Token counts per class (map-side combined) and documents per class."""
+def token_counts(train: DataFrame, text_col: str = "instruction",
+                 label_col: str = "intent") -> tuple[DataFrame, DataFrame]:
+    """Sufficient statistics: (class, token, cnt), map-side combined, and (class, n_docs)."""
     docs = train.select(F.col(label_col).alias("class"), F.col(text_col).alias("_text")).where(
         F.col("class").isNotNull())
     counts = docs.select("class", F.explode(tokens(F.col("_text"))).alias("token")).groupBy(
         "class", "token").agg(F.count(F.lit(1)).alias("cnt"))
     n_docs = docs.groupBy("class").agg(F.count(F.lit(1)).alias("n_docs"))
-    return NaiveBayesModel(counts, n_docs, alpha)
+    return counts, n_docs
+
+
+def model_from_counts(counts: DataFrame, n_docs: DataFrame, alpha: float = 1.0) -> NaiveBayesModel:
+    # a token has at most one row per class, so this window never holds a hot group
+    first = (F.row_number().over(Window.partitionBy("token").orderBy("class")) == 1).cast("long")
+    weights = counts.select("token", "class",
+                            (F.log(F.col("cnt") + F.lit(alpha)) - F.log(F.lit(alpha))).alias("w"),
+                            first.alias("first"))
+    v = counts.select(F.count_distinct("token")).scalar()
+    n_tok = counts.groupBy("class").agg(F.sum("cnt").alias("n_tokens"))
+    cls = guard_rows(n_docs.join(n_tok, "class", "left"), MAX_CLASSES, "class table")
+    tot = F.sum("n_docs").over(Window.partitionBy())
+    classes = cls.select(
+        "class",
+        (F.log(F.col("n_docs")) - F.log(tot)).alias("prior"),
+        (F.log(F.lit(alpha)) - F.log(F.coalesce(F.col("n_tokens"), F.lit(0)) + F.lit(alpha) * v)).alias("dflt"),
+    )
+    return NaiveBayesModel(weights, classes, alpha)
+
+
+def fit_naive_bayes(train: DataFrame, text_col: str = "instruction", label_col: str = "intent",
+                    alpha: float = 1.0) -> NaiveBayesModel:
+    """Lazy model. To reuse it, save the counts first and derive from the saved table
+    (see ``plans.shared.nb_model``) so the text is tokenised once."""
+    return model_from_counts(*token_counts(train, text_col, label_col), alpha)
 
 
 def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ticket_id",
@@ -152,12 +155,13 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
     keep = _carry(df, id_col, text_col, carry)
     occ = df.select(F.col(id_col).alias("_id"), *keep,
                     F.explode(tokens(F.col(text_col))).alias("token"))
-    hit = occ.join(model.weights, "token").select("_id", *keep, "class", "w")
+    hit = occ.join(model.weights, "token").select("_id", *keep, "class", "w", "first")
     zero = df.select(F.col(id_col).alias("_id"), *keep, F.lit(None).cast("string").alias("class"),
-                     F.lit(0.0).alias("w"))
-    sums = hit.unionByName(zero).groupBy("_id", *keep, "class").agg(F.sum("w").alias("s"))
+                     F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("first"))
+    sums = hit.unionByName(zero).groupBy("_id", *keep, "class").agg(
+        F.sum("w").alias("s"), F.sum("first").alias("f"))
     per_doc = sums.groupBy("_id", *keep).agg(
-        F.sum(F.when(F.col("class").isNull(), F.col("s"))).alias("_L"),
+        F.sum("f").cast("double").alias("_L"),
         F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(),
                                                  F.struct("class", "s")))).alias("_sparse"),
     )
