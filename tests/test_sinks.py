@@ -39,3 +39,16 @@ def test_load_tickets_rejects_nulls(spark):
     assert [r.ticket_id for r in valid.collect()] == [1]
     assert sorted((r.ticket_id, r.reject_reason) for r in rejected.collect()) == [
         (2, "null_text"), (3, "null_label")]
+
+
+def test_request_lines_source(spark, tmp_dir):
+    """One JSON body per text line, validated like any other body column."""
+    from ticketspark.operators.serving import validate_requests
+    from ticketspark.sources.readers import read_request_lines
+    lines = ['{"message": "where is my order"}', "{bad", '{"msg": 1}', '{"message": "  "}']
+    with open(tmp_dir + "/req.txt", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    df = read_request_lines(spark, tmp_dir + "/req.txt").withColumn(
+        "request_id", F.monotonically_increasing_id())
+    got = sorted((r.error_kind or "", r.message or "") for r in validate_requests(df).collect())
+    assert got == [("", "  "), ("", "where is my order"), ("malformed", ""), ("missing_message", "")]

@@ -270,6 +270,7 @@ def predict_batch(df: DataFrame, predictor: Predictor, text_col: str,
     and reused for every batch of that worker.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
+    _ship_by_value(predictor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor.load()
@@ -282,4 +283,16 @@ def predict_batch(df: DataFrame, predictor: Predictor, text_col: str,
     return df.mapInPandas(run, schema)
 
 
+def _ship_by_value(predictor: Predictor) -> None:
+    """Serialise the predictor's class with the task instead of by import path, so
+    executors need not have this package installed (only its own dependencies)."""
+    import sys
+
+    from pyspark import cloudpickle
+    for cls in type(predictor).__mro__:
+        mod = sys.modules.get(cls.__module__)
+        if mod is not None and cls.__module__.split(".")[0] == __name__.split(".")[0]:
+            cloudpickle.register_pickle_by_value(mod)
+
+
 PredictFn = Callable[[DataFrame], DataFrame]

@@ -405,6 +405,12 @@ def q_validate_requests(spark, d):
     return S.validate_requests(fx.requests(spark, d))
 
 
+@query("validate_props_requests")
+def q_validate_props_requests(spark, d):
+    # the events' own JSON column as request bodies, message under key "k"
+    return S.validate_requests(fx.props_requests(spark, d), key="k")
+
+
 def event_label_rules(spark, d) -> DataFrame:
     """Keyword rules of the endpoint's declared labels (the event types)."""
     return SH.keyword_rules_for(fx.read_table(spark, d, "events"), "event_type")

@@ -449,6 +449,13 @@ SELECT label, round(fb, 6) AS f1_baseline, round(ft, 6) AS f1_tuned, round(ft -
        fb = 0 AND ft > 0 AS repaired FROM j"""
 
     q["validate_requests"] = f"WITH {requests_cte()} SELECT * FROM validated"
+    q["validate_props_requests"] = """WITH val AS (SELECT event_id AS request_id, props AS body,
+  CASE WHEN NOT json_valid(props) THEN 'malformed'
+       WHEN json_type(props) <> 'OBJECT' THEN 'not_object'
+       WHEN NOT list_contains(json_keys(props), 'k') THEN 'missing_message' END AS error_kind
+  FROM events)
+SELECT request_id, error_kind IS NULL AS accepted, error_kind,
+  CASE WHEN error_kind IS NULL THEN json_extract_string(body, '$.k') END AS message FROM val"""
     prefix = ERROR_PREFIX.replace("'", "''")
     q["score_requests"] = f"""WITH {requests_cte()},
 sv AS (SELECT request_id, message, {strip_ws('message')} AS text,
