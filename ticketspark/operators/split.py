@@ -84,29 +84,34 @@ def split_report(df: DataFrame, split_col: str = "split", label_col: str = "inte
 
 
 def arm_alignment(left: DataFrame, right: DataFrame, id_col: str = "ticket_id") -> DataFrame:
-    """(n_both, n_left_only, n_right_only) of two row-id sets (full outer join)."""
-    lids = left.select(F.col(id_col).alias("_id"), F.lit(True).alias("_l")).distinct()
-    rids = right.select(F.col(id_col).alias("_id"), F.lit(True).alias("_r")).distinct()
-    j = lids.join(rids, "_id", "full_outer")
-    return j.agg(
-        F.count(F.when(F.col("_l") & F.col("_r"), 1)).alias("n_both"),
-        F.count(F.when(F.col("_l") & F.col("_r").isNull(), 1)).alias("n_left_only"),
-        F.count(F.when(F.col("_l").isNull() & F.col("_r"), 1)).alias("n_right_only"),
+    """(n_both, n_left_only, n_right_only) of two row-id sets.
+
+    A full outer join on ids, expressed as one grouped pass over the tagged union.
+    """
+    lids = left.select(F.col(id_col).alias("_id"), F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+    rids = right.select(F.col(id_col).alias("_id"), F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    g = lids.unionByName(rids).groupBy("_id").agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    return g.agg(
+        F.count(F.when((F.col("_l") == 1) & (F.col("_r") == 1), 1)).alias("n_both"),
+        F.count(F.when((F.col("_l") == 1) & (F.col("_r") == 0), 1)).alias("n_left_only"),
+        F.count(F.when((F.col("_l") == 0) & (F.col("_r") == 1), 1)).alias("n_right_only"),
     )
 
 
 def leakage(train: DataFrame, test: DataFrame, text_col: str = "instruction") -> DataFrame:
     """(n_test, n_leaked, leak_rate): test rows whose exact text also occurs in train.
 
-    Both sides are first reduced to distinct texts (test with a row count), so the
-    join runs on unique keys and a text repeated a million times is one join row.
+    One grouped pass over the tagged union of both sides: per text, the number of test
+    copies and whether any train copy exists (map-side combined, so a text repeated a
+    million times is one partial row per task), then a global sum.
     """
-    test_texts = test.groupBy(text_col).agg(F.count(F.lit(1)).alias("_n"))
-    train_texts = train.select(text_col).distinct().withColumn("_in_train", F.lit(True))
-    j = test_texts.join(train_texts, text_col, "left")
-    return j.agg(
+    t = test.select(F.col(text_col).alias("_t"), F.lit(1).alias("_n"), F.lit(0).alias("_in_train"))
+    r = train.select(F.col(text_col).alias("_t"), F.lit(0).alias("_n"), F.lit(1).alias("_in_train"))
+    per_text = t.unionByName(r).groupBy("_t").agg(
+        F.sum("_n").alias("_n"), F.max("_in_train").alias("_in_train"))
+    return per_text.agg(
         F.sum("_n").cast("long").alias("n_test"),
-        F.coalesce(F.sum(F.when(F.col("_in_train"), F.col("_n"))), F.lit(0)).cast("long").alias("n_leaked"),
+        F.sum(F.when(F.col("_in_train") == 1, F.col("_n")).otherwise(0)).cast("long").alias("n_leaked"),
     ).withColumn("leak_rate", F.round(
         F.when(F.col("n_test") > 0, F.col("n_leaked") / F.col("n_test")).otherwise(F.lit(0.0)), 6))
 

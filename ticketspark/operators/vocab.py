@@ -70,13 +70,14 @@ def label_drift(declared: DataFrame, observed: DataFrame, declared_col: str = "l
     """Labels on one side only: (by..., side, label).
 
     ``side`` is ``declared_only`` (declared, never observed) or ``observed_only``
-    (observed, not declared). Both sides are deduplicated first, so the anti joins
-    run on distinct keys and a hot label cannot skew them.
+    (observed, not declared). Both sides are tagged, unioned and grouped once (a set
+    difference in both directions with map-side combine), so there is no join and a
+    hot label costs one partial row per task.
     """
     by = by or []
-    d = declared.select(*by, F.col(declared_col).alias("label")).distinct()
-    o = observed.select(*by, F.col(observed_col).alias("label")).distinct()
-    keys = by + ["label"]
-    d_only = d.join(o, keys, "left_anti").withColumn("side", F.lit("declared_only"))
-    o_only = o.join(d, keys, "left_anti").withColumn("side", F.lit("observed_only"))
-    return d_only.unionByName(o_only).select(*by, "side", "label")
+    d = declared.select(*by, F.col(declared_col).alias("label"), F.lit(1).alias("_d"), F.lit(0).alias("_o"))
+    o = observed.select(*by, F.col(observed_col).alias("label"), F.lit(0).alias("_d"), F.lit(1).alias("_o"))
+    g = d.unionByName(o).groupBy(*by, "label").agg(F.max("_d").alias("_d"), F.max("_o").alias("_o"))
+    return g.where(F.col("_d") != F.col("_o")).select(
+        *by, F.when(F.col("_d") == 1, F.lit("declared_only")).otherwise(F.lit("observed_only")).alias("side"),
+        "label")
