@@ -42,12 +42,15 @@ def top_classes(oc: DataFrame, k: int = 1) -> DataFrame:
 
 def dominant_confusion(oc: DataFrame) -> DataFrame:
     """(arm, actual, predicted, n, support, share): per actual class, the most frequent
-    wrong output (out-of-label outputs included) and its share of the class."""
-    support = oc.groupBy(ARM, "actual").agg(F.sum("n").alias("support"))
-    wrong = oc.where(F.col("actual") != F.col("predicted"))
-    w = Window.partitionBy(ARM, "actual").orderBy(F.desc("n"), F.asc("predicted"))
-    top = wrong.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
-    return top.join(support, [ARM, "actual"]).select(
+    wrong output (out-of-label outputs included) and its share of the class.
+
+    Support and rank use the same (arm, actual) partitioning: one shuffle, no join.
+    """
+    part = Window.partitionBy(ARM, "actual")
+    ranked = oc.withColumn("support", F.sum("n").over(part)).where(
+        F.col("actual") != F.col("predicted")).withColumn(
+        "_r", F.row_number().over(part.orderBy(F.desc("n"), F.asc("predicted"))))
+    return ranked.where(F.col("_r") == 1).select(
         ARM, "actual", "predicted", F.col("n").cast("long").alias("n"),
         F.col("support").cast("long").alias("support"),
         F.round(F.col("n") / F.col("support"), 6).alias("share"))
