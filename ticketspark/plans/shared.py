@@ -51,13 +51,13 @@ def deduped(spark, d) -> DataFrame:
 def split_dedup(spark, d) -> DataFrame:
     """Deduplicated tickets with ``split`` (the current, leak-free split)."""
     return memo(spark, d, "split", lambda: materialize(
-        split.stratified_split(deduped(spark, d), seed=SEED), "split"))
+        split.stratified_split(deduped(spark, d), seed=SEED), "split", ["split"]))
 
 
 def split_rows(spark, d) -> DataFrame:
     """Split of the raw rows without dedup (the superseded, leaky split)."""
     return memo(spark, d, "rowsplit", lambda: materialize(
-        split.stratified_split(tickets(spark, d), seed=SEED), "rowsplit"))
+        split.stratified_split(tickets(spark, d), seed=SEED), "rowsplit", ["split"]))
 
 
 def side(df: DataFrame, name: str) -> DataFrame:

@@ -71,16 +71,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage",
+                partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table under the checkpoint folder and read it back.
 
     Used where a derived table is read several times (e.g. the deduplicated tickets
     feeding the split's histogram, cut and final passes). The written table cuts the
     lineage, survives executor loss, and, being columnar, lets each later pass read
-    only the columns it needs.
+    only the columns it needs. With ``partition_by`` (e.g. the split column) a
+    later filter on that column reads only the matching folders.
     """
     spark = df.sparkSession
     root = checkpoint_root(spark)
     path = os.path.join(root, f"tables/{name}-{uuid.uuid4().hex}")
-    df.write.mode("error").parquet(path)
+    writer = df.write.mode("error")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
     return spark.read.parquet(path)
