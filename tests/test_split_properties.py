@@ -103,3 +103,26 @@ def test_row_split_leaks(tickets):
 def test_label_conflicts_none_on_intent(tickets):
     assert dedup.label_conflicts(tickets).count() == 0
     assert dedup.label_conflicts(tickets, label_col="category").count() > 0
+
+
+def test_naive_bayes_hot_cold_split_is_exact(spark, tickets):
+    """Forcing a tiny broadcast budget splits the weights by token frequency; the
+    predictions must equal the single-join model's."""
+    from ticketspark.operators import predict as P
+    sp = split.stratified_split(dedup.dedup_first(tickets)).cache()
+    train = sp.where("split = 'train'")
+    test = sp.where("split = 'test'").select("ticket_id", "intent", "instruction")
+    lazy = P.fit_naive_bayes(train)
+    split_model = P.fit_and_save_naive_bayes(train, "nb-test-split", budget_rows=500)
+    assert split_model.cold_weights is not None
+    assert split_model.hot_weights.count() <= 500
+    assert split_model.cold_weights.count() > 0
+    whole = P.fit_and_save_naive_bayes(train, "nb-test-whole")
+    assert whole.cold_weights is None
+    a = {(r.ticket_id, r.predicted_intent, round(r.confidence, 9))
+         for r in P.predict_naive_bayes(lazy, test, carry=["intent"]).collect()}
+    b = {(r.ticket_id, r.predicted_intent, round(r.confidence, 9))
+         for r in P.predict_naive_bayes(split_model, test, carry=["intent"]).collect()}
+    c = {(r.ticket_id, r.predicted_intent, round(r.confidence, 9))
+         for r in P.predict_naive_bayes(whole, test, carry=["intent"]).collect()}
+    assert a == b == c and len(a) == test.count()

@@ -101,6 +101,37 @@ class NaiveBayesModel:
     weights: DataFrame
     classes: DataFrame
     alpha: float = 1.0
+    # optional split of ``weights`` by token frequency (see ``split_hot``)
+    hot_tokens: DataFrame | None = None
+    hot_weights: DataFrame | None = None
+    cold_weights: DataFrame | None = None
+
+
+# Broadcast budget for the weights of frequent tokens (rows of (token, class, w, first)).
+HOT_ROWS_BUDGET = 2_000_000
+
+
+def hot_token_set(counts: DataFrame, budget_rows: int = HOT_ROWS_BUDGET) -> DataFrame:
+    """(token): the most frequent training tokens whose weight rows fit ``budget_rows``.
+
+    Exact, and without sorting the vocabulary: a histogram of total token counts (at
+    most sqrt(2 * total tokens) distinct values) is summed from the top; every token
+    whose count is at or above the last count that still fits is hot.
+    """
+    per_token = counts.groupBy("token").agg(F.sum("cnt").alias("tf"), F.count(F.lit(1)).alias("k"))
+    hist = per_token.groupBy("tf").agg(F.sum("k").alias("rows"))
+    w = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c_min = hist.withColumn("cum", F.sum("rows").over(w)).where(
+        F.col("cum") <= F.lit(budget_rows)).agg(F.min("tf")).scalar()
+    return per_token.where(F.col("tf") >= c_min).select("token")
+
+
+def split_hot(model: "NaiveBayesModel", hot: DataFrame) -> "NaiveBayesModel":
+    """The model with its weights split into the hot part (bounded, broadcast at
+    prediction) and the long tail (shuffle-joined)."""
+    hw = model.weights.join(F.broadcast(hot), "token", "left_semi")
+    cw = model.weights.join(F.broadcast(hot), "token", "left_anti")
+    return NaiveBayesModel(model.weights, model.classes, model.alpha, hot, hw, cw)
 
 
 def token_counts(train: DataFrame, text_col: str = "instruction",
@@ -134,20 +165,48 @@ def model_from_counts(counts: DataFrame, n_docs: DataFrame, alpha: float = 1.0)
 
 def fit_naive_bayes(train: DataFrame, text_col: str = "instruction", label_col: str = "intent",
                     alpha: float = 1.0) -> NaiveBayesModel:
-    """Lazy model. To reuse it, save the counts first and derive from the saved table
-    (see ``plans.shared.nb_model``) so the text is tokenised once."""
+    """Lazy model (every use re-tokenises the training text); see
+    :func:`fit_and_save_naive_bayes` for the saved form."""
     return model_from_counts(*token_counts(train, text_col, label_col), alpha)
 
 
+def fit_and_save_naive_bayes(train: DataFrame, name: str, text_col: str = "instruction",
+                             label_col: str = "intent", alpha: float = 1.0,
+                             budget_rows: int = HOT_ROWS_BUDGET) -> NaiveBayesModel:
+    """Fit once and save the model as tables under the checkpoint folder.
+
+    The text is tokenised once (saved counts); weights and class priors are derived
+    from the saved counts and saved. The join layout is then chosen by the model's
+    measured size: within ``budget_rows`` the whole weight table is broadcast at
+    prediction; beyond it the weights are saved split into the frequent-token part
+    (exactly ``budget_rows`` or fewer rows, broadcast) and the long tail (shuffled).
+    """
+    from ticketspark.session import materialize
+    counts, n_docs = token_counts(train, text_col, label_col)
+    counts = materialize(counts, f"{name}-counts")
+    m = model_from_counts(counts, n_docs, alpha)
+    weights = materialize(m.weights, f"{name}-weights")
+    classes = materialize(m.classes, f"{name}-classes")
+    if weights.count() <= budget_rows:
+        return NaiveBayesModel(weights, classes, alpha, hot_weights=weights)
+    hot = materialize(hot_token_set(counts, budget_rows), f"{name}-hot")
+    split = split_hot(NaiveBayesModel(weights, classes, alpha), hot)
+    return NaiveBayesModel(weights, classes, alpha, hot,
+                           materialize(split.hot_weights, f"{name}-hot-weights"),
+                           materialize(split.cold_weights, f"{name}-cold-weights"))
+
+
 def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ticket_id",
                         text_col: str = "instruction", out_col: str = "predicted_intent",
                         carry: list[str] | None = None) -> DataFrame:
     """(id, carry..., out_col, confidence, margin): the winning class, its posterior
     probability and its log-score gap to the runner-up.
 
-    Token occurrences are shuffle-joined to the sparse weights on ``token`` (the model
-    grows with the vocabulary, so it is not broadcast; AQE splits hot-token
-    partitions). Per-(doc, class) sums are combined map-side; each document then
+    Token occurrences meet the sparse weights on ``token``: a model within the
+    broadcast budget is broadcast whole; a larger one is split by token frequency
+    (``split_hot``) so frequent tokens are joined map-side and only the long tail is
+    shuffled; an unsplit lazy model is joined by Spark's size-based choice (AQE splits
+    hot-token partitions). Per-(doc, class) sums are combined map-side; each document then
     holds at most one entry per class, and the K class scores are array expressions
     over the class table (a guarded scalar subquery) -- no doc x class join, and no
     join back to the input (``carry`` columns ride along as group keys).
@@ -155,7 +214,19 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
     keep = _carry(df, id_col, text_col, carry)
     occ = df.select(F.col(id_col).alias("_id"), *keep,
                     F.explode(tokens(F.col(text_col))).alias("token"))
-    hit = occ.join(model.weights, "token").select("_id", *keep, "class", "w", "first")
+    if model.hot_weights is not None and model.cold_weights is None:
+        # the whole model fits the broadcast budget (checked when it was fitted)
+        hit = occ.join(F.broadcast(model.hot_weights), "token").select(
+            "_id", *keep, "class", "w", "first")
+    elif model.hot_weights is not None:
+        # frequent tokens -- most occurrences, and the skewed keys -- meet a broadcast
+        # of their bounded weights map-side; only long-tail occurrences are shuffled
+        hot = occ.join(F.broadcast(model.hot_weights), "token")
+        cold = occ.join(F.broadcast(model.hot_tokens), "token", "left_anti").join(
+            model.cold_weights, "token")
+        hit = hot.unionByName(cold).select("_id", *keep, "class", "w", "first")
+    else:
+        hit = occ.join(model.weights, "token").select("_id", *keep, "class", "w", "first")
     zero = df.select(F.col(id_col).alias("_id"), *keep, F.lit(None).cast("string").alias("class"),
                      F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("first"))
     sums = hit.unionByName(zero).groupBy("_id", *keep, "class").agg(

@@ -67,12 +67,7 @@ def side(df: DataFrame, name: str) -> DataFrame:
 def nb_model(spark, d, which: str = "split") -> predict.NaiveBayesModel:
     def build():
         src = split_dedup(spark, d) if which == "split" else split_rows(spark, d)
-        counts, n_docs = predict.token_counts(side(src, "train"))
-        # tokenise once: save the counts, derive the model from the saved table and
-        # save the model (weights + class priors) for every later prediction
-        m = predict.model_from_counts(materialize(counts, f"nb-counts-{which}"), n_docs)
-        return predict.NaiveBayesModel(materialize(m.weights, f"nb-weights-{which}"),
-                                       materialize(m.classes, f"nb-classes-{which}"), m.alpha)
+        return predict.fit_and_save_naive_bayes(side(src, "train"), f"nb-{which}")
     return memo(spark, d, f"nb-{which}", build)
 
 
