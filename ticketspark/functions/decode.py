@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from ticketspark.functions.text import strip_ws
 
-# Fixed value: the label given to outputs that match no label.
+# The label given to outputs that match no label, and the characters
+# stripped from both ends of a lower-cased output.
 UNPARSEABLE = "UNPARSEABLE"
+DECODE_STRIP_CHARS = ".\"'"
 
 
 def lenient_clean(raw: Column) -> Column:
     """strip whitespace -> lower -> strip . " ' at both ends (whitespace is not re-stripped)."""
-    return F.btrim(F.lower(strip_ws(raw)), F.lit(".\"'"))
+    return F.btrim(F.lower(strip_ws(raw)), F.lit(DECODE_STRIP_CHARS))
 
 
 def decode_lenient(raw: Column, labels: Column) -> Column:

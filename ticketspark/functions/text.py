@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace is the ASCII class \s (space, tab, newline, CR, FF, VT),
-# the same class in Spark's Java regex and in the SQL oracle.
-WS = r"\s"
-# Characters the lenient decoder strips from both ends after lower-casing.
-DECODE_STRIP_CHARS = ".\"'"
-
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# The ASCII whitespace set (same as the \s class above).
+# The ASCII whitespace set, the \s class of Java regex (space, tab,
+# newline, carriage return, form feed, vertical tab).
 WS_CHARS = " \t\n\r\f\u000b"
 
 

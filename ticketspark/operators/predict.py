@@ -365,5 +365,3 @@ def _ship_by_value(predictor: Predictor) -> None:
         if mod is not None and cls.__module__.split(".")[0] == __name__.split(".")[0]:
             cloudpickle.register_pickle_by_value(mod)
 
-
-PredictFn = Callable[[DataFrame], DataFrame]

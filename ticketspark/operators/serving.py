@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketspark.functions.decode import UNPARSEABLE
 from ticketspark.functions.text import strip_ws
 
 # Error kinds and the human-routing sentinel.
@@ -128,5 +127,3 @@ def out_of_scope_audit(outputs: DataFrame, labels: Column, output_col: str,
         F.count(F.lit(1)).alias("n_rows"), F.count(F.when(is_label, 1)).alias("n_label")
     ).withColumn("label_share", F.round(F.col("n_label") / F.col("n_rows"), 6))
 
-
-__all__ = ["UNPARSEABLE"]
