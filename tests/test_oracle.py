@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001, SF01
-from scripts.check_oracle import TABLES, rows_of
+from scripts.check_oracle import TABLES, rows_of, type_mismatches
 
 # Queries built on the strict 10-per-class eval sample need sf0.01: at sf0.001 a class
 # has fewer than 10 test rows and the strict sample fails by design (see test below).
@@ -37,7 +37,9 @@ def con_for(sf):
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, name):
     sf = SF01 if name in NEEDS_SF01 else SF001
-    sdf = E.queries()[name](spark, sf).toPandas()
+    sdf_spark = E.queries()[name](spark, sf)
+    assert type_mismatches(sdf_spark, con_for(sf), E.oracle_sql()[name]) == {}
+    sdf = sdf_spark.toPandas()
     ddf = con_for(sf).execute(E.oracle_sql()[name]).df()
     sc, sr = rows_of(sdf)
     dc, dr = rows_of(ddf)
