@@ -33,8 +33,12 @@ def tokens(col: Column | str, lowercase: bool = True) -> Column:
 
 
 def word_count(col: Column | str) -> Column:
-    """Number of whitespace-separated tokens (0 for blank or null text)."""
-    return F.coalesce(F.size(tokens(col, lowercase=False)).cast("long"), F.lit(0).cast("long"))
+    """Number of whitespace-separated tokens (0 for blank or null text).
+
+    Counts maximal runs of non-whitespace with a regex scan, without building the
+    token strings.
+    """
+    return F.coalesce(F.regexp_count(_c(col), F.lit(r"\S+")).cast("long"), F.lit(0).cast("long"))
 
 
 def truncate_words(col: Column | str, n: int) -> Column:
