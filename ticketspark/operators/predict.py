@@ -38,11 +38,6 @@ def keyword_rules(labels: DataFrame, label_col: str = "label") -> DataFrame:
     return guard_rows(r, MAX_CLASSES * 8, "keyword rules")
 
 
-def clean_tokens(text: Column) -> Column:
-    return F.filter(F.transform(tokens(text), lambda t: F.btrim(t, F.lit(TOKEN_PUNCT))),
-                    lambda t: t != F.lit(""))
-
-
 def _carry(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> list[str]:
     if carry is not None:
         return list(carry)
@@ -64,8 +59,10 @@ def predict_keyword(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id",
     ranked = rules.select("label").distinct().withColumn(
         "_lrank", F.dense_rank().over(Window.orderBy("label")))
     r = rules.join(ranked, "label")
-    toks = df.select(F.col(id_col).alias("_id"), *keep,
-                     F.explode(clean_tokens(F.col(text_col))).alias("keyword"))
+    toks = df.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_text"))
+    toks = toks.select("_id", *keep, F.explode(tokens(F.col("_text"))).alias("_tok")).select(
+        "_id", *keep, F.btrim(F.col("_tok"), F.lit(TOKEN_PUNCT)).alias("keyword")).where(
+        F.col("keyword") != "")
     hits = toks.join(F.broadcast(r), "keyword").groupBy("_id", *keep, "_lrank").agg(
         F.count(F.lit(1)).alias("_hits"))
     # one long holds (hits desc, label rank asc) so the argmax stays a hash aggregate;
