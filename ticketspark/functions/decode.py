@@ -23,13 +23,20 @@ def lenient_clean(raw: Column) -> Column:
     return F.btrim(F.lower(strip_ws(raw)), F.lit(DECODE_STRIP_CHARS))
 
 
-def decode_lenient(raw: Column, labels: Column) -> Column:
+def decode_lenient(raw: Column, labels: Column, lower_labels: Column | None = None) -> Column:
     """Exact (case-insensitive) match, else first label contained as a substring, else
-    ``UNPARSEABLE``. A null output decodes to ``UNPARSEABLE``."""
+    ``UNPARSEABLE``. A null output decodes to ``UNPARSEABLE``.
+
+    The exact match is an ``array_position`` lookup in the lower-cased labels (pass
+    ``lower_labels`` computed once, e.g. by ``vocab.lower_label_array``); the
+    substring scan, a per-label lambda, runs only for outputs without an exact match.
+    """
     cleaned = lenient_clean(raw)
-    exact = F.get(F.filter(labels, lambda l: F.lower(l) == cleaned), 0)
+    low = lower_labels if lower_labels is not None else F.transform(labels, F.lower)
+    idx = F.array_position(low, cleaned)
     contained = F.get(F.filter(labels, lambda l: F.contains(cleaned, F.lower(l))), 0)
-    return F.coalesce(exact, contained, F.lit(UNPARSEABLE))
+    return F.when(idx > 0, F.element_at(labels, idx.cast("int"))).otherwise(
+        F.coalesce(contained, F.lit(UNPARSEABLE)))
 
 
 def decode_strict(raw: Column, labels: Column) -> Column:

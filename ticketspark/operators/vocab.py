@@ -56,6 +56,15 @@ def label_array(df: DataFrame, label_col: str = "intent",
     return arr.scalar()
 
 
+def lower_label_array(df: DataFrame, label_col: str = "intent",
+                      max_classes: int = MAX_CLASSES) -> Column:
+    """The labels of :func:`label_array`, lower-cased, same order (scalar subquery)."""
+    arr = df.select(
+        guard_size(F.transform(F.array_sort(F.collect_set(F.col(label_col))), F.lower),
+                   max_classes, "label vocabulary").alias("labels"))
+    return arr.scalar()
+
+
 def label_prompt_line(df: DataFrame, label_col: str = "intent", sep: str = ", ") -> DataFrame:
     """One row: the sorted labels joined by ``sep`` (the label line of the prompt)."""
     return df.select(

@@ -272,7 +272,9 @@ def q_predict_lr(spark, d):
 def _decoded(spark, d) -> DataFrame:
     sc = fx.scored(spark, d)
     return sc.withColumn("_labels", V.label_array(sc)).withColumn(
-        "predicted_intent", decode_lenient(F.col("raw_output"), F.col("_labels"))).drop("_labels")
+        "_lower", V.lower_label_array(sc)).withColumn(
+        "predicted_intent", decode_lenient(F.col("raw_output"), F.col("_labels"), F.col("_lower"))
+    ).drop("_labels", "_lower")
 
 
 @query("decode_lenient")
