@@ -22,10 +22,21 @@ def test_split_final_pass_broadcasts_cut_table(spark):
     sp = split.stratified_split(fx.tickets(spark, SF01))
     sp.collect()
     p = plan(sp)
-    assert "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" not in p
-    # the wide rows are never hash-partitioned by class for a whole-class sort
-    top = p.split("Subquery")[0]
-    assert "hashpartitioning(intent" not in top
+    assert "BroadcastHashJoin" in p
+    # no exchange ever carries the message text: the wide rows are scanned, joined to
+    # the broadcast cut table and projected, never shuffled
+    for line in p.splitlines():
+        if "Exchange" in line:
+            assert "text" not in line and "instruction" not in line, line
+
+
+def test_saved_naive_bayes_broadcasts_bounded_weights(spark):
+    t = fx.tickets(spark, SF01)
+    m = predict.fit_and_save_naive_bayes(t, "nb-plan-test")
+    assert m.cold_weights is None and m.hot_weights is not None
+    df = predict.predict_naive_bayes(m, t.select("ticket_id", "intent", "instruction"), carry=["intent"])
+    p = plan(df)
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and "Python" not in p
 
 
 def test_decode_has_no_python(spark):

@@ -59,3 +59,23 @@ def test_leakage_with_hot_text(hot):
     r = split.leakage(sp.where("split = 'train'"), sp.where("split = 'test'")).first()
     assert r.n_test == len(test)
     assert r.n_leaked == int(test.instruction.isin(train_texts).sum())
+
+
+def test_split_two_class_imbalanced(spark):
+    """tickets2: documents joined with labels, the quality flag as a two-class label."""
+    t2 = fx.tickets2(spark, SF01)
+    pdf = t2.select("ticket_id", "intent").toPandas()
+    n = len(pdf)
+    t = math.ceil(n * 0.15)
+    sizes = pdf.groupby("intent").size()
+    share = {g: c * t / n for g, c in sizes.items()}
+    floor = {g: math.floor(v) for g, v in share.items()}
+    left = t - sum(floor.values())
+    order = sorted(share, key=lambda g: (-(share[g] - floor[g]), g))
+    quota = {g: floor[g] + (1 if i < left else 0) for i, g in enumerate(order)}
+    pdf["h"] = [hashlib.md5(f"42|{i}".encode()).hexdigest() for i in pdf.ticket_id]
+    expected = set()
+    for g, grp in pdf.groupby("intent"):
+        expected |= set(grp.sort_values(["h", "ticket_id"]).ticket_id.head(quota[g]))
+    got = {r[0] for r in split.stratified_split(t2).where("split = 'test'").select("ticket_id").collect()}
+    assert got == expected and len(sizes) == 2
