@@ -52,3 +52,30 @@ def test_request_lines_source(spark, tmp_dir):
         "request_id", F.monotonically_increasing_id())
     got = sorted((r.error_kind or "", r.message or "") for r in validate_requests(df).collect())
     assert got == [("", "  "), ("", "where is my order"), ("malformed", ""), ("missing_message", "")]
+
+
+def test_python_predictor_loads_once_per_worker(spark):
+    """G1: the model state is built once per Python worker and reused across tasks."""
+    import pandas as pd
+
+    from ticketspark.operators.predict import Predictor, predict_batch
+
+    class CountingPredictor(Predictor):
+        def cache_key(self):
+            return ("counting",)
+
+        def load(self):
+            import os
+            import uuid
+            return f"{os.getpid()}:{uuid.uuid4().hex}"
+
+        def predict(self, texts):
+            return pd.Series([self.state()] * len(texts), index=texts.index)
+
+    df = spark.range(0, 2000, numPartitions=40).selectExpr("id", "cast(id as string) AS t")
+    out = predict_batch(df, CountingPredictor(), "t", "state")
+    states = [r["state"] for r in out.select("state").distinct().collect()]
+    pids = {s.split(":")[0] for s in states}
+    # one load per worker process (each state has a fresh uuid), not one per task
+    assert len(states) == len(pids) < 40
+    assert out.count() == 2000

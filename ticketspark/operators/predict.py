@@ -287,12 +287,32 @@ def predict_logistic(fitted, df: DataFrame) -> DataFrame:
 class Predictor:
     """Protocol for Python-side models used by :func:`predict_batch`.
 
-    ``load`` runs once per Python worker process (cache the model on the class);
-    ``predict`` maps a batch of prompts/messages to raw text outputs.
+    ``load`` builds the model state (weights, sessions, lookup tables); it runs once
+    per Python worker process for each ``cache_key``. The state lives in a
+    process-wide registry (a module object in ``sys.modules``), which Spark's reused
+    Python workers keep across tasks; class attributes would not do, since a class
+    shipped by value has its attributes restored on every unpickle.
+    ``predict`` maps a batch of texts to raw text outputs using that state.
     """
 
-    def load(self) -> None:  # pragma: no cover - default is stateless
-        pass
+    def cache_key(self) -> tuple:
+        return ()
+
+    def load(self):  # pragma: no cover - default is stateless
+        return None
+
+    def state(self):
+        import sys
+        import types
+        reg = sys.modules.get("_ticketspark_models")
+        if reg is None:
+            reg = types.ModuleType("_ticketspark_models")
+            reg.models = {}
+            sys.modules[reg.__name__] = reg
+        key = (type(self).__qualname__, self.cache_key())
+        if key not in reg.models:
+            reg.models[key] = self.load()
+        return reg.models[key]
 
     def predict(self, texts: pd.Series) -> pd.Series:
         raise NotImplementedError
@@ -304,23 +324,27 @@ class KeywordPredictor(Predictor):
     def __init__(self, labels: list[str]):
         self.labels = sorted(labels)
 
-    def load(self) -> None:
+    def cache_key(self) -> tuple:
+        return tuple(self.labels)
+
+    def load(self):
         import re
-        self._split = re.compile(r"\s+", re.ASCII)
-        self._kw = {}
+        keywords: dict[str, list[str]] = {}
         for lab in self.labels:
             for part in lab.lower().split("_"):
                 if part:
-                    self._kw.setdefault(part, []).append(lab)
+                    keywords.setdefault(part, []).append(lab)
+        return re.compile(r"\s+", re.ASCII), keywords
 
     def predict(self, texts: pd.Series) -> pd.Series:
+        splitter, keywords = self.state()
         out = []
         for t in texts:
             hits: dict[str, int] = {}
             if t is not None:
-                for tok in self._split.split(t.lower()):
+                for tok in splitter.split(t.lower()):
                     tok = tok.strip(TOKEN_PUNCT)
-                    for lab in self._kw.get(tok, ()):
+                    for lab in keywords.get(tok, ()):
                         hits[lab] = hits.get(lab, 0) + 1
             if hits:
                 best = max(hits.values())
@@ -334,14 +358,14 @@ def predict_batch(df: DataFrame, predictor: Predictor, text_col: str,
                   out_col: str = "raw_output", batch_rows: int = 4096) -> DataFrame:
     """Run a Python predictor over ``df`` in Arrow batches (``mapInPandas``).
 
-    The input keeps all its columns; the predictor's model is loaded once per worker
-    and reused for every batch of that worker.
+    The input keeps all its columns; the predictor's model is loaded once per Python
+    worker process and reused by every later task and batch on that worker.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
     _ship_by_value(predictor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predictor.load()
+        predictor.state()  # load (or reuse) the model before the first batch
         for pdf in batches:
             for start in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[start:start + batch_rows].copy()
