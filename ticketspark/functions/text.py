@@ -23,13 +23,13 @@ def strip_ws(col: Column | str) -> Column:
 def tokens(col: Column | str, lowercase: bool = True) -> Column:
     """Whitespace tokens of the whole text (none empty; [] for blank text).
 
-    The text is stripped first, so splitting on runs of whitespace cannot yield an
-    empty token; no per-element lambda is needed.
+    The text is stripped first, so splitting on runs of whitespace yields an empty
+    token only for blank text; ``array_remove`` (a built-in, no lambda) drops it.
     """
     c = strip_ws(_c(col))
     if lowercase:
         c = F.lower(c)
-    return F.when(c == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(c, r"\s+"))
+    return F.array_remove(F.split(c, r"\s+"), F.lit(""))
 
 
 def word_count(col: Column | str) -> Column:
