@@ -256,7 +256,7 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
 # ------------------------------------------------------- logistic regression
 
 def fit_logistic(train: DataFrame, text_col: str = "instruction", label_col: str = "intent",
-                 num_features: int = 1 << 16, max_iter: int = 20):
+                 num_features: int = 1 << 14, max_iter: int = 20):
     """pyspark.ml pipeline: tokens -> hashed term frequencies -> IDF -> multinomial LR."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
