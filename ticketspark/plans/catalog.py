@@ -23,6 +23,7 @@ from ticketspark.operators import serving as S
 from ticketspark.operators import split as SP
 from ticketspark.operators import vocab as V
 from ticketspark.plans import shared as SH
+from ticketspark.sinks import writers as W
 from ticketspark.sources import fixtures as fx
 from ticketspark.sources.readers import with_reject_reason
 
@@ -352,6 +353,42 @@ def q_metrics_rounded(spark, d):
     return M.metrics_rounded(M.metrics_summary(_oc(spark, d)))
 
 
+DOC_SCALARS = ["arm", "model", "eval_type", "n_samples", "samples_per_class", "accuracy",
+               "macro_f1", "weighted_f1", "unparseable_rate"]
+DOC_SCORES = ["accuracy", "macro_f1", "weighted_f1", "unparseable_rate", "precision", "recall", "f1"]
+
+
+def _doc(spark, d) -> DataFrame:
+    # samples_per_class 0: every row was evaluated, no per-class sampling
+    return W.metrics_document(_oc(spark, d), "scored-outputs", "full table", 0)
+
+
+def _flat_doc(entries: DataFrame) -> DataFrame:
+    return entries.select(*[F.round(c, 6).alias(c) if c in DOC_SCORES else F.col(c)
+                            for c in DOC_SCALARS + ["key", "precision", "recall", "f1", "support"]])
+
+
+@query("metrics_document")
+def q_metrics_document(spark, d):
+    doc = _doc(spark, d)
+    e = doc.select(*DOC_SCALARS, F.explode("per_class_report").alias("key", "v"))
+    return _flat_doc(e.select(*DOC_SCALARS, "key", F.col("v.precision").alias("precision"),
+                              F.col("v.recall").alias("recall"), F.col("v.f1-score").alias("f1"),
+                              F.col("v.support").alias("support")))
+
+
+@query("metrics_reload")
+def q_metrics_reload(spark, d):
+    import os
+    import uuid
+
+    from ticketspark.session import checkpoint_root
+    from ticketspark.sources.readers import read_metrics_document
+    path = os.path.join(checkpoint_root(spark), f"tables/metrics-doc-{uuid.uuid4().hex}")
+    W.write_metrics_document(_doc(spark, d), path)
+    return _flat_doc(read_metrics_document(spark, path))
+
+
 # ------------------------------------------------- I: comparison, errors
 
 def _eval_oc(spark, d) -> DataFrame:

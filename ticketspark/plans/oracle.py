@@ -409,6 +409,33 @@ FROM summary"""
 SELECT arm, round(accuracy, 3) AS accuracy, round(macro_f1, 3) AS macro_f1,
        round(weighted_f1, 3) AS weighted_f1, round(unparseable_rate, 3) AS unparseable_rate FROM summary"""
 
+    doc = H + summary + """,
+mic AS (SELECT arm, sum(tp) AS tp, sum(n_predicted) AS inl, sum(support) AS sup FROM cr GROUP BY 1),
+tot AS (SELECT arm, sum(n) AS n_rows FROM oc GROUP BY 1),
+mic2 AS (SELECT mic.arm, CASE WHEN inl = n_rows THEN 'accuracy' ELSE 'micro avg' END AS key,
+         CASE WHEN inl <> 0 THEN tp / inl ELSE 0.0 END AS p,
+         CASE WHEN sup <> 0 THEN tp / sup ELSE 0.0 END AS r, sup
+         FROM mic JOIN tot USING (arm)),
+ent AS (
+  SELECT arm, label AS key, precision, recall, f1, CAST(support AS DOUBLE) AS support FROM cr
+  UNION ALL
+  SELECT arm, key, p, r, CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END,
+         CAST(sup AS DOUBLE) FROM mic2
+  UNION ALL
+  SELECT arm, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS DOUBLE)
+  FROM cr GROUP BY arm
+  UNION ALL
+  SELECT arm, 'weighted avg', sum(precision * support) / sum(support),
+         sum(recall * support) / sum(support), sum(f1 * support) / sum(support),
+         CAST(sum(support) AS DOUBLE) FROM cr GROUP BY arm)
+SELECT s.arm, 'scored-outputs' AS model, 'full table' AS eval_type, s.n_samples,
+       CAST(0 AS BIGINT) AS samples_per_class, s.accuracy, s.macro_f1, s.weighted_f1,
+       s.unparseable_rate, e.key, round(e.precision, 6) AS precision, round(e.recall, 6) AS recall,
+       round(e.f1, 6) AS f1, e.support
+FROM summary s JOIN ent e USING (arm)"""
+    q["metrics_document"] = doc
+    q["metrics_reload"] = doc
+
     E = f"{eval_arms_sql()}{outcomes_cte('arms')}"
     q["arm_comparison"] = E + summary + """,
 lng AS (SELECT arm, 'accuracy' AS metric, accuracy AS v FROM summary
