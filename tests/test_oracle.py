@@ -13,7 +13,7 @@ from scripts.check_oracle import TABLES, rows_of, type_mismatches
 # has fewer than 10 test rows and the strict sample fails by design (see test below).
 NEEDS_SF01 = {"sample_strict", "accuracy_by_leak", "arm_comparison", "failed_classes",
               "top_classes", "dominant_confusion", "misses", "prediction_coverage",
-              "run_agreement", "class_delta"}
+              "run_agreement", "class_delta", "predictions_csv"}
 
 
 def _duck(sf_dir):

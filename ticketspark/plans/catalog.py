@@ -379,14 +379,39 @@ def q_metrics_document(spark, d):
 
 @query("metrics_reload")
 def q_metrics_reload(spark, d):
+    from ticketspark.sources.readers import read_metrics_document
+    path = _out_path(spark, "metrics-doc")
+    W.write_metrics_document(_doc(spark, d), path)
+    return _flat_doc(read_metrics_document(spark, path))
+
+
+def _out_path(spark, name: str) -> str:
     import os
     import uuid
 
     from ticketspark.session import checkpoint_root
-    from ticketspark.sources.readers import read_metrics_document
-    path = os.path.join(checkpoint_root(spark), f"tables/metrics-doc-{uuid.uuid4().hex}")
-    W.write_metrics_document(_doc(spark, d), path)
-    return _flat_doc(read_metrics_document(spark, path))
+    return os.path.join(checkpoint_root(spark), f"tables/{name}-{uuid.uuid4().hex}")
+
+
+@query("split_roundtrip")
+def q_split_roundtrip(spark, d):
+    """A3: the split written as one Parquet dataset partitioned by split, read back."""
+    path = _out_path(spark, "split-out")
+    W.write_split(SH.split_dedup(spark, d), path)
+    back = spark.read.parquet(path)
+    return back.select("ticket_id", "intent", "split", F.md5("instruction").alias("text_md5"))
+
+
+@query("predictions_csv")
+def q_predictions_csv(spark, d):
+    """A4: evaluation predictions (multi-line texts included) written as CSV, read back."""
+    from ticketspark.sources.readers import read_tickets
+    arms = SH.eval_arms(spark, d)
+    path = _out_path(spark, "predictions-csv")
+    W.write_predictions_csv(arms, path)
+    back = read_tickets(spark, path, fmt="csv", schema=arms.schema)
+    return back.select("arm", "ticket_id", "intent", "predicted_intent",
+                       F.md5("instruction").alias("text_md5"))
 
 
 # ------------------------------------------------- I: comparison, errors

@@ -308,6 +308,9 @@ SELECT leaked, count(*) AS n_rows,
        CAST(sum(CASE WHEN predicted_intent = intent THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
        round(sum(CASE WHEN predicted_intent = intent THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
 FROM nb_pred GROUP BY 1""")
+    q["split_roundtrip"] = f"{SPLIT} SELECT ticket_id, intent, split, md5(instruction) AS text_md5 FROM sp"
+    q["predictions_csv"] = eval_arms_sql() + """
+SELECT arm, ticket_id, intent, predicted_intent, md5(instruction) AS text_md5 FROM arms"""
     q["split_fingerprint"] = f"""{SPLIT} SELECT split, count(*) AS n_rows,
 CAST(sum(('0x' || substr(md5(instruction), 1, 6))::BIGINT) AS BIGINT) AS fingerprint FROM sp GROUP BY 1"""
 
