@@ -8,7 +8,7 @@ Arrow batches to a model loaded once per Python worker.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
