@@ -40,3 +40,17 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark, tmp_dir):
     full = S.score_requests(reqs, _predict(rules))
     assert out.count() == reqs.count()
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, full.collect()))
+
+
+def test_stream_from_json_lines(spark, tmp_dir):
+    """A6 as a stream: one JSON request record per line, files landing in a folder."""
+    reqs = fx.requests(spark, SF001).select("request_id", "body")
+    src = os.path.join(tmp_dir, "in-json")
+    reqs.write.json(os.path.join(src, "part1"))
+    rules = event_label_rules(spark, SF001).cache()
+    sink, ckpt = os.path.join(tmp_dir, "out-json"), os.path.join(tmp_dir, "ckpt-json")
+    q = start_scoring(request_stream(spark, src + "/*", fmt="json"), _predict(rules), sink, ckpt)
+    q.awaitTermination(300)
+    out = spark.read.parquet(sink).select("request_id", "response")
+    batch = S.score_requests(reqs, _predict(rules))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
