@@ -11,9 +11,7 @@ from scripts.check_oracle import TABLES, rows_of, type_mismatches
 
 # Queries built on the strict 10-per-class eval sample need sf0.01: at sf0.001 a class
 # has fewer than 10 test rows and the strict sample fails by design (see test below).
-NEEDS_SF01 = {"sample_strict", "accuracy_by_leak", "arm_comparison", "failed_classes",
-              "top_classes", "dominant_confusion", "misses", "prediction_coverage",
-              "run_agreement", "class_delta", "predictions_csv"}
+NEEDS_SF01 = {"sample_strict", "accuracy_by_leak"}
 
 
 def _duck(sf_dir):

@@ -205,7 +205,7 @@ TEST = ",\ntest AS (SELECT * EXCLUDE (split) FROM sp WHERE split = 'test')"
 
 
 def eval_arms_sql() -> str:
-    return (SPLIT + TRAIN + TEST + first_n_cte("ev", "test", EVAL_PER_CLASS)
+    return (SPLIT + TRAIN + TEST + ",\nev AS (SELECT * FROM test)"
             + kw_ctes("kw", "train", "intent", "ev")
             + nb_ctes("nb", "train", "ev", "intent")
             + """,

@@ -1,8 +1,8 @@
 """Shared, materialised intermediates for the registered queries.
 
 Several queries start from the same derived tables: the deduplicated tickets, the
-stratified split (with and without dedup), the frozen evaluation sample and the
-fitted naive Bayes models. Each is written once per session under the checkpoint
+stratified split (with and without dedup), the two evaluation arms and the fitted
+naive Bayes models. Each is written once per session under the checkpoint
 folder (like the reference's train/test Parquet files and saved model) and re-read
 by later queries, instead of re-deriving its lineage in every plan.
 """
@@ -71,12 +71,6 @@ def nb_model(spark, d, which: str = "split") -> predict.NaiveBayesModel:
     return memo(spark, d, f"nb-{which}", build)
 
 
-def eval_sample(spark, d) -> DataFrame:
-    """Strict 10-per-class sample of the test split, frozen so both arms see it."""
-    return memo(spark, d, "eval", lambda: materialize(split.sample_strict(
-        side(split_dedup(spark, d), "test"), EVAL_PER_CLASS, seed=SEED), "eval"))
-
-
 def train_labels(spark, d):
     """Scalar subquery: sorted labels of the train split."""
     return label_array(side(split_dedup(spark, d), "train"))
@@ -87,10 +81,12 @@ def keyword_rules_for(df: DataFrame, label_col: str = "intent") -> DataFrame:
 
 
 def eval_arms(spark, d) -> DataFrame:
-    """(ticket_id, intent, instruction, arm, predicted_intent) for both arms on the
-    same frozen sample: ``zero_shot`` keyword rules vs. ``tuned`` naive Bayes."""
+    """(ticket_id, intent, instruction, arm, predicted_intent) for both arms on every
+    held-out row: ``zero_shot`` keyword rules vs. ``tuned`` naive Bayes. (The
+    reference compares its arms on a 10-per-class sample to save model time; here
+    the full test split is scored, and the sample operator itself is ``sample_strict``.)"""
     def build():
-        ev = eval_sample(spark, d).select("ticket_id", "intent", "instruction")
+        ev = side(split_dedup(spark, d), "test").select("ticket_id", "intent", "instruction")
         rules = keyword_rules_for(side(split_dedup(spark, d), "train"))
         zs = predict.predict_keyword(ev, rules, carry=["intent"]).withColumn("arm", F.lit("zero_shot"))
         nb = predict.predict_naive_bayes(nb_model(spark, d), ev, carry=["intent"]).select(
