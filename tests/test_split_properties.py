@@ -126,3 +126,13 @@ def test_naive_bayes_hot_cold_split_is_exact(spark, tickets):
     c = {(r.ticket_id, r.predicted_intent, round(r.confidence, 9))
          for r in P.predict_naive_bayes(whole, test, carry=["intent"]).collect()}
     assert a == b == c and len(a) == test.count()
+
+
+def test_zero_quota_class_selects_nothing(spark):
+    """A class whose test quota is 0 (too small for a 15 % share) stays all-train."""
+    rows = [(i, f"t{i}", "big") for i in range(40)] + [(100, "t100", "tiny")]
+    df = spark.createDataFrame(rows, "ticket_id long, instruction string, intent string")
+    got = {(r.intent, r.split) for r in split.stratified_split(df).collect()}
+    alloc = {r.intent: r.n_test for r in split.split_allocation(df).collect()}
+    assert alloc["tiny"] == 0 and ("tiny", "test") not in got
+    assert sum(1 for r in split.stratified_split(df).collect() if r.split == "test") == math.ceil(41 * 0.15)

@@ -77,14 +77,17 @@ def cuts(k: DataFrame, hist: DataFrame, quotas: DataFrame,
 
 def within_cut(df: DataFrame, cut_table: DataFrame, group_col: str, id_col: str,
                seed: int, flag: str) -> DataFrame:
-    """``df`` plus boolean ``flag``: the row is among its class's first ``quota`` rows."""
+    """``df`` plus boolean ``flag``: the row is among its class's first ``quota`` rows.
+
+    Ids must be unique (they break ties of the md5 key). A class without a cut row
+    (quota 0, or a null class) selects nothing.
+    """
     h = order_key(F.col(id_col), seed)
     joined = df.join(F.broadcast(cut_table.withColumnRenamed("g", "_g")),
                      F.col(group_col).eqNullSafe(F.col("_g")), "left")
-    inside: Column = F.coalesce(
+    inside: Column = F.when(F.col("cut_h").isNull(), F.lit(False)).otherwise(
         F.struct(h.alias("h"), F.col(id_col).alias("i"))
-        <= F.struct(F.col("cut_h").alias("h"), F.col("cut_id").alias("i")),
-        F.lit(False))
+        <= F.struct(F.col("cut_h").alias("h"), F.col("cut_id").alias("i")))
     return joined.withColumn(flag, inside).drop("_g", "cut_h", "cut_id")
 
 
