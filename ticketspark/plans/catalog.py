@@ -25,6 +25,7 @@ from ticketspark.operators import vocab as V
 from ticketspark.plans import shared as SH
 from ticketspark.sinks import writers as W
 from ticketspark.sources import fixtures as fx
+from ticketspark.session import materialize
 from ticketspark.sources.readers import with_reject_reason
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,7 +299,10 @@ def q_decode_raw(spark, d):
 # ------------------------------------------------------------ H: metrics
 
 def _oc(spark, d) -> DataFrame:
-    return M.outcomes(_decoded(spark, d))
+    # the outcome count of the decoded scored table is saved once per session (like
+    # the reference's saved predictions); every metric reads that small table
+    return SH.memo(spark, d, "scored-outcomes",
+                   lambda: materialize(M.outcomes(_decoded(spark, d)), "scored-outcomes"))
 
 
 @query("accuracy")
