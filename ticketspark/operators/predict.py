@@ -56,9 +56,8 @@ def predict_keyword(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id",
     but the text) ride along as group keys -- there is no join back to the input.
     """
     keep = _carry(df, id_col, text_col, carry)
-    ranked = rules.select("label").distinct().withColumn(
-        "_lrank", F.dense_rank().over(Window.orderBy("label")))
-    r = rules.join(ranked, "label")
+    # label rank in code-point order, on the (bounded) rule table itself
+    r = rules.withColumn("_lrank", F.dense_rank().over(Window.orderBy("label")))
     toks = df.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_text"))
     toks = toks.select("_id", *keep, F.explode(tokens(F.col("_text"))).alias("_tok")).select(
         "_id", *keep, F.btrim(F.col("_tok"), F.lit(TOKEN_PUNCT)).alias("keyword")).where(
@@ -73,7 +72,7 @@ def predict_keyword(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id",
     best = scored.unionByName(zero).groupBy("_id", *keep).agg(F.max("_score").alias("_score"))
     best = best.withColumn("_lrank", F.when(F.col("_score") > 0,
                                             F.lit(_SHIFT - 1) - (F.col("_score") % F.lit(_SHIFT))))
-    lab = ranked.select("_lrank", F.col("label").alias("_label"))
+    lab = r.select("_lrank", F.col("label").alias("_label")).distinct()
     return best.join(F.broadcast(lab), "_lrank", "left").select(
         F.col("_id").alias(id_col), *keep, F.coalesce("_label", F.lit(UNPARSEABLE)).alias(out_col))
 
