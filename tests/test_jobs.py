@@ -1,5 +1,6 @@
 """The four command-line workflows end to end on the given documents table."""
 
+import math
 import os
 
 from conftest import SF001, SF01
@@ -31,3 +32,17 @@ def test_prepare_subset_evaluate_score(spark, tmp_dir):
     r = jobs.main(["score", "--requests", out("requests"), "--labels", out("split"),
                    "--output", out("responses"), "--checkpoint", out("ck")], spark)
     assert spark.read.parquet(out("responses")).count() == reqs.count()
+
+
+def test_prepare_from_json_lines_without_id(spark, tmp_dir):
+    """A1 from JSON lines, labels from the two-class binding, id derived when absent."""
+    t2 = fx.tickets2(spark, SF01).select("instruction", "intent")
+    src = os.path.join(tmp_dir, "tickets-json")
+    t2.write.json(src)
+    r = jobs.main(["prepare", "--input", src, "--format", "json", "--output",
+                   os.path.join(tmp_dir, "split2")], spark)
+    distinct = t2.select("instruction").distinct().count()
+    assert r["rows"] == t2.count() and r["after_dedup"] == distinct
+    assert r["test"] == math.ceil(distinct * 0.15)
+    back = spark.read.parquet(os.path.join(tmp_dir, "split2"))
+    assert back.select("ticket_id").distinct().count() == distinct
