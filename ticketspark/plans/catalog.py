@@ -204,7 +204,8 @@ def q_split_fingerprint(spark, d):
 
 # ------------------------------------------------------------- F: prompts
 
-def _text_digest(df: DataFrame, col: str, prefix: str) -> list:
+def _text_digest(col: str, prefix: str) -> list:
+    """md5 and length of a built text (the text itself can be long)."""
     return [F.md5(F.col(col)).alias(f"{prefix}_md5"), F.length(col).cast("long").alias(f"{prefix}_chars")]
 
 
@@ -212,27 +213,27 @@ def _text_digest(df: DataFrame, col: str, prefix: str) -> list:
 def q_sft_examples(spark, d):
     train = SH.side(SH.split_dedup(spark, d), "train")
     ex = PT.sft_examples(train, train)
-    return ex.select("ticket_id", "intent", *_text_digest(ex, "text", "text"))
+    return ex.select("ticket_id", "intent", *_text_digest("text", "text"))
 
 
 @query("inference_prompts")
 def q_inference_prompts(spark, d):
     test = SH.side(SH.split_dedup(spark, d), "test")
     p = PT.inference_prompts(test, test)
-    return p.select("ticket_id", *_text_digest(p, "prompt", "prompt"))
+    return p.select("ticket_id", *_text_digest("prompt", "prompt"))
 
 
 @query("render_chat")
 def q_render_chat(spark, d):
     c = PT.render_chat(fx.chat(spark, d))
-    return c.select("conv_id", "n_turns", *_text_digest(c, "chat", "chat"))
+    return c.select("conv_id", "n_turns", *_text_digest("chat", "chat"))
 
 
 @query("truncate_examples")
 def q_truncate_examples(spark, d):
     train = SH.side(SH.split_dedup(spark, d), "train")
     t = PT.truncate_examples(PT.sft_examples(train, train), SH.MAX_TOKENS)
-    return t.select("ticket_id", "n_tokens", "truncated", *_text_digest(t, "text_cut", "cut"))
+    return t.select("ticket_id", "n_tokens", "truncated", *_text_digest("text_cut", "cut"))
 
 
 # ------------------------------------------------------- G: predict, decode
