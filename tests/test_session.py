@@ -38,3 +38,15 @@ def test_local_session_without_checkpoint_dir_gets_temp_folder():
 def test_configured_checkpoint_dir_is_used(spark):
     from ticketspark.session import checkpoint_root
     assert checkpoint_root(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_release_saved_deletes_tables(spark):
+    from ticketspark.session import materialize, release_saved
+    df = materialize(spark.range(5), "release-probe")
+    path = df.inputFiles()[0].split("/release-probe-")[0]
+    folder = [f for f in os.listdir(path.replace("file:", "")) if f.startswith("release-probe-")]
+    assert folder
+    deleted = release_saved(spark)
+    assert any("release-probe-" in d for d in deleted)
+    left = [f for f in os.listdir(path.replace("file:", "")) if f in folder]
+    assert left == []

@@ -88,4 +88,31 @@ def materialize(df: DataFrame, name: str = "stage",
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _saved.append(path)
     return spark.read.parquet(path)
+
+
+_saved: list[str] = []
+
+
+def release_saved(spark: SparkSession) -> list[str]:
+    """Delete every table this process saved with :func:`materialize` and forget the
+    shared intermediates built from them; returns the deleted paths.
+
+    Uses the Hadoop FileSystem of each path, so it works for HDFS, object stores and
+    local folders alike. DataFrames read from these tables are unusable afterwards.
+    """
+    from ticketspark.plans import shared
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = []
+    while _saved:
+        path = _saved.pop()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            deleted.append(path)
+    shared._memo.clear()
+    return deleted
