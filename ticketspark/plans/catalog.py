@@ -256,10 +256,20 @@ def q_predict_keyword(spark, d):
                              rules, carry=["intent"])
 
 
+def _nb_test_predictions(spark, d) -> DataFrame:
+    """Naive Bayes predictions for every held-out row, saved once per session (as the
+    reference saves its predictions) and shared by prediction, routing and automation."""
+    def build():
+        test = SH.side(SH.split_dedup(spark, d), "test").select("ticket_id", "intent", "instruction")
+        p = P.predict_naive_bayes(SH.nb_model(spark, d), test, carry=["intent"])
+        return materialize(p.select("ticket_id", "intent", "predicted_intent", "confidence"),
+                           "nb-test-predictions")
+    return SH.memo(spark, d, "nb-test-predictions", build)
+
+
 @query("predict_nb")
 def q_predict_nb(spark, d):
-    test = SH.side(SH.split_dedup(spark, d), "test").select("ticket_id", "intent", "instruction")
-    p = P.predict_naive_bayes(SH.nb_model(spark, d), test, carry=["intent"])
+    p = _nb_test_predictions(spark, d)
     return p.select("ticket_id", "intent", "predicted_intent",
                     F.round("confidence", 6).alias("confidence"))
 
@@ -493,9 +503,7 @@ def q_score_requests(spark, d):
 
 
 def _routed(spark, d) -> DataFrame:
-    test = SH.side(SH.split_dedup(spark, d), "test").select("ticket_id", "intent", "instruction")
-    p = P.predict_naive_bayes(SH.nb_model(spark, d), test, carry=["intent"])
-    return S.route(p, SH.train_labels(spark, d), SH.ROUTE_THRESHOLD)
+    return S.route(_nb_test_predictions(spark, d), SH.train_labels(spark, d), SH.ROUTE_THRESHOLD)
 
 
 @query("route_tickets")
