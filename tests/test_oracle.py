@@ -44,6 +44,11 @@ def test_query_matches_oracle(spark, name):
     assert sc == dc
     assert len(sr) == len(dr)
     assert sr == dr
+    # scale hygiene: no cross joins anywhere; Python only in the pluggable-model path
+    plan = sdf_spark._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    if name != "predict_batch":
+        assert not any(n in plan for n in ("MapInPandas", "ArrowEvalPython", "BatchEvalPython"))
 
 
 def test_every_query_has_oracle_or_is_rows_only():
