@@ -17,6 +17,10 @@ def test_prepare_subset_evaluate_score(spark, tmp_dir):
 
     r = jobs.main(["subset", "--split", out("split"), "--per-class", "60", "--output", out("sub")], spark)
     assert r["rows"] == 60 * r["classes"]
+    # capped: min(n, class size); train sizes de 99, en 489, es 86, fr 113 at sf0.01
+    r = jobs.main(["subset", "--split", out("split"), "--per-class", "100", "--capped",
+                   "--output", out("sub-capped")], spark)
+    assert r["rows"] == 99 + 100 + 86 + 100
 
     r = jobs.main(["evaluate", "--split", out("split"), "--per-class", "10", "--model", "nb",
                    "--output", out("eval")], spark)
