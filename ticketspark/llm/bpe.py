@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ticketspark.llm.common import field, map_text
+from ticketspark.llm.common import distinct, field, map_text
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 # Encoded pre-tokens that a worker remembers between blocks (speed only).
@@ -233,9 +233,7 @@ class Codec:
         """(ids of all texts one after the other, number of ids of each text)."""
         split = [pre_tokens(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.empty(int(counts.sum()), object)
-        flat[:] = list(chain.from_iterable(split))
-        code, words = pd.factorize(flat)
+        code, words = distinct(list(chain.from_iterable(split)))
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()

@@ -66,6 +66,13 @@ def map_text(df: DataFrame, text_col: str, fields: list[T.StructField],
     return src.mapInArrow(run, schema)
 
 
+def distinct(items: list, kind: pa.DataType | None = None) -> tuple[np.ndarray, list]:
+    """(code of each item, the distinct items in order of appearance). Exact for any
+    string: pandas' factorize would end strings at U+0000."""
+    d = pa.array(items, kind or pa.string()).dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
     return to_arrow_type(t)

@@ -8,12 +8,14 @@ lines that repeat, decides whether the text is kept.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ticketspark.llm.common import field, map_text
+from ticketspark.llm.common import distinct, field, map_text
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOLS = np.zeros(256, bool)
@@ -65,9 +67,8 @@ def _measure(limits: Limits):
         words = [d.split() for d in docs]
         n_words = np.fromiter(map(len, words), np.int64, nd)
         doc = np.repeat(np.arange(nd), n_words)
-        flat = np.empty(int(n_words.sum()), object)
-        flat[:] = [w for ws in words for w in ws]
-        code = mix(pd.factorize(flat)[0].astype(np.uint64) + np.uint64(1))
+        flat = distinct(list(chain.from_iterable(words)), pa.binary())[0]
+        code = mix(flat.astype(np.uint64) + np.uint64(1))
 
         # a separator after each document, so that no word runs into the next one
         raw = np.frombuffer(b"\n".join([*docs, b""]), np.uint8)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketspark.llm import bpe, quality
+from ticketspark.llm import bpe, langid, quality, secrets, simhash, tokens
 from ticketspark.sources.tables import read_table
 
 
@@ -14,16 +15,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(documents(spark, sf_dir), keep=["doc_id"]).drop("kept")
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir), keep=["doc_id"])
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    apart = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~apart))
+    return langid.predict(docs.select("doc_id", "text", apart.alias("held_out")), model,
+                          keep=["doc_id", "held_out"])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(documents(spark, sf_dir), keep=["doc_id"])
+    return found.drop("found")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op9_bpe)}
+    return {f.__name__: f for f in (op2_simhash, op3_tokens, op4_quality, op8_language, op9_bpe, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
