@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import bpe, langid, quality, secrets, simhash, tokens
+from ticketspark.llm import bpe, langid, mixing, quality, secrets, simhash, tokens
 from ticketspark.sources.tables import read_table
 
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), keep=["doc_id"])
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(documents(spark, sf_dir), keep=["doc_id"]).drop("kept")
 
@@ -45,7 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_tokens, op4_quality, op8_language, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_tokens, op4_quality, op8_language, op9_bpe, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
