@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import ann, bpe, langid, mixing, quality, secrets, simhash, tokens
+from ticketspark.llm import ann, bpe, langid, licenses, mixing, quality, secrets, simhash, tokens
 from ticketspark.sources.tables import read_table
 
 
@@ -31,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(documents(spark, sf_dir), keep=["doc_id"]).drop("found")
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, F.col("vec_id") % 100 == 0)
@@ -54,7 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_tokens, op4_quality, op6_neighbours, op8_language, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_tokens, op4_quality, op5_licenses, op6_neighbours, op8_language, op9_bpe, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
