@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import ann, bpe, langid, licenses, mixing, quality, secrets, simhash, tokens
+from ticketspark.llm import ann, bpe, langid, licenses, mixing, pii, quality, secrets, simhash, tokens
 from ticketspark.sources.tables import read_table
 
 
@@ -40,6 +40,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(documents(spark, sf_dir), keep=["doc_id"]).drop("found")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     apart = langid.held_out(F.col("doc_id"))
@@ -58,7 +62,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_tokens, op4_quality, op5_licenses, op6_neighbours, op8_language, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_tokens, op4_quality, op5_licenses, op6_neighbours, op7_pii, op8_language, op9_bpe, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
