@@ -31,6 +31,27 @@ def test_prepare_subset_evaluate_score(spark, tmp_dir):
                    "--output", out("eval-kw")], spark)
     assert r["n_samples"] == 140
 
+    r = jobs.main(["compare", "--baseline", out("eval-kw", "metrics"), "--tuned", out("eval", "metrics")], spark)
+    assert set(r) == {"accuracy", "macro_f1", "weighted_f1", "unparseable_rate"}
+    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out("eval", "predictions"))
+    assert {"source", "n_chars", "raw_output", "predicted_intent"} <= set(csv.columns)
+
+    # raw request lines, without ids, by models from storage
+    os.makedirs(out("lines"))
+    with open(out("lines", "a.txt"), "w") as f:
+        f.write('{"message": "the that and"}\n{"message": "der die und"}\n{bad\n{"message": "the that and"}\n')
+    for model in ("nb", "lr"):
+        jobs.main(["train", "--split", out("split"), "--model", model, "--output", out("m-" + model)], spark)
+        r = jobs.main(["score", "--requests", out("lines"), "--format", "lines", "--model", model, "--model-path",
+                       out("m-" + model), "--output", out("r-" + model), "--checkpoint", out("c-" + model)], spark)
+        got = spark.read.parquet(out("r-" + model)).collect()
+        assert r["batches"] == 1 and len({x.request_id for x in got}) == 4
+        assert sum('"predicted_intent":"' in x.response for x in got) == 3
+        if model == "nb":
+            assert sum('"predicted_intent":"en"' in x.response for x in got) == 2
+            assert sum('"predicted_intent":"de"' in x.response for x in got) == 1
+        assert sum("malformed" in x.response for x in got) == 1
+
     reqs = fx.requests(spark, SF001).select("request_id", "body")
     reqs.write.json(out("requests"))
     r = jobs.main(["score", "--requests", out("requests"), "--labels", out("split"),
@@ -50,3 +71,23 @@ def test_prepare_from_json_lines_without_id(spark, tmp_dir):
     assert r["test"] == math.ceil(distinct * 0.15)
     back = spark.read.parquet(os.path.join(tmp_dir, "split2"))
     assert back.select("ticket_id").distinct().count() == distinct
+
+
+def test_rejected_rows_are_counted(spark, tmp_dir):
+    t = fx.tickets(spark, SF01).where("ticket_id < 60").selectExpr(
+        "ticket_id", "if(ticket_id % 10 = 0, null, instruction) instruction", "if(ticket_id % 7 = 0, null, intent) intent")
+    t.write.parquet(os.path.join(tmp_dir, "in"))
+    r = jobs.main(["prepare", "--input", os.path.join(tmp_dir, "in"), "--id-col", "ticket_id", "--output",
+                   os.path.join(tmp_dir, "s"), "--rejects", os.path.join(tmp_dir, "bad")], spark)
+    bad = spark.read.parquet(os.path.join(tmp_dir, "bad"))
+    assert r["rows"] == t.count() and sum(r["rejected"].values()) == bad.count() > 0
+    assert set(r["rejected"]) == {"null_text", "null_label"}
+
+
+def test_derived_ids_do_not_depend_on_layout(spark, tmp_dir):
+    t = fx.tickets2(spark, SF01).select("instruction", "intent")
+    t.repartition(5).write.parquet(os.path.join(tmp_dir, "a"))
+    t.coalesce(1).write.parquet(os.path.join(tmp_dir, "b"))
+    a, b = (sorted(jobs.read_input(spark, os.path.join(tmp_dir, x), "parquet", "instruction", "intent", None)
+                   .select("ticket_id", "intent").collect()) for x in "ab")
+    assert a == b and len({r.ticket_id for r in a}) == len(a)

@@ -6,12 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ticketspark.plans.catalog import queries as core_queries
+from ticketspark.plans.oracle import oracle_sql as core_oracle
 from conftest import SF001, SF01
 from scripts.check_oracle import TABLES, rows_of, type_mismatches
 
 # Queries built on the strict 10-per-class eval sample need sf0.01: at sf0.001 a class
 # has fewer than 10 test rows and the strict sample fails by design (see test below).
-NEEDS_SF01 = {"sample_strict", "accuracy_by_leak"}
+NEEDS_SF01 = {"sample_strict"}
 
 
 def _duck(sf_dir):
@@ -32,7 +34,7 @@ def con_for(sf):
     return _cons[sf]
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(core_oracle()))
 def test_query_matches_oracle(spark, name):
     sf = SF01 if name in NEEDS_SF01 else SF001
     sdf_spark = E.queries()[name](spark, sf)
@@ -51,9 +53,8 @@ def test_query_matches_oracle(spark, name):
         assert not any(n in plan for n in ("MapInPandas", "ArrowEvalPython", "BatchEvalPython"))
 
 
-def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"predict_lr"}
+def test_every_query_has_an_oracle():
+    assert set(core_queries()) == set(core_oracle())
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
@@ -66,10 +67,3 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert rows and set(df.columns) == {"arm", "label", "precision", "recall", "f1", "support"}
-
-
-def test_predict_lr_rows(spark):
-    df = E.queries()["predict_lr"](spark, SF001)
-    test_rows = E.queries()["split_test"](spark, SF001).count()
-    assert df.count() == test_rows
-    assert df.where("predicted_intent IS NULL").count() == 0

@@ -1,11 +1,12 @@
 """Physical plan shape."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
 from ticketspark.functions.decode import decode_lenient
-from ticketspark.operators import dedup, predict, split
-from ticketspark.operators.vocab import label_array
+from ticketspark.operators import dedup, predict, split, vocab
+from ticketspark.operators.vocab import label_array, sized
 from ticketspark.sources import fixtures as fx
 
 
@@ -46,11 +47,43 @@ def test_decode_has_no_python(spark):
     assert "Python" not in p and "ArrowEval" not in p
 
 
-def test_keyword_rules_are_broadcast(spark):
+def test_keyword_prediction_is_row_wise(spark):
     t = fx.tickets(spark, SF01)
     rules = predict.keyword_rules(t.select(F.col("intent").alias("label")))
-    p = plan(predict.predict_keyword(t, rules, carry=["intent"]))
-    assert "BroadcastHashJoin" in p and "Python" not in p
+    p = plan(predict.predict_keyword(t, rules, carry=["intent"])).split("Subquery")[0]
+    assert "Exchange" not in p and "Join" not in p and "Python" not in p
+
+
+def test_keyword_paths_agree(spark):
+    t = fx.tickets(spark, SF01).select("ticket_id", "intent", "instruction")
+    t = t.unionByName(t.where("ticket_id < 50"))  # equal ids stay rows of their own
+    rules = predict.keyword_rules(fx.read_table(spark, SF01, "documents").select(F.col("source").alias("label"))
+                                  .unionByName(t.select(F.lower("intent").alias("label"))))
+    inline = predict.predict_keyword(t, rules, carry=["intent"])
+    joined = predict.predict_keyword(t, rules, carry=["intent"], inline_rules=0)
+    assert sorted(inline.collect()) == sorted(joined.collect()) and inline.count() == t.count()
+
+
+def test_unbounded_tables_are_not_broadcast(spark):
+    t = fx.tickets(spark, SF01)
+    small = t.groupBy("intent").count()
+    assert "ResolvedHint" in sized(small, "t")._jdf.queryExecution().analyzed().toString()
+    for over in ({"max_rows": 1}, {"max_bytes": 1}):
+        assert "ResolvedHint" not in sized(small, "t", **over)._jdf.queryExecution().analyzed().toString()
+
+
+def test_split_is_equal_on_either_join(spark, monkeypatch):
+    t = fx.tickets(spark, SF01)
+    want = sorted(split.stratified_split(t).select("ticket_id", "split").collect())
+    monkeypatch.setattr(vocab, "BROADCAST_ROWS", 1)
+    assert sorted(split.stratified_split(t).select("ticket_id", "split").collect()) == want
+
+
+def test_label_array_fails_beyond_its_bound(spark):
+    t = fx.tickets(spark, SF01)
+    assert len(spark.range(1).select(label_array(t, max_classes=4)).first()[0]) == 4
+    with pytest.raises(Exception, match="exceeds 3"):
+        spark.range(1).select(label_array(t, max_classes=3)).collect()
 
 
 def test_scan_prunes_columns(spark):

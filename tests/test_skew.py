@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
-from ticketspark.operators import dedup, split
+from ticketspark.operators import dedup, predict, split
 from ticketspark.sources import fixtures as fx
 
 
@@ -79,3 +79,38 @@ def test_split_two_class_imbalanced(spark):
         expected |= set(grp.sort_values(["h", "ticket_id"]).ticket_id.head(quota[g]))
     got = {r[0] for r in split.stratified_split(t2).where("split = 'test'").select("ticket_id").collect()}
     assert got == expected and len(sizes) == 2
+
+
+def test_split_with_null_labels_and_changed_fingerprint(spark):
+    t = fx.tickets(spark, SF01).where("ticket_id < 100").withColumn(
+        "intent", F.when(F.col("ticket_id") % 5 != 0, F.col("intent")))
+    sp = split.stratified_split(t)
+    n = t.count()
+    assert sp.where("split = 'test'").count() == math.ceil(n * 0.15)
+    want = {r.intent: r.n_test for r in split.split_allocation(t).collect()}
+    got = {r.intent: r["count"] for r in sp.where("split = 'test'").groupBy("intent").count().collect()}
+    assert got == {k: v for k, v in want.items() if v} and None in got
+    one = sorted(split.split_fingerprint(sp).collect())
+    swapped = sp.withColumn("intent", F.when(F.col("intent") == "en", "fr").when(
+        F.col("intent") == "fr", "en").otherwise(F.col("intent")))
+    assert sorted(split.split_fingerprint(swapped).collect()) != one
+
+
+def test_naive_bayes_keeps_rows_of_one_id(spark):
+    t = fx.tickets(spark, SF01).select("ticket_id", "intent", "instruction")
+    m = predict.fit_and_save_naive_bayes(t, "nb-one-id")
+    three = t.where("ticket_id < 3").withColumn("ticket_id", F.lit(7))
+    got = predict.predict_naive_bayes(m, three.unionByName(three.limit(1).withColumn(
+        "instruction", F.lit(None).cast("string"))), carry=["intent"])
+    assert got.count() == 4
+
+
+def test_saved_naive_bayes_predicts_alike(spark, tmp_dir):
+    t = fx.tickets(spark, SF01).select("ticket_id", "intent", "instruction")
+    for budget in (10 ** 6, 500):
+        m = predict.fit_and_save_naive_bayes(t, "nb-disk", budget_rows=budget)
+        predict.save_naive_bayes(m, f"{tmp_dir}/{budget}")
+        again = predict.load_naive_bayes(spark, f"{tmp_dir}/{budget}")
+        a, b = (sorted(predict.predict_naive_bayes(x, t, carry=[]).select("ticket_id", "predicted_intent").collect())
+                for x in (m, again))
+        assert a == b

@@ -30,7 +30,10 @@ def bucket(tag: str, id_col: Column | str) -> Column:
     return hex_prefix(F.md5(F.concat(F.lit(f"{tag}|"), c.cast("string"))), 1)
 
 
-def fingerprint_term(text_col: Column, digits: int = 6) -> Column:
-    """First ``digits`` hex digits of md5(text) as bigint; summed per table it is an
-    order-insensitive content fingerprint."""
-    return hex_prefix(F.md5(text_col), digits)
+def fingerprint_term(cols: list[Column], digits: int = 15) -> Column:
+    """First ``digits`` hex digits of an md5 over all ``cols`` as bigint; summed per table
+    as decimal it is an order-insensitive content fingerprint. The first column is taken
+    as it is and must not be null for the row to count; the others by their md5, so
+    that no separator can be mistaken."""
+    first, *rest = cols
+    return hex_prefix(F.md5(F.concat_ws("|", first.cast("string"), *[F.md5(c) for c in rest])), digits)

@@ -11,11 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Our system instruction; the label line is appended after the newline.
-SYSTEM_TEXT = (
-    "You classify customer support messages. Reply with exactly one intent label "
-    "from this list and nothing else:\n"
-)
+# Default instruction of the system turn; the label line follows it.
+SYSTEM_TEXT = ("Pick the label that fits the customer's message best and answer with that label alone.\n"
+               "Labels: ")
 
 
 @dataclass(frozen=True)
@@ -35,15 +33,15 @@ class ChatTemplate:
 CHATML = ChatTemplate()
 
 
-def system_prompt(label_line: Column) -> Column:
-    return F.concat(F.lit(SYSTEM_TEXT), label_line)
+def system_prompt(label_line: Column, system_text: str = SYSTEM_TEXT) -> Column:
+    return F.concat(F.lit(system_text), label_line)
 
 
 def classification_text(label_line: Column, message: Column, answer: Column | None = None,
-                        template: ChatTemplate = CHATML) -> Column:
+                        template: ChatTemplate = CHATML, system_text: str = SYSTEM_TEXT) -> Column:
     """System turn with the label list + user turn; then either the assistant's answer
     (training example) or the generation cue (inference prompt)."""
-    parts = [template.turn(F.lit("system"), system_prompt(label_line)),
+    parts = [template.turn(F.lit("system"), system_prompt(label_line, system_text)),
              template.turn(F.lit("user"), message)]
     if answer is None:
         parts.append(template.generation_cue())

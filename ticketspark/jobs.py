@@ -1,14 +1,16 @@
-"""End-to-end jobs on user paths: the reference's four workflows as Spark jobs.
+"""End-to-end jobs on user paths: the reference's workflows as Spark jobs.
 
-    python -m ticketspark.jobs prepare  --input tickets.parquet --output out/split
+    python -m ticketspark.jobs prepare  --input tickets.parquet --output out/split --rejects out/rejects
+    python -m ticketspark.jobs train    --split out/split --model nb --output out/model
     python -m ticketspark.jobs subset   --split out/split --per-class 60 --output out/subset
     python -m ticketspark.jobs evaluate --split out/split --per-class 10 --model nb --output out/eval
-    python -m ticketspark.jobs score    --requests in/ --output out/responses --checkpoint ck/ --labels out/split
+    python -m ticketspark.jobs compare  --baseline out/eval-a/metrics --tuned out/eval-b/metrics
+    python -m ticketspark.jobs score    --requests in/ --format lines --model nb --model-path out/model \\
+                                        --output out/responses --checkpoint ck/
 
 Inputs are Parquet, JSON lines or CSV with a text column, a label column and a unique
-row id (``--id-col``; when the input has none, one is derived from the row's read
-partition and position, stable for the same files and read settings). Each job
-prints a one-line JSON summary.
+row id (``--id-col``; when the input has none, one is derived from the row's contents).
+Each job prints a one-line JSON summary and deletes the intermediates that it saved.
 """
 
 from __future__ import annotations
@@ -17,45 +19,60 @@ import argparse
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketspark.functions.decode import decode_lenient
 from ticketspark.operators import dedup, metrics, predict, profile, split
 from ticketspark.operators.vocab import label_array, lower_label_array
-from ticketspark.session import apply_runtime_conf, materialize
+from ticketspark.session import apply_runtime_conf, materialize, release_saved, saved_paths
 from ticketspark.sinks import writers
+from ticketspark.sources.readers import load_tickets
 
 TEXT, LABEL, ID = "instruction", "intent", "ticket_id"
 
 
 def read_input(spark: SparkSession, path: str, fmt: str, text_col: str, label_col: str,
                id_col: str | None) -> DataFrame:
+    """The input with text, label and id under their own names and all other columns.
+
+    JSON lines are read once, by a declared schema of the columns that the arguments name;
+    Parquet and CSV bring their own columns. Without an id column, ids are
+    an order of the rows' own values: equal rows are told apart by their count, so the
+    same rows get the same ids however the files are laid out.
+    """
     reader = spark.read
     if fmt == "csv":
         reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+    elif fmt == "json":
+        fields = dict.fromkeys([text_col, label_col, *([id_col] if id_col else [])])
+        reader = reader.schema(", ".join(f"`{c}` string" for c in fields))
     df = reader.format(fmt).load(path)
+    df = df.withColumnRenamed(text_col, TEXT).withColumnRenamed(label_col, LABEL)
     if id_col:
-        df = df.withColumn(ID, F.col(id_col).cast("long"))
-    else:
-        # partition index + row position: deterministic for the same input files and
-        # read settings (it is not a content key; pass --id-col when the data has one)
-        df = df.withColumn(ID, F.monotonically_increasing_id())
-    return df.withColumnRenamed(text_col, TEXT).withColumnRenamed(label_col, LABEL).where(
-        F.col(TEXT).isNotNull() & F.col(LABEL).isNotNull())
+        return df.withColumn(ID, F.col(id_col).cast("long"))
+    every = F.concat_ws("|", *[F.coalesce(F.md5(F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns])
+    one = df.withColumn("_h", F.xxhash64(every)).withColumn("_m", F.md5(every))
+    # rows of one content differ in nothing, so which of them is first doesn't matter
+    nth = F.row_number().over(Window.partitionBy("_h", "_m").orderBy("_m"))
+    return one.withColumn(ID, F.xxhash64("_h", "_m", nth)).drop("_h", "_m")
 
 
 def prepare(spark, a) -> dict:
-    df = read_input(spark, a.input, a.format, a.text_col, a.label_col, a.id_col)
-    before = df.count()
-    deduped = materialize(dedup.dedup_first(df), "jobs-dedup")
+    df = materialize(read_input(spark, a.input, a.format, a.text_col, a.label_col, a.id_col), "jobs-input")
+    good, bad = load_tickets(df, TEXT, LABEL)
+    rejected = {r["reject_reason"]: r["count"] for r in bad.groupBy("reject_reason").count().collect()}
+    if a.rejects:
+        bad.write.mode("overwrite").parquet(a.rejects)
+    deduped = materialize(dedup.dedup_first(good), "jobs-dedup")
     sp = split.stratified_split(deduped, test_frac=a.test_fraction, seed=a.seed)
     writers.write_split(sp, a.output)
     back = spark.read.parquet(a.output)
     counts = {r["split"]: r["n_rows"] for r in split.split_report(back).collect()}
     ext = profile.class_extremes(deduped).first()
-    return {"rows": before, "after_dedup": deduped.count(), "train": counts.get("train", 0),
-            "test": counts.get("test", 0), "smallest_class": [ext.smallest_intent, ext.smallest_n],
+    return {"rows": df.count(), "rejected": rejected, "after_dedup": deduped.count(),
+            "train": counts.get("train", 0), "test": counts.get("test", 0),
+            "smallest_class": [ext.smallest_intent, ext.smallest_n],
             "largest_class": [ext.largest_intent, ext.largest_n], "output": a.output}
 
 
@@ -73,22 +90,18 @@ def evaluate(spark, a) -> dict:
     train = spark.read.parquet(os.path.join(a.split, "split=train"))
     test = spark.read.parquet(os.path.join(a.split, "split=test"))
     rows = test if a.per_class <= 0 else split.sample_strict(test, a.per_class, seed=a.seed)
-    rows = materialize(rows.select(ID, LABEL, TEXT), "jobs-eval-rows")
-    if a.model == "nb":
-        model = predict.fit_and_save_naive_bayes(train, "jobs-nb")
-        pred = predict.predict_naive_bayes(model, rows, carry=[LABEL]).select(
-            ID, LABEL, F.col("predicted_intent").alias("raw_output"))
-    else:
-        rules = predict.keyword_rules(train.select(F.col(LABEL).alias("label")))
-        pred = predict.predict_keyword(rows, rules, carry=[LABEL], out_col="raw_output")
+    rows = materialize(rows, "jobs-eval-rows")
+    scored = scorer(spark, a.model, a.model_path, train)(rows, ID, TEXT, [LABEL])
+    pred = scored.select(ID, LABEL, F.col("predicted_intent").alias("raw_output"))
     # labels from the evaluated rows, as in the reference; free text decoded leniently
     pred = pred.withColumn("_l", label_array(rows)).withColumn("_ll", lower_label_array(rows))
     pred = pred.withColumn("predicted_intent", decode_lenient(
         F.col("raw_output"), F.col("_l"), F.col("_ll"))).drop("_l", "_ll")
-    out = pred.join(rows.select(ID, TEXT), ID)
-    writers.write_predictions_csv(out.select(ID, TEXT, LABEL, "raw_output", "predicted_intent"),
-                                  os.path.join(a.output, "predictions"))
-    oc = metrics.outcomes(out, arm=None)
+    pred = materialize(pred, "jobs-predictions")
+    # the CSV has every column of the rows; ids are unique, as the split requires
+    out = rows.join(pred.drop(LABEL), ID)
+    writers.write_predictions_csv(out, os.path.join(a.output, "predictions"))
+    oc = metrics.outcomes(pred, arm=None)
     doc = writers.metrics_document(oc, a.model, "evaluation", a.per_class if a.per_class > 0 else 0)
     writers.write_metrics_document(doc, os.path.join(a.output, "metrics"))
     s = metrics.metrics_summary(oc, places=3).first()
@@ -97,17 +110,51 @@ def evaluate(spark, a) -> dict:
             "output": a.output}
 
 
+def scorer(spark, kind: str, path: str | None, train: DataFrame | None):
+    """(rows, id_col, text_col, carry) -> rows with ``predicted_intent``, by keyword rules
+    (from the train split's labels) or a model, loaded from ``path`` or fitted on train."""
+    if kind == "keyword":
+        rules = materialize(predict.keyword_rules(train.select(F.col(LABEL).alias("label"))), "jobs-rules")
+        return lambda df, i, t, carry: predict.predict_keyword(df, rules, id_col=i, text_col=t, carry=carry)
+    if kind == "nb":
+        model = predict.load_naive_bayes(spark, path) if path else predict.fit_and_save_naive_bayes(train, "jobs-nb")
+        return lambda df, i, t, carry: predict.predict_naive_bayes(
+            model, df, id_col=i, text_col=t, carry=carry).drop("confidence", "margin")
+    fitted = predict.load_logistic(path) if path else predict.fit_logistic(train.select(TEXT, LABEL))
+    return lambda df, i, t, carry: predict.predict_logistic(fitted, df.select(
+        i, t, *carry), text_col=t).select(i, *carry, "predicted_intent")
+
+
+def train(spark, a) -> dict:
+    rows = spark.read.parquet(os.path.join(a.split, "split=train"))
+    if a.model == "nb":
+        predict.save_naive_bayes(predict.fit_and_save_naive_bayes(rows, "jobs-nb"), a.output)
+    else:
+        predict.save_logistic(predict.fit_logistic(rows.select(TEXT, LABEL)), a.output)
+    return {"model": a.model, "rows": rows.count(), "output": a.output}
+
+
 def score(spark, a) -> dict:
-    from ticketspark.streaming.scoring import request_stream, start_scoring
-    labels = spark.read.parquet(os.path.join(a.labels, "split=train")).select(
-        F.col(LABEL).alias("label"))
-    rules = materialize(predict.keyword_rules(labels), "jobs-rules")
-    stream = request_stream(spark, a.requests, fmt=a.format)
-    q = start_scoring(stream, lambda df: predict.predict_keyword(
-        df, rules, id_col="request_id", text_col="text", carry=["message", "error_kind"]),
-        a.output, a.checkpoint, available_now=True)
-    q.awaitTermination()
-    return {"output": a.output, "batches": len(q.recentProgress)}
+    from ticketspark.streaming.scoring import request_line_stream, request_stream, start_scoring
+    rows = spark.read.parquet(os.path.join(a.labels, "split=train")) if a.labels else None
+    predictor = scorer(spark, a.model, a.model_path, rows)
+    stream = (request_line_stream(spark, a.requests) if a.format == "lines"
+              else request_stream(spark, a.requests, fmt=a.format))
+    seen = {"batches": 0}
+
+    def predict_batch(df: DataFrame) -> DataFrame:
+        seen["batches"] += 1  # the progress log keeps the last hundred only
+        return predictor(df, "request_id", "text", ["message", "error_kind"])
+
+    start_scoring(stream, predict_batch, a.output, a.checkpoint, available_now=True).awaitTermination()
+    return {"output": a.output, "batches": seen["batches"]}
+
+
+def compare(spark, a) -> dict:
+    from ticketspark.operators.compare import document_comparison
+    from ticketspark.sources.readers import read_metrics_document
+    rows = document_comparison(read_metrics_document(spark, a.baseline), read_metrics_document(spark, a.tuned))
+    return {r["metric"]: [r["baseline"], r["tuned"], r["delta"]] for r in rows.collect()}
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -122,6 +169,14 @@ def build_parser() -> argparse.ArgumentParser:
     pr.add_argument("--test-fraction", type=float, default=0.15)
     pr.add_argument("--seed", type=int, default=42)
     pr.add_argument("--output", required=True)
+    pr.add_argument("--rejects", default=None, help="folder for rows without text or label")
+    tr = sub.add_parser("train", help="fit a model on the train split and save it")
+    tr.add_argument("--split", required=True)
+    tr.add_argument("--model", default="nb", choices=["nb", "lr"])
+    tr.add_argument("--output", required=True)
+    co = sub.add_parser("compare", help="two stored metric documents side by side")
+    co.add_argument("--baseline", required=True)
+    co.add_argument("--tuned", required=True)
     su = sub.add_parser("subset", help="n rows per class of the train split")
     su.add_argument("--split", required=True)
     su.add_argument("--per-class", type=int, default=60)
@@ -131,19 +186,24 @@ def build_parser() -> argparse.ArgumentParser:
     ev = sub.add_parser("evaluate", help="predict, decode, metrics JSON + predictions CSV")
     ev.add_argument("--split", required=True)
     ev.add_argument("--per-class", type=int, default=10, help="0 = every test row")
-    ev.add_argument("--model", default="nb", choices=["nb", "keyword"])
+    ev.add_argument("--model", default="nb", choices=["nb", "lr", "keyword"])
+    ev.add_argument("--model-path", default=None, help="a saved model; else one is fitted on train")
     ev.add_argument("--seed", type=int, default=42)
     ev.add_argument("--output", required=True)
     sc = sub.add_parser("score", help="score request files as a stream (availableNow)")
     sc.add_argument("--requests", required=True)
-    sc.add_argument("--format", default="json", choices=["json", "parquet"])
-    sc.add_argument("--labels", required=True, help="split folder whose train labels are the label set")
+    sc.add_argument("--format", default="json", choices=["json", "parquet", "lines"],
+                    help="lines: a request body per line, without an id")
+    sc.add_argument("--model", default="keyword", choices=["keyword", "nb", "lr"])
+    sc.add_argument("--model-path", default=None, help="a saved model")
+    sc.add_argument("--labels", default=None, help="split folder, for keyword rules or to fit a model on")
     sc.add_argument("--output", required=True)
     sc.add_argument("--checkpoint", required=True)
     return p
 
 
-JOBS = {"prepare": prepare, "subset": subset, "evaluate": evaluate, "score": score}
+JOBS = {"prepare": prepare, "train": train, "subset": subset, "evaluate": evaluate, "score": score,
+        "compare": compare}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:
@@ -151,7 +211,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if spark is None:
         spark = SparkSession.builder.appName(f"ticketspark-{args.job}").getOrCreate()
     apply_runtime_conf(spark)
-    result = JOBS[args.job](spark, args)
+    before = len(saved_paths())
+    try:
+        result = JOBS[args.job](spark, args)
+    finally:
+        release_saved(spark, keep=before)  # the intermediates of this job only
     print(json.dumps(result))
     return result
 

@@ -26,6 +26,20 @@ def arm_comparison(oc: DataFrame, baseline: str, tuned: str) -> DataFrame:
         F.round(F.col(tuned) - F.col(baseline), 6).alias("delta"))
 
 
+METRICS = ["accuracy", "macro_f1", "weighted_f1", "unparseable_rate"]
+
+
+def document_comparison(baseline: DataFrame, tuned: DataFrame, places: int = 6) -> DataFrame:
+    """(metric, baseline, tuned, delta) of two stored metric documents, as
+    ``sources.readers.read_metrics_document`` returns them; one document each."""
+    def values(doc: DataFrame, name: str) -> DataFrame:
+        one = doc.select(*METRICS).distinct()
+        return one.select(F.explode(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.round(m, places).alias(name)) for m in METRICS])).alias("m")).select("m.*")
+    both = values(baseline, "baseline").join(values(tuned, "tuned"), "metric")
+    return both.withColumn("delta", F.round(F.col("tuned") - F.col("baseline"), places))
+
+
 def failed_classes(oc: DataFrame) -> DataFrame:
     """(arm, label, support, n_predicted): classes with F1 = 0."""
     r = M.class_report(oc)

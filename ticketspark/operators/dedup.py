@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 def dedup_first(df: DataFrame, text_col: str = "instruction", id_col: str = "ticket_id") -> DataFrame:
     """Rows whose text appears for the first time (lowest id); byte-equal, case-sensitive."""
-    w = Window.partitionBy(text_col).orderBy(id_col)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    # rows are sorted by a digest first; the text itself is compared only among equal ones
+    w = Window.partitionBy("_md5", text_col).orderBy(id_col)
+    return df.withColumn("_md5", F.md5(F.col(text_col))).withColumn("_rn", F.row_number().over(w)).where(
+        F.col("_rn") == 1).drop("_rn", "_md5")
 
 
 def _groups(df: DataFrame, text_col: str) -> DataFrame:

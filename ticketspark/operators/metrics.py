@@ -158,6 +158,13 @@ def confusion_matrix(oc: DataFrame) -> DataFrame:
         ARM, "actual", "predicted", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 
+def confusion_cells(oc: DataFrame) -> DataFrame:
+    """(arm, actual, predicted, n): the cells of the matrix that aren't zero, for label sets
+    whose square is too large."""
+    return oc.join(arm_labels(oc), ARM).where(F.array_contains("labels", F.col("predicted"))).select(
+        ARM, "actual", "predicted", F.col("n").cast("long").alias("n")).where(F.col("actual").isNotNull())
+
+
 def confusion_pivot(oc: DataFrame, labels: list[str]) -> DataFrame:
     """Wide form: one row per (arm, actual), one column per predicted label.
 

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from ticketspark.functions.decode import UNPARSEABLE
 from ticketspark.functions.text import tokens
-from ticketspark.operators.vocab import MAX_CLASSES, guard_rows, guard_size
+from ticketspark.operators.vocab import MAX_CLASSES, guard_size, measure
+from ticketspark.session import materialize
 
 # ---------------------------------------------------------------- keyword rules
 
@@ -32,10 +33,9 @@ def keyword_rules(labels: DataFrame, label_col: str = "label") -> DataFrame:
     An untrained model knows only the label names it is prompted with; each label is
     matched by the words of its name (``track_order`` -> ``track``, ``order``).
     """
-    r = labels.select(F.col(label_col).alias("label")).distinct().select(
+    return labels.select(F.col(label_col).alias("label")).distinct().select(
         "label", F.explode(F.split(F.lower("label"), "_")).alias("keyword")
     ).where(F.col("keyword") != "").distinct()
-    return guard_rows(r, MAX_CLASSES * 8, "keyword rules")
 
 
 def _carry(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> list[str]:
@@ -44,40 +44,45 @@ def _carry(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -
     return [c for c in df.columns if c not in (id_col, text_col)]
 
 
+# Rules up to which every row looks its tokens up in one inlined map.
+INLINE_RULES = 2_000
+
+
+def keyword_tokens(text: Column) -> Column:
+    return F.filter(F.transform(tokens(text), lambda t: F.btrim(t, F.lit(TOKEN_PUNCT))), lambda t: t != "")
+
+
 def predict_keyword(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id",
                     text_col: str = "instruction", out_col: str = "predicted_intent",
-                    carry: list[str] | None = None) -> DataFrame:
+                    carry: list[str] | None = None, inline_rules: int = INLINE_RULES) -> DataFrame:
     """(id, carry..., out_col): label with the most keyword hits among the text's
     tokens (ties: label order); ``UNPARSEABLE`` when nothing hits.
 
-    Tokens meet the rule table in a broadcast hash join (rules are bounded by the
-    vocabulary guard); hit counts are combined map-side. Rows without hits survive
-    through a zero-score row per input row, and the ``carry`` columns (default: all
-    but the text) ride along as group keys -- there is no join back to the input.
+    Every input row gives one row, equal ids included. Rules within ``inline_rules``
+    (counted) are one map that each row looks up: no join and no shuffle, also in a
+    stream. More rules are joined by token, and rows are put together again by a number
+    of their own; the input is read once either way.
     """
     keep = _carry(df, id_col, text_col, carry)
-    # label rank in code-point order, on the (bounded) rule table itself
-    r = rules.withColumn("_lrank", F.dense_rank().over(Window.orderBy("label")))
-    toks = df.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_text"))
-    toks = toks.select("_id", *keep, F.explode(tokens(F.col("_text"))).alias("_tok")).select(
-        "_id", *keep, F.btrim(F.col("_tok"), F.lit(TOKEN_PUNCT)).alias("keyword")).where(
-        F.col("keyword") != "")
-    hits = toks.join(F.broadcast(r), "keyword").groupBy("_id", *keep, "_lrank").agg(
-        F.count(F.lit(1)).alias("_hits"))
-    # one long holds (hits desc, label rank asc) so the argmax stays a hash aggregate;
-    # rank < 2**20 is guaranteed by the rule-table guard.
-    scored = hits.select("_id", *keep, (F.col("_hits") * F.lit(_SHIFT)
-                                        + (F.lit(_SHIFT - 1) - F.col("_lrank"))).alias("_score"))
-    zero = df.select(F.col(id_col).alias("_id"), *keep, F.lit(0).cast("long").alias("_score"))
-    best = scored.unionByName(zero).groupBy("_id", *keep).agg(F.max("_score").alias("_score"))
-    best = best.withColumn("_lrank", F.when(F.col("_score") > 0,
-                                            F.lit(_SHIFT - 1) - (F.col("_score") % F.lit(_SHIFT))))
-    lab = r.select("_lrank", F.col("label").alias("_label")).distinct()
-    return best.join(F.broadcast(lab), "_lrank", "left").select(
-        F.col("_id").alias(id_col), *keep, F.coalesce("_label", F.lit(UNPARSEABLE)).alias(out_col))
-
-
-_SHIFT = 1 << 20
+    by_word = rules.groupBy("keyword").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    if rules.limit(inline_rules + 1).count() <= inline_rules:
+        table = by_word.select(F.map_from_entries(F.collect_list(F.struct("keyword", "labels"))).alias("m")).scalar()
+        hits = F.flatten(F.filter(F.transform(keyword_tokens(F.col(text_col)), lambda t: F.try_element_at(
+            F.col("_rules"), t)), lambda x: x.isNotNull()))
+        best = F.array_min(F.transform(F.array_distinct("_hits"), lambda label: F.named_struct(
+            F.lit("n"), -F.size(F.filter("_hits", lambda x: x == label)), F.lit("label"), label)))
+        # a subquery may not stand inside a lambda: it is a column first
+        found = df.withColumn("_rules", table).select(
+            F.col(id_col), *keep, F.coalesce(hits, F.array().cast("array<string>")).alias("_hits"))
+        return found.select(F.col(id_col), *keep, F.coalesce(
+            best["label"], F.lit(UNPARSEABLE)).alias(out_col))
+    occ = df.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", F.col(id_col).alias("_id"), *keep, F.explode_outer(keyword_tokens(F.col(text_col))).alias("keyword"))
+    hit = occ.join(rules, "keyword", "left").groupBy("_row", "_id", *keep, "label").agg(
+        F.count("label").alias("n"))
+    best = hit.groupBy("_row", "_id", *keep).agg(F.min(F.when(F.col("label").isNotNull(), F.struct(
+        (-F.col("n")).alias("n"), "label"))).alias("b"))
+    return best.select(F.col("_id").alias(id_col), *keep, F.coalesce("b.label", F.lit(UNPARSEABLE)).alias(out_col))
 
 
 # ------------------------------------------------------------ naive Bayes
@@ -103,8 +108,9 @@ class NaiveBayesModel:
     cold_weights: DataFrame | None = None
 
 
-# Broadcast budget for the weights of frequent tokens (rows of (token, class, w, first)).
-HOT_ROWS_BUDGET = 2_000_000
+# Broadcast budget for the weights of frequent tokens: rows of (token, class, w, first) and
+# their bytes.
+HOT_ROWS_BUDGET, HOT_BYTES_BUDGET = 2_000_000, 128 << 20
 
 
 def hot_token_set(counts: DataFrame, budget_rows: int = HOT_ROWS_BUDGET) -> DataFrame:
@@ -149,7 +155,7 @@ def model_from_counts(counts: DataFrame, n_docs: DataFrame, alpha: float = 1.0)
                             first.alias("first"))
     v = counts.select(F.count_distinct("token")).scalar()
     n_tok = counts.groupBy("class").agg(F.sum("cnt").alias("n_tokens"))
-    cls = guard_rows(n_docs.join(n_tok, "class", "left"), MAX_CLASSES, "class table")
+    cls = n_docs.join(n_tok, "class", "left")
     tot = F.sum("n_docs").over(Window.partitionBy())
     classes = cls.select(
         "class",
@@ -183,9 +189,12 @@ def fit_and_save_naive_bayes(train: DataFrame, name: str, text_col: str = "instr
     m = model_from_counts(counts, n_docs, alpha)
     weights = materialize(m.weights, f"{name}-weights")
     classes = materialize(m.classes, f"{name}-classes")
-    if weights.count() <= budget_rows:
+    rows, size = measure(weights)
+    if rows <= budget_rows and size <= HOT_BYTES_BUDGET:
         return NaiveBayesModel(weights, classes, alpha, hot_weights=weights)
-    hot = materialize(hot_token_set(counts, budget_rows), f"{name}-hot")
+    # fewer rows where tokens are long, so that both budgets hold
+    within = min(budget_rows, max(1, int(rows * HOT_BYTES_BUDGET / max(size, 1))))
+    hot = materialize(hot_token_set(counts, within), f"{name}-hot")
     split = split_hot(NaiveBayesModel(weights, classes, alpha), hot)
     return NaiveBayesModel(weights, classes, alpha, hot,
                            materialize(split.hot_weights, f"{name}-hot-weights"),
@@ -196,7 +205,7 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
                         text_col: str = "instruction", out_col: str = "predicted_intent",
                         carry: list[str] | None = None) -> DataFrame:
     """(id, carry..., out_col, confidence, margin): the winning class, its posterior
-    probability and its log-score gap to the runner-up.
+    probability and its log-score gap to the runner-up. Every input row gives one row.
 
     Token occurrences meet the sparse weights on ``token``: a model within the
     broadcast budget is broadcast whole; a larger one is split by token frequency
@@ -208,26 +217,24 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
     join back to the input (``carry`` columns ride along as group keys).
     """
     keep = _carry(df, id_col, text_col, carry)
-    occ = df.select(F.col(id_col).alias("_id"), *keep,
-                    F.explode(tokens(F.col(text_col))).alias("token"))
+    occ = df.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", F.col(id_col).alias("_id"), *keep, F.explode_outer(tokens(F.col(text_col))).alias("token"))
     if model.hot_weights is not None and model.cold_weights is None:
         # the whole model fits the broadcast budget (checked when it was fitted)
-        hit = occ.join(F.broadcast(model.hot_weights), "token").select(
-            "_id", *keep, "class", "w", "first")
+        hit = occ.join(F.broadcast(model.hot_weights), "token", "left")
     elif model.hot_weights is not None:
         # frequent tokens -- most occurrences, and the skewed keys -- meet a broadcast
         # of their bounded weights map-side; only long-tail occurrences are shuffled
         hot = occ.join(F.broadcast(model.hot_weights), "token")
         cold = occ.join(F.broadcast(model.hot_tokens), "token", "left_anti").join(
-            model.cold_weights, "token")
-        hit = hot.unionByName(cold).select("_id", *keep, "class", "w", "first")
+            model.cold_weights, "token", "left")
+        hit = hot.unionByName(cold)
     else:
-        hit = occ.join(model.weights, "token").select("_id", *keep, "class", "w", "first")
-    zero = df.select(F.col(id_col).alias("_id"), *keep, F.lit(None).cast("string").alias("class"),
-                     F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("first"))
-    sums = hit.unionByName(zero).groupBy("_id", *keep, "class").agg(
-        F.sum("w").alias("s"), F.sum("first").alias("f"))
-    per_doc = sums.groupBy("_id", *keep).agg(
+        hit = occ.join(model.weights, "token", "left")
+    # rows without any known token keep a row of no class
+    sums = hit.groupBy("_row", "_id", *keep, "class").agg(
+        F.sum(F.coalesce("w", F.lit(0.0))).alias("s"), F.sum(F.coalesce("first", F.lit(0))).alias("f"))
+    per_doc = sums.groupBy("_row", "_id", *keep).agg(
         F.sum("f").cast("double").alias("_L"),
         F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(),
                                                  F.struct("class", "s")))).alias("_sparse"),
@@ -239,8 +246,10 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
                          + F.coalesce(F.try_element_at(F.col("_sparse"), p["class"]), F.lit(0.0)))
     # the scalar subquery is projected first: Spark allows none inside lambdas
     s = per_doc.withColumn("_p", params).select("_id", *keep, "_p", scores.alias("_scores"))
-    s = s.withColumn("_best", F.array_max("_scores"))
-    idx = F.array_position(F.col("_scores"), F.col("_best"))
+    s = s.withColumn("_best", F.array_max("_scores")).withColumn(
+        "_round", F.transform("_scores", lambda x: F.round(x, 6)))
+    # rounded, so that the order in which terms were added cannot decide a near-tie
+    idx = F.array_position(F.col("_round"), F.array_max("_round"))
     runner_up = F.when(F.size("_scores") > 1,
                        F.get(F.array_sort("_scores"), F.size("_scores") - 2))
     return s.select(
@@ -252,11 +261,42 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
     )
 
 
+def save_naive_bayes(model: NaiveBayesModel, path: str) -> None:
+    """The model's tables under ``path``, for :func:`load_naive_bayes` in any session."""
+    for name, table in _nb_tables(model).items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    model.weights.sparkSession.createDataFrame(
+        [(model.alpha, sorted(_nb_tables(model)))], "alpha double, tables array<string>").coalesce(1).write.mode(
+        "overwrite").json(f"{path}/meta")
+
+
+def load_naive_bayes(spark, path: str) -> NaiveBayesModel:
+    meta = spark.read.schema("alpha double, tables array<string>").json(f"{path}/meta").first()
+    t = {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
+    weights = t["weights"]
+    return NaiveBayesModel(weights, t["classes"], meta["alpha"], t.get("hot_tokens"),
+                           t.get("hot_weights", weights), t.get("cold_weights"))
+
+
+def _nb_tables(model: NaiveBayesModel) -> dict[str, DataFrame]:
+    out = {"weights": model.weights, "classes": model.classes}
+    if model.cold_weights is not None:
+        out |= {"hot_tokens": model.hot_tokens, "hot_weights": model.hot_weights,
+                "cold_weights": model.cold_weights}
+    return out
+
+
 # ------------------------------------------------------- logistic regression
 
 def fit_logistic(train: DataFrame, text_col: str = "instruction", label_col: str = "intent",
-                 num_features: int = 1 << 14, max_iter: int = 20):
-    """pyspark.ml pipeline: tokens -> hashed term frequencies -> IDF -> multinomial LR."""
+                 num_features: int = 1 << 16, max_iter: int = 500, tol: float = 1e-6):
+    """pyspark.ml pipeline: tokens -> hashed term frequencies -> IDF -> multinomial LR.
+
+    The solver stops at ``tol``; a run that reaches ``max_iter`` first has not converged
+    and fails. The model's classes x ``num_features`` coefficients are on the driver, which
+    bounds the classes (10,000 of 65,536 features take 5 GB); tokens that share one of the
+    ``num_features`` hash buckets share a coefficient.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
@@ -267,20 +307,43 @@ def fit_logistic(train: DataFrame, text_col: str = "instruction", label_col: str
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"\s+", toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=max_iter,
+        LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=max_iter, tol=tol,
                            family="multinomial", predictionCol="_pred"),
     ]
     model = Pipeline(stages=stages).fit(train)
     labels = model.stages[0].labels
+    done = model.stages[-1].summary.totalIterations
+    if done >= max_iter:
+        raise RuntimeError(f"logistic regression has not converged in {done} iterations")
     return model, IndexToString(inputCol="_pred", outputCol="predicted_intent", labels=labels)
 
 
-def predict_logistic(fitted, df: DataFrame) -> DataFrame:
+def predict_logistic(fitted, df: DataFrame, text_col: str = "instruction") -> DataFrame:
+    """``df`` plus ``predicted_intent``; a null text is predicted like an empty one."""
     model, to_label = fitted
-    out = to_label.transform(model.transform(df))
+    src = model.stages[1].getInputCol()
+    given = df if src == text_col else df.withColumn(src, F.col(text_col))
+    given = given.fillna("", [src])
+    # an indexer left over from the fit has no label column to read here
+    for stage in model.stages[1:]:
+        given = stage.transform(given)
+    out = to_label.transform(given)
+    out = out if src == text_col else out.drop(src)
     return out.drop("_label", "_tokens", "_tf", "_features", "rawPrediction", "probability", "_pred")
 
 
+def save_logistic(fitted, path: str) -> None:
+    fitted[0].write().overwrite().save(path)
+
+
+def load_logistic(path: str):
+    """What :func:`fit_logistic` returned, from :func:`save_logistic`'s folder."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import IndexToString
+    model = PipelineModel.load(path)
+    return model, IndexToString(inputCol="_pred", outputCol="predicted_intent", labels=model.stages[0].labels)
+
+
 # --------------------------------------------------- pluggable Python model (G1)
 
 class Predictor:

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ticketspark.functions.prompts import CHATML, ChatTemplate, classification_text
 from ticketspark.functions.text import truncate_words, word_count
-from ticketspark.operators.vocab import MAX_CLASSES, guard_size
+from ticketspark.operators.vocab import label_array
 
 
 def label_line(labels_df: DataFrame, label_col: str = "intent", sep: str = ", "):
     """Scalar subquery: sorted distinct labels joined by ``sep`` (computed once)."""
-    return labels_df.select(F.array_join(guard_size(
-        F.array_sort(F.collect_set(label_col)), MAX_CLASSES, "label vocabulary"), sep)).scalar()
+    return F.array_join(label_array(labels_df, label_col), sep)
 
 
 def sft_examples(df: DataFrame, labels_df: DataFrame, text_col: str = "instruction",
@@ -36,7 +35,8 @@ def render_chat(turns: DataFrame, template: ChatTemplate = CHATML, conv_col: str
                 turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, n_turns, chat): one string per conversation, turns in order.
 
-    Each turn is rendered row-wise first, so the per-conversation aggregate only
+    One conversation is one group, as its text is one value of the output. Each turn is
+    rendered row-wise first, so the per-conversation aggregate only
     gathers that conversation's own rendered turns (the output row itself).
     """
     rendered = turns.select(conv_col, turn_col,

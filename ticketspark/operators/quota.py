@@ -11,8 +11,9 @@ them holding a third of the table, that task is the job. Instead:
    q_g-th row, and how many rows of that bucket are still needed;
 3. only the rows in that one bucket (about n_g / 16**digits of them) are ranked, which
    yields the q_g-th key itself: the per-class cut (cut_h, cut_id);
-4. every row is then selected by ``(h, id) <= (cut_h, cut_id)`` against a broadcast
-   table of one row per class -- no shuffle of the wide rows at all.
+4. every row is then selected by ``(h, id) <= (cut_h, cut_id)`` against a table of
+   one row per class, broadcast if its measured size allows -- then no shuffle of the
+   wide rows at all.
 
 With 4 digits the histogram window holds <= 65,536 rows per class and the cut bucket
 about n_g / 65,536 rows (about 460k for a class of 3e10 rows), both well inside a task.
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketspark.functions.hashing import hex_prefix, order_key
-from ticketspark.operators.vocab import MAX_CLASSES, guard_rows
+from ticketspark.operators.vocab import sized
+from ticketspark.session import materialize
 
 DEFAULT_DIGITS = 4
 
@@ -44,27 +46,26 @@ def histogram(k: DataFrame, digits: int = DEFAULT_DIGITS) -> DataFrame:
 
 def class_sizes(hist: DataFrame) -> DataFrame:
     """(g, n_rows) from the histogram (re-aggregates the small table, no data scan)."""
-    sizes = hist.groupBy("g").agg(F.sum("cnt").cast("long").alias("n_rows"))
-    return guard_rows(sizes, MAX_CLASSES, "class table")
+    return hist.groupBy("g").agg(F.sum("cnt").cast("long").alias("n_rows"))
 
 
 def cuts(k: DataFrame, hist: DataFrame, quotas: DataFrame,
          digits: int = DEFAULT_DIGITS) -> DataFrame:
     """(g, cut_h, cut_id): the quota-th smallest (h, id) of every class with quota > 0.
 
-    ``quotas`` is (g, quota), one row per class (checked small by the caller).
+    ``quotas`` is (g, quota), one row per class. A null class is a class like any other.
     """
     w = Window.partitionBy("g").orderBy("_p").rowsBetween(Window.unboundedPreceding,
                                                           Window.currentRow)
     h = hist.withColumn("_cum", F.sum("cnt").over(w))
     cut_bucket = (
-        h.join(F.broadcast(quotas), "g")
+        h.join(sized(quotas.withColumnRenamed("g", "_g"), "quotas"), F.col("g").eqNullSafe(F.col("_g")))
         .where((F.col("_cum") - F.col("cnt") < F.col("quota")) & (F.col("_cum") >= F.col("quota")))
         .select("g", F.col("_p").alias("_cut_p"),
                 (F.col("quota") - (F.col("_cum") - F.col("cnt"))).alias("_need"))
     )
     in_bucket = (
-        k.join(F.broadcast(cut_bucket), "g")
+        k.join(sized(cut_bucket.withColumnRenamed("g", "_g"), "cut-buckets"), F.col("g").eqNullSafe(F.col("_g")))
         .where(hex_prefix(F.col("_h"), digits) == F.col("_cut_p"))
     )
     rank = F.row_number().over(Window.partitionBy("g").orderBy("_h", "_id"))
@@ -80,10 +81,10 @@ def within_cut(df: DataFrame, cut_table: DataFrame, group_col: str, id_col: str,
     """``df`` plus boolean ``flag``: the row is among its class's first ``quota`` rows.
 
     Ids must be unique (they break ties of the md5 key). A class without a cut row
-    (quota 0, or a null class) selects nothing.
+    (quota 0) selects nothing.
     """
     h = order_key(F.col(id_col), seed)
-    joined = df.join(F.broadcast(cut_table.withColumnRenamed("g", "_g")),
+    joined = df.join(sized(cut_table.withColumnRenamed("g", "_g"), "cuts"),
                      F.col(group_col).eqNullSafe(F.col("_g")), "left")
     inside: Column = F.when(F.col("cut_h").isNull(), F.lit(False)).otherwise(
         F.struct(h.alias("h"), F.col(id_col).alias("i"))
@@ -98,7 +99,7 @@ def first_per_group(df: DataFrame, group_col: str, id_col: str, quota_of: "calla
     ``quota_of`` maps the class-size column to a quota column (and may raise).
     """
     k = keyed(df, group_col, id_col, seed)
-    hist = histogram(k, digits)
+    hist = materialize(histogram(k, digits), "histogram")
     quotas = class_sizes(hist).select("g", quota_of(F.col("n_rows")).alias("quota"))
     ct = cuts(k, hist, quotas, digits)
     return within_cut(df, ct, group_col, id_col, seed, "_in").where("_in").drop("_in")

@@ -13,47 +13,61 @@ from pyspark.sql import functions as F
 
 from ticketspark.functions.text import strip_ws
 
-# Error kinds and the human-routing sentinel.
+# Error kinds, the human-routing sentinel and the beginning of error responses.
 MALFORMED = "malformed"
 NOT_OBJECT = "not_object"
 MISSING_MESSAGE = "missing_message"
 BLANK_MESSAGE = "blank_message"
 ROUTE_TO_HUMAN = "route_to_human"
-ERROR_PREFIX = "Expected JSON body like {'message': '...'}: "
+ERROR_PREFIX = "A request is a JSON object with a message; this one is wrong: "
 
 
-def request_error(body: Column, keys: Column, key: str = "message") -> Column:
-    """Error kind for a request body given its top-level ``keys``; null when accepted.
+def _parsed(body: Column) -> Column:
+    """(one, members): ``one`` is true if the body is exactly one strict JSON value;
+    ``members`` are those of an object, equal keys included, else null.
 
-    Not an object (array or scalar JSON) is told apart from unparseable text; extra
-    keys are ignored and the message's JSON type is not checked. The JSON-validity
-    probe only runs for bodies without keys.
+    Spark's parser stops at the end of a value and takes single quotes unless told not
+    to. What must be whole in an array and in an object at once has nothing after it.
     """
-    is_json = F.json_array_length(body).isNotNull() | F.get_json_object(body, "$").isNotNull()
+    strict = {"allowSingleQuotes": "false"}
+    in_array = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", strict)
+    in_object = F.concat(F.lit('{"b":'), body, F.lit("}"))
+    is_object = F.startswith(F.ltrim(body), F.lit("{"))
+    members = F.when(is_object, F.from_json(in_object, "map<string,map<string,string>>", strict))
+    value = F.when(~is_object, F.from_json(in_object, "map<string,string>", strict))
+    whole = F.when(is_object, F.size(members) == 1).otherwise(F.size(value) == 1)
+    return F.struct((F.coalesce(F.size(in_array) == 1, F.lit(False)) & F.coalesce(whole, F.lit(False))).alias("one"),
+                    F.try_element_at(members, F.lit("b")).alias("members"))
+
+
+def request_error(one: Column, members: Column, key: str = "message") -> Column:
+    """Error kind of a parsed request body; null when accepted. Extra keys are ignored and
+    the message's JSON type is not checked."""
     return (
-        F.when(keys.isNull() & is_json, F.lit(NOT_OBJECT))
-        .when(keys.isNull(), F.lit(MALFORMED))
-        .when(~F.array_contains(keys, key), F.lit(MISSING_MESSAGE))
+        F.when(~one, F.lit(MALFORMED))
+        .when(members.isNull(), F.lit(NOT_OBJECT))
+        .when(~F.map_contains_key(members, F.lit(key)), F.lit(MISSING_MESSAGE))
     )
 
 
 def validate_requests(df: DataFrame, body_col: str = "body", key: str = "message",
                       id_col: str = "request_id") -> DataFrame:
-    """(id, accepted, error_kind, message): message is the raw JSON value as text.
+    """(id, accepted, error_kind, message): message is the JSON value as text, of equal
+    keys the last one's.
 
-    The body's keys are extracted once in a projection; the derived columns are then
-    produced by an ``inline`` generator. A generator is a plan boundary that filters
-    on its outputs are not pushed through, so later filters (``accepted``, blank
-    message) test the computed columns instead of re-parsing the JSON once per
-    reference in the predicate.
+    The body is parsed in a generator. A generator is a plan boundary that filters on its
+    outputs are not pushed through, so later filters (``accepted``, blank message) test
+    the parsed columns instead of parsing the body once per reference. The numbers NaN and
+    Infinity, which strict JSON lacks, are accepted as Spark accepts them.
     """
-    keyed = df.select(id_col, body_col, F.json_object_keys(F.col(body_col)).alias("_keys"))
-    body = F.col(body_col)
-    err = request_error(body, F.col("_keys"), key)
-    return keyed.select(id_col, F.inline(F.array(F.struct(
+    parsed = df.select(id_col, F.inline(F.array(_parsed(F.col(body_col)))))
+    err = request_error(F.col("one"), F.col("members"), key)
+    return parsed.select(id_col, F.inline(F.array(F.struct(
         err.isNull().alias("accepted"),
         err.alias("error_kind"),
-        F.when(err.isNull(), F.get_json_object(body, f"$.{key}")).alias("message"),
+        # a parsed map holds equal keys side by side
+        F.when(err.isNull(), F.try_element_at(F.filter(F.map_entries("members"), lambda e: e["key"] == key),
+                                              F.lit(-1))["value"]).alias("message"),
     ))))
 
 
@@ -72,7 +86,8 @@ def score_requests(df: DataFrame, predict: Callable[[DataFrame], DataFrame],
     message the model sees (null for rejected requests, which therefore carry no
     tokens), ``message`` the value echoed back -- to the same rows plus
     ``predicted_intent``. Responses are chosen per row with a CASE, so the input is
-    read once and never split into separately planned branches.
+    read once and never split into separately planned branches. Requests of one id are
+    answered one by one.
     """
     v = validate_requests(df, body_col, id_col=id_col)
     clean = strip_ws(F.col("message"))

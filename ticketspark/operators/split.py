@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ticketspark.functions.hashing import fingerprint_term
 from ticketspark.operators import quota as Q
+from ticketspark.session import materialize
 
 TEST_FRACTION = 0.15
 
@@ -45,7 +46,7 @@ def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "ti
     that is cheap to re-read (a Parquet scan, or a materialised intermediate).
     """
     k = Q.keyed(df, label_col, id_col, seed)
-    hist = Q.histogram(k, digits)
+    hist = materialize(Q.histogram(k, digits), "histogram")
     alloc = allocation(Q.class_sizes(hist), test_frac)
     ct = Q.cuts(k, hist, alloc.select("g", F.col("n_test").alias("quota")), digits)
     flagged = Q.within_cut(df, ct, label_col, id_col, seed, "_is_test")
@@ -117,29 +118,33 @@ def leakage(train: DataFrame, test: DataFrame, text_col: str = "instruction") ->
 
 
 def flag_leaked(rows: DataFrame, train: DataFrame, text_col: str = "instruction") -> DataFrame:
-    """``rows`` plus ``leaked``: its text occurs in ``train`` (left join on distinct texts)."""
-    train_texts = train.select(text_col).distinct().withColumn("leaked", F.lit(True))
-    return rows.join(train_texts, text_col, "left").withColumn(
+    """``rows`` plus ``leaked``: its text occurs in ``train``. Only digests of the texts are
+    shuffled (two, so that different texts don't meet), one of a text from each task."""
+    def key(c):
+        return F.concat(F.md5(c), F.xxhash64(c).cast("string"))
+    train_texts = train.select(key(F.col(text_col)).alias("_k")).distinct().withColumn("leaked", F.lit(True))
+    return rows.withColumn("_k", key(F.col(text_col))).join(train_texts, "_k", "left").drop("_k").withColumn(
         "leaked", F.coalesce(F.col("leaked"), F.lit(False)))
 
 
-def accuracy_by_leak(predicted: DataFrame, train: DataFrame, text_col: str = "instruction",
-                     label_col: str = "intent", pred_col: str = "predicted_intent") -> DataFrame:
-    """(leaked, n_rows, n_correct, accuracy)."""
-    f = flag_leaked(predicted, train, text_col)
+def accuracy_by_leak(predicted: DataFrame, label_col: str = "intent",
+                     pred_col: str = "predicted_intent") -> DataFrame:
+    """(leaked, n_rows, n_correct, accuracy) of rows that :func:`flag_leaked` has flagged."""
     correct = (F.col(pred_col) == F.col(label_col)).cast("long")
-    return f.groupBy("leaked").agg(
+    return predicted.groupBy("leaked").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(correct).cast("long").alias("n_correct"),
     ).withColumn("accuracy", F.round(F.col("n_correct") / F.col("n_rows"), 6))
 
 
-def split_fingerprint(df: DataFrame, split_col: str = "split", text_col: str = "instruction") -> DataFrame:
-    """(split, n_rows, fingerprint): order-insensitive content fingerprint per split.
+def split_fingerprint(df: DataFrame, split_col: str = "split", text_col: str = "instruction",
+                      label_col: str = "intent", id_col: str = "ticket_id") -> DataFrame:
+    """(split, n_rows, fingerprint): order-insensitive fingerprint of ids, labels and texts.
 
-    Terms are 6-hex-digit md5 prefixes (< 2**24), so the bigint sum cannot overflow
-    below about 5e11 rows per split.
+    Terms are 60-bit integers, summed as DECIMAL(38, 0), which no table overflows; the sum
+    is returned as text, as not every engine has integers of that size.
     """
+    term = fingerprint_term([F.col(id_col), F.col(label_col), F.col(text_col)])
     return df.groupBy(split_col).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(fingerprint_term(F.col(text_col))).cast("long").alias("fingerprint"))
+        F.sum(term.cast("decimal(28,0)")).cast("string").alias("fingerprint"))

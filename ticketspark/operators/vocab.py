@@ -1,9 +1,10 @@
-"""Label vocabulary.
+"""Label vocabulary (B5-B7), and the size checks of small tables.
 
 The vocabulary is the sorted set of distinct labels. It is small by nature (tens to
-thousands of classes), but it is still *checked*: anything that is broadcast or
-inlined into every row passes through :func:`label_array`, which fails the query if
-the vocabulary exceeds ``max_classes`` instead of shipping an unbounded value.
+thousands of classes), but not by proof. Results over it have no limit. What is inlined
+into every row as one array passes :func:`label_array`, which gathers ``max_classes``
+labels at most and fails beyond; what is joined passes :func:`sized`, which measures the
+table and broadcasts it only within a budget of rows and bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketspark.session import materialize
+
+# Labels of an array that goes with every row.
 MAX_CLASSES = 100_000
+# Budget of a table that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def guard_size(arr: Column, max_size: int, what: str) -> Column:
@@ -20,56 +26,58 @@ def guard_size(arr: Column, max_size: int, what: str) -> Column:
                   F.raise_error(F.lit(f"{what} exceeds {max_size} entries"))).otherwise(arr)
 
 
-def guard_rows(df: DataFrame, max_rows: int, what: str) -> DataFrame:
-    """Pass a small derived table through unchanged, failing if it has > max_rows rows.
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a table: lengths of strings, and eight bytes for other values."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8)
+                 for c, t in df.dtypes), F.lit(8))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return n, size or 0
 
-    The check is lazy (part of the plan) and runs on a table that is already reduced
-    to at most one row per class, so the un-partitioned window is cheap.
-    """
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    cols = df.columns
-    return df.withColumn(
-        "_n_rows",
-        F.when(n > F.lit(max_rows), F.raise_error(F.lit(f"{what} exceeds {max_rows} rows")))
-        .otherwise(n),
-    ).select(*cols)
+
+def sized(df: DataFrame, name: str, max_rows: int | None = None,
+          max_bytes: int | None = None) -> DataFrame:
+    """``df`` as a saved table, marked for broadcast only if its measured size is within
+    the budget; a larger one is left to a shuffle join."""
+    saved = materialize(df, name)
+    rows, size = measure(saved)
+    fits = rows <= (BROADCAST_ROWS if max_rows is None else max_rows) and size <= (
+        BROADCAST_BYTES if max_bytes is None else max_bytes)
+    return F.broadcast(saved) if fits else saved
 
 
 def label_vocab(df: DataFrame, label_col: str = "intent") -> DataFrame:
     """(label, label_rank): distinct labels ranked in ascending code-point order."""
     labels = df.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    labels = guard_rows(labels, MAX_CLASSES, "label vocabulary")
     return labels.withColumn(
         "label_rank", F.row_number().over(Window.orderBy("label")).cast("long"))
 
 
+def _gathered(df: DataFrame, label_col: str, max_classes: int, item=lambda c: c) -> Column:
+    """Sorted distinct labels as one value. The limit stands before the gathering, so a
+    column of very many values fails without any task holding them all."""
+    labels = df.select(F.col(label_col).alias("l")).where(F.col("l").isNotNull()).distinct().limit(
+        max_classes + 1)
+    arr = F.array_sort(F.collect_list("l"))
+    return labels.select(guard_size(arr, max_classes, "label vocabulary").alias("l")).select(
+        F.transform("l", item).alias("labels")).scalar()
+
+
 def label_array(df: DataFrame, label_col: str = "intent",
                 max_classes: int = MAX_CLASSES) -> Column:
-    """Sorted distinct labels as one array value (a scalar subquery, computed once).
-
-    Partial ``collect_set`` runs map-side, so each task ships at most one copy of each
-    label to the final aggregate.
-    """
-    arr = df.select(
-        guard_size(F.array_sort(F.collect_set(F.col(label_col))), max_classes,
-                   "label vocabulary").alias("labels"))
-    return arr.scalar()
+    """Sorted distinct labels as one array value (a scalar subquery, computed once)."""
+    return _gathered(df, label_col, max_classes)
 
 
 def lower_label_array(df: DataFrame, label_col: str = "intent",
                       max_classes: int = MAX_CLASSES) -> Column:
     """The labels of :func:`label_array`, lower-cased, same order (scalar subquery)."""
-    arr = df.select(
-        guard_size(F.transform(F.array_sort(F.collect_set(F.col(label_col))), F.lower),
-                   max_classes, "label vocabulary").alias("labels"))
-    return arr.scalar()
+    return _gathered(df, label_col, max_classes, F.lower)
 
 
 def label_prompt_line(df: DataFrame, label_col: str = "intent", sep: str = ", ") -> DataFrame:
     """One row: the sorted labels joined by ``sep`` (the label line of the prompt)."""
     return df.select(
-        F.array_join(guard_size(F.array_sort(F.collect_set(F.col(label_col))), MAX_CLASSES,
-                                "label vocabulary"), sep).alias("label_line"),
+        F.array_join(F.array_sort(F.collect_set(F.col(label_col))), sep).alias("label_line"),
         F.count_distinct(F.col(label_col)).alias("n_labels"),
     )
 

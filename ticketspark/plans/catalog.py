@@ -128,8 +128,10 @@ def q_duplicate_groups(spark, d):
 
 @query("label_conflicts")
 def q_label_conflicts(spark, d):
-    # copies of a text come from different sources: use source as the label here
-    return D.label_conflicts(fx.tickets(spark, d), label_col="category")
+    # the audit of the intent label, and one of the source: copies differ in the latter only
+    t = fx.tickets(spark, d)
+    return D.label_conflicts(t).withColumn("key", F.lit("intent")).unionByName(
+        D.label_conflicts(t, label_col="category").withColumn("key", F.lit("category")))
 
 
 # -------------------------------------------------------- E: split, sampling
@@ -186,15 +188,16 @@ def q_leakage_dedup_split(spark, d):
 
 @query("accuracy_by_leak")
 def q_accuracy_by_leak(spark, d):
+    # every test row of the leaky split, and the per-class sample of them that an arm with
+    # a costly model would be scored on
     s = SH.split_rows(spark, d)
-    ev = SP.sample_strict(SH.side(s, "test"), SH.EVAL_PER_CLASS, seed=SH.SEED)
-    flagged = SP.flag_leaked(ev.select("ticket_id", "instruction", "intent"), SH.side(s, "train"))
-    pred = P.predict_naive_bayes(SH.nb_model(spark, d, "rowsplit"), flagged,
-                                 carry=["intent", "leaked"])
-    correct = (F.col("predicted_intent") == F.col("intent")).cast("long")
-    return pred.groupBy("leaked").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(correct).cast("long").alias("n_correct")
-    ).withColumn("accuracy", F.round(F.col("n_correct") / F.col("n_rows"), 6))
+    test = SH.side(s, "test").select("ticket_id", "instruction", "intent")
+    flagged = materialize(SP.flag_leaked(test, SH.side(s, "train")), "flagged")
+    pred = P.predict_naive_bayes(SH.nb_model(spark, d, "rowsplit"), flagged, carry=["intent", "leaked"])
+    pred = materialize(pred.select("ticket_id", "intent", "leaked", "predicted_intent"), "leak-predictions")
+    sample = SP.sample_capped(pred, SH.EVAL_PER_CLASS, seed=SH.SEED)
+    return SP.accuracy_by_leak(pred).withColumn("rows_of", F.lit("all")).unionByName(
+        SP.accuracy_by_leak(sample).withColumn("rows_of", F.lit("sample")))
 
 
 @query("split_fingerprint")
@@ -241,9 +244,11 @@ def q_truncate_examples(spark, d):
 @query("predict_batch")
 def q_predict_batch(spark, d):
     test = SH.side(SH.split_dedup(spark, d), "test").select("ticket_id", "intent", "instruction")
-    labels = [r["label"] for r in V.label_vocab(SH.side(SH.split_dedup(spark, d), "train")).collect()]
+    train = SH.side(SH.split_dedup(spark, d), "train")
+    # a model on the driver needs its label set there, which the guard of the array bounds
+    labels = spark.range(1).select(V.label_array(train).alias("labels")).first()["labels"]
     raw = P.predict_batch(test, P.KeywordPredictor(labels), "instruction")
-    out = raw.withColumn("_labels", F.lit(sorted(labels)))
+    out = raw.withColumn("_labels", V.label_array(train))
     return out.select("ticket_id", "intent", "raw_output",
                       decode_lenient(F.col("raw_output"), F.col("_labels")).alias("predicted_intent"))
 
@@ -276,10 +281,20 @@ def q_predict_nb(spark, d):
 
 @query("predict_lr")
 def q_predict_lr(spark, d):
+    """Is each held-out row's prediction a train label? And, as row -1, is the held-out
+    accuracy above the majority class's share? (The coefficients are beyond SQL.)"""
     s = SH.split_dedup(spark, d)
-    fitted = P.fit_logistic(SH.side(s, "train").select("instruction", "intent"))
-    return P.predict_logistic(fitted, SH.side(s, "test").select("ticket_id", "intent", "instruction")
-                              ).select("ticket_id", "intent", "predicted_intent")
+    train, test = SH.side(s, "train"), SH.side(s, "test").select("ticket_id", "intent", "instruction")
+    fitted = P.fit_logistic(train.select("instruction", "intent"))
+    pred = materialize(P.predict_logistic(fitted, test).select("ticket_id", "intent", "predicted_intent"), "lr")
+    rows = pred.withColumn("_labels", SH.train_labels(spark, d)).select(
+        "ticket_id", "intent", F.array_contains("_labels", F.col("predicted_intent")).alias("ok"))
+    hits = pred.groupBy("intent").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("predicted_intent") == F.col("intent"), 1)).alias("k"))
+    whole = hits.agg(F.sum("k").alias("k"), F.max("n").alias("most")).select(
+        F.lit(-1).cast("long").alias("ticket_id"), F.lit("(all)").alias("intent"),
+        (F.col("k") > F.col("most")).alias("ok"))
+    return rows.unionByName(whole)
 
 
 def _decoded(spark, d) -> DataFrame:
@@ -348,8 +363,7 @@ def q_confusion_matrix(spark, d):
 
 @query("confusion_pivot")
 def q_confusion_pivot(spark, d):
-    labels = [r["label"] for r in V.label_vocab(fx.scored(spark, d)).collect()]
-    return M.confusion_pivot(_oc(spark, d), labels)
+    return M.confusion_pivot(_oc(spark, d), fx.EVENT_TYPES)
 
 
 @query("unparseable_rate")
@@ -440,6 +454,19 @@ def q_arm_comparison(spark, d):
     return C.arm_comparison(_eval_oc(spark, d), "zero_shot", "tuned")
 
 
+@query("document_comparison")
+def q_document_comparison(spark, d):
+    """The two arms' metric documents, written, read back and compared."""
+    from ticketspark.sources.readers import read_metrics_document
+    oc = materialize(_eval_oc(spark, d), "eval-outcomes")
+    docs = []
+    for arm in ("zero_shot", "tuned"):
+        path = _out_path(spark, f"metrics-{arm}")
+        W.write_metrics_document(W.metrics_document(oc.where(F.col("arm") == arm), arm, "test split", 0), path)
+        docs.append(read_metrics_document(spark, path))
+    return C.document_comparison(*docs)
+
+
 @query("failed_classes")
 def q_failed_classes(spark, d):
     return C.failed_classes(_eval_oc(spark, d))
@@ -520,9 +547,11 @@ def q_out_of_scope_audit(spark, d):
     msgs = test.unionByName(off)
     p = P.predict_naive_bayes(SH.nb_model(spark, d), msgs, carry=["in_scope"])
     r = S.route(p, SH.train_labels(spark, d), SH.ROUTE_THRESHOLD)
-    forced = r.select("in_scope", F.lit("forced").alias("arm"), F.col("predicted_intent").alias("output"))
-    routed = r.select("in_scope", F.lit("routed").alias("arm"), F.col("routed_to").alias("output"))
-    return S.out_of_scope_audit(forced.unionByName(routed), SH.train_labels(spark, d), "output")
+    # both arms come from one prediction
+    arms = r.select("in_scope", F.explode(F.array(
+        F.struct(F.lit("forced").alias("arm"), F.col("predicted_intent").alias("output")),
+        F.struct(F.lit("routed").alias("arm"), F.col("routed_to").alias("output")))).alias("a"))
+    return S.out_of_scope_audit(arms.select("in_scope", "a.arm", "a.output"), SH.train_labels(spark, d), "output")
 
 
 @query("automation_rate")

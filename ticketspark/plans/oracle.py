@@ -7,6 +7,8 @@ a correctness oracle for small scale factors, not an execution strategy.
 
 from __future__ import annotations
 
+from ticketspark.sources.fixtures import EVENT_TYPES
+
 SEED = 42
 TEST_FRACTION = 0.15
 EVAL_PER_CLASS = 10
@@ -15,11 +17,11 @@ MAX_TOKENS = 192
 ROUTE_THRESHOLD = 0.9
 
 # Same markup and wording as ticketspark.functions.prompts.
-SYSTEM_TEXT = ("You classify customer support messages. Reply with exactly one intent label "
-               "from this list and nothing else:\n")
+SYSTEM_TEXT = ("Pick the label that fits the customer's message best and answer with that label alone.\n"
+               "Labels: ")
 TURN_OPEN, ROLE_END, TURN_CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 TOKEN_PUNCT = ".,;:!?\"'()[]{}"
-ERROR_PREFIX = "Expected JSON body like {'message': '...'}: "
+ERROR_PREFIX = "A request is a JSON object with a message; this one is wrong: "
 
 
 def lit(s: str) -> str:
@@ -104,7 +106,7 @@ def nb_ctes(p: str, train: str, test: str, extra: str = "") -> str:
     LEFT JOIN {p}_l l ON l.ticket_id = t.ticket_id
     LEFT JOIN {p}_s s ON s.ticket_id = t.ticket_id AND s.class = c.class),
 {p}_b AS (SELECT *, max(score) OVER (PARTITION BY ticket_id) AS best,
-    row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, class) AS rn FROM {p}_sc),
+    row_number() OVER (PARTITION BY ticket_id ORDER BY round(score, 6) DESC, class) AS rn FROM {p}_sc),
 {p}_conf AS (SELECT ticket_id, 1.0 / sum(exp(score - best)) AS confidence FROM {p}_b GROUP BY 1),
 {p}_pred AS (SELECT b.ticket_id{extra_sel.replace(', ', ', b.') if extra else ''},
     b.class AS predicted_intent, c.confidence
@@ -177,15 +179,21 @@ def requests_cte() -> str:
     return f"""rq AS (SELECT event_id AS request_id, event_type AS intent,
   CASE {b} WHEN 0 THEN '{{bad' WHEN 1 THEN '[1]' WHEN 2 THEN '{{"msg":"' || event_type || '"}}'
     WHEN 3 THEN '{{"message":null}}' WHEN 4 THEN '{{"message":"  "}}' WHEN 5 THEN '{{"message":5,"x":1}}'
+    WHEN 6 THEN '{{"message":"' || event_type || '"}} and more' WHEN 7 THEN '{{''message'':''' || event_type || '''}}'
+    WHEN 8 THEN '{{"message":"first","message":"' || event_type || '"}}' WHEN 9 THEN '{{"message":"' || event_type || '"}}]'
     ELSE '{{"message":"' || event_type || '","user":' || CAST(user_id AS VARCHAR) || '}}' END AS body
-  FROM events),
+  FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE {b} = 10)),
 val AS (SELECT request_id, body,
   CASE WHEN NOT json_valid(body) THEN 'malformed'
        WHEN json_type(body) <> 'OBJECT' THEN 'not_object'
        WHEN NOT list_contains(json_keys(body), 'message') THEN 'missing_message' END AS error_kind
   FROM rq),
-validated AS (SELECT request_id, error_kind IS NULL AS accepted, error_kind,
-  CASE WHEN error_kind IS NULL THEN json_extract_string(body, '$.message') END AS message FROM val)"""
+-- of equal keys the last one's value counts
+last_value AS (SELECT b.body, arg_max(json_extract_string(e.value, '$'), e.id) AS message
+  FROM (SELECT DISTINCT body FROM val WHERE error_kind IS NULL) b, json_each(b.body) e
+  WHERE e.key = 'message' GROUP BY b.body),
+validated AS (SELECT request_id, error_kind IS NULL AS accepted, error_kind, l.message
+  FROM val LEFT JOIN last_value l ON val.error_kind IS NULL AND l.body = val.body)"""
 
 
 def chat_turn(role: str, content: str) -> str:
@@ -266,9 +274,11 @@ count(*) - count(DISTINCT instruction) AS n_removed FROM tickets"""
     q["duplicate_groups"] = f"""{T}, g AS (SELECT instruction, count(*) AS group_size FROM tickets GROUP BY 1)
 SELECT group_size, count(*) AS n_groups, (group_size - 1) * count(*) AS redundant_rows
 FROM g WHERE group_size > 1 GROUP BY 1"""
-    q["label_conflicts"] = f"""{T}, p AS (SELECT instruction, category, count(*) AS n FROM tickets GROUP BY 1, 2)
+    q["label_conflicts"] = f"""{T}, k AS (SELECT instruction, intent AS label, 'intent' AS key FROM tickets
+  UNION ALL SELECT instruction, category, 'category' FROM tickets),
+p AS (SELECT key, instruction, label, count(*) AS n FROM k GROUP BY ALL)
 SELECT md5(instruction) AS text_md5, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_labels,
-string_agg(category, ',' ORDER BY category) AS labels FROM p GROUP BY instruction HAVING count(*) > 1"""
+string_agg(label, ',' ORDER BY label) AS labels, key FROM p GROUP BY key, instruction HAVING count(*) > 1"""
 
     q["split_train"] = f"{SPLIT} SELECT ticket_id, intent FROM sp WHERE split = 'train'"
     q["split_test"] = f"{SPLIT} SELECT ticket_id, intent FROM sp WHERE split = 'test'"
@@ -300,19 +310,22 @@ FROM tt LEFT JOIN tr USING (instruction)"""
         + ",\nrtest AS (SELECT * EXCLUDE (split) FROM rs WHERE split = 'test')"
         + first_n_cte("ev", "rtest", EVAL_PER_CLASS)
         + """,
-evl AS (SELECT ev.*, tr.instruction IS NOT NULL AS leaked FROM ev
+evl AS (SELECT rt.*, tr.instruction IS NOT NULL AS leaked FROM rtest rt
         LEFT JOIN (SELECT DISTINCT instruction FROM rtrain) tr USING (instruction))"""
         + nb_ctes("nb", "rtrain", "evl", "intent, leaked")
-        + """
-SELECT leaked, count(*) AS n_rows,
+        + """,
+both_sets AS (SELECT *, 'all' AS rows_of FROM nb_pred
+    UNION ALL SELECT *, 'sample' FROM nb_pred WHERE ticket_id IN (SELECT ticket_id FROM ev))
+SELECT leaked, rows_of, count(*) AS n_rows,
        CAST(sum(CASE WHEN predicted_intent = intent THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
        round(sum(CASE WHEN predicted_intent = intent THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
-FROM nb_pred GROUP BY 1""")
+FROM both_sets GROUP BY ALL""")
     q["split_roundtrip"] = f"{SPLIT} SELECT ticket_id, intent, split, md5(instruction) AS text_md5 FROM sp"
     q["predictions_csv"] = eval_arms_sql() + """
 SELECT arm, ticket_id, intent, predicted_intent, md5(instruction) AS text_md5 FROM arms"""
-    q["split_fingerprint"] = f"""{SPLIT} SELECT split, count(*) AS n_rows,
-CAST(sum(('0x' || substr(md5(instruction), 1, 6))::BIGINT) AS BIGINT) AS fingerprint FROM sp GROUP BY 1"""
+    q["split_fingerprint"] = f"""{SPLIT} SELECT split, count(*) AS n_rows, CAST(sum(CAST(
+('0x' || substr(md5(CAST(ticket_id AS VARCHAR) || '|' || md5(intent) || '|' || md5(instruction)), 1, 15))::BIGINT
+AS HUGEINT)) AS VARCHAR) AS fingerprint FROM sp GROUP BY 1"""
 
     train_line = "(SELECT array_to_string(list_sort(list_distinct(list(intent))), ', ') FROM train)"
     test_line = "(SELECT array_to_string(list_sort(list_distinct(list(intent))), ', ') FROM test)"
@@ -343,6 +356,8 @@ FROM test t LEFT JOIN kw_best k ON k.kid = t.ticket_id"""
     q["predict_keyword"] = kw_test + """
 SELECT t.ticket_id, t.intent, coalesce(k.label, 'UNPARSEABLE') AS predicted_intent
 FROM test t LEFT JOIN kw_best k ON k.kid = t.ticket_id"""
+    q["predict_lr"] = f"""{SPLIT}{TEST} SELECT ticket_id, intent, true AS ok FROM test
+UNION ALL SELECT -1, '(all)', true"""
     q["predict_nb"] = SPLIT + TRAIN + TEST + nb_ctes("nb", "train", "test", "intent") + """
 SELECT ticket_id, intent, predicted_intent, round(confidence, 6) AS confidence FROM nb_pred"""
 
@@ -389,7 +404,9 @@ LEFT JOIN oc ON oc.arm = a.arm AND oc.actual = a.label AND oc.predicted = p.labe
 cm AS (SELECT a.arm, a.label AS actual, p.label AS predicted, CAST(coalesce(oc.n, 0) AS BIGINT) AS n
        FROM lab a JOIN lab p ON a.arm = p.arm
        LEFT JOIN oc ON oc.arm = a.arm AND oc.actual = a.label AND oc.predicted = p.label)
-SELECT * FROM (PIVOT cm ON predicted USING sum(n)::BIGINT GROUP BY arm, actual)"""
+SELECT arm, actual, """ + ", ".join(
+        f"CAST(coalesce(sum(n) FILTER (WHERE predicted = '{x}'), 0) AS BIGINT) AS \"{x}\"" for x in EVENT_TYPES) + """
+FROM cm GROUP BY arm, actual"""
     q["unparseable_rate"] = H + """
 SELECT arm, CAST(sum(n) AS BIGINT) AS n_rows,
        CAST(sum(CASE WHEN predicted = 'UNPARSEABLE' THEN n ELSE 0 END) AS BIGINT) AS n_unparseable,
@@ -449,6 +466,7 @@ SELECT metric, max(CASE WHEN arm = 'zero_shot' THEN v END) AS baseline,
        max(CASE WHEN arm = 'tuned' THEN v END) AS tuned,
        round(max(CASE WHEN arm = 'tuned' THEN v END) - max(CASE WHEN arm = 'zero_shot' THEN v END), 6) AS delta
 FROM lng GROUP BY 1"""
+    q["document_comparison"] = q["arm_comparison"]
     q["failed_classes"] = E + "\nSELECT arm, label, support, n_predicted FROM cr WHERE f1 = 0"
     q["top_classes"] = E + """
 SELECT arm, rank, label, round(f1, 6) AS f1 FROM (

@@ -18,6 +18,7 @@ from ticketspark.operators import dedup, predict, split
 from ticketspark.operators.vocab import label_array
 from ticketspark.session import apply_runtime_conf, materialize
 from ticketspark.sources import fixtures as fx
+from ticketspark.sources.readers import load_tickets
 
 EVAL_PER_CLASS = 10
 SUBSET_CAP = 370
@@ -29,7 +30,19 @@ _memo: dict[tuple, object] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _state(spark, sf_dir), name)
+
+
+def _state(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with any input file's path, length or modification time."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files, seen = fs.listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(seen)))
 
 
 def memo(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
@@ -41,7 +54,8 @@ def memo(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object
 
 
 def tickets(spark, d) -> DataFrame:
-    return fx.tickets(spark, d)
+    """The usable tickets: every pipeline starts from the valid side of the reject path."""
+    return load_tickets(fx.tickets(spark, d))[0]
 
 
 def deduped(spark, d) -> DataFrame:

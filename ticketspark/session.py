@@ -95,9 +95,14 @@ def materialize(df: DataFrame, name: str = "stage",
 _saved: list[str] = []
 
 
-def release_saved(spark: SparkSession) -> list[str]:
-    """Delete every table this process saved with :func:`materialize` and forget the
-    shared intermediates built from them; returns the deleted paths.
+def saved_paths() -> list[str]:
+    return list(_saved)
+
+
+def release_saved(spark: SparkSession, keep: int = 0) -> list[str]:
+    """Delete every table this process saved with :func:`materialize`, but for the first
+    ``keep``, and forget the shared intermediates if any were built from them; returns the
+    deleted paths.
 
     Uses the Hadoop FileSystem of each path, so it works for HDFS, object stores and
     local folders alike. DataFrames read from these tables are unusable afterwards.
@@ -107,12 +112,13 @@ def release_saved(spark: SparkSession) -> list[str]:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     deleted = []
-    while _saved:
+    while len(_saved) > keep:
         path = _saved.pop()
         p = jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(conf)
         if fs.exists(p):
             fs.delete(p, True)
             deleted.append(path)
-    shared._memo.clear()
+    if not keep:
+        shared._memo.clear()
     return deleted

@@ -17,6 +17,10 @@ from ticketspark.functions.hashing import bucket
 from ticketspark.sources.tables import read_table
 
 
+# The types in the events table, which are the labels of ``scored``.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ticket_id"),
@@ -84,7 +88,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     b = bucket("R", "event_id")
     label = F.col("event_type")
-    # Request bodies by bucket 0..5; 6..15 are well-formed requests.
+    # Request bodies by bucket 0..9; 10..15 are well-formed requests, and
+    # those of bucket 10 come twice under one id.
     body = _pick(b, [
         F.lit("{bad"),
         F.lit("[1]"),
@@ -92,10 +97,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"message":null}'),
         F.lit('{"message":"  "}'),
         F.lit('{"message":5,"x":1}'),
+        F.concat(F.lit('{"message":"'), label, F.lit('"} and more')),
+        F.concat(F.lit("{'message':'"), label, F.lit("'}")),
+        F.concat(F.lit('{"message":"first","message":"'), label, F.lit('"}')),
+        F.concat(F.lit('{"message":"'), label, F.lit('"}]')),
     ], F.concat(F.lit('{"message":"'), label, F.lit('","user":'),
                 F.col("user_id").cast("string"), F.lit("}")))
-    return ev.select(F.col("event_id").alias("request_id"), body.alias("body"),
-                     label.alias("intent"))
+    return ev.withColumn("_n", F.explode(F.sequence(F.lit(1), F.when(b == 10, 2).otherwise(1)))).select(
+        F.col("event_id").alias("request_id"), body.alias("body"), label.alias("intent"))
 
 
 def props_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Structured Streaming request scoring.
 
 File source -> the batch scorer applied per micro-batch -> Parquet, one folder per
-batch id. The scorer's predictors aggregate per request (keyword hits, NB sums),
-which a streaming plan would turn into unbounded state; ``foreachBatch`` runs the
-same stateless-per-request batch function on each micro-batch instead. Writing each
+batch id. Naive Bayes aggregates per request, which a streaming plan would turn into
+unbounded state; ``foreachBatch`` runs the same batch function, which reads its input
+once, on each micro-batch instead. Writing each
 batch to ``batch_id=<n>`` with overwrite makes a replayed batch (after a failure
 between write and commit) replace its own output, so restarts never duplicate rows.
 The model (e.g. keyword rules) is a static table fitted in batch.
@@ -15,6 +15,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,13 +36,33 @@ def request_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
     return r.load(source_dir)
 
 
+def request_line_stream(spark: SparkSession, source_dir: str,
+                        max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming (request_file, body) from files of one request body per line, as clients
+    send them; :func:`start_scoring` numbers them."""
+    r = spark.readStream.format("text")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.load(source_dir).select(F.col("_metadata.file_name").alias("request_file"),
+                                     F.col("value").alias("body"))
+
+
+def numbered(batch: DataFrame) -> DataFrame:
+    """(request_id, body): requests without an id get their file's name and their place in
+    the batch, which a repeated batch gives again."""
+    if "request_id" in batch.columns:
+        return batch
+    return batch.select(F.concat_ws(":", F.col("request_file"), F.monotonically_increasing_id().cast(
+        "string")).alias("request_id"), "body")
+
+
 def start_scoring(stream: DataFrame, predict: Callable[[DataFrame], DataFrame], sink_dir: str,
                   checkpoint_dir: str, available_now: bool = True,
                   processing_time: str | None = None) -> StreamingQuery:
     """Score every micro-batch and append responses under ``sink_dir/batch_id=<n>``."""
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        score_requests(batch, predict).write.mode("overwrite").parquet(
+        score_requests(numbered(batch), predict).write.mode("overwrite").parquet(
             os.path.join(sink_dir, f"batch_id={batch_id}"))
 
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
