@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketspark.llm import ann, bpe, langid, licenses, mixing, pii, quality, secrets, simhash, tokens
+from ticketspark.llm.oracle import oracle_sql  # noqa: F401  (registered with the queries)
 from ticketspark.sources.tables import read_table
 
 
@@ -63,7 +64,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_tokens, op4_quality, op5_licenses, op6_neighbours, op7_pii, op8_language, op9_bpe, op10_secrets)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
