@@ -5,7 +5,7 @@ Written as plain definitions over whole tables, not as an execution strategy.
 
 from __future__ import annotations
 
-from ticketspark.llm import licenses, quality
+from ticketspark.llm import licenses, pii, quality, secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HAS_WORD = r"'[^\x20\x09-\x0D]'"
@@ -85,5 +85,110 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, l
 FROM d LEFT JOIN b USING (r) LEFT JOIN f USING (r)"""
 
 
+def _matches_sql(kind: int, pattern: str, group: int = 0) -> str:
+    """Rows (r, kind, i, gap, m, v): matches of a pattern in each text, what stands before
+    each, and a group of each."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return (f"SELECT r, {kind} AS kind, unnest(generate_series(1, len(regexp_extract_all(t, {p})) + 1)) AS i, "
+            f"unnest(string_split_regex(t, {p})) AS gap, unnest(regexp_extract_all(t, {p})) AS m, "
+            f"unnest(regexp_extract_all(t, {p}, {group})) AS v FROM d")
+
+
+_PLACED = """SELECT r, kind, m, v, place - length(m) AS a, place AS z FROM (
+  SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS place FROM k)
+  WHERE m IS NOT NULL"""
+
+
+def secrets_sql() -> str:
+    # letters in either case, spelt out: no other letter folds to them
+    cue = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+                   for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = rf"""({cue})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    least = {0: secrets.ASSIGN_CHARS, 1: secrets.ACCESS_CHARS, 2: secrets.HEX_CHARS, 3: 20}
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS ({_matches_sql(0, assign, 2)}
+  UNION ALL {_matches_sql(1, "AKIA[A-Z0-9]+")} UNION ALL {_matches_sql(2, "[0-9a-f]+")}
+  UNION ALL {_matches_sql(3, "[A-Za-z0-9+/_=-]+")}),
+placed AS (SELECT * FROM ({_PLACED})
+  WHERE length(v) >= CASE kind {" ".join(f"WHEN {k} THEN {n}" for k, n in least.items())} END),
+base AS (SELECT * FROM placed WHERE kind < 3),
+mixed AS (SELECT * FROM placed WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]')
+  AND regexp_matches(v, '[a-z]')),
+loose AS (SELECT x.* FROM mixed x WHERE NOT EXISTS (
+  SELECT 1 FROM base b WHERE b.r = x.r AND b.a < x.z AND b.z > x.a)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
+chars AS (SELECT v, ch, count(*) / length(v) AS p FROM (
+  SELECT v, unnest(string_split(v, '')) AS ch FROM (SELECT DISTINCT v FROM every)) GROUP BY v, ch),
+bits AS (SELECT v, -sum(p * log2(p)) AS h FROM chars GROUP BY v),
+cands AS (SELECT every.* FROM every JOIN bits USING (v) WHERE kind < 3 OR h >= {secrets.GENERIC_ENTROPY}),
+owners AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS n FROM cands JOIN d USING (r) GROUP BY v),
+judged AS (SELECT c.*, {names}[kind + 1] || ':' || a || ':' || z AS span, CASE
+  WHEN n >= {secrets.EXAMPLE_OWNERS} THEN 'example' WHEN h >= {secrets.LIVE_ENTROPY} THEN 'live' ELSE 'weak' END AS verdict
+  FROM cands c JOIN owners USING (v) JOIN bits USING (v)),
+f AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS k0, count(*) FILTER (WHERE kind = 1) AS k1,
+  count(*) FILTER (WHERE kind = 2) AS k2, string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base,
+  string_agg(span, ',' ORDER BY a, kind) AS spans, count(*) FILTER (WHERE verdict = 'live') AS live,
+  count(*) FILTER (WHERE verdict = 'example') AS example
+  FROM judged WHERE kind < 3 OR verdict = 'live' GROUP BY r)
+SELECT doc_id, coalesce(k0, 0) AS n_assign, coalesce(k1, 0) AS n_access, coalesce(k2, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example FROM d LEFT JOIN f USING (r)"""
+
+
+# The plain patterns of personal data, by the order of their kinds.
+_PERSONAL = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+             r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def pii_sql() -> str:
+    found = " UNION ALL ".join(_matches_sql(k, p) for k, p in enumerate(_PERSONAL))
+    names = "[" + ", ".join(f"'{k}'" for k in pii.KINDS) + "]"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {k}) AS k{k}" for k in range(5))
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({found}),
+digits AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM ({_PLACED})),
+b AS (SELECT * FROM digits WHERE CASE kind WHEN 0 THEN true
+  WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: len(ltrim(x, '0')) > 3
+    OR CAST('0' || right(ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0
+  WHEN 2 THEN len(n) BETWEEN 12 AND 19 AND list_sum(list_transform(generate_series(1, len(n)), lambda i:
+    CASE WHEN i % 2 = 1 THEN CAST(n[len(n) + 1 - i] AS INTEGER) WHEN CAST(n[len(n) + 1 - i] AS INTEGER) > 4
+    THEN 2 * CAST(n[len(n) + 1 - i] AS INTEGER) - 9 ELSE 2 * CAST(n[len(n) + 1 - i] AS INTEGER) END)) % 10 = 0
+  ELSE len(n) BETWEEN 9 AND 15 END),
+near AS (SELECT b.*, t, length(t) AS n_t,
+  coalesce(max(z) OVER (PARTITION BY r ORDER BY a, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  lead(a) OVER (PARTITION BY r ORDER BY a, kind) AS after FROM b JOIN d USING (r)),
+sides AS (SELECT r, t, CAST(kind AS VARCHAR) || ':' || CASE kind WHEN 0 THEN lower(v) ELSE n END AS entity,
+    greatest(before, a - {pii.CONTEXT}, 0) AS x, a AS y FROM near
+  UNION ALL SELECT r, t, CAST(kind AS VARCHAR) || ':' || CASE kind WHEN 0 THEN lower(v) ELSE n END, z,
+    least(coalesce(after, n_t), z + {pii.CONTEXT}, n_t) FROM near),
+bits AS (SELECT *, substring(t, x + 1, y - x) AS c FROM sides WHERE x < y),
+pieces AS (SELECT row_number() OVER () AS s, * FROM bits),
+parts AS (SELECT s, unnest(generate_series(1, len(regexp_extract_all(c, '\p{{L}}{{3,}}')) + 1)) AS i,
+  unnest(string_split_regex(c, '\p{{L}}{{3,}}')) AS gap, unnest(regexp_extract_all(c, '\p{{L}}{{3,}}')) AS m FROM pieces),
+told AS (SELECT s, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY s ORDER BY i) AS BIGINT) AS z FROM parts),
+terms AS (SELECT r, t, entity, lower(m) AS term, x + z - length(m) AS a, x + z AS z FROM told JOIN pieces USING (s)
+  WHERE m IS NOT NULL
+  AND NOT (z = length(m) AND x > 0 AND regexp_matches(substring(t, x, 1), '^\p{{L}}'))
+  AND NOT (x + z = y AND regexp_matches(substring(t, y + 1, 1), '^\p{{L}}'))),
+pairs AS (SELECT entity, term, count(DISTINCT r) AS n_pair, count(DISTINCT t) AS texts FROM terms GROUP BY ALL),
+entities AS (SELECT entity, count(DISTINCT r) AS n_entity FROM terms GROUP BY entity),
+corpus AS (SELECT term, count(DISTINCT r) AS n_term FROM (
+  SELECT r, lower(unnest(regexp_extract_all(t, '\p{{L}}{{3,}}'))) AS term FROM d) GROUP BY term),
+total AS (SELECT count(*) AS n FROM d),
+told_by AS (SELECT entity, term FROM pairs JOIN entities USING (entity) JOIN corpus USING (term), total
+  WHERE texts >= {pii.SUPPORT} AND n > n_entity
+  AND ln(n_pair * n / (n_term * n_entity)) / ln(n / n_entity) >= {pii.DISCLOSURE}),
+spans AS (SELECT r, a, kind, z FROM b
+  UNION ALL SELECT DISTINCT r, a, 4, z FROM terms JOIN told_by USING (entity, term)),
+f AS (SELECT r, {counts},
+  string_agg({names}[kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (WHERE kind < 4) AS base,
+  string_agg({names}[kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(k0, 0) AS n_email, coalesce(k1, 0) AS n_ip, coalesce(k2, 0) AS n_card,
+  coalesce(k3, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(k4, 0) AS n_term FROM d LEFT JOIN f USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality_sql(), "op5_licenses": licenses_sql()}
+    return {"op4_quality": quality_sql(), "op5_licenses": licenses_sql(),
+            "op7_pii": pii_sql(), "op10_secrets": secrets_sql()}
