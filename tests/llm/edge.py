@@ -13,14 +13,16 @@ SCHEMA = T.StructType([
     # names that outputs have, in another case too
     T.StructField("N_Words", T.StringType()), T.StructField("spans", T.StringType()),
     T.StructField("Kept", T.StringType()), T.StructField("n_tokens", T.StringType()),
-    T.StructField("size", T.StringType()), T.StructField("score", T.StringType())])
+    T.StructField("size", T.StringType()), T.StructField("score", T.StringType()),
+    # names that operators use inside
+    *[T.StructField(n, T.StringType()) for n in ("_text", "_row", "_id", "_owner", "_found", "_size")]])
 
 
 def rows():
-    out = [(i, t, "en" if i % 3 else None, f"s{i % 2}" if i % 4 else None, None, *["x"] * 6)
+    out = [(i, t, "en" if i % 3 else None, f"s{i % 2}" if i % 4 else None, None, *["x"] * 12)
            for i, t in enumerate(TEXTS)]
-    return [*out, out[5], out[5], (None, "a text of a null id", "en", "s1", 1, *["x"] * 6),
-            (None, None, None, None, None, *[None] * 6)]
+    return [*out, out[5], out[5], (None, "a text of a null id", "en", "s1", 1, *["x"] * 12),
+            (None, None, None, None, None, *[None] * 12)]
 
 
 def edge_docs(spark):

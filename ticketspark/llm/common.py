@@ -16,10 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
 
 
-def without(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` without the columns that an operator is about to produce (any case)."""
-    taken = {n.lower() for n in names}
-    return df.select(*[c for c in df.columns if c.lower() not in taken])
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` without columns whose names begin with an underscore, which are the operators'
+    own."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")])
 
 
 def slices(batch: pa.RecordBatch, index: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -47,7 +47,7 @@ def map_text(df: DataFrame, text_col: str, fields: list[T.StructField],
     """
     names = [f.name for f in fields]
     taken = {n.lower() for n in names}
-    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    kept = [c for c in (plain(df).columns if keep is None else keep) if c.lower() not in taken]
     text = F.col(f"`{text_col}`")
     src = df.select(text.cast("binary" if binary else "string").alias("_text"),
                     *[F.col(f"`{c}`") for c in kept])

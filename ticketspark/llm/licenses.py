@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm.common import ascii_lower
+from ticketspark.llm.common import ascii_lower, plain
 from ticketspark.session import materialize
 
 # Words, and the base phrases with their labels.
@@ -109,6 +109,7 @@ def licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     frequency go by the word; repeated rows and null keys need no care; input columns
     named like an output give way to it; an empty table stays empty.
     """
+    df = plain(df)
     spark = df.sparkSession
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found"]
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketspark.llm.common import WORD
+from ticketspark.llm.common import WORD, plain
 from ticketspark.session import materialize
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
@@ -161,6 +161,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     id like any other. Reruns agree. Input columns named like an output give way; an
     empty table stays empty.
     """
+    df = plain(df)
     names = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     source = F.col(f"`{source_col}`").cast("string")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketspark.llm.common import plain
 from ticketspark.session import materialize
 
 # The kinds in their order. The patterns give the same matches as the plain ones of the
@@ -148,6 +149,7 @@ def pii(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) ->
     Equal texts count as one text of support. Input columns named like an output give way
     to it; an empty table stays empty.
     """
+    df = plain(df)
     names = ["n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", "found"]
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     text = F.col(f"`{text_col}`")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketspark.llm.common import field, map_text
+from ticketspark.llm.common import field, map_text, plain
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -120,6 +120,7 @@ def secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source",
     an output give way to it; an empty table stays empty.
     """
     from ticketspark.session import materialize
+    df = plain(df)
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "found"]
     src = df.select("*", F.col(f"`{owner_col}`").alias("_owner"), F.col(f"`{repo_col}`").alias("_repo"))
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]

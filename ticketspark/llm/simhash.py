@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketspark.llm.common import field, map_text
+from ticketspark.llm.common import field, map_text, plain
 from ticketspark.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -279,6 +279,7 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table stays empty.
     """
     from ticketspark.session import materialize
+    df = plain(df)
     names = ["fingerprint", "component_id", "kept"]
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     src = df.select("*", F.col(f"`{id_col}`").alias("_id"))
