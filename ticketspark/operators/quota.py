@@ -16,12 +16,15 @@ them holding a third of the table, that task is the job. Instead:
    wide rows at all.
 
 With 4 digits the histogram window holds <= 65,536 rows per class and the cut bucket
-about n_g / 65,536 rows (about 460k for a class of 3e10 rows), both well inside a task.
+about n_g / 65,536 rows; larger tables take more digits (``digits_for``), so that the
+bucket stays below a million rows.
 The result equals the plain window (checked in tests).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,13 @@ from ticketspark.operators.vocab import sized
 from ticketspark.session import materialize
 
 DEFAULT_DIGITS = 4
+# Rows of a cut bucket that one task ranks, about.
+BUCKET_ROWS = 1_000_000
+
+
+def digits_for(k: DataFrame) -> int:
+    """Prefix digits with which a bucket of the whole table holds BUCKET_ROWS rows at most."""
+    return max(DEFAULT_DIGITS, math.ceil(math.log(max(k.count(), 1) / BUCKET_ROWS, 16)))
 
 
 def keyed(df: DataFrame, group_col: str, id_col: str, seed: int) -> DataFrame:
@@ -93,12 +103,13 @@ def within_cut(df: DataFrame, cut_table: DataFrame, group_col: str, id_col: str,
 
 
 def first_per_group(df: DataFrame, group_col: str, id_col: str, quota_of: "callable",
-                    seed: int = 42, digits: int = DEFAULT_DIGITS) -> DataFrame:
+                    seed: int = 42, digits: int | None = None) -> DataFrame:
     """Rows among the first ``quota_of(n_rows)`` of their class in seeded order.
 
     ``quota_of`` maps the class-size column to a quota column (and may raise).
     """
     k = keyed(df, group_col, id_col, seed)
+    digits = digits or digits_for(k)
     hist = materialize(histogram(k, digits), "histogram")
     quotas = class_sizes(hist).select("g", quota_of(F.col("n_rows")).alias("quota"))
     ct = cuts(k, hist, quotas, digits)

@@ -39,13 +39,14 @@ def allocation(sizes: DataFrame, test_frac: float = TEST_FRACTION) -> DataFrame:
 
 def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "ticket_id",
                      test_frac: float = TEST_FRACTION, seed: int = 42,
-                     digits: int = Q.DEFAULT_DIGITS) -> DataFrame:
+                     digits: int | None = None) -> DataFrame:
     """``df`` plus ``split`` ('train' | 'test'). Disjoint and exhaustive.
 
     ``df`` is scanned three times (histogram, cut bucket, final pass); pass a table
     that is cheap to re-read (a Parquet scan, or a materialised intermediate).
     """
     k = Q.keyed(df, label_col, id_col, seed)
+    digits = digits or Q.digits_for(k)
     hist = materialize(Q.histogram(k, digits), "histogram")
     alloc = allocation(Q.class_sizes(hist), test_frac)
     ct = Q.cuts(k, hist, alloc.select("g", F.col("n_test").alias("quota")), digits)

@@ -361,6 +361,11 @@ def q_confusion_matrix(spark, d):
     return M.confusion_matrix(_oc(spark, d))
 
 
+@query("confusion_cells")
+def q_confusion_cells(spark, d):
+    return M.confusion_cells(_oc(spark, d))
+
+
 @query("confusion_pivot")
 def q_confusion_pivot(spark, d):
     return M.confusion_pivot(_oc(spark, d), fx.EVENT_TYPES)

@@ -400,6 +400,9 @@ SELECT arm, row_kind, round(p, 6) AS precision, round(r, 6) AS recall,
 SELECT a.arm, a.label AS actual, p.label AS predicted, CAST(coalesce(oc.n, 0) AS BIGINT) AS n
 FROM lab a JOIN lab p ON a.arm = p.arm
 LEFT JOIN oc ON oc.arm = a.arm AND oc.actual = a.label AND oc.predicted = p.label"""
+    q["confusion_cells"] = H + """
+SELECT oc.arm, oc.actual, oc.predicted, CAST(n AS BIGINT) AS n FROM oc
+JOIN lab p ON p.arm = oc.arm AND p.label = oc.predicted WHERE oc.actual IS NOT NULL"""
     q["confusion_pivot"] = H + """,
 cm AS (SELECT a.arm, a.label AS actual, p.label AS predicted, CAST(coalesce(oc.n, 0) AS BIGINT) AS n
        FROM lab a JOIN lab p ON a.arm = p.arm

@@ -10,6 +10,8 @@ from ticketspark.operators import metrics as M
 # CSV dialect that round-trips embedded quotes and newlines: fields quoted when
 # needed, quotes doubled (RFC 4180), header row, no index column.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+# A CSV file with multi-line fields is read by one task, so files are kept small.
+CSV_FILE_ROWS = 500_000
 
 
 def write_split(df: DataFrame, path: str, split_col: str = "split") -> None:
@@ -18,7 +20,7 @@ def write_split(df: DataFrame, path: str, split_col: str = "split") -> None:
 
 
 def write_predictions_csv(df: DataFrame, path: str) -> None:
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("maxRecordsPerFile", CSV_FILE_ROWS)
     for k, v in CSV_OPTIONS.items():
         writer = writer.option(k, v)
     writer.csv(path)
