@@ -184,8 +184,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     share = dealt.groupBy(*cell, "_b").agg(
         F.count(F.lit(1)).alias("c"), F.first("k").alias("k"), F.first("n").alias("n")).withColumn(
         "_upto", F.sum("c").over(upto)).withColumn("_c", F.col("c"))
-    share = share.select(*cell, "_b", (F.floor(extra * F.col("_upto") / F.col("n"))
-                                       - F.floor(extra * (F.col("_upto") - F.col("_c")) / F.col("n"))).alias("_more"))
+
+    def before(rows: Column) -> Column:  # extra copies of a cell's first rows; in doubles, as squares overflow
+        return F.when(rows == F.col("n"), extra).otherwise(F.floor(extra.cast("double") * rows / F.col("n")))
+
+    share = share.select(*cell, "_b", (before(F.col("_upto")) - before(F.col("_upto") - F.col("_c"))).alias("_more"))
     share = materialize(share, "mix-shares")
     nth = F.row_number().over(Window.partitionBy(*cell, "_b").orderBy("_h", "_id", "_row"))
     out = dealt.join(share, [*cell, "_b"]).withColumn("copies", (
