@@ -23,9 +23,11 @@ def test_hashing_matches_python(spark):
 
 
 def test_fingerprint_term(spark):
-    df = spark.createDataFrame([("abc",), ("ticket text",)], "t string")
-    for r in df.select("t", fingerprint_term(F.col("t")).alias("f")).collect():
-        assert r.f == int(hashlib.md5(r.t.encode()).hexdigest()[:6], 16)
+    df = spark.createDataFrame([(1, "x", "abc"), (2, None, "ticket text")], "i long, a string, t string")
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for r in df.select("*", fingerprint_term([F.col("i"), F.col("a"), F.col("t")]).alias("f")).collect():
+        whole = f"{r.i}|{md5(r.a) if r.a else '-'}|{md5(r.t)}"
+        assert r.f == int(md5(whole)[:15], 16)
 
 
 def test_text_helpers_match_python(spark):

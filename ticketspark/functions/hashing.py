@@ -33,7 +33,7 @@ def bucket(tag: str, id_col: Column | str) -> Column:
 def fingerprint_term(cols: list[Column], digits: int = 15) -> Column:
     """First ``digits`` hex digits of an md5 over all ``cols`` as bigint; summed per table
     as decimal it is an order-insensitive content fingerprint. The first column is taken
-    as it is and must not be null for the row to count; the others by their md5, so
-    that no separator can be mistaken."""
+    as it is; the others by their md5 (a null as a dash), so that no separator can be
+    mistaken."""
     first, *rest = cols
-    return hex_prefix(F.md5(F.concat_ws("|", first.cast("string"), *[F.md5(c) for c in rest])), digits)
+    return hex_prefix(F.md5(F.concat_ws("|", first.cast("string"), *[F.coalesce(F.md5(c), F.lit("-")) for c in rest])), digits)
