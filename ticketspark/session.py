@@ -84,7 +84,8 @@ def materialize(df: DataFrame, name: str = "stage",
     spark = df.sparkSession
     root = checkpoint_root(spark)
     path = os.path.join(root, f"tables/{name}-{uuid.uuid4().hex}")
-    writer = df.write.mode("error")
+    # intermediates are written and read a few times only, so space counts most
+    writer = df.write.mode("error").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
