@@ -57,3 +57,40 @@ def test_far_text_is_rejected(spark):
     got = {r.doc_id: r for r in L.predict(odd, m).collect()}
     assert got[1].rejected and got[1].score < 0.5 and got[1].lang_pred in m.langs
     assert got[2].lang_pred == "en"
+
+
+def test_every_gram_of_a_large_corpus_is_kept(spark):
+    # over a million distinct n-grams of the large language, and some of a small one that
+    # stand once each
+    rnd = np.random.default_rng(5)
+    words = ["".join(map(chr, w)) for w in rnd.integers(0x4E00, 0x9000, (250_000, 5)).tolist()]
+    large = [(" ".join(words[i:i + 500]), "big") for i in range(0, len(words), 500)]
+    df = spark.createDataFrame([*large, ("щука фыва жщцк", "rare")], "text string, lang string")
+    m = L.fit(df)
+    assert m.langs == ["big", "rare"]
+    texts = spark.createDataFrame([(1, "фыва щука"), (2, words[7]), (3, None), (4, "12 34")], "id long, text string")
+    got = {r.id: r for r in L.predict(texts, m).collect()}
+    assert [got[i].lang_pred for i in (1, 3, 4)] == ["rare", "und", "und"]
+    whole = {r.id: r for r in L.predict(texts, L.fit(df, broadcast_grams=10_000_000)).collect()}
+    for i in (1, 2):
+        assert got[i].lang_pred == whole[i].lang_pred and np.isclose(got[i].cross_entropy, whole[i].cross_entropy)
+
+
+def test_saved_tables_predict_what_the_broadcast_model_does(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART_TEXTS", 20)  # hot n-grams go in parts
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(150).unionByName(
+        edge_docs(spark), allowMissingColumns=True).select("doc_id", "text", "lang", F.lit("x").alias("Score"))
+    small, large = L.fit(docs), L.fit(docs, broadcast_grams=10)
+    assert isinstance(small, L.Model) and isinstance(large, L.SavedModel) and small.langs == large.langs
+    assert sum(len(t[-1].gram) for t in small.tables) == large.grams[-1].count()
+    assert np.allclose(small.usual, large.usual) and np.allclose(small.floor, large.floor)
+    a, b = L.predict(docs, small), L.predict(docs, large)
+    assert a.columns == b.columns and a.dtypes == b.dtypes
+    key = lambda r: (str(r.doc_id), str(r.text))
+    a, b = sorted(a.collect(), key=key), sorted(b.collect(), key=key)
+    assert len(a) == len(b) == docs.count()
+    for x, y in zip(a, b):
+        assert key(x) == key(y) and (x.lang_pred, x.rejected) == (y.lang_pred, y.rejected)
+        assert np.isclose(x.score, y.score, atol=1e-6)
+        assert x.cross_entropy == y.cross_entropy or np.isclose(x.cross_entropy, y.cross_entropy, atol=1e-7)
+    assert L.predict(empty_docs(spark), large).count() == 0

@@ -1,8 +1,10 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
-One model per language predicts each character of a word from the three before it. The
-tables of a model are sorted arrays of n-gram hashes with log probabilities and back-off
-weights. A text gets the language whose model needs the fewest bits per character.
+One model per language predicts each character of a word from the three before it. All
+n-grams that were counted are in it. Models of few n-grams are sorted arrays of hashes
+with log probabilities and back-off weights, broadcast to the tasks; larger ones are saved
+tables, which the distinct n-grams of the texts are joined to. A text gets the language
+whose model needs the fewest bits per character, the same on both paths.
 """
 
 from __future__ import annotations
@@ -17,14 +19,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ticketspark.llm.common import CHUNK_BYTES, distinct, field, map_text, slices
+from ticketspark.llm.common import CHUNK_BYTES, distinct, field, map_text, plain, slices
 from ticketspark.llm.quality import mix
 
 ORDER = 4
-# n-grams of all languages together that a model holds at most; the least frequent go. It
-# bounds what is sent to the driver and broadcast (some 40 bytes each), not the texts read.
-MAX_GRAMS = 1_000_000
+# n-grams of all languages together up to which a model is gathered and broadcast (some 40
+# bytes each); with more it is a set of saved tables that texts are joined to.
+BROADCAST_GRAMS = 1_000_000
+# Texts that hold one n-gram, beyond which its join is dealt in parts of about so many.
+PART_TEXTS = 100_000
+# Log probabilities are added up as whole numbers of 2^-30, so that sums don't depend on
+# the order in which tasks add.
+SCALE = 1 << 30
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -58,6 +66,11 @@ def _summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.bincount(back, n, len(first)).astype(np.int64)
 
 
+def _strings(rows: np.ndarray) -> list[str]:
+    flat = np.ascontiguousarray(rows).astype("<u4").tobytes().decode("utf-32-le")
+    return [flat[i:i + ORDER] for i in range(0, len(flat), ORDER)]
+
+
 def gram_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, gram, n): how often each n-gram stands in the texts of each language. Each
     task adds up what it has seen before anything is shuffled."""
@@ -67,10 +80,9 @@ def gram_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             rows, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            flat = np.ascontiguousarray(rows).astype("<u4").tobytes().decode("utf-32-le")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(n), pa.string()),
-                 pa.array([flat[i:i + ORDER] for i in range(0, len(flat), ORDER)], pa.string()),
+                 pa.array(_strings(rows), pa.string()),
                  pa.array(n)], names=["lang", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,23 +187,82 @@ def _kneser_ney(rows: np.ndarray, n: np.ndarray) -> tuple[list[Table], float, tu
     return tables, floor, (mean, float(np.sqrt(np.average((bits - mean) ** 2, weights=weight))))
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
-        max_grams: int = MAX_GRAMS) -> Model:
+@dataclass
+class SavedModel:
+    """A model of any number of n-grams: a table (lang, gram, logp) and a table (lang,
+    context, backoff) of each order from 1."""
+    langs: list[str]
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    floor: list[float]
+    usual: list[tuple[float, float]]
+
+
+def _saved_kneser_ney(counts: DataFrame) -> SavedModel:
+    """What :func:`_kneser_ney` computes, for all languages, by groupings and joins of
+    tables. Only a few numbers a language come to the driver."""
+    from ticketspark.session import materialize
+    levels = [counts]
+    for n in range(ORDER - 1, 0, -1):
+        levels.insert(0, materialize(levels[0].groupBy(
+            "lang", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "langid-level"))
+    grams: list[DataFrame] = []
+    contexts: list[DataFrame] = []
+    floor: dict[str, float] = {}
+    for order, level in enumerate(levels, 1):
+        ones, twos = (F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))
+        discount = F.least(F.lit(0.95), F.greatest(F.lit(0.1), ones / F.greatest(ones + 2 * twos, F.lit(1))))
+        per_lang = level.groupBy("lang").agg(discount.alias("d"), F.count(F.lit(1)).alias("size"))
+        rows = level.withColumn("context", F.substring("gram", 1, order - 1))
+        context = rows.groupBy("lang", "context").agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("follow")).join(F.broadcast(per_lang), "lang")
+        context = materialize(context.withColumn(
+            "backoff", F.col("d") * F.col("follow") / F.col("total")), "langid-contexts")
+        rows = rows.join(context, ["lang", "context"])
+        p = (F.col("n") - F.col("d")) / F.col("total")
+        if order == 1:
+            least = F.col("backoff") / (F.col("size") + 1)
+            floor = {r["lang"]: r["f"] for r in context.select("lang", F.log(least).alias("f")).collect()}
+            p = p + least
+            context = context.withColumn("backoff", F.lit(1.0))  # the floor has it already
+        else:
+            below = grams[-1].select("lang", F.col("gram").alias("_below"), F.col("logp").alias("_logp"))
+            rows = rows.withColumn("_below", F.substring("gram", 2, order - 1)).join(below, ["lang", "_below"])
+            p = p + F.col("backoff") * F.exp("_logp")
+        grams.append(materialize(rows.select("lang", "gram", "n", F.log(p).alias("logp")), "langid-grams"))
+        contexts.append(context.select("lang", "context", F.log("backoff").alias("backoff")))
+    mean = grams[-1].groupBy("lang").agg((F.sum(-F.col("logp") * F.col("n")) / F.sum("n")).alias("mean"))
+    off = F.col("n") * (-F.col("logp") - F.col("mean")) ** 2
+    usual = {r["lang"]: (r["mean"], r["dev"]) for r in grams[-1].join(F.broadcast(mean), "lang").groupBy("lang").agg(
+        F.first("mean").alias("mean"), F.sqrt(F.sum(off) / F.sum("n")).alias("dev")).collect()}
+    langs = sorted(usual)
+    return SavedModel(langs, [g.drop("n") for g in grams], contexts,
+                      [floor[x] for x in langs], [usual[x] for x in langs])
+
+
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int | None = None,
+        broadcast_grams: int = BROADCAST_GRAMS) -> Model | SavedModel:
     """Models of all languages of ``lang_col`` from all rows with text and language.
 
-    Counting is distributed over all rows; what comes to the driver is the table of the
-    ``max_grams`` most frequent n-grams at most (a cut on the count, found from a histogram
-    of counts, so that n-grams of equal count stay or go together)."""
+    Counting is distributed over all rows and every n-gram is kept. Up to
+    ``broadcast_grams`` of them come to the driver; more stay in saved tables, with the
+    same predictions. A caller who wants a small model of the most frequent n-grams only
+    names ``max_grams`` (a cut on the count, found from a histogram of counts, so that
+    n-grams of equal count stay or go together)."""
     from ticketspark.session import materialize
     counts = materialize(gram_counts(df, text_col, lang_col), "langid")
-    hist = counts.groupBy(F.least("n", F.lit(max_grams)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
-    kept, cut = 0, 1
-    for row in hist.orderBy(F.desc("n")).toLocalIterator():
-        kept += row["k"]
-        if kept > max_grams:
-            cut = row["n"] + 1
-            break
-    pdf = counts.where(F.col("n") >= cut).toArrow()
+    if max_grams is not None:
+        hist = counts.groupBy(F.least("n", F.lit(max_grams)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
+        kept, cut = 0, 1
+        for row in hist.orderBy(F.desc("n")).toLocalIterator():
+            kept += row["k"]
+            if kept > max_grams:
+                cut = row["n"] + 1
+                break
+        counts = counts.where(F.col("n") >= cut)
+    if counts.count() > broadcast_grams:
+        return _saved_kneser_ney(counts)
+    pdf = counts.toArrow()
     langs = np.array(pdf.column("lang").to_pylist(), object)
     n = pdf.column("n").to_numpy()
     text = "".join(pdf.column("gram").to_pylist())
@@ -213,28 +284,21 @@ FIELDS = [field("lang_pred", "string"), field("score", "double"),
           field("cross_entropy", "double"), field("rejected", "boolean")]
 
 
-def _predict(model: Model, texts: list) -> list:
-    split = [words_of(t) for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    code, words = distinct(list(chain.from_iterable(split)))
-    rows, word = grams(words)
-    total = np.zeros((len(texts), len(model.langs)))
-    chars = np.zeros(len(texts))
-    if len(words) and model.langs:
-        _, first, back = np.unique(hashes(rows), return_index=True, return_inverse=True)
-        logp = model.log_probs(rows[first])[back]
-        doc = np.repeat(np.arange(len(texts)), n)
-        size = np.bincount(word, minlength=len(words))
-        chars = np.bincount(doc, size[code], len(texts))
-        for k in range(len(model.langs)):
-            each = np.bincount(word, logp[:, k], len(words))
-            total[:, k] = np.bincount(doc, each[code], len(texts))
+def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of rows, exact for whole numbers."""
+    upto = np.concatenate([np.zeros((1, x.shape[1]), x.dtype), np.cumsum(x, axis=0)])
+    end = np.cumsum(size)
+    return upto[end] - upto[end - size]
+
+
+def _judge(model: Model | SavedModel, total: np.ndarray, chars: np.ndarray, letter: list[bool]) -> list:
+    """The output fields from each text's summed log probabilities by language."""
     out = [[], [], [], []]
-    for i, t in enumerate(texts):
-        if not model.langs or not any(map(str.isalpha, t or "")):
+    for i, some in enumerate(letter):
+        if not model.langs or not some:
             row = (UNKNOWN, 0.0, None, True)
         else:
-            ce = -total[i] / max(chars[i], 1)
+            ce = -(total[i] / SCALE) / max(chars[i], 1)
             best = int(np.argmin(ce))
             m = min(chars[i], EVIDENCE)
             mean, dev = model.usual[best]
@@ -246,7 +310,110 @@ def _predict(model: Model, texts: list) -> list:
     return out
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text",
+def _has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
+def _predict(model: Model, texts: list) -> list:
+    split = [words_of(t) for t in texts]
+    n = np.fromiter(map(len, split), np.int64, len(split))
+    code, words = distinct(list(chain.from_iterable(split)))
+    rows, word = grams(words)
+    total = np.zeros((len(texts), len(model.langs)), np.int64)
+    chars = np.zeros(len(texts), np.int64)
+    if len(words) and model.langs:
+        _, first, back = np.unique(hashes(rows), return_index=True, return_inverse=True)
+        logp = np.rint(model.log_probs(rows[first]) * SCALE).astype(np.int64)[back]
+        size = np.bincount(word, minlength=len(words))
+        chars = _sums(size[code][:, None], n)[:, 0]
+        total = _sums(_sums(logp, size)[code], n)
+    return _judge(model, total, chars, [_has_letter(t) for t in texts])
+
+
+def _text_grams(texts: list) -> list:
+    """Whether each text has a letter, its number of characters in words (with their ends),
+    its distinct n-grams and how often each stands in it."""
+    out = [[], [], [], []]
+    for t in texts:
+        code, words = distinct(words_of(t))
+        rows, word = grams(words)
+        if len(words):
+            rows, n = _summed(rows, np.bincount(code, minlength=len(words))[word])
+        else:
+            n = np.zeros(0, np.int64)
+        for x, y in zip(out, (_has_letter(t), int(n.sum()), _strings(rows), n)):
+            x.append(y)
+    return out
+
+
+def _gram_values(asked: DataFrame, model: SavedModel) -> DataFrame:
+    """(gram, values): the scaled log probability of each asked n-gram's last character by
+    language, in the order of ``model.langs``. Equal shorter n-grams are looked up once; what
+    is joined shares a context or an ending with as many rows as there are characters."""
+    from ticketspark.session import materialize
+    spark = asked.sparkSession
+    langs = F.broadcast(spark.createDataFrame(
+        [(k, x, f) for k, (x, f) in enumerate(zip(model.langs, model.floor))], "k int, lang string, floor double"))
+    below = None
+    for n in range(1, ORDER + 1):
+        need = asked.select(F.substring("gram", ORDER - n + 1, n).alias("gram")).distinct().crossJoin(langs)
+        rows = need.join(model.grams[n - 1], ["lang", "gram"], "left")
+        if n == 1:
+            value = F.coalesce("logp", "floor")
+        else:
+            rows = rows.withColumn("context", F.substring("gram", 1, n - 1)).join(
+                model.contexts[n - 1], ["lang", "context"], "left")
+            rows = rows.withColumn("_end", F.substring("gram", 2, n - 1)).join(
+                below.select("k", F.col("gram").alias("_end"), F.col("v").alias("_v")), ["k", "_end"])
+            value = F.coalesce(F.col("logp"), F.coalesce("backoff", F.lit(0.0)) + F.col("_v"))
+        below = materialize(rows.select("k", "gram", value.alias("v")), "langid-values")
+    scaled = F.rint(F.col("v") * F.lit(float(SCALE))).cast("long")
+    return below.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", scaled.alias("v"))))["v"].alias("values"))
+
+
+def _predict_joined(df: DataFrame, model: SavedModel, text_col: str, keep: list[str] | None) -> DataFrame:
+    """:func:`predict` by a join of each text's distinct n-grams to the saved tables. An
+    n-gram of very many texts is joined in parts, and looked up in the model once."""
+    from ticketspark.operators.vocab import sized
+    from ticketspark.session import materialize
+    names = [f.name for f in FIELDS]
+    kept = [c for c in (plain(df).columns if keep is None else keep) if c.lower() not in names]
+    held = df.select(text_col, *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(kept)])
+    texts = map_text(held, text_col, [
+        field("_letter", "boolean"), field("_chars", "long"), field("_grams", T.ArrayType(T.StringType())),
+        field("_n", T.ArrayType(T.LongType()))], _text_grams, keep=held.columns[1:])
+    texts = materialize(texts.withColumn("_row", F.monotonically_increasing_id()), "langid-texts")
+
+    asked = materialize(texts.select(F.explode("_grams").alias("gram")).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("texts")), "langid-asked")
+    hot = sized(asked.where(F.col("texts") > PART_TEXTS).select(
+        "gram", F.ceil(F.col("texts") / PART_TEXTS).cast("int").alias("parts")), "langid-hot")
+    parts = F.coalesce("parts", F.lit(1))
+    values = _gram_values(asked, model).join(hot, "gram", "left").select(
+        "gram", "values", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = texts.select("_row", F.explode(F.arrays_zip("_grams", "_n")).alias("x")).select(
+        "_row", F.col("x._grams").alias("gram"), F.col("x._n").alias("n")).join(hot, "gram", "left").select(
+        "_row", "gram", "n", F.pmod(F.hash("_row"), parts).alias("part"))
+    each = pairs.join(values, ["gram", "part"]).select("_row", "n", F.posexplode("values").alias("k", "v"))
+    total = each.groupBy("_row", "k").agg(F.sum(F.col("n") * F.col("v")).alias("v")).groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("k", "v")))["v"].alias("_total"))
+    rows = texts.drop("_grams", "_n").join(total, "_row", "left").select(
+        "_letter", "_chars", "_total", *held.columns[1:])
+    judge = SavedModel(model.langs, [], [], [], model.usual)
+    schema = T.StructType([T.StructField(c, rows.schema[f"_k{i}"].dataType) for i, c in enumerate(kept)] + FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [0] * len(judge.langs)
+        for batch in batches:
+            sums = np.array([t or none for t in batch.column(2).to_pylist()], np.int64)
+            out = _judge(judge, sums, batch.column(1).to_numpy(), batch.column(0).to_pylist())
+            cols = [pa.array(x, t) for x, t in zip(out, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *cols], names=[*kept, *names])
+
+    return rows.mapInArrow(run, schema)
+
+
+def predict(df: DataFrame, model: Model | SavedModel, text_col: str = "text",
             keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) plus the language of each whole text.
 
@@ -257,7 +424,9 @@ def predict(df: DataFrame, model: Model, text_col: str = "text",
     training texts need, and lowers their score. Rows are judged one by one; input columns
     named like an output give way; an empty table stays empty.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS
+    if isinstance(model, SavedModel):
+        return _predict_joined(df, model, text_col, keep)
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by BROADCAST_GRAMS
     return map_text(df, text_col, FIELDS, lambda texts: _predict(sent.value, texts), keep)
 
 
