@@ -54,3 +54,23 @@ def test_templates(spark):
             assert [x.start for x in r.found if x.label == label] == [2 if k else 0]
     assert [r.labels for r in got[2 * n:2 * n + 5]] == ["", "mit", "cc-by", "reserved", "gpl"]
     assert got[2 * n + 5].labels == "gpl" and got[-1].labels == ""
+
+
+def test_all_notices_of_one_text_are_found(spark):
+    notices = [notice for _, notice, _ in L.TEMPLATES]
+    texts = ["\n\n".join(notices), " x ".join(reversed(notices)) + " fee charge hereby " * 40,
+             # key phrases alone, with the templates' other words far from them
+             " y ".join(key for *_, key in L.TEMPLATES) + " z " + " z ".join(sorted(set(" ".join(notices).split())))]
+    texts += ["released under the mit license"] * 30  # makes the words of some notices common
+    got = sorted(L.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    labels = sorted({label for label, *_ in L.TEMPLATES})
+    for r in got[:3]:
+        check(r, r.text)
+        assert [x.label for x in r.found] == labels and set(labels) <= set(r.labels.split(","))
+    for r in got[:2]:
+        assert r.score == 1.0 and all(x.share == 1.0 for x in r.found)
+        words = re.findall(r"\w+", r.text)
+        for x in r.found:
+            at = [notice.split() for label, notice, _ in L.TEMPLATES if label == x.label]
+            assert any(words[x.start:x.start + len(n)] == n for n in at)
+    assert {r.labels for r in got[3:]} == {"mit"}

@@ -1,9 +1,11 @@
 """License scans by a positional index of rare tokens.
 
 Templates are short licence notices. Their words, but for function words, have postings
-(template, position). A file is looked up by its licence words of the highest inverse
-document frequency; the postings that agree on where the template would begin are
-intersected, and a template is found where its mandatory key phrase stands in place.
+(template, position). A template is looked up in a file by the words of its key phrase that
+have the highest inverse document frequency; the postings of the templates whose words the
+file holds, and that agree on where the template would begin, are intersected, and a
+template is found where its mandatory key phrase stands in place. Whatever else a file
+holds, no notice with its key phrase is passed over.
 """
 
 from __future__ import annotations
@@ -51,8 +53,12 @@ TEMPLATES = [
 # Words that have no postings.
 FUNCTION_WORDS = frozenset(
     "a and any as by for in into is of or the this to under with are be 0 1 2 4".split())
-# Licence words of a file that are looked up, and how many must agree on a place.
-TOP_WORDS, VOTES = 8, 2
+# Words of a template's key phrase that a file is looked up by, which all must agree on a
+# place (each key phrase has as many).
+VOTES = 2
+# Only the oracle SQL lets no more than so many rare words of a file vote, and so holds for
+# files with few licence words.
+TOP_WORDS = 8
 BASE_SCORE = 0.5
 
 
@@ -130,26 +136,25 @@ def licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     df_of = {r["w"]: r["n"] for r in asked.select(F.explode("_w").alias("w")).groupBy("w").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     total = rows.count()
-    idf = F.create_map(*[x for w in vocab for x in (
-        F.lit(w), F.lit(-math.log((1 + total) / (1 + df_of.get(w, 0)))))])
-    top = F.slice(F.array_sort(F.transform("_w", lambda w: F.named_struct(
-        F.lit("s"), F.element_at(idf, w), F.lit("w"), w))), 1, TOP_WORDS)["w"]
+    idf = {w: math.log((1 + total) / (1 + df_of.get(w, 0))) for w in vocab}
 
     posts = _postings()
     n_keys = [sum(1 for p in posts if p[1] == t and p[3]) for t in range(len(TEMPLATES))]
     n_all = [sum(1 for p in posts if p[1] == t) for t in range(len(TEMPLATES))]
-    postings = F.broadcast(_table(spark, posts, ["w", "t", "q", "key"]))
+    rare = [sorted({w for w, u, _, key in posts if u == t and key}, key=lambda w: (-idf[w], w))[:VOTES]
+            for t in range(len(TEMPLATES))]
+    postings = F.broadcast(_table(spark, [(*p, F.array(*map(F.lit, rare[p[1]]))) for p in posts],
+                                  ["w", "t", "q", "key", "rare"]))
     notices = F.broadcast(_table(spark, [
         (t, label, k, n) for t, ((label, *_), k, n) in enumerate(zip(TEMPLATES, n_keys, n_all))],
         ["t", "label", "n_keys", "n_all"]))
-    words = asked.where(F.size("_w") >= VOTES).select(
-        "_row", top.alias("_top"), F.explode("_hits").alias("h"))
-    words = words.select("_row", F.col("h.p").alias("p"), F.col("h.w").alias("w"),
-                         F.array_contains("_top", F.col("h.w")).alias("top"))
-    places = words.join(postings, "w").groupBy("_row", "t", (F.col("p") - F.col("q")).alias("at")).agg(
-        F.sum(F.col("top").cast("int")).alias("votes"), F.sum(F.col("key").cast("int")).alias("keys"),
-        F.count(F.lit(1)).alias("n"))
-    places = places.where(F.col("votes") >= VOTES).join(notices, "t").where(F.col("keys") == F.col("n_keys"))
+    words = asked.where(F.size("_w") >= VOTES).select("_row", "_w", F.explode("_hits").alias("h"))
+    words = words.select("_row", "_w", F.col("h.p").alias("p"), F.col("h.w").alias("w"))
+    # a key phrase in place holds all of its words, so nothing is lost here
+    held = F.forall("rare", lambda w: F.array_contains("_w", w))
+    places = words.join(postings, "w").where(held).groupBy("_row", "t", (F.col("p") - F.col("q")).alias("at")).agg(
+        F.sum(F.col("key").cast("int")).alias("keys"), F.count(F.lit(1)).alias("n"))
+    places = places.join(notices, "t").where(F.col("keys") == F.col("n_keys"))
     by_label = places.groupBy("_row", "label").agg(F.max(F.struct(
         (F.col("n") / F.col("n_all")).alias("share"), (-F.col("at")).alias("at"))).alias("b"))
     found = materialize(by_label.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
