@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -78,3 +79,52 @@ def test_terms_that_disclose_an_entity(spark):
 def test_long_digit_parts_are_numbers(spark):
     df = spark.createDataFrame([(1, "1.2.3." + "0" * 60 + "9"), (2, "1.2.3." + "9" * 60)], "doc_id long, text string")
     assert [r.n_ip for r in sorted(P.pii(df).collect())] == [1, 0]
+
+
+def test_terms_are_told_and_marked_in_the_whole_text(spark):
+    far = "plain filler words without any meaning here, " * 5
+    # the name stands far from the address and again later; the employer only beyond a
+    # second address; a name that one of the texts lacks the address for stays there
+    data = [f"zanzibarov wrote. {far}{'abcdefg'[i]} z@corp.example other{i}@corp.example, quuxfrob ltd. {far}"
+            f"Yours, Zanzibarov" for i in range(5)]
+    data += [f"{far}number {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r.doc_id: r for r in P.pii(df).collect()}
+    for i in range(5):
+        spans = got[i].spans.split(",")
+        for m in re.finditer("zanzibarov|quuxfrob", data[i], re.I):
+            assert f"term:{m.start()}:{m.end()}" in spans
+        assert f"term:{data[i].index('filler')}:" not in got[i].spans
+        assert len(set(spans)) == len(spans)
+    assert all(got[i].spans == "" for i in range(5, 405))
+    clean = {r.doc_id: r.text.lower() for r in P.sanitise(P.pii(df)).collect()}
+    assert not any("zanzibarov" in clean[i] or "quuxfrob" in clean[i] for i in range(5))
+    assert all("filler" in clean[i] for i in range(405)) and clean[9] == data[9]
+
+
+def test_shares_are_those_of_documents(spark):
+    rnd = random.Random(8)
+    entity = [f"p{i}@corp.example" for i in range(4)]
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "klmno"]
+    data = []
+    for i in range(300):
+        parts = rnd.choices(words, k=8) + (rnd.sample(entity, rnd.randint(1, 2)) if i % 10 == 0 else [])
+        parts += [f"tell{'abcd'[int(e[1])]}tale" for e in entity if e in parts] * rnd.randint(0, 3)
+        rnd.shuffle(parts)
+        data.append(" ; ".join(parts))
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    held = [({e for e in entity if e in t}, set(re.findall(r"[^\W\d_]{3,}", t))) for t in data]
+    told = set()
+    for e in entity:
+        n_e = sum(e in x for x, _ in held)
+        for w in set().union(*(x for _, x in held)):
+            pair = {t for t, (x, y) in zip(data, held) if e in x and w in y}
+            n_t = sum(w in y for _, y in held)
+            if len(pair) >= P.SUPPORT and math.log(len(pair) * 300 / (n_t * n_e)) / math.log(300 / n_e) >= P.DISCLOSURE:
+                told.add((e, w))
+    assert told
+    for r in P.pii(df).collect():
+        want = sorted({(m.start(), m.end()) for e, w in told if e in r.text
+                       for m in re.finditer(rf"(?<![^\W\d_]){w}(?![^\W\d_])", r.text)
+                       if not any(k.start() <= m.start() < k.end() for k in re.finditer(r"\S+@\S+", r.text))})
+        assert [(x.start, x.end) for x in r.found if x.kind == 4] == want

@@ -1,9 +1,10 @@
 """Personal data by patterns and information-theoretic sanitisation.
 
 Patterns find protected entities (addresses, numbers). The corpus then says how strongly a
-term near an entity gives it away: the pointwise mutual information of term and entity
-against the information content of the entity itself. Terms beyond the disclosure
-threshold are generalised or removed like the entities.
+term of the same document gives an entity away: the pointwise mutual information of term
+and entity against the information content of the entity itself. Terms beyond the disclosure
+threshold are generalised or removed like the entities, wherever they stand in a document
+that holds the entity.
 
 Built-in functions only. Positions are code points from 0, ends exclusive.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketspark.llm.common import plain
+from ticketspark.operators.vocab import sized
 from ticketspark.session import materialize
 
 # The kinds in their order. The patterns give the same matches as the plain ones of the
@@ -31,7 +33,7 @@ PATTERNS = {
 CUES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": PATTERNS["card"], "phone": r"\+[0-9]"}
 TERM = r"\p{L}{3,}"
 
-# Code points on either side of an entity whose terms may disclose it.
+# Only the oracle SQL looks no further than so many code points on either side of an entity.
 CONTEXT = 64
 # Share of an entity's information that a term may give, and from which on it is removed
 # instead of generalised; different texts that must show the two together.
@@ -92,53 +94,81 @@ def _terms(context: Column, first: Column) -> Column:
         F.lit("n"), F.length(m)))
 
 
-def contexts(base: DataFrame, texts: DataFrame) -> DataFrame:
-    """(_row, entity, term, start, end, text_id) of each whole term within CONTEXT of an
-    entity and not beyond the next one. ``texts``: (_row, _text) of rows with entities."""
+def names(base: DataFrame) -> DataFrame:
+    """(_row, entity): the distinct entities of each text; their spellings are one."""
+    name = F.concat_ws(":", F.col("kind").cast("string"), F.when(
+        F.col("kind") == 0, F.lower("value")).otherwise(_digits(F.col("value"))))
+    return base.select("_row", name.alias("entity")).distinct()
+
+
+def outside(base: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_row, term, start, end) of each whole term of a text that is in no entity.
+    ``base``: the entities; ``texts``: (_row, _text) of the rows asked for."""
     order = Window.partitionBy("_row").orderBy("start", "kind")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.lead("start").over(order)
-    b = base.withColumn("_lo", F.coalesce(before, F.lit(0))).withColumn("_hi", after)
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    b = base.select("_row", "start", F.coalesce(before, F.lit(0)).alias("_lo"), upto.alias("_end"),
+                    F.lead("start").over(order).isNull().alias("_last"))
     b = b.join(texts, "_row")
-    # a character more on either side shows whether a border cuts a term
-    lo = F.greatest("_lo", F.col("start") - CONTEXT, F.lit(0))
-    hi = F.least(F.coalesce("_hi", F.length("_text")), F.col("end") + CONTEXT, F.length("_text"))
 
     def side(a: Column, z: Column) -> Column:
         return F.struct(a.alias("a"), z.alias("z"))
 
-    b = b.withColumn("_side", F.explode(F.array(side(lo, F.col("start")), side(F.col("end"), hi))))
+    # what stands before each entity, and after the last one
+    b = b.withColumn("_side", F.explode(F.array(side(F.col("_lo"), F.col("start")), F.when(
+        F.col("_last"), side(F.col("_end"), F.length("_text"))))))
     b = b.where(F.col("_side.a") < F.col("_side.z")).withColumn("_t", F.explode(_terms(
         F.substring("_text", F.col("_side.a") + 1, F.col("_side.z") - F.col("_side.a")), F.col("_side.a"))))
     end = F.col("_t.start") + F.col("_t.n")
     letter = r"^\p{L}"
+    # a character more on either side shows whether a border cuts a term
     cut = F.when(F.col("_t.start") == F.col("_side.a"), F.when(F.col("_side.a") > 0, F.substring(
         "_text", F.col("_side.a"), F.lit(1)).rlike(letter)).otherwise(False)).otherwise(False) | F.when(
         end == F.col("_side.z"), F.substring("_text", F.col("_side.z") + 1, F.lit(1)).rlike(letter)).otherwise(False)
-    name = F.concat_ws(":", F.col("kind").cast("string"), F.when(
-        F.col("kind") == 0, F.lower("value")).otherwise(_digits(F.col("value"))))
-    return b.where(~cut).select("_row", name.alias("entity"), F.col("_t.term").alias("term"),
-                                F.col("_t.start").alias("start"), end.alias("end"),
-                                F.xxhash64("_text", F.length("_text")).alias("text_id"))
+    return b.where(~cut).select("_row", F.col("_t.term").alias("term"), F.col("_t.start").alias("start"),
+                                end.alias("end"))
 
 
-def disclosing(seen: DataFrame, frequency: DataFrame, total: int) -> DataFrame:
+def disclosing(holders: DataFrame, terms: DataFrame, total: int) -> DataFrame:
     """(entity, term, share, removed): terms that give ``DISCLOSURE`` of an entity's
-    information or more. ``seen``: contexts; ``frequency``: (term, n_term) rows of the
-    corpus. Counts are of documents; support counts different texts, so that copies of
-    one text don't prove a link. All are combined within tasks first."""
-    per_doc = seen.select("entity", "term", "_row", "text_id").distinct()
-    by_text = per_doc.groupBy("entity", "term", "text_id").agg(F.count(F.lit(1)).alias("n"))
-    pair = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("texts"))
-    pair = pair.where(F.col("texts") >= SUPPORT)
-    docs = per_doc.select("entity", "_row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    known = pair.join(docs, "entity").join(frequency, "term")
+    information or more. ``holders``: (_row, entity, n_entity, text_id) of each text and
+    entity; ``terms``: distinct (_row, term, n_term). Counts are of documents; support
+    counts different texts, so that copies of one text don't prove a link. A term of too
+    many documents can't reach the threshold however often the two share one, and is left
+    out before pairing. Pairs are combined within tasks first."""
+    most = F.pow(F.col("n_entity"), F.lit(DISCLOSURE)) * total ** (1 - DISCLOSURE) * (1 + 1e-9)
+    pairs = holders.join(terms, "_row").where(F.col("n_term") <= most)
+    by_text = pairs.groupBy("entity", "term", "text_id").agg(
+        F.count(F.lit(1)).alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    known = by_text.groupBy("entity", "term").agg(
+        F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("texts"), F.first("n_entity").alias("n_entity"),
+        F.first("n_term").alias("n_term")).where(F.col("texts") >= SUPPORT)
     info = F.log(F.lit(float(total)) / F.col("n_entity"))
     given = F.log(F.col("n_pair") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     return known.withColumn("share", F.when(info > 0, given / info).otherwise(0.0)).where(
         F.col("share") >= DISCLOSURE).select("entity", "term", "share", (F.col("share") >= REMOVAL).alias("removed"))
 
 
+def _told(base: DataFrame, hit: DataFrame, frequency: DataFrame, total: int) -> DataFrame:
+    """(_row, start, end, removed): every place of a disclosing term in the texts that hold
+    its entity. ``hit``: (_row, _text, _id) of the rows with entities; ``frequency``: (term,
+    n_term) of the corpus."""
+    named = materialize(names(base).join(hit.select("_row", F.col("_id").alias("text_id")), "_row"), "pii-entities")
+    by_text = named.groupBy("entity", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    shown = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+    shown = sized(shown.where((F.col("texts") >= SUPPORT) & (F.col("n_entity") < total)).drop("texts"), "pii-shown")
+    holders = materialize(named.join(shown, "entity"), "pii-holders")
+    asked = holders.select("_row").distinct()
+    terms = materialize(outside(base.join(asked, "_row"), hit.select("_row", "_text")), "pii-terms")
+    once = terms.select("_row", "term").distinct()
+    rare = frequency.join(terms.select("term").distinct(), "term").where(F.col("n_term") >= SUPPORT)
+    most = shown.agg(F.max("n_entity")).first()[0] or 0  # as in disclosing(), for any entity
+    rare = sized(rare.where(F.col("n_term") <= most ** DISCLOSURE * total ** (1 - DISCLOSURE) * (1 + 1e-9)), "pii-rare")
+    told = sized(disclosing(holders, once.join(rare, "term"), total), "pii-told")
+    marked = holders.join(told, "entity").groupBy("_row", "term").agg(F.max("removed").alias("removed"))
+    return terms.join(marked, ["_row", "term"]).select("_row", "start", "end", "removed")
+
+
 def pii(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) plus ``n_email``, ``n_ip``, ``n_card``, ``n_phone``,
     ``base_sha256`` (of the base spans as kind:start:end), ``spans`` (with the terms),
@@ -150,8 +180,8 @@ def pii(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) ->
     to it; an empty table stays empty.
     """
     df = plain(df)
-    names = ["n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", "found"]
-    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+    outputs = ["n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", "found"]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in outputs]
     text = F.col(f"`{text_col}`")
     empty = F.lit(None).cast("struct<gap:array<int>,m:array<string>>")
 
@@ -167,26 +197,24 @@ def pii(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) ->
     any_found = F.exists("_found", lambda f: F.coalesce(F.size(f["m"]), F.lit(0)) > 0)
     rows = rows.withColumn("_hit", any_found)
     rows = rows.select(*[F.col(f"`{c}`") for c in kept], "_row", "_hit", F.when(F.col("_hit"), F.col("_found")).alias(
-        "_found"), F.when(F.col("_hit"), F.col("_text")).alias("_text"))
+        "_found"), F.when(F.col("_hit"), F.col("_text")).alias("_text"), F.when(
+        F.col("_hit"), F.xxhash64("_text", F.length("_text"))).alias("_id"))
     rows = materialize(rows, "pii-rows")
     hit = rows.where("_hit")
     base = materialize(entities(hit.select("_row", "_found")), "pii-base")
-    seen = materialize(contexts(base, hit.select("_row", "_text")), "pii-contexts")
 
     # documents that hold each term: one row a term leaves a task
     frequency = df.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(
         text, F.lit(TERM), F.lit(0)), F.lower))).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_term"))
     total = rows.count()
-    told = materialize(disclosing(seen, frequency, total), "pii-terms")
-    terms = seen.join(told, ["entity", "term"]).groupBy("_row", "start", "end").agg(
-        F.max("removed").alias("removed"))
+    terms = _told(base, hit.select("_row", "_text", "_id"), frequency, total)
 
     every = base.select("_row", "start", "kind", "end", F.lit(True).alias("removed")).unionByName(
         terms.select("_row", "start", F.lit(KINDS.index("term")).alias("kind"), "end", "removed"))
     by_row = materialize(every.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
         "start", "kind", "end", "removed"))).alias("found")), "pii-found")
-    out = rows.drop("_found", "_text", "_hit").join(by_row, "_row", "left").withColumn(
+    out = rows.drop("_found", "_text", "_hit", "_id").join(by_row, "_row", "left").withColumn(
         "found", F.coalesce("found", F.array().cast(by_row.schema["found"].dataType)))
 
     def count(kind: str) -> Column:
