@@ -131,3 +131,21 @@ def test_components_match_plain(spark):
     want = label_of(pairs, nodes)
     assert len(set(zip(want, [got[x] for x in nodes]))) == len(set(want)) == len(set(got.values()))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_of_a_dense_leaf_are_bounded(spark):
+    # a cluster that no vantage point parts, some apart from it, and strangers
+    rnd = np.random.default_rng(4)
+    base = np.uint64(0x0123456789ABCDEF)
+    low = rnd.choice(1 << 12, 2500, replace=False).astype(np.uint64)
+    fp = np.unique(np.concatenate([base ^ low, rnd.integers(0, 1 << 63, 1500).astype(np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    got = S.dealt(df, shard_rows=64, guest_rows=400).toPandas()
+    size = got.groupby(["leaf", "block"])["home"].agg(["sum", "size"])
+    assert size["sum"].max() <= 4 * 64 and (size["size"] - size["sum"]).max() <= 400
+    assert len(got["fp"].unique()) == len(fp)
+    sets = S.Sets(len(fp))
+    for r in S.links(df, shard_rows=64, guest_rows=400).collect():
+        a, b = (np.searchsorted(fp, np.array([x], np.int64).view(np.uint64)) for x in (r.a, r.b))
+        sets.join(a, b)
+    assert (sets.find(np.arange(len(fp))) == classes(fp)).all()

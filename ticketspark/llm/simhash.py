@@ -23,6 +23,8 @@ from ticketspark.llm.components import components
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 # Fingerprints of a shard aimed at; a shard of over 4 times as many is dealt in blocks.
 SHARD_ROWS = 4096
+# Guests of a group at most, in multiples of the rows of a shard.
+GUESTS = 64
 # Fingerprints sampled for each shard to place the tree's splits, and their sum's bound.
 SAMPLE_PER_SHARD, MAX_SAMPLE = 64, 1 << 18
 _BLOCK = 1 << 15
@@ -213,10 +215,12 @@ def shard_links(fp: np.ndarray, home: np.ndarray, bits: int, leaf: int = 64) ->
     return fp[linked], fp[root[linked]]
 
 
-def links(distinct: DataFrame, fp_col: str = "fp", bits: int = MAX_BITS,
-          shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b) links between distinct fingerprints (64-bit integers) which connect all pairs
-    that differ in ``bits`` bits at most."""
+def dealt(distinct: DataFrame, fp_col: str = "fp", bits: int = MAX_BITS,
+          shard_rows: int = SHARD_ROWS, guest_rows: int | None = None) -> DataFrame:
+    """(leaf, block, fp, home): groups of some ``4 * shard_rows`` fingerprints at home and
+    ``guest_rows`` (``GUESTS`` times ``shard_rows``) guests at most, such that each pair within
+    ``bits`` shares a group in which one of the two at least is at home."""
+    guest_rows = guest_rows or GUESTS * shard_rows
     n = distinct.count()
     depth = max(0, math.ceil(math.log2(max(n, 1) / shard_rows)))
     size = min(MAX_SAMPLE, SAMPLE_PER_SHARD << depth)
@@ -230,38 +234,53 @@ def links(distinct: DataFrame, fp_col: str = "fp", bits: int = MAX_BITS,
         for pdf in batches:
             fp = pdf[fp_col].to_numpy().view(np.uint64)
             _, leaf, home = tree.route(fp, bits)
-            k = np.bincount(leaf[home], minlength=tree.leaves)
-            yield pd.DataFrame({"leaf": np.flatnonzero(k), "n": k[k > 0]})
+            k = np.bincount(leaf, minlength=tree.leaves)
+            own = np.bincount(leaf[home], minlength=tree.leaves)
+            yield pd.DataFrame({"leaf": np.flatnonzero(k), "n": own[k > 0], "every": k[k > 0]})
 
     one = distinct.select(fp_col)
     # a row for each leaf of the tree, whose size the sample bounds
-    homes = {r["leaf"]: r["n"] for r in one.mapInPandas(at_home, "leaf long, n long").groupBy(
-        "leaf").agg(F.sum("n").alias("n")).collect()}
-    blocks = np.ones(tree.leaves, np.int64)
-    for leaf, k in homes.items():
+    sizes = one.mapInPandas(at_home, "leaf long, n long, every long").groupBy("leaf").agg(
+        F.sum("n").alias("n"), F.sum("every").alias("every")).collect()
+    blocks, parts = np.ones(tree.leaves, np.int64), np.ones(tree.leaves, np.int64)
+    for leaf, k, every in sizes:
         if k > 4 * shard_rows:
             blocks[leaf] = -(-k // (2 * shard_rows))
+        if every > guest_rows:
+            parts[leaf] = -(-2 * every // guest_rows)
 
     def deal(batches):
         for pdf in batches:
             fp = pdf[fp_col].to_numpy().view(np.uint64)
             at, leaf, home = tree.route(fp, bits)
-            k = blocks[leaf]
+            k, p = blocks[leaf], parts[leaf]
             own = np.where(home, (fp[at] % np.uint64(1_000_003)).astype(np.int64) % k, -1)
-            # in a leaf dealt in blocks, one at home in a block is a guest of all later ones
-            times = np.where(home, k - own, k)
+            part = (fp[at] % np.uint64(1_000_033)).astype(np.int64) % p
+            # one at home is so in all parts of its block, and a guest of all later blocks; a
+            # block's guests are dealt over its parts
+            rest = k - 1 - own
+            times = np.where(home, p + rest, k)
             row = np.repeat(np.arange(len(at)), times)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            block = np.where(home, own, 0)[row] + nth
+            at_home = home[row] & (nth < p[row])
+            later = np.where(home, own + 1 - p, 0)[row] + nth
+            block = np.where(at_home, own[row] * p[row] + nth, later * p[row] + part[row])
             yield pd.DataFrame({"leaf": leaf[row], "block": block, "fp": fp[at[row]].view(np.int64),
-                                "home": home[row] & (nth == 0)})
+                                "home": at_home})
+
+    return one.mapInPandas(deal, "leaf long, block long, fp long, home boolean")
 
+
+def links(distinct: DataFrame, fp_col: str = "fp", bits: int = MAX_BITS,
+          shard_rows: int = SHARD_ROWS, guest_rows: int | None = None) -> DataFrame:
+    """(a, b) links between distinct fingerprints (64-bit integers) which connect all pairs
+    that differ in ``bits`` bits at most."""
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = shard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), bits)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = one.mapInPandas(deal, "leaf long, block long, fp long, home boolean")
-    return dealt.groupBy("leaf", "block").applyInPandas(search, "a long, b long")
+    groups = dealt(distinct, fp_col, bits, shard_rows, guest_rows)
+    return groups.groupBy("leaf", "block").applyInPandas(search, "a long, b long")
 
 
 def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
