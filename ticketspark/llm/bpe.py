@@ -1,9 +1,11 @@
-"""Byte-level BPE encoding and decoding by corpus-level merge replay.
-
-The distinct pre-tokens of a block of documents are laid out once as one array of byte
-tokens. An index leads from adjacent token pairs to the positions where they stand and
-the merges that they undergo; merges are applied in rank order, to all words at once,
-and only the neighbours that a merge touched enter the index anew.
+"""Byte-level BPE encoding and decoding by merge replay over blocks of documents.
+
+The distinct pre-tokens of a block are laid out once as one array of byte tokens. Words of
+up to ``Replay.SHORT`` bytes, which are nearly all, go through rounds without an index: each
+word undergoes its own merge of the lowest rank in each. Only for longer words an inverted
+index leads from adjacent token pairs to the positions where they stand, and merges are
+applied in rank order to all of them, where only the neighbours that a merge touched enter
+the index anew. Both give the ids of merging one word after the other.
 """
 
 from __future__ import annotations
