@@ -91,3 +91,25 @@ def test_derived_ids_do_not_depend_on_layout(spark, tmp_dir):
     a, b = (sorted(jobs.read_input(spark, os.path.join(tmp_dir, x), "parquet", "instruction", "intent", None)
                    .select("ticket_id", "intent").collect()) for x in "ab")
     assert a == b and len({r.ticket_id for r in a}) == len(a)
+
+
+def test_json_lines_keep_all_columns(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "more-json")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write('{"instruction": "hi there", "intent": "a", "category": "x", "extra": {"k": [1]}}\n' * 2)
+        f.write('{"instruction": "bye now", "intent": "b", "late": 7}\nnot json\n')
+    got = jobs.read_input(spark, src, "json", "instruction", "intent", None)
+    rows = {r.instruction: r for r in got.collect()}
+    assert set(got.columns) == {"instruction", "intent", "category", "extra", "late", "ticket_id"}
+    assert (rows["hi there"].category, rows["hi there"].extra, rows["bye now"].late) == ("x", '{"k": [1]}', "7")
+
+
+def test_equal_rows_in_many_tasks_get_the_ids_of_one_task(spark, tmp_dir):
+    rows = spark.createDataFrame([("same", "a")] * 500 + [("other", "b")], "instruction string, intent string")
+    ids = []
+    for n in (1, 7):
+        rows.repartition(n).write.parquet(os.path.join(tmp_dir, f"p{n}"))
+        df = jobs.read_input(spark, os.path.join(tmp_dir, f"p{n}"), "parquet", "instruction", "intent", None)
+        ids.append(sorted(r.ticket_id for r in df.collect()))
+    assert ids[0] == ids[1] and len(set(ids[0])) == 501

@@ -36,8 +36,8 @@ def read_input(spark: SparkSession, path: str, fmt: str, text_col: str, label_co
                id_col: str | None) -> DataFrame:
     """The input with text, label and id under their own names and all other columns.
 
-    JSON lines are read once, by a declared schema of the columns that the arguments name;
-    Parquet and CSV bring their own columns. Without an id column, ids are
+    JSON lines are read for the names of their columns first; all are strings then, nested
+    ones as JSON. Parquet and CSV bring their own columns. Without an id column, ids are
     an order of the rows' own values: equal rows are told apart by their count, so the
     same rows get the same ids however the files are laid out.
     """
@@ -46,6 +46,9 @@ def read_input(spark: SparkSession, path: str, fmt: str, text_col: str, label_co
         reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
     elif fmt == "json":
         fields = dict.fromkeys([text_col, label_col, *([id_col] if id_col else [])])
+        named = {c.lower() for c in fields}
+        found = spark.read.option("primitivesAsString", "true").option("mode", "DROPMALFORMED").json(path).columns
+        fields |= dict.fromkeys(c for c in found if c.lower() not in named)
         reader = reader.schema(", ".join(f"`{c}` string" for c in fields))
     df = reader.format(fmt).load(path)
     df = df.withColumnRenamed(text_col, TEXT).withColumnRenamed(label_col, LABEL)
@@ -53,9 +56,15 @@ def read_input(spark: SparkSession, path: str, fmt: str, text_col: str, label_co
         return df.withColumn(ID, F.col(id_col).cast("long"))
     every = F.concat_ws("|", *[F.coalesce(F.md5(F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns])
     one = df.withColumn("_h", F.xxhash64(every)).withColumn("_m", F.md5(every))
-    # rows of one content differ in nothing, so which of them is first doesn't matter
-    nth = F.row_number().over(Window.partitionBy("_h", "_m").orderBy("_m"))
-    return one.withColumn(ID, F.xxhash64("_h", "_m", nth)).drop("_h", "_m")
+    # rows of one content differ in nothing, so which of them is first doesn't matter: they
+    # are numbered in the parts that tasks saved, from where the parts before end
+    one = materialize(one.withColumn("_part", F.spark_partition_id()), "jobs-numbered")
+    before = Window.partitionBy("_h", "_m").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = one.groupBy("_h", "_m", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_h", "_m", "_part").orderBy("_m"))
+    numbered = one.withColumn("_i", nth).join(parts, ["_h", "_m", "_part"])
+    return numbered.select(*df.columns, F.xxhash64("_h", "_m", (F.col("_i") + F.col("_n")).cast("int")).alias(ID))
 
 
 def prepare(spark, a) -> dict:
