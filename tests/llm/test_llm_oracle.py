@@ -12,7 +12,8 @@ from ticketspark.llm.queries import queries
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF001}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF001}/{table}.parquet')")
     df, sql = queries()[name](spark, SF001), oracle_sql()[name]
     assert type_mismatches(df, con, sql) == {}
     assert rows_of(df.toPandas()) == rows_of(con.execute(sql).df())

@@ -5,7 +5,7 @@ Written as plain definitions over whole tables, not as an execution strategy.
 
 from __future__ import annotations
 
-from ticketspark.llm import licenses, pii, quality, secrets
+from ticketspark.llm import divergence, fim, licenses, pii, pstable, quality, secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HAS_WORD = r"'[^\x20\x09-\x0D]'"
@@ -189,6 +189,68 @@ SELECT doc_id, coalesce(k0, 0) AS n_email, coalesce(k1, 0) AS n_ip, coalesce(k2,
   coalesce(k4, 0) AS n_term FROM d LEFT JOIN f USING (r)"""
 
 
+def vector_duplicates_sql() -> str:
+    """All pairs of a label, compared; what is reachable by recursion."""
+    return rf"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CASE WHEN label IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+links AS (SELECT a.r AS r, b.r AS s FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= {pstable.COSINE}),
+reach AS (SELECT r, r AS s FROM v UNION SELECT reach.r, links.s FROM reach JOIN links ON reach.s = links.r),
+sets AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.s = v.r GROUP BY reach.r),
+degree AS (SELECT r, count(*) AS n FROM links GROUP BY r)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN sets USING (r) LEFT JOIN degree USING (r)"""
+
+
+def divergence_sql() -> str:
+    """Every source's share of every kept term, zero occurrences included."""
+    unit, smooth = divergence.UNIT, divergence.SMOOTH
+    share = f"1 + ({unit}::HUGEINT * (%s + {smooth})) // (%s + {smooth} * terms)"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+vocab AS (SELECT lang, count(*) AS terms FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY lang, source, term),
+total AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY lang, source),
+every AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang),
+every_n AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY lang, term),
+q AS (SELECT lang, term, {share % ("n", "total")} AS q FROM every_n JOIN every USING (lang) JOIN vocab USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {share % ("coalesce(n, 0)", "coalesce(total, 0)")} AS p
+  FROM groups g JOIN kept k USING (lang) JOIN vocab USING (lang) LEFT JOIN total USING (lang, source) LEFT JOIN n USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM y)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM z
+WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
+def fim_sql() -> str:
+    p, s, m = fim.PREFIX, fim.SUFFIX, fim.MIDDLE
+    h = ", ".join(f"CAST('0x' || substr(x, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+  sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, n, {h} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE
+  WHEN n = 0 OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR h3 % 100 >= {fim.PLAIN_FROM} THEN 'plain'
+  WHEN h4 % 100 < {fim.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, CASE WHEN a = 0 THEN '' ELSE substring(t, 1, a) END AS prefix,
+  CASE WHEN a = b THEN '' ELSE substring(t, a + 1, b - a) END AS middle,
+  CASE WHEN b = n THEN '' ELSE substring(t, b + 1, n - b) END AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle
+    ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256,
+  sha256(prefix || middle || suffix) AS restored_sha256 FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality_sql(), "op5_licenses": licenses_sql(),
-            "op7_pii": pii_sql(), "op10_secrets": secrets_sql()}
+    return {"op4_quality": quality_sql(), "op5_licenses": licenses_sql(), "op7_pii": pii_sql(),
+            "op10_secrets": secrets_sql(), "op11_vector_duplicates": vector_duplicates_sql(),
+            "op12_divergence": divergence_sql(), "op13_fim": fim_sql()}

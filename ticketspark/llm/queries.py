@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.llm import ann, bpe, langid, licenses, mixing, pii, quality, secrets, simhash, tokens
+from ticketspark.llm import (ann, bpe, divergence, fim, langid, licenses, mixing, pii, pstable, quality,
+                             secrets, simhash, tokens)
 from ticketspark.llm.oracle import oracle_sql  # noqa: F401  (registered with the queries)
 from ticketspark.sources.tables import read_table
 
@@ -62,5 +63,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("found")
 
 
+def op11_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_duplicates(read_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(documents(spark, sf_dir), keep=["doc_id"])
+    back = fim.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_tokens, op4_quality, op5_licenses, op6_neighbours, op7_pii, op8_language, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (
+        op1_mixing, op2_simhash, op3_tokens, op4_quality, op5_licenses, op6_neighbours, op7_pii, op8_language,
+        op9_bpe, op10_secrets, op11_vector_duplicates, op12_divergence, op13_fim)}
