@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ticketspark.functions.hashing import fingerprint_term
 from ticketspark.operators import quota as Q
+from ticketspark.operators.textkeys import text_groups
 from ticketspark.session import materialize
 
 TEST_FRACTION = 0.15
@@ -103,17 +104,17 @@ def arm_alignment(left: DataFrame, right: DataFrame, id_col: str = "ticket_id")
 def leakage(train: DataFrame, test: DataFrame, text_col: str = "instruction") -> DataFrame:
     """(n_test, n_leaked, leak_rate): test rows whose exact text also occurs in train.
 
-    One grouped pass over the tagged union of both sides: per text, the number of test
-    copies and whether any train copy exists (map-side combined, so a text repeated a
-    million times is one partial row per task), then a global sum.
+    One grouped pass over the tagged union of both sides by the texts' digests: per text,
+    the number of test copies and whether any train copy exists (combined within tasks, so a
+    text repeated a million times is one partial row per task), then a global sum.
     """
-    t = test.select(F.col(text_col).alias("_t"), F.lit(1).alias("_n"), F.lit(0).alias("_in_train"))
-    r = train.select(F.col(text_col).alias("_t"), F.lit(0).alias("_n"), F.lit(1).alias("_in_train"))
-    per_text = t.unionByName(r).groupBy("_t").agg(
-        F.sum("_n").alias("_n"), F.max("_in_train").alias("_in_train"))
+    both = test.select(F.col(text_col).alias("_t"), F.lit(False).alias("_train")).unionByName(
+        train.select(F.col(text_col).alias("_t"), F.lit(True).alias("_train")))
+    per_text = text_groups(both, "_t", [F.col("_train")]).groupBy("_key").agg(
+        F.sum(F.when(~F.col("_train"), F.col("_n")).otherwise(0)).alias("_n"), F.max("_train").alias("_train"))
     return per_text.agg(
-        F.sum("_n").cast("long").alias("n_test"),
-        F.sum(F.when(F.col("_in_train") == 1, F.col("_n")).otherwise(0)).cast("long").alias("n_leaked"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_test"),
+        F.coalesce(F.sum(F.when(F.col("_train"), F.col("_n"))), F.lit(0)).cast("long").alias("n_leaked"),
     ).withColumn("leak_rate", F.round(
         F.when(F.col("n_test") > 0, F.col("n_leaked") / F.col("n_test")).otherwise(F.lit(0.0)), 6))
 

@@ -129,9 +129,7 @@ def q_duplicate_groups(spark, d):
 @query("label_conflicts")
 def q_label_conflicts(spark, d):
     # the audit of the intent label, and one of the source: copies differ in the latter only
-    t = fx.tickets(spark, d)
-    return D.label_conflicts(t).withColumn("key", F.lit("intent")).unionByName(
-        D.label_conflicts(t, label_col="category").withColumn("key", F.lit("category")))
+    return D.label_conflicts(fx.tickets(spark, d), label_cols=["intent", "category"])
 
 
 # -------------------------------------------------------- E: split, sampling
