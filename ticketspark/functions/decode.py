@@ -29,12 +29,14 @@ def decode_lenient(raw: Column, labels: Column, lower_labels: Column | None = No
 
     The exact match is an ``array_position`` lookup in the lower-cased labels (pass
     ``lower_labels`` computed once, e.g. by ``vocab.lower_label_array``); the
-    substring scan, a per-label lambda, runs only for outputs without an exact match.
+    substring scan, a per-label lambda, runs only for outputs without an exact match. For
+    row-wise use (streams) with few labels; ``operators.labelmatch.decode_outputs`` takes a
+    table of labels of any size.
     """
     cleaned = lenient_clean(raw)
     low = lower_labels if lower_labels is not None else F.transform(labels, F.lower)
     idx = F.array_position(low, cleaned)
-    contained = F.get(F.filter(labels, lambda l: F.contains(cleaned, F.lower(l))), 0)
+    contained = F.get(F.filter(labels, lambda _, i: F.contains(cleaned, F.get(low, i))), 0)
     return F.when(idx > 0, F.element_at(labels, idx.cast("int"))).otherwise(
         F.coalesce(contained, F.lit(UNPARSEABLE)))
 

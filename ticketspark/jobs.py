@@ -22,9 +22,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketspark.functions.decode import decode_lenient
 from ticketspark.operators import dedup, metrics, predict, profile, split
-from ticketspark.operators.vocab import label_array, lower_label_array
+from ticketspark.operators.labelmatch import decode_outputs
 from ticketspark.session import apply_runtime_conf, materialize, release_saved, saved_paths
 from ticketspark.sinks import writers
 from ticketspark.sources.readers import load_tickets
@@ -103,10 +102,7 @@ def evaluate(spark, a) -> dict:
     scored = scorer(spark, a.model, a.model_path, train)(rows, ID, TEXT, [LABEL])
     pred = scored.select(ID, LABEL, F.col("predicted_intent").alias("raw_output"))
     # labels from the evaluated rows, as in the reference; free text decoded leniently
-    pred = pred.withColumn("_l", label_array(rows)).withColumn("_ll", lower_label_array(rows))
-    pred = pred.withColumn("predicted_intent", decode_lenient(
-        F.col("raw_output"), F.col("_l"), F.col("_ll"))).drop("_l", "_ll")
-    pred = materialize(pred, "jobs-predictions")
+    pred = materialize(decode_outputs(pred, "raw_output", rows, LABEL), "jobs-predictions")
     # the CSV has every column of the rows; ids are unique, as the split requires
     out = rows.join(pred.drop(LABEL), ID)
     writers.write_predictions_csv(out, os.path.join(a.output, "predictions"))

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketspark.functions.decode import UNPARSEABLE
-from ticketspark.operators.vocab import MAX_CLASSES, guard_size
 
 ARM = "arm"
 
@@ -58,10 +57,9 @@ def label_stats(oc: DataFrame) -> DataFrame:
         F.sum("n_predicted").cast("long").alias("n_predicted"))
 
 
-def arm_labels(oc: DataFrame) -> DataFrame:
-    """(arm, labels): sorted distinct actual labels per arm, size-guarded."""
-    return oc.where(F.col("actual").isNotNull()).groupBy(ARM).agg(
-        guard_size(F.array_sort(F.collect_set("actual")), MAX_CLASSES, "label set").alias("labels"))
+def arm_labels(oc: DataFrame, as_col: str = "label") -> DataFrame:
+    """(arm, label): the distinct actual labels per arm, as a relation of any size."""
+    return oc.where(F.col("actual").isNotNull()).select(ARM, F.col("actual").alias(as_col)).distinct()
 
 
 def _with_scores(stats: DataFrame) -> DataFrame:
@@ -151,18 +149,18 @@ def micro_avg(oc: DataFrame, places: int | None = 6) -> DataFrame:
 
 def confusion_matrix(oc: DataFrame) -> DataFrame:
     """(arm, actual, predicted, n) over label x label, zero cells present, out-of-label
-    predictions dropped. The grid is generated from the arm's (guarded) label array."""
-    grid = arm_labels(oc).select(ARM, F.explode("labels").alias("actual"), "labels").select(
-        ARM, "actual", F.explode("labels").alias("predicted"))
+    predictions dropped. The grid is as large as the result: each label of an arm with each."""
+    grid = arm_labels(oc, "actual").join(arm_labels(oc, "predicted"), ARM)
     return grid.join(oc, [ARM, "actual", "predicted"], "left").select(
         ARM, "actual", "predicted", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def confusion_cells(oc: DataFrame) -> DataFrame:
     """(arm, actual, predicted, n): the cells of the matrix that aren't zero, for label sets
-    whose square is too large."""
-    return oc.join(arm_labels(oc), ARM).where(F.array_contains("labels", F.col("predicted"))).select(
-        ARM, "actual", "predicted", F.col("n").cast("long").alias("n")).where(F.col("actual").isNotNull())
+    whose square is too large. Membership in the label set is a semi-join."""
+    return oc.where(F.col("actual").isNotNull()).join(
+        arm_labels(oc, "predicted"), [ARM, "predicted"], "left_semi").select(
+        ARM, "actual", "predicted", F.col("n").cast("long").alias("n"))
 
 
 def confusion_pivot(oc: DataFrame, labels: list[str]) -> DataFrame:

@@ -34,15 +34,19 @@ def measure(df: DataFrame) -> tuple[int, int]:
     return n, size or 0
 
 
+def fits(saved: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """Is the measured size of a saved table within the budget of a broadcast?"""
+    rows, size = measure(saved)
+    return rows <= (BROADCAST_ROWS if max_rows is None else max_rows) and size <= (
+        BROADCAST_BYTES if max_bytes is None else max_bytes)
+
+
 def sized(df: DataFrame, name: str, max_rows: int | None = None,
           max_bytes: int | None = None) -> DataFrame:
     """``df`` as a saved table, marked for broadcast only if its measured size is within
     the budget; a larger one is left to a shuffle join."""
     saved = materialize(df, name)
-    rows, size = measure(saved)
-    fits = rows <= (BROADCAST_ROWS if max_rows is None else max_rows) and size <= (
-        BROADCAST_BYTES if max_bytes is None else max_bytes)
-    return F.broadcast(saved) if fits else saved
+    return F.broadcast(saved) if fits(saved, max_rows, max_bytes) else saved
 
 
 def label_vocab(df: DataFrame, label_col: str = "intent") -> DataFrame:

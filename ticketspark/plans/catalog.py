@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.functions.decode import decode_lenient, decode_raw, decode_strict
+from ticketspark.functions.decode import decode_raw, decode_strict
 from ticketspark.operators import compare as C
 from ticketspark.operators import dedup as D
+from ticketspark.operators import labelmatch as LM
 from ticketspark.operators import metrics as M
 from ticketspark.operators import predict as P
 from ticketspark.operators import profile as PR
@@ -246,9 +247,8 @@ def q_predict_batch(spark, d):
     # a model on the driver needs its label set there, which the guard of the array bounds
     labels = spark.range(1).select(V.label_array(train).alias("labels")).first()["labels"]
     raw = P.predict_batch(test, P.KeywordPredictor(labels), "instruction")
-    out = raw.withColumn("_labels", V.label_array(train))
-    return out.select("ticket_id", "intent", "raw_output",
-                      decode_lenient(F.col("raw_output"), F.col("_labels")).alias("predicted_intent"))
+    return LM.decode_outputs(raw, "raw_output", train, "intent").select(
+        "ticket_id", "intent", "raw_output", "predicted_intent")
 
 
 @query("predict_keyword")
@@ -296,11 +296,11 @@ def q_predict_lr(spark, d):
 
 
 def _decoded(spark, d) -> DataFrame:
-    sc = fx.scored(spark, d)
-    return sc.withColumn("_labels", V.label_array(sc)).withColumn(
-        "_lower", V.lower_label_array(sc)).withColumn(
-        "predicted_intent", decode_lenient(F.col("raw_output"), F.col("_labels"), F.col("_lower"))
-    ).drop("_labels", "_lower")
+    # decoded once per session, for the decoding query and the metrics alike
+    def build():
+        sc = fx.scored(spark, d)
+        return materialize(LM.decode_outputs(sc, "raw_output", sc, "intent"), "decoded")
+    return SH.memo(spark, d, "decoded", build)
 
 
 @query("decode_lenient")
