@@ -128,3 +128,35 @@ def test_shares_are_those_of_documents(spark):
                        for m in re.finditer(rf"(?<![^\W\d_]){w}(?![^\W\d_])", r.text)
                        if not any(k.start() <= m.start() < k.end() for k in re.finditer(r"\S+@\S+", r.text))})
         assert [(x.start, x.end) for x in r.found if x.kind == 4] == want
+
+
+def test_long_texts_with_many_shared_addresses(spark):
+    """Linear in the text: three texts of 100,000 words each, which share 1,000 addresses."""
+    import time
+    data = []
+    for k in range(3):
+        parts = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}word" for i in range(100_000)]
+        for i in range(1000):
+            parts[97 * i + k] = f"someone{i}@corp.example"
+        parts[50_000 + k] = "zanzibarov"
+        data.append(" ".join(parts))
+    data += [" ".join(f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst") + f" number {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r for r in P.pii(df).collect()}
+    assert time.time() - begun < 120
+    for i in range(3):
+        check(got[i], data[i])
+        assert got[i].n_email == 1000 and got[i].n_term == 1
+        at = data[i].index("zanzibarov")
+        assert f"term:{at}:{at + 10}" in got[i].spans.split(",")
+
+
+def test_letters_that_touch_an_entity(spark):
+    # a run of letters that an entity ends in, or begins in, is no term; one beside it is
+    data = [f"q{'abc'[i]} 漢字漢字a@b.example漢字漢字 nextto 1.2.3.4beside more" for i in range(3)] + ["x"] * 60
+    got = {r.doc_id: r for r in P.pii(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
+    for i in range(3):
+        check(got[i], data[i])
+        terms = [data[i][x.start:x.end] for x in got[i].found if x.kind == 4]
+        assert terms == ["nextto", "beside", "more"]

@@ -155,24 +155,16 @@ b AS (SELECT * FROM digits WHERE CASE kind WHEN 0 THEN true
     CASE WHEN i % 2 = 1 THEN CAST(n[len(n) + 1 - i] AS INTEGER) WHEN CAST(n[len(n) + 1 - i] AS INTEGER) > 4
     THEN 2 * CAST(n[len(n) + 1 - i] AS INTEGER) - 9 ELSE 2 * CAST(n[len(n) + 1 - i] AS INTEGER) END)) % 10 = 0
   ELSE len(n) BETWEEN 9 AND 15 END),
-near AS (SELECT b.*, t, length(t) AS n_t,
-  coalesce(max(z) OVER (PARTITION BY r ORDER BY a, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-  lead(a) OVER (PARTITION BY r ORDER BY a, kind) AS after FROM b JOIN d USING (r)),
-sides AS (SELECT r, t, CAST(kind AS VARCHAR) || ':' || CASE kind WHEN 0 THEN lower(v) ELSE n END AS entity,
-    greatest(before, a - {pii.CONTEXT}, 0) AS x, a AS y FROM near
-  UNION ALL SELECT r, t, CAST(kind AS VARCHAR) || ':' || CASE kind WHEN 0 THEN lower(v) ELSE n END, z,
-    least(coalesce(after, n_t), z + {pii.CONTEXT}, n_t) FROM near),
-bits AS (SELECT *, substring(t, x + 1, y - x) AS c FROM sides WHERE x < y),
-pieces AS (SELECT row_number() OVER () AS s, * FROM bits),
-parts AS (SELECT s, unnest(generate_series(1, len(regexp_extract_all(c, '\p{{L}}{{3,}}')) + 1)) AS i,
-  unnest(string_split_regex(c, '\p{{L}}{{3,}}')) AS gap, unnest(regexp_extract_all(c, '\p{{L}}{{3,}}')) AS m FROM pieces),
-told AS (SELECT s, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY s ORDER BY i) AS BIGINT) AS z FROM parts),
-terms AS (SELECT r, t, entity, lower(m) AS term, x + z - length(m) AS a, x + z AS z FROM told JOIN pieces USING (s)
-  WHERE m IS NOT NULL
-  AND NOT (z = length(m) AND x > 0 AND regexp_matches(substring(t, x, 1), '^\p{{L}}'))
-  AND NOT (x + z = y AND regexp_matches(substring(t, y + 1, 1), '^\p{{L}}'))),
-pairs AS (SELECT entity, term, count(DISTINCT r) AS n_pair, count(DISTINCT t) AS texts FROM terms GROUP BY ALL),
-entities AS (SELECT entity, count(DISTINCT r) AS n_entity FROM terms GROUP BY entity),
+entity_of AS (SELECT DISTINCT r, CAST(kind AS VARCHAR) || ':' || CASE kind WHEN 0 THEN lower(v) ELSE n END AS entity FROM b),
+pieces AS (SELECT r, t, unnest(generate_series(1, len(regexp_extract_all(t, '\p{{L}}{{3,}}')) + 1)) AS i,
+  unnest(string_split_regex(t, '\p{{L}}{{3,}}')) AS gap, unnest(regexp_extract_all(t, '\p{{L}}{{3,}}')) AS m
+  FROM d WHERE r IN (SELECT r FROM b)),
+runs AS (SELECT r, t, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS z FROM pieces),
+terms AS (SELECT r, t, lower(m) AS term, z - length(m) AS a, z FROM runs WHERE m IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = runs.r AND b.a < runs.z AND b.z > runs.z - length(runs.m))),
+pairs AS (SELECT entity, term, count(DISTINCT r) AS n_pair, count(DISTINCT t) AS texts
+  FROM entity_of JOIN terms USING (r) GROUP BY ALL),
+entities AS (SELECT entity, count(DISTINCT r) AS n_entity FROM entity_of GROUP BY entity),
 corpus AS (SELECT term, count(DISTINCT r) AS n_term FROM (
   SELECT r, lower(unnest(regexp_extract_all(t, '\p{{L}}{{3,}}'))) AS term FROM d) GROUP BY term),
 total AS (SELECT count(*) AS n FROM d),
@@ -180,7 +172,7 @@ told_by AS (SELECT entity, term FROM pairs JOIN entities USING (entity) JOIN cor
   WHERE texts >= {pii.SUPPORT} AND n > n_entity
   AND ln(n_pair * n / (n_term * n_entity)) / ln(n / n_entity) >= {pii.DISCLOSURE}),
 spans AS (SELECT r, a, kind, z FROM b
-  UNION ALL SELECT DISTINCT r, a, 4, z FROM terms JOIN told_by USING (entity, term)),
+  UNION ALL SELECT DISTINCT r, a, 4, z FROM terms JOIN entity_of USING (r) JOIN told_by USING (entity, term)),
 f AS (SELECT r, {counts},
   string_agg({names}[kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (WHERE kind < 4) AS base,
   string_agg({names}[kind + 1] || ':' || a || ':' || z, ',' ORDER BY a, kind) AS spans FROM spans GROUP BY r)

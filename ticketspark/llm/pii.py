@@ -33,8 +33,6 @@ PATTERNS = {
 CUES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": PATTERNS["card"], "phone": r"\+[0-9]"}
 TERM = r"\p{L}{3,}"
 
-# Only the oracle SQL looks no further than so many code points on either side of an entity.
-CONTEXT = 64
 # Share of an entity's information that a term may give, and from which on it is removed
 # instead of generalised; different texts that must show the two together.
 DISCLOSURE, REMOVAL, SUPPORT = 0.8, 0.95, 3
@@ -80,20 +78,6 @@ def entities(rows: DataFrame) -> DataFrame:
         "_row", "kind", "start", "end", "value")
 
 
-def _terms(context: Column, first: Column) -> Column:
-    """(term, start) of each term of a short text that begins at ``first``; terms that touch
-    its borders may be cut and are left out by the caller's margins."""
-    gaps, found = F.split(context, TERM, -1), F.regexp_extract_all(context, F.lit(TERM), F.lit(0))
-
-    def length(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-
-    return F.transform(found, lambda m, i: F.named_struct(
-        F.lit("term"), F.lower(m), F.lit("start"),
-        first + length(F.slice(gaps, 1, i + 1)) + F.when(i > 0, length(F.slice(found, 1, i))).otherwise(0),
-        F.lit("n"), F.length(m)))
-
-
 def names(base: DataFrame) -> DataFrame:
     """(_row, entity): the distinct entities of each text; their spellings are one."""
     name = F.concat_ws(":", F.col("kind").cast("string"), F.when(
@@ -101,32 +85,46 @@ def names(base: DataFrame) -> DataFrame:
     return base.select("_row", name.alias("entity")).distinct()
 
 
-def outside(base: DataFrame, texts: DataFrame) -> DataFrame:
-    """(_row, term, start, end) of each whole term of a text that is in no entity.
-    ``base``: the entities; ``texts``: (_row, _text) of the rows asked for."""
-    order = Window.partitionBy("_row").orderBy("start", "kind")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    b = base.select("_row", "start", F.coalesce(before, F.lit(0)).alias("_lo"), upto.alias("_end"),
-                    F.lead("start").over(order).isNull().alias("_last"))
-    b = b.join(texts, "_row")
-
-    def side(a: Column, z: Column) -> Column:
-        return F.struct(a.alias("a"), z.alias("z"))
-
-    # what stands before each entity, and after the last one
-    b = b.withColumn("_side", F.explode(F.array(side(F.col("_lo"), F.col("start")), F.when(
-        F.col("_last"), side(F.col("_end"), F.length("_text"))))))
-    b = b.where(F.col("_side.a") < F.col("_side.z")).withColumn("_t", F.explode(_terms(
-        F.substring("_text", F.col("_side.a") + 1, F.col("_side.z") - F.col("_side.a")), F.col("_side.a"))))
-    end = F.col("_t.start") + F.col("_t.n")
-    letter = r"^\p{L}"
-    # a character more on either side shows whether a border cuts a term
-    cut = F.when(F.col("_t.start") == F.col("_side.a"), F.when(F.col("_side.a") > 0, F.substring(
-        "_text", F.col("_side.a"), F.lit(1)).rlike(letter)).otherwise(False)).otherwise(False) | F.when(
-        end == F.col("_side.z"), F.substring("_text", F.col("_side.z") + 1, F.lit(1)).rlike(letter)).otherwise(False)
-    return b.where(~cut).select("_row", F.col("_t.term").alias("term"), F.col("_t.start").alias("start"),
-                                end.alias("end"))
+def words(texts: DataFrame) -> DataFrame:
+    """(_row, term, start, end) of each run of three letters or more of (_row, _text) rows.
+    Starts are running sums in a window over one text's runs, so the work is linear in
+    the text but for the sort."""
+    # a text is cut once: what stands between the runs, and the runs
+    cut = texts.select("_row", F.posexplode(F.arrays_zip(
+        F.transform(F.split("_text", TERM, -1), F.length).alias("gap"),
+        F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)).alias("m"))).alias("i", "x")).where(
+        F.col("x.m").isNotNull())
+    upto = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.length("m")
+    return cut.select("_row", "i", "x.gap", "x.m").withColumn("end", F.sum(F.col("gap") + n).over(upto).cast("int")).select(
+        "_row", F.lower("m").alias("term"), (F.col("end") - n).alias("start"), "end")
+
+
+def outside(base: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of ``runs`` that no entity of ``base`` overlaps. Entities and runs of a text
+    pass in order once forward, with the furthest end of an entity so far, and once
+    backward, with the next entity's start."""
+    both = runs.select("_row", "term", "start", "end").unionByName(
+        base.select("_row", F.lit(None).cast("string").alias("term"), "start", "end"))
+    entity = F.col("term").isNull()
+    one = Window.partitionBy("_row")
+    ahead = one.orderBy("start", F.col("term").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    back = one.orderBy(F.desc("start"), F.col("term").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_reach", F.max(F.when(entity, F.col("end"))).over(ahead)).withColumn(
+        "_next", F.min(F.when(entity, F.col("start"))).over(back))
+    return both.where(~entity & (F.coalesce("_reach", F.lit(0)) <= F.col("start")) & (
+        F.coalesce("_next", F.col("end")) >= F.col("end"))).select("_row", "term", "start", "end")
+
+
+def together(named: DataFrame) -> DataFrame:
+    """(_row, text_id, entity): ``named`` with entities of the very same texts as one, the
+    first of them, so that a list of addresses that goes from text to text is paired with a
+    text's terms once. Sets of texts are told apart by their sizes and two 64-bit hashes."""
+    sets = named.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("_row")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit("again"), "_row")).alias("y"))
+    first = sets.groupBy("n", "x", "y").agg(F.min("entity").alias("entity")).select("entity")
+    return named.join(first, "entity")
 
 
 def disclosing(holders: DataFrame, terms: DataFrame, total: int) -> DataFrame:
@@ -157,14 +155,14 @@ def _told(base: DataFrame, hit: DataFrame, frequency: DataFrame, total: int) ->
     by_text = named.groupBy("entity", "text_id").agg(F.count(F.lit(1)).alias("n"))
     shown = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
     shown = sized(shown.where((F.col("texts") >= SUPPORT) & (F.col("n_entity") < total)).drop("texts"), "pii-shown")
-    holders = materialize(named.join(shown, "entity"), "pii-holders")
-    asked = holders.select("_row").distinct()
-    terms = materialize(outside(base.join(asked, "_row"), hit.select("_row", "_text")), "pii-terms")
-    once = terms.select("_row", "term").distinct()
-    rare = frequency.join(terms.select("term").distinct(), "term").where(F.col("n_term") >= SUPPORT)
+    holders = materialize(together(materialize(named.join(shown, "entity"), "pii-held")), "pii-holders")
     most = shown.agg(F.max("n_entity")).first()[0] or 0  # as in disclosing(), for any entity
-    rare = sized(rare.where(F.col("n_term") <= most ** DISCLOSURE * total ** (1 - DISCLOSURE) * (1 + 1e-9)), "pii-rare")
-    told = sized(disclosing(holders, once.join(rare, "term"), total), "pii-told")
+    rare = sized(frequency.where((F.col("n_term") >= SUPPORT) & (
+        F.col("n_term") <= most ** DISCLOSURE * total ** (1 - DISCLOSURE) * (1 + 1e-9))), "pii-rare")
+    asked = holders.select("_row").distinct()
+    runs = words(hit.select("_row", "_text").join(asked, "_row", "left_semi")).join(rare, "term").drop("n_term")
+    terms = materialize(outside(base.join(asked, "_row", "left_semi"), runs), "pii-terms")
+    told = sized(disclosing(holders, terms.select("_row", "term").distinct().join(rare, "term"), total), "pii-told")
     marked = holders.join(told, "entity").groupBy("_row", "term").agg(F.max("removed").alias("removed"))
     return terms.join(marked, ["_row", "term"]).select("_row", "start", "end", "removed")
 
