@@ -54,9 +54,12 @@ def _values(rows: list[tuple]) -> str:
 
 
 def licenses_sql() -> str:
+    """Every place of a key phrase, and there the weight of all the template's words."""
     posts = licenses._postings()
     words = "[" + ", ".join(f"'{w}'" for w in licenses.vocabulary()) + "]"
     base = _values([(p, label, len(p.split())) for p, label in licenses.BASE.items()])
+    notices = _values([(t, label, key, len(key.split()), licenses._key_start(notice, key))
+                       for t, (label, notice, key) in enumerate(licenses.TEMPLATES)])
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
   translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 x AS (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d),
@@ -65,19 +68,19 @@ places AS (SELECT r, i - 1 AS place, label FROM x JOIN base
   ON w[i] = string_split(phrase, ' ')[1] AND array_to_string(w[i:i + n - 1], ' ') = phrase),
 b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
   list(DISTINCT label) AS labels FROM places GROUP BY r),
-hits AS (SELECT r, i - 1 AS p, w[i] AS word FROM x WHERE list_contains({words}, w[i])),
-freq AS (SELECT word, count(DISTINCT r) AS df FROM hits GROUP BY word),
-ranked AS (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY df, word) AS k
-  FROM (SELECT DISTINCT r, word FROM hits) JOIN freq USING (word)),
-posts(word, t, q, key) AS (VALUES {_values(posts)}),
-notices(t, label) AS (VALUES {_values([(t, x[0]) for t, x in enumerate(licenses.TEMPLATES)])}),
-sizes AS (SELECT t, count(*) AS n_all, count(*) FILTER (WHERE key) AS n_keys FROM posts GROUP BY t),
-spots AS (SELECT r, t, p - q AS place, count(*) AS n, count(*) FILTER (WHERE key) AS keys,
-    count(*) FILTER (WHERE k <= {licenses.TOP_WORDS}) AS votes
-  FROM hits JOIN ranked USING (r, word) JOIN posts USING (word) GROUP BY r, t, p - q),
-f AS (SELECT r, list(DISTINCT label) AS labels, max(n / n_all) AS share
-  FROM spots JOIN sizes USING (t) JOIN notices USING (t)
-  WHERE votes >= {licenses.VOTES} AND keys = n_keys GROUP BY r)
+vocab AS (SELECT unnest({words}) AS word),
+held AS (SELECT word, count(DISTINCT r) AS n FROM (SELECT r, unnest(w) AS word FROM d) JOIN vocab USING (word) GROUP BY word),
+weights AS (SELECT word, CAST(round({licenses.UNIT} * (ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))) + 1)) AS BIGINT) AS weight
+  FROM vocab LEFT JOIN held USING (word)),
+posts(word, t, q) AS (VALUES {_values(posts)}),
+notices(t, label, key, n, skip) AS (VALUES {notices}),
+wholes AS (SELECT t, sum(weight) AS whole FROM posts JOIN weights USING (word) GROUP BY t),
+spots AS (SELECT r, w, t, label, i - 1 - skip AS spot FROM x JOIN notices
+  ON w[i] = string_split(key, ' ')[1] AND array_to_string(w[i:i + n - 1], ' ') = key),
+shares AS (SELECT r, t, spot, label, sum(weight) AS weight FROM spots JOIN posts USING (t) JOIN weights USING (word)
+  WHERE spot + q >= 0 AND w[spot + q + 1] = word GROUP BY r, t, spot, label),
+f AS (SELECT r, list(DISTINCT label) AS labels, max(weight / whole) AS share FROM shares JOIN wholes USING (t)
+  WHERE weight / whole >= {licenses.MIN_SHARE} GROUP BY r)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(f.labels, []))), ',') AS labels,
