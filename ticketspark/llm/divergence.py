@@ -26,55 +26,66 @@ from ticketspark.session import materialize
 # Documents of a language that must hold a kept term; added occurrences of each; billionths;
 # terms reported of each group.
 MIN_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
-# Cells (term, source) that a task folds before it spills, and term pairs it holds at once.
-CELLS, PAIRS = 250_000, 1 << 21
+# Cells (term, source) from which on a task spills, some 100 bytes each, and pairs of a
+# term's sources it holds at once.
+CELLS, PAIRS = 1_000_000, 1 << 21
 # What parts terms (bytes 0 to 64, 91 to 96 and 123 to 127) becomes a space, A-Z lower case.
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
 
+class _Stripes:
+    """A language's stripes: of each term a number, its document frequency, and in one hash
+    its occurrences by source."""
+
+    def __init__(self):
+        self.terms: dict[bytes, int] = {}
+        self.sources: dict[str, int] = {}
+        self.df: list[int] = []
+        self.cells: dict[int, int] = {}  # term << 32 | source -> occurrences
+
+    def fold(self, text: bytes, source: str) -> None:
+        terms, df, cells = self.terms, self.df, self.cells
+        s = self.sources.setdefault(source, len(self.sources))
+        for term, n in Counter(text.translate(_FOLD).split()).items():
+            t = terms.get(term)
+            if t is None:
+                t = terms[term] = len(df)
+                df.append(0)
+            df[t] += 1
+            key = t << 32 | s
+            cells[key] = cells.get(key, 0) + n
+
+
 def stripes(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """(lang, term, df, stripe): a task's document frequency and (source, n) occurrences of
     a term, as often as the task has spilled it. ``docs`` has text, lang and source."""
 
-    def spill(held: dict) -> Iterator[pa.RecordBatch]:
-        for lang, found in held.items():
-            terms = list(found)
-            for a in range(0, len(terms), 1 << 16):
-                part = [found[t] for t in terms[a:a + (1 << 16)]]
-                at = np.cumsum([0, *(len(s[1]) for s in part)]).astype(np.int32)
-                entries = pa.StructArray.from_arrays(
-                    [pa.array([x for s in part for x in s[1]], pa.string()),
-                     pa.array([n for s in part for n in s[1].values()], pa.int64())], ["source", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part), pa.string()),
-                     pa.array(terms[a:a + (1 << 16)], pa.binary()).view(pa.string()),
-                     pa.array([s[0] for s in part], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(at), entries)], ["lang", "term", "df", "stripe"])
+    def spill(lang: str, held: _Stripes) -> Iterator[pa.RecordBatch]:
+        key = np.fromiter(held.cells, np.int64, len(held.cells))
+        n = np.fromiter(held.cells.values(), np.int64, len(key))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        at = np.searchsorted(key, np.arange(len(held.df) + 1) << 32).astype(np.int32)
+        entries = pa.StructArray.from_arrays(
+            [pa.array(list(held.sources), pa.string()).take(pa.array(key & 0xFFFFFFFF)), pa.array(n)], ["source", "n"])
+        whole = pa.RecordBatch.from_arrays(
+            [pa.repeat(lang, len(held.df)), pa.array(list(held.terms), pa.binary()).view(pa.string()),
+             pa.array(held.df, pa.int64()), pa.ListArray.from_arrays(pa.array(at), entries)], ["lang", "term", "df", "stripe"])
+        for i in range(0, len(held.df), 1 << 16):
+            yield whole.slice(i, 1 << 16)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, list]] = {}
-        size = 0
+        held: dict[str, _Stripes] = {}
         for batch in batches:
             for part in slices(batch, 0, CHUNK_BYTES):
                 for text, lang, source in zip(*(c.to_pylist() for c in part.columns)):
-                    own = held.setdefault(lang, {})
-                    for term, n in Counter(text.translate(_FOLD).split()).items():
-                        s = own.get(term)
-                        if s is None:
-                            own[term] = [1, {source: n}]
-                            size += 1
-                            continue
-                        s[0] += 1
-                        by = s[1]
-                        if source in by:
-                            by[source] += n
-                        else:
-                            by[source] = n
-                            size += 1
-                    if size >= cells:
-                        yield from spill(held)
-                        held, size = {}, 0
-        yield from spill(held)
+                    held.setdefault(lang, _Stripes()).fold(text, source)
+                if sum(len(x.cells) for x in held.values()) >= cells:
+                    for lang, x in held.items():
+                        yield from spill(lang, x)
+                    held = {}
+        for lang, x in held.items():
+            yield from spill(lang, x)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(text.alias("text"), "lang", "source").mapInArrow(
@@ -98,7 +109,9 @@ def _share(n: Column, total: Column, terms: Column) -> Column:
     under = total.cast("decimal(18,0)") + F.lit(SMOOTH) * terms.cast("decimal(18,0)")
     rest = over % under
     # what is divided has no remainder, so that no rounding takes place
-    return ((over - rest) / under).cast("long") + F.lit(1)
+    wide = ((over - rest) / under).cast("long")
+    short = F.call_function("div", (n + F.lit(SMOOTH)) * F.lit(UNIT), total + F.lit(SMOOTH) * terms)
+    return F.when(n < (1 << 63) // UNIT - SMOOTH, short).otherwise(wide) + F.lit(1)
 
 
 def _together(cells: DataFrame, pairs: int = PAIRS) -> DataFrame:
