@@ -65,3 +65,23 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert (got[0].n_live, got[0].n_example, got[10].n_live) == (0, 1, 2)
     text = {r.doc_id: r.text for r in S.redact(S.secrets(df)).collect()}
     assert example in text[0] and text[10] == "<assign> <generic> end" and text[20] == "<assign>"
+
+
+def test_verdicts_follow_repositories_and_the_number_of_owners(spark):
+    placeholder, leaked, example = "Zx9Kq2Lm8Np4Rt6Vw1Yb3", "Qa7Ws3Ed5Rf9Tg1Yh8Uj2", "Bc4Df6Gh8Jk1Lm3Np5Qr7"
+    # boilerplate of one owner; a key that three owners hold, of twenty; an example of eight
+    data = [(i, f"password: {placeholder}", "one") for i in range(300)]
+    data += [(1000 + i, f"token = {leaked}", f"owner{i}") for i in range(3)]
+    data += [(2000 + i, f"secret: {example}", f"owner{i}") for i in range(8)]
+    data += [(3000 + i, "nothing here", f"owner{i}") for i in range(19)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: r.found for r in S.secrets(df).collect()}
+    assert {(x.owners, x.repos, x.verdict) for i in range(300) for x in got[i]} == {(1, 300, "example")}
+    assert {(x.owners, x.repos, x.verdict) for i in range(3) for x in got[1000 + i]} == {(3, 3, "live")}
+    assert {(x.owners, x.verdict) for i in range(8) for x in got[2000 + i]} == {(8, "example")}
+    assert [S.example_owners(n) for n in (0, 1, 3, 4, 20, 1_000_000)] == [3, 3, 3, 3, 6, 21]
+    text = {r.doc_id: r.text for r in S.redact(S.secrets(df)).collect()}
+    assert text[1000] == "<assign>" and placeholder in text[0] and example in text[2000]
+    # the same three owners are all there are: then the value is everywhere
+    few = {r.doc_id: r.found for r in S.secrets(df.where("doc_id between 1000 and 1999")).collect()}
+    assert {x.verdict for f in few.values() for x in f} == {"example"}

@@ -125,10 +125,12 @@ chars AS (SELECT v, ch, count(*) / length(v) AS p FROM (
   SELECT v, unnest(string_split(v, '')) AS ch FROM (SELECT DISTINCT v FROM every)) GROUP BY v, ch),
 bits AS (SELECT v, -sum(p * log2(p)) AS h FROM chars GROUP BY v),
 cands AS (SELECT every.* FROM every JOIN bits USING (v) WHERE kind < 3 OR h >= {secrets.GENERIC_ENTROPY}),
-owners AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS n FROM cands JOIN d USING (r) GROUP BY v),
+owned AS (SELECT DISTINCT v, coalesce('=' || source, '') AS owner, doc_id FROM cands JOIN d USING (r)),
+owners AS (SELECT v, count(DISTINCT owner) AS n, count(*) AS repos FROM owned GROUP BY v),
+wide AS (SELECT greatest({secrets.EXAMPLE_OWNERS}, 1 + ceil(log2(greatest(count(DISTINCT coalesce('=' || source, '')), 1)))) AS least FROM d),
 judged AS (SELECT c.*, {names}[kind + 1] || ':' || a || ':' || z AS span, CASE
-  WHEN n >= {secrets.EXAMPLE_OWNERS} THEN 'example' WHEN h >= {secrets.LIVE_ENTROPY} THEN 'live' ELSE 'weak' END AS verdict
-  FROM cands c JOIN owners USING (v) JOIN bits USING (v)),
+  WHEN n >= least OR repos >= {secrets.EXAMPLE_REPOS} * n THEN 'example' WHEN h >= {secrets.LIVE_ENTROPY} THEN 'live' ELSE 'weak' END AS verdict
+  FROM cands c JOIN owners USING (v) JOIN bits USING (v), wide),
 f AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS k0, count(*) FILTER (WHERE kind = 1) AS k1,
   count(*) FILTER (WHERE kind = 2) AS k2, string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base,
   string_agg(span, ',' ORDER BY a, kind) AS spans, count(*) FILTER (WHERE verdict = 'live') AS live,

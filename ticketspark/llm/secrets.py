@@ -1,8 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidate credentials in each text. Over the whole corpus, candidates are
-aggregated by the hash of their value: a value that many owners hold is an example that
-went from hand to hand, one that a single owner holds looks like a live credential.
+aggregated by the hash of their value, by repositories and owners: a value that many owners
+hold, for the number of owners there are, or that stands in very many repositories of each of
+its owners, is an example that went from hand to hand or a placeholder of boilerplate; one
+that few repositories of few owners hold looks like a live credential.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 GENERIC_ENTROPY = 3.5
 LIVE_ENTROPY = 2.5
-# Owners from which on a value counts as widely copied.
-EXAMPLE_OWNERS = 3
+# A value is widely copied if so many owners hold it, and more the more owners there are
+# (see example_owners), or if so many repositories do on the average of its owners.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 20
 _CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -94,6 +97,13 @@ def _scan(texts: list) -> list:
     return out
 
 
+def example_owners(owners: int, least: int = EXAMPLE_OWNERS) -> int:
+    """Owners that have to hold a value before it counts as widely copied, of so many owners
+    in all: what two or three can have by accident or theft in a small corpus, more can in a
+    large one, so the number grows with each doubling."""
+    return max(least, 1 + math.ceil(math.log2(max(owners, 1))))
+
+
 def ownership(cands: DataFrame) -> DataFrame:
     """(hash, n_owners, n_repos) from (hash, owner, repo) rows: distinct owners, and
     distinct repositories of them, that hold a value. Null owners are one owner. Every
@@ -105,14 +115,15 @@ def ownership(cands: DataFrame) -> DataFrame:
 
 def secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source",
             repo_col: str = "doc_id", keep: list[str] | None = None,
-            example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+            least_owners: int = EXAMPLE_OWNERS, least_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """``keep`` columns (default: all) plus, for each row:
 
     ``n_assign``, ``n_access``, ``n_hex`` and ``base_sha256`` (base spans as
     kind:start:end); ``spans`` (base spans and those of generic high-entropy values that
-    fewer than ``example_owners`` owners hold); ``n_live`` and ``n_example``; ``found``,
-    an array of (start, end, kind, owners, repos, verdict). The verdict is ``example``
-    for a value of ``example_owners`` owners or more, else ``live``, or ``weak`` for a
+    are live); ``n_live`` and ``n_example``; ``found``, an array of (start, end, kind,
+    owners, repos, verdict). The verdict is ``example`` for a value that as many owners hold
+    as :func:`example_owners` says for the owners of all rows, ``least_owners`` at least, or
+    ``least_repos`` repositories for each of its owners; else ``live``, or ``weak`` for a
     value of few distinct characters. Positions are code points, ends exclusive.
 
     A null or empty text holds nothing. Each row of the input gives one row, repeated rows
@@ -134,13 +145,14 @@ def secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source",
     by_row = cands.select("_row", "pos", "hash").join(stats, "hash").groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("pos", "n_owners", "n_repos"))).alias("_stats"))
     kind = F.array(*map(F.lit, KINDS))
+    wide = example_owners(seen.select("_owner").distinct().count(), least_owners)
 
     def judged(c, s):
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"), F.get(kind, c["kind"]).alias("kind"),
             s["n_owners"].alias("owners"), s["n_repos"].alias("repos"),
-            F.when(s["n_owners"] >= example_owners, "example").when(c["strong"], "live")
-            .otherwise("weak").alias("verdict"))
+            F.when((s["n_owners"] >= wide) | (s["n_repos"] >= least_repos * s["n_owners"]), "example").when(
+                c["strong"], "live").otherwise("weak").alias("verdict"))
 
     # only rows with candidates are joined; the others' texts are not shuffled
     some = F.size("_cand") > 0
