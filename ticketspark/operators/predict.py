@@ -210,15 +210,19 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
     Token occurrences meet the sparse weights on ``token``: a model within the
     broadcast budget is broadcast whole; a larger one is split by token frequency
     (``split_hot``) so frequent tokens are joined map-side and only the long tail is
-    shuffled; an unsplit lazy model is joined by Spark's size-based choice (AQE splits
+    shuffled, the numbered rows being saved first; an unsplit lazy model is joined by Spark's size-based choice (AQE splits
     hot-token partitions). Per-(doc, class) sums are combined map-side; each document then
     holds at most one entry per class, and the K class scores are array expressions
     over the class table (a guarded scalar subquery) -- no doc x class join, and no
     join back to the input (``carry`` columns ride along as group keys).
     """
     keep = _carry(df, id_col, text_col, carry)
-    occ = df.withColumn("_row", F.monotonically_increasing_id()).select(
-        "_row", F.col(id_col).alias("_id"), *keep, F.explode_outer(tokens(F.col(text_col))).alias("token"))
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), *keep,
+                     F.col(text_col).alias("_text"))
+    if model.cold_weights is not None:
+        # two branches read the rows, which an input that isn't saved may number differently
+        rows = materialize(rows, "nb-rows")
+    occ = rows.select("_row", "_id", *keep, F.explode_outer(tokens(F.col("_text"))).alias("token"))
     if model.hot_weights is not None and model.cold_weights is None:
         # the whole model fits the broadcast budget (checked when it was fitted)
         hit = occ.join(F.broadcast(model.hot_weights), "token", "left")
@@ -416,35 +420,69 @@ class KeywordPredictor(Predictor):
         return pd.Series(out, index=texts.index, dtype=object)
 
 
-def predict_batch(df: DataFrame, predictor: Predictor, text_col: str,
-                  out_col: str = "raw_output", batch_rows: int = 4096) -> DataFrame:
-    """Run a Python predictor over ``df`` in Arrow batches (``mapInPandas``).
+def predict_batch(df: DataFrame, predictor: Predictor, text_col: str, out_col: str = "raw_output",
+                  batch_rows: int = 4096, keep: list[str] | None = None,
+                  error_col: str | None = None) -> DataFrame:
+    """``keep`` columns (default: all) plus the predictor's output for each row's text, run in
+    Arrow batches (``mapInPandas``); the model is loaded once per Python worker process.
 
-    The input keeps all its columns; the predictor's model is loaded once per Python
-    worker process and reused by every later task and batch on that worker.
+    Only ``keep`` and the text go to Python; name an id alone where rows are wide. With
+    ``error_col``, a batch in which the predictor fails is halved until the rows it fails for
+    are alone: each of them costs a logarithm of ``batch_rows`` calls, has a null output and
+    the error's text there, and all others have their outputs. Without, the first failure
+    fails the query. Null texts don't go to the predictor; their output is null.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
+    kept = [c for c in (df.columns if keep is None else keep) if c not in (out_col, error_col)]
+    fields = [df.schema[c] for c in kept] + [T.StructField(out_col, T.StringType())]
+    if error_col:
+        fields.append(T.StructField(error_col, T.StringType()))
     _ship_by_value(predictor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor.state()  # load (or reuse) the model before the first batch
         for pdf in batches:
             for start in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[start:start + batch_rows].copy()
-                part[out_col] = predictor.predict(part[text_col]).values
+                part = pdf.iloc[start:start + batch_rows]
+                texts = part["_text"]
+                out, errors = answers(predictor, texts[texts.notna()], error_col is not None)
+                part = part[kept].copy()
+                part[out_col] = out.reindex(part.index).astype(object).where(lambda x: x.notna(), None)
+                if error_col:
+                    part[error_col] = errors.reindex(part.index).astype(object).where(lambda x: x.notna(), None)
                 yield part
 
-    return df.mapInPandas(run, schema)
+    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text"))
+    return src.mapInPandas(run, T.StructType(fields))
+
+
+def answers(predictor: Predictor, texts: pd.Series, isolate: bool) -> tuple[pd.Series, pd.Series]:
+    """(outputs, errors) of a batch of texts by their index, the latter of the rows that the
+    predictor fails for even alone."""
+    none = pd.Series([], dtype=object, index=texts.index[:0])
+    if not len(texts):
+        return none, none
+    try:
+        out = predictor.predict(texts)
+        if len(out) != len(texts):
+            raise ValueError(f"{len(out)} outputs for {len(texts)} texts")
+        return pd.Series(list(out), index=texts.index, dtype=object), none
+    except Exception as e:  # noqa: BLE001 - whatever a model raises is the row's result
+        if not isolate:
+            raise
+        if len(texts) == 1:
+            return none, pd.Series([f"{type(e).__name__}: {e}"], index=texts.index, dtype=object)
+    half = len(texts) // 2
+    parts = [answers(predictor, x, isolate) for x in (texts.iloc[:half], texts.iloc[half:])]
+    return tuple(pd.concat(x) for x in zip(*parts))
 
 
 def _ship_by_value(predictor: Predictor) -> None:
-    """Serialise the predictor's class with the task instead of by import path, so
-    executors need not have this package installed (only its own dependencies)."""
+    """Serialise the predictor's classes with the task instead of by import path, so
+    executors need have neither this package nor the caller's module installed (only what
+    these import)."""
     import sys
 
     from pyspark import cloudpickle
     for cls in type(predictor).__mro__:
-        mod = sys.modules.get(cls.__module__)
-        if mod is not None and cls.__module__.split(".")[0] == __name__.split(".")[0]:
-            cloudpickle.register_pickle_by_value(mod)
-
+        if issubclass(cls, Predictor) and cls.__module__ != "__main__":
+            cloudpickle.register_pickle_by_value(sys.modules[cls.__module__])

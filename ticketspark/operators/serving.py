@@ -11,13 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketspark.functions.decode import decode_lenient
+from ticketspark.functions.prompts import CHATML, ChatTemplate, classification_text
 from ticketspark.functions.text import strip_ws
+from ticketspark.operators.predict import Predictor, predict_batch
 
 # Error kinds, the human-routing sentinel and the beginning of error responses.
 MALFORMED = "malformed"
 NOT_OBJECT = "not_object"
 MISSING_MESSAGE = "missing_message"
 BLANK_MESSAGE = "blank_message"
+MODEL_FAILED = "model_failed"
 ROUTE_TO_HUMAN = "route_to_human"
 ERROR_PREFIX = "A request is a JSON object with a message; this one is wrong: "
 
@@ -87,7 +91,8 @@ def score_requests(df: DataFrame, predict: Callable[[DataFrame], DataFrame],
     tokens), ``message`` the value echoed back -- to the same rows plus
     ``predicted_intent``. Responses are chosen per row with a CASE, so the input is
     read once and never split into separately planned branches. Requests of one id are
-    answered one by one.
+    answered one by one. A ``predict`` that works row by row makes the whole scorer do so,
+    and it takes a stream as well. ``predict`` may set ``error_kind`` where a model failed.
     """
     v = validate_requests(df, body_col, id_col=id_col)
     clean = strip_ws(F.col("message"))
@@ -103,6 +108,28 @@ def score_requests(df: DataFrame, predict: Callable[[DataFrame], DataFrame],
     return scored.select(id_col, response.alias("response"))
 
 
+def prompted(predictor: Predictor, labels: list[str], id_col: str = "request_id",
+             template: ChatTemplate = CHATML) -> Callable[[DataFrame], DataFrame]:
+    """A ``predict`` for :func:`score_requests`, row by row: the inference prompt of each
+    accepted message goes to a Python model, whose answer is decoded leniently to one of
+    ``labels``. They are in every prompt, so they are few. A message that the model fails
+    for is answered with the error ``model_failed``; the others of its batch are not."""
+    ordered = sorted(set(labels))
+    known = F.array(*map(F.lit, ordered))
+    low = F.array(*[F.lower(F.lit(x)) for x in ordered])
+
+    def predict(rows: DataFrame) -> DataFrame:
+        prompt = F.when(F.col("text").isNotNull(), classification_text(
+            F.lit(", ".join(ordered)), F.col("text"), None, template))
+        raw = predict_batch(rows.withColumn("_prompt", prompt), predictor, "_prompt", "_raw",
+                            keep=[id_col, "message", "error_kind"], error_col="_error")
+        kind = F.coalesce(F.col("error_kind"), F.when(F.col("_error").isNotNull(), F.lit(MODEL_FAILED)))
+        return raw.select(id_col, "message", kind.alias("error_kind"), decode_lenient(
+            F.col("_raw"), known, low).alias("predicted_intent"))
+
+    return predict
+
+
 def route(predicted: DataFrame, labels: Column, threshold: float,
           pred_col: str = "predicted_intent", conf_col: str = "confidence") -> DataFrame:
     """``predicted`` plus ``routed_to`` (the label, or ``route_to_human``) and ``auto``.

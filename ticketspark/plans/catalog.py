@@ -246,7 +246,7 @@ def q_predict_batch(spark, d):
     train = SH.side(SH.split_dedup(spark, d), "train")
     # a model on the driver needs its label set there, which the guard of the array bounds
     labels = spark.range(1).select(V.label_array(train).alias("labels")).first()["labels"]
-    raw = P.predict_batch(test, P.KeywordPredictor(labels), "instruction")
+    raw = P.predict_batch(test, P.KeywordPredictor(labels), "instruction", keep=["ticket_id", "intent"])
     return LM.decode_outputs(raw, "raw_output", train, "intent").select(
         "ticket_id", "intent", "raw_output", "predicted_intent")
 
