@@ -1,0 +1,83 @@
+"""Isotonic calibration of confidences and thresholds for a wanted accuracy."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from conftest import SF01
+from ticketspark.operators import calibrate as C
+from ticketspark.operators import predict as P
+from ticketspark.sources import fixtures as fx
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.floats(0, 1)), min_size=1, max_size=12))
+def test_pooling_is_the_isotonic_fit(pairs):
+    counts = [(b, n, round(share * n)) for b, (n, share) in enumerate(pairs)]
+    blocks = C.pool(counts)
+    got = [next(k / n for s, n, k in reversed(blocks) if s <= b) for b, _, _ in counts]
+
+    def mean(a, b):
+        return sum(k for *_, k in counts[a:b + 1]) / sum(n for _, n, _ in counts[a:b + 1])
+    want = [max(min(mean(a, b) for b in range(i, len(counts))) for a in range(i + 1)) for i in range(len(counts))]
+    assert got == pytest.approx(want, abs=1e-12)
+    assert all(x[2] * y[1] < y[2] * x[1] for x, y in zip(blocks, blocks[1:]))
+
+
+def overconfident(spark, n, seed):
+    """Confidence c is right with probability c * c only."""
+    r = random.Random(seed)
+    rows = [(r.random(),) for _ in range(n)]
+    rows = [(c, r.random() < c * c) for c, in rows]
+    return spark.createDataFrame(rows + [(None, True), (1.0, True), (0.0, False)], "confidence double, ok boolean")
+
+
+def test_calibrated_confidence_is_the_share_of_right_answers(spark):
+    cal = C.fit(overconfident(spark, 20_000, 1), F.col("ok"), bins=20)
+    unseen = overconfident(spark, 20_000, 2)
+    table = C.reliability(unseen, F.col("ok"), cal).collect()
+    assert len(table) == 20 and sum(r.n_rows for r in table) == 20_002
+    for r in table:
+        assert abs(r.calibrated - r.accuracy) < 0.06
+    said = sum(abs(r.mean_confidence - r.accuracy) * r.n_rows for r in table) / 20_002
+    meant = sum(abs(r.calibrated - r.accuracy) * r.n_rows for r in table) / 20_002
+    assert meant < 0.02 < 0.1 < said
+    assert unseen.select(cal.calibrated(F.col("confidence")).alias("c")).where("c is null").count() == 1
+
+
+def test_automatic_accuracy_on_unseen_rows_is_near_the_wanted_one(spark):
+    cal = C.fit(overconfident(spark, 20_000, 3), F.col("ok"))
+    got = {r.wanted: r for r in C.calibrated_routing(overconfident(spark, 20_000, 4), F.col("ok"), cal, [0.5, 0.7, 0.9, 0.999999]).collect()}
+    for wanted in (0.5, 0.7, 0.9):
+        assert abs(got[wanted].auto_accuracy - wanted) < 0.03 and got[wanted].n_rows == 20_003
+    assert got[0.5].n_auto > got[0.7].n_auto > got[0.9].n_auto > 0
+    assert tuple(got[0.999999])[1:] == (None, 20_003, 0, 0.0, None)
+
+
+def test_edges(spark):
+    none = overconfident(spark, 0, 1).limit(0)
+    cal = C.fit(none, F.col("ok"))
+    assert cal.blocks == [] and cal.threshold_bin(0.1) is None
+    df = spark.createDataFrame([(0.29, True), (1.0, True), (0.0, False)], "confidence double, ok boolean")
+    assert {r.auto_accuracy for r in C.calibrated_routing(df, F.col("ok"), cal, [0.1, 0.2]).collect()} == {None}
+    assert df.select(cal.calibrated(F.col("confidence")).alias("c")).where("c is not null").count() == 0
+    assert C.reliability(none, F.col("ok"), cal).collect() == []
+    one = C.fit(df, F.col("ok"))
+    assert [r.c for r in df.select(one.calibrated(F.col("confidence")).alias("c")).collect()] == [1.0, 1.0, 0.0]
+
+
+def test_naive_bayes_is_calibrated_on_held_out_rows(spark):
+    """Sources are noise, so naive Bayes is wrong nearly always and nearly always sure."""
+    t = fx.tickets(spark, SF01).select("ticket_id", F.col("category").alias("intent"), "instruction")
+    model = P.fit_and_save_naive_bayes(t.where("ticket_id % 2 = 0"), "nb-calibrate")
+    held = P.predict_naive_bayes(model, t.where("ticket_id % 2 = 1"), carry=["intent"]).withColumn(
+        "ok", F.col("predicted_intent") == F.col("intent"))
+    cal = C.fit(held.where("ticket_id % 4 = 1"), F.col("ok"), bins=20)
+    unseen = held.where("ticket_id % 4 = 3")
+    err = C.reliability(unseen, F.col("ok"), cal).agg(
+        (F.sum(F.abs(F.col("mean_confidence") - F.col("accuracy")) * F.col("n_rows")) / F.sum("n_rows")).alias("before"),
+        (F.sum(F.abs(F.col("calibrated") - F.col("accuracy")) * F.col("n_rows")) / F.sum("n_rows")).alias("after")).first()
+    assert err.before > 0.5 and err.after < 0.15

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketspark.functions.decode import decode_raw, decode_strict
+from ticketspark.functions.hashing import bucket
+from ticketspark.operators import calibrate as CA
 from ticketspark.operators import compare as C
 from ticketspark.operators import dedup as D
 from ticketspark.operators import labelmatch as LM
@@ -562,5 +564,34 @@ def q_automation_rate(spark, d):
     return S.automation_rate(_routed(spark, d))
 
 
+def _quality_predictions(spark, d) -> DataFrame:
+    """Naive Bayes for the two-class quality label, fitted on half of the labelled documents;
+    of the others, half calibrate the confidence (``fit``) and half are ``unseen``."""
+    def build():
+        t = fx.tickets2(spark, d).select("ticket_id", "intent", "instruction").withColumn(
+            "_b", bucket("Q", "ticket_id"))
+        t = materialize(t, "quality-tickets")
+        model = P.fit_and_save_naive_bayes(t.where(F.col("_b") < 8), "nb-quality")
+        held = t.where(F.col("_b") >= 8).withColumn("part", F.when(F.col("_b") < 12, "fit").otherwise("unseen"))
+        p = P.predict_naive_bayes(model, held, carry=["intent", "part"])
+        return materialize(p.select("part", (F.col("predicted_intent") == F.col("intent")).alias("ok"), "confidence"),
+                           "quality-predictions")
+    return SH.memo(spark, d, "quality-predictions", build)
+
+
+@query("reliability")
+def q_reliability(spark, d):
+    p = _quality_predictions(spark, d)
+    cal = CA.fit(p.where("part = 'fit'"), F.col("ok"), bins=SH.RELIABILITY_BINS)
+    return CA.reliability(p, F.col("ok"), cal, by=["part"])
+
+
+@query("calibrated_routing")
+def q_calibrated_routing(spark, d):
+    p = _quality_predictions(spark, d)
+    cal = CA.fit(p.where("part = 'fit'"), F.col("ok"))
+    return CA.calibrated_routing(p.where("part = 'unseen'"), F.col("ok"), cal, SH.WANTED_ACCURACY)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -547,6 +547,36 @@ SELECT arm, in_scope, count(*) AS n_rows,
        round(count(CASE WHEN coalesce(list_contains(labels, {strip_ws('output')}), false) THEN 1 END) / count(*), 6)
          AS label_share
 FROM o, tl GROUP BY 1, 2""")
+
+    def calibrated(bins: int) -> str:
+        """pr: held-out predictions; h: the fitted histogram; iso: its isotonic fit, by the
+        max-min formula."""
+        b = bucket("Q", "ticket_id")
+        return f"""WITH t2 AS (SELECT d.doc_id AS ticket_id, text AS instruction, CAST(quality AS VARCHAR) AS intent
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+qtrain AS (SELECT * FROM t2 WHERE {b} < 8), qheld AS (SELECT * FROM t2 WHERE {b} >= 8){nb_ctes("nq", "qtrain", "qheld", "intent")},
+pr AS (SELECT CASE WHEN {b} < 12 THEN 'fit' ELSE 'unseen' END AS part, predicted_intent = intent AS ok,
+  round(confidence, 6) AS conf, CAST(greatest(0, least(floor(round(confidence, 6) * {bins}), {bins - 1})) AS INTEGER) AS bin FROM nq_pred),
+h AS (SELECT bin, count(*) AS n, count(*) FILTER (WHERE ok) AS k FROM pr WHERE part = 'fit' GROUP BY bin),
+means AS (SELECT a.bin AS a, b.bin AS b, sum(m.k) / sum(m.n) AS v FROM h a JOIN h b ON a.bin <= b.bin
+  JOIN h m ON m.bin BETWEEN a.bin AND b.bin GROUP BY 1, 2),
+lows AS (SELECT a, i.bin, min(v) AS v FROM means JOIN h i ON i.bin BETWEEN a AND b GROUP BY 1, 2),
+iso AS (SELECT bin, max(v) AS v FROM lows GROUP BY 1)"""
+
+    q["reliability"] = calibrated(20) + """,
+x AS (SELECT part, bin, count(*) AS n_rows, count(*) FILTER (WHERE ok) AS n_correct, avg(conf) AS mean FROM pr GROUP BY 1, 2)
+SELECT part, bin, n_rows, n_correct, round(mean, 6) AS mean_confidence, round(n_correct / n_rows, 6) AS accuracy,
+  round(coalesce((SELECT arg_max(v, iso.bin) FROM iso WHERE iso.bin <= x.bin), (SELECT arg_min(v, iso.bin) FROM iso)), 6)
+    AS calibrated FROM x"""
+    q["calibrated_routing"] = calibrated(100) + """,
+starts AS (SELECT bin FROM (SELECT bin, v, lag(v) OVER (ORDER BY bin) AS p FROM iso) WHERE p IS NULL OR p <> v),
+w AS (SELECT CAST(unnest([0.85, 0.9, 0.95, 0.99]) AS DOUBLE) AS wanted),
+upto AS (SELECT s.bin, sum(n) AS n, sum(k) AS k FROM starts s JOIN h ON h.bin >= s.bin GROUP BY s.bin),
+cut AS (SELECT wanted, min(bin) AS bin FROM w LEFT JOIN upto ON k >= wanted * n GROUP BY wanted)
+SELECT wanted, bin / 100.0::DOUBLE AS threshold, count(*) AS n_rows, count(*) FILTER (WHERE p.bin >= cut.bin) AS n_auto,
+  round(count(*) FILTER (WHERE p.bin >= cut.bin) / count(*), 6) AS auto_rate,
+  round(count(*) FILTER (WHERE p.bin >= cut.bin AND ok) / nullif(count(*) FILTER (WHERE p.bin >= cut.bin), 0), 6) AS auto_accuracy
+FROM cut CROSS JOIN (SELECT bin, ok FROM pr WHERE part = 'unseen') p GROUP BY wanted, cut.bin""".replace("SELECT wanted, bin / 100", "SELECT wanted, cut.bin / 100")
     return q
 
 

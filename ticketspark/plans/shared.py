@@ -24,6 +24,8 @@ EVAL_PER_CLASS = 10
 SUBSET_CAP = 370
 MAX_TOKENS = 192
 ROUTE_THRESHOLD = 0.9
+RELIABILITY_BINS = 20
+WANTED_ACCURACY = [0.85, 0.9, 0.95, 0.99]
 SEED = 42
 
 _memo: dict[tuple, object] = {}
