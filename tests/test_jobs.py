@@ -1,10 +1,14 @@
 """The four command-line workflows end to end on the given documents table."""
 
+import json
 import math
 import os
 
+import pytest
+
 from conftest import SF001, SF01
 from ticketspark import jobs
+from ticketspark.sinks.manifest import read_published
 from ticketspark.sources import fixtures as fx
 
 
@@ -101,7 +105,8 @@ def test_json_lines_keep_all_columns(spark, tmp_dir):
         f.write('{"instruction": "bye now", "intent": "b", "late": 7}\nnot json\n')
     got = jobs.read_input(spark, src, "json", "instruction", "intent", None)
     rows = {r.instruction: r for r in got.collect()}
-    assert set(got.columns) == {"instruction", "intent", "category", "extra", "late", "ticket_id"}
+    assert set(got.columns) == {"instruction", "intent", "category", "extra", "late", "ticket_id", "raw_record"}
+    assert rows[None].raw_record == "not json"
     assert (rows["hi there"].category, rows["hi there"].extra, rows["bye now"].late) == ("x", '{"k": [1]}', "7")
 
 
@@ -113,3 +118,48 @@ def test_equal_rows_in_many_tasks_get_the_ids_of_one_task(spark, tmp_dir):
         df = jobs.read_input(spark, os.path.join(tmp_dir, f"p{n}"), "parquet", "instruction", "intent", None)
         ids.append(sorted(r.ticket_id for r in df.collect()))
     assert ids[0] == ids[1] and len(set(ids[0])) == 501
+
+
+def test_broken_records_are_rejected_as_they_stand(spark, tmp_dir):
+    """A1: every record is valid or rejected, and a broken one is found there unchanged."""
+    good = [{"instruction": f"hello number {i}", "intent": "ab"[i % 2], "n": i} for i in range(40)]
+    lines = [json.dumps(x) for x in good] + ['{"instruction": "cut off', 'not json "at" all', '{"intent": "a"}', '{"instruction": "no label"}']
+    src = os.path.join(tmp_dir, "in-json")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    for k, extra in enumerate(([], ["--schema", "instruction string, intent string, n int"])):
+        r = jobs.main(["prepare", "--input", src, "--format", "json", "--output", os.path.join(tmp_dir, f"s{k}"),
+                       "--rejects", os.path.join(tmp_dir, f"bad{k}"), *extra], spark)
+        assert r["rejected"] == {"malformed": 2, "null_text": 1, "null_label": 1}
+        assert r["rows"] == r["train"] + r["test"] + 4 == len(lines)
+        bad = spark.read.parquet(os.path.join(tmp_dir, f"bad{k}"))
+        assert {x.raw_record for x in bad.collect()} == {lines[40], lines[41], None}
+        assert "raw_record" not in read_published(spark, os.path.join(tmp_dir, f"s{k}")).columns
+
+    csv = os.path.join(tmp_dir, "in-csv")
+    os.makedirs(csv)
+    rows = ["instruction,intent,n", '"two\nlines, and ""quotes""",a,1', "x,b,2", "y,a,3", "z,b,4", "too,many,fields,here", "w,a,no number"]
+    with open(os.path.join(csv, "a.csv"), "w") as f:
+        f.write("\n".join(rows) + "\n")
+    r = jobs.main(["prepare", "--input", csv, "--format", "csv", "--output", os.path.join(tmp_dir, "s-csv"), "--rejects",
+                   os.path.join(tmp_dir, "bad-csv"), "--schema", "instruction string, intent string, n int"], spark)
+    assert r["rejected"] == {"malformed": 2} and r["rows"] == 6
+    bad = spark.read.parquet(os.path.join(tmp_dir, "bad-csv")).collect()
+    assert {x.raw_record for x in bad} == {"too,many,fields,here", "w,a,no number"}
+    back = read_published(spark, os.path.join(tmp_dir, "s-csv"))
+    assert 'two\nlines, and "quotes"' in {x.instruction for x in back.collect()}
+
+
+def test_a_failed_run_leaves_the_split_before(spark, tmp_dir):
+    t = fx.tickets2(spark, SF01).select("instruction", "intent")
+    t.write.parquet(os.path.join(tmp_dir, "in"))
+    out = os.path.join(tmp_dir, "split")
+    args = ["prepare", "--input", os.path.join(tmp_dir, "in"), "--output", out]
+    first = jobs.main(args, spark)
+    with pytest.raises(Exception):
+        jobs.main([*args[:1], "--input", os.path.join(tmp_dir, "nowhere"), *args[3:]], spark)
+    assert read_published(spark, out).count() == first["train"] + first["test"]
+    again = jobs.main([*args, "--seed", "7"], spark)
+    assert (again["train"], again["test"]) == (first["train"], first["test"])
+    assert spark.read.parquet(out).count() == again["train"] + again["test"]  # the older version is gone

@@ -89,3 +89,14 @@ def test_label_array_fails_beyond_its_bound(spark):
 def test_scan_prunes_columns(spark):
     p = plan(fx.tickets(spark, SF01).groupBy("intent").count())
     assert "ReadSchema: struct<lang:string>" in p
+
+
+def test_label_ranks_need_no_single_task(spark):
+    t = fx.tickets(spark, SF01)
+    labels = t.select(F.concat_ws("-", "intent", "ticket_id").alias("intent")).unionByName(t.select("intent"))
+    v = vocab.label_vocab(labels)
+    assert "SinglePartition" not in plan(v)
+    want = sorted({r.intent for r in labels.collect()} - {None})
+    assert [(r.label, r.label_rank) for r in sorted(v.collect(), key=lambda r: r.label_rank)] == [
+        (x, i + 1) for i, x in enumerate(want)]
+    assert vocab.label_vocab(labels.limit(0)).collect() == []

@@ -21,35 +21,41 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketspark.operators import dedup, metrics, predict, profile, split
 from ticketspark.operators.labelmatch import decode_outputs
 from ticketspark.session import apply_runtime_conf, materialize, release_saved, saved_paths
 from ticketspark.sinks import writers
-from ticketspark.sources.readers import load_tickets
+from ticketspark.sinks.manifest import clean, publish, read_published, versions
+from ticketspark.sources.readers import load_tickets, read_tickets
 
 TEXT, LABEL, ID = "instruction", "intent", "ticket_id"
 
 
 def read_input(spark: SparkSession, path: str, fmt: str, text_col: str, label_col: str,
-               id_col: str | None) -> DataFrame:
+               id_col: str | None, schema: str | None = None) -> DataFrame:
     """The input with text, label and id under their own names and all other columns.
 
-    JSON lines are read for the names of their columns first; all are strings then, nested
-    ones as JSON. Parquet and CSV bring their own columns. Without an id column, ids are
-    an order of the rows' own values: equal rows are told apart by their count, so the
-    same rows get the same ids however the files are laid out.
+    ``schema`` declares the columns of JSON or CSV as DDL. Without one, JSON lines are read
+    for the names of their columns first, and CSV for its header; all are strings then,
+    nested ones as JSON. Records that can't be parsed are rows with their raw text in
+    ``raw_record``. Parquet brings its own columns. Without an id column, ids are an order of
+    the rows' own values: equal rows are told apart by their count, so the same rows get
+    the same ids however the files are laid out.
     """
-    reader = spark.read
-    if fmt == "csv":
-        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
-    elif fmt == "json":
-        fields = dict.fromkeys([text_col, label_col, *([id_col] if id_col else [])])
-        named = {c.lower() for c in fields}
-        found = spark.read.option("primitivesAsString", "true").option("mode", "DROPMALFORMED").json(path).columns
-        fields |= dict.fromkeys(c for c in found if c.lower() not in named)
-        reader = reader.schema(", ".join(f"`{c}` string" for c in fields))
-    df = reader.format(fmt).load(path)
+    if fmt == "parquet":
+        df = spark.read.parquet(path)
+    else:
+        if schema is None and fmt == "json":
+            fields = dict.fromkeys([text_col, label_col, *([id_col] if id_col else [])])
+            taken = {c.lower() for c in fields}
+            found = spark.read.option("primitivesAsString", "true").option("mode", "DROPMALFORMED").json(path).columns
+            schema = ", ".join(f"`{c}` string" for c in [*fields, *(c for c in found if c.lower() not in taken)])
+        elif schema is None:
+            header = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path).columns
+            schema = ", ".join(f"`{c}` string" for c in header)
+        df = read_tickets(spark, path, fmt, T.StructType.fromDDL(schema), keep_malformed=True)
     df = df.withColumnRenamed(text_col, TEXT).withColumnRenamed(label_col, LABEL)
     if id_col:
         return df.withColumn(ID, F.col(id_col).cast("long"))
@@ -67,16 +73,16 @@ def read_input(spark: SparkSession, path: str, fmt: str, text_col: str, label_co
 
 
 def prepare(spark, a) -> dict:
-    df = materialize(read_input(spark, a.input, a.format, a.text_col, a.label_col, a.id_col), "jobs-input")
+    df = materialize(read_input(spark, a.input, a.format, a.text_col, a.label_col, a.id_col, a.schema), "jobs-input")
     good, bad = load_tickets(df, TEXT, LABEL)
     rejected = {r["reject_reason"]: r["count"] for r in bad.groupBy("reject_reason").count().collect()}
     if a.rejects:
         bad.write.mode("overwrite").parquet(a.rejects)
     deduped = materialize(dedup.dedup_first(good), "jobs-dedup")
     sp = split.stratified_split(deduped, test_frac=a.test_fraction, seed=a.seed)
-    writers.write_split(sp, a.output)
-    back = spark.read.parquet(a.output)
-    counts = {r["split"]: r["n_rows"] for r in split.split_report(back).collect()}
+    # published as a whole: until then, and if it fails, an earlier split is read on
+    counts = {k: n for k, (n, _) in publish(sp, a.output, "split").parts.items()}
+    clean(spark, a.output)
     ext = profile.class_extremes(deduped).first()
     return {"rows": df.count(), "rejected": rejected, "after_dedup": deduped.count(),
             "train": counts.get("train", 0), "test": counts.get("test", 0),
@@ -84,8 +90,16 @@ def prepare(spark, a) -> dict:
             "largest_class": [ext.largest_intent, ext.largest_n], "output": a.output}
 
 
+def side(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A side of a split: of the newest published version, checked against its manifest, or
+    of a plain table partitioned by split."""
+    if versions(spark, path):
+        return read_published(spark, path).where(F.col("split") == name).drop("split")
+    return spark.read.parquet(os.path.join(path, f"split={name}"))
+
+
 def subset(spark, a) -> dict:
-    train = spark.read.parquet(os.path.join(a.split, "split=train"))
+    train = side(spark, a.split, "train")
     sub = (split.sample_capped(train, a.per_class, seed=a.seed) if a.capped
            else split.sample_strict(train, a.per_class, seed=a.seed))
     sub.write.mode("overwrite").parquet(a.output)
@@ -95,8 +109,7 @@ def subset(spark, a) -> dict:
 
 
 def evaluate(spark, a) -> dict:
-    train = spark.read.parquet(os.path.join(a.split, "split=train"))
-    test = spark.read.parquet(os.path.join(a.split, "split=test"))
+    train, test = side(spark, a.split, "train"), side(spark, a.split, "test")
     rows = test if a.per_class <= 0 else split.sample_strict(test, a.per_class, seed=a.seed)
     rows = materialize(rows, "jobs-eval-rows")
     scored = scorer(spark, a.model, a.model_path, train)(rows, ID, TEXT, [LABEL])
@@ -131,7 +144,7 @@ def scorer(spark, kind: str, path: str | None, train: DataFrame | None):
 
 
 def train(spark, a) -> dict:
-    rows = spark.read.parquet(os.path.join(a.split, "split=train"))
+    rows = side(spark, a.split, "train")
     if a.model == "nb":
         predict.save_naive_bayes(predict.fit_and_save_naive_bayes(rows, "jobs-nb"), a.output)
     else:
@@ -141,7 +154,7 @@ def train(spark, a) -> dict:
 
 def score(spark, a) -> dict:
     from ticketspark.streaming.scoring import request_line_stream, request_stream, start_scoring
-    rows = spark.read.parquet(os.path.join(a.labels, "split=train")) if a.labels else None
+    rows = side(spark, a.labels, "train") if a.labels else None
     predictor = scorer(spark, a.model, a.model_path, rows)
     stream = (request_line_stream(spark, a.requests) if a.format == "lines"
               else request_stream(spark, a.requests, fmt=a.format))
@@ -171,10 +184,11 @@ def build_parser() -> argparse.ArgumentParser:
     pr.add_argument("--text-col", default=TEXT)
     pr.add_argument("--label-col", default=LABEL)
     pr.add_argument("--id-col", default=None)
+    pr.add_argument("--schema", default=None, help="columns of JSON or CSV as DDL; spares a pass over JSON")
     pr.add_argument("--test-fraction", type=float, default=0.15)
     pr.add_argument("--seed", type=int, default=42)
     pr.add_argument("--output", required=True)
-    pr.add_argument("--rejects", default=None, help="folder for rows without text or label")
+    pr.add_argument("--rejects", default=None, help="folder for rows without text or label, and broken records")
     tr = sub.add_parser("train", help="fit a model on the train split and save it")
     tr.add_argument("--split", required=True)
     tr.add_argument("--model", default="nb", choices=["nb", "lr"])

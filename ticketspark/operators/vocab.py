@@ -9,9 +9,10 @@ table and broadcasts it only within a budget of rows and bytes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketspark.operators.ranks import ranked
 from ticketspark.session import materialize
 
 # Labels of an array that goes with every row.
@@ -50,10 +51,9 @@ def sized(df: DataFrame, name: str, max_rows: int | None = None,
 
 
 def label_vocab(df: DataFrame, label_col: str = "intent") -> DataFrame:
-    """(label, label_rank): distinct labels ranked in ascending code-point order."""
+    """(label, label_rank): distinct labels ranked in ascending code-point order, by ranges."""
     labels = df.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return labels.withColumn(
-        "label_rank", F.row_number().over(Window.orderBy("label")).cast("long"))
+    return ranked(labels, [F.col("label")], "label_rank")
 
 
 def _gathered(df: DataFrame, label_col: str, max_classes: int, item=lambda c: c) -> Column:

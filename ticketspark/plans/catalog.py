@@ -26,6 +26,7 @@ from ticketspark.operators import serving as S
 from ticketspark.operators import split as SP
 from ticketspark.operators import vocab as V
 from ticketspark.plans import shared as SH
+from ticketspark.sinks import manifest as MF
 from ticketspark.sinks import writers as W
 from ticketspark.sources import fixtures as fx
 from ticketspark.session import materialize
@@ -429,10 +430,11 @@ def _out_path(spark, name: str) -> str:
 
 @query("split_roundtrip")
 def q_split_roundtrip(spark, d):
-    """A3: the split written as one Parquet dataset partitioned by split, read back."""
+    """A3: the split published as one Parquet dataset partitioned by split, read back and
+    checked against its manifest."""
     path = _out_path(spark, "split-out")
-    W.write_split(SH.split_dedup(spark, d), path)
-    back = spark.read.parquet(path)
+    MF.publish(SH.split_dedup(spark, d), path, "split")
+    back = MF.read_published(spark, path)
     return back.select("ticket_id", "intent", "split", F.md5("instruction").alias("text_md5"))
 
 

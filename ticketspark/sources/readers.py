@@ -38,27 +38,43 @@ METRICS_DOC_SCHEMA = T.StructType([
 ])
 
 
+# Name of the column that holds a record as it stands in the file, where it can't be parsed.
+RAW = "raw_record"
+
+
 def read_tickets(spark: SparkSession, path: str, fmt: str = "parquet",
-                 schema: T.StructType = TICKET_SCHEMA) -> DataFrame:
-    """Read a labelled table with a declared schema (parquet, json or csv)."""
-    reader = spark.read.schema(schema)
+                 schema: T.StructType = TICKET_SCHEMA, keep_malformed: bool = False) -> DataFrame:
+    """Read a labelled table with a declared schema (parquet, json or csv).
+
+    With ``keep_malformed``, JSON lines and CSV records that the schema doesn't fit (broken
+    JSON, a wrong number of fields, a value that is no number) are rows with their raw text
+    in ``raw_record``, which is null for all others; :func:`load_tickets` rejects them.
+    Otherwise such rows are nulls where the schema doesn't fit.
+    """
+    reader = spark.read
     if fmt == "csv":
         reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
-    return reader.format(fmt).load(path)
+    if keep_malformed and fmt != "parquet":
+        schema = T.StructType([*schema.fields, T.StructField(RAW, T.StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
+    return reader.schema(schema).format(fmt).load(path)
 
 
 def with_reject_reason(df: DataFrame, text_col: str = "instruction",
                        label_col: str = "intent") -> DataFrame:
     """``df`` plus ``reject_reason`` (null for usable rows)."""
-    return df.withColumn("reject_reason", F.when(F.col(text_col).isNull(), F.lit("null_text"))
-                         .when(F.col(label_col).isNull(), F.lit("null_label")))
+    reason = F.when(F.col(text_col).isNull(), F.lit("null_text")).when(F.col(label_col).isNull(), F.lit("null_label"))
+    if RAW in df.columns:
+        reason = F.when(F.col(RAW).isNotNull(), F.lit("malformed")).otherwise(reason)
+    return df.withColumn("reject_reason", reason)
 
 
 def load_tickets(df: DataFrame, text_col: str = "instruction",
                  label_col: str = "intent") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): rows with a null text or label go to the reject output."""
+    """(valid, rejected): rows with a null text or label, and records that couldn't be parsed,
+    go to the reject output, the latter with their raw text. Every row is in one of the two."""
     tagged = with_reject_reason(df, text_col, label_col)
-    return (tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"),
+    return (tagged.where(F.col("reject_reason").isNull()).drop("reject_reason", RAW),
             tagged.where(F.col("reject_reason").isNotNull()))
 
 
