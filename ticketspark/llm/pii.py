@@ -157,11 +157,14 @@ def _told(base: DataFrame, hit: DataFrame, frequency: DataFrame, total: int) ->
     shown = sized(shown.where((F.col("texts") >= SUPPORT) & (F.col("n_entity") < total)).drop("texts"), "pii-shown")
     holders = materialize(together(materialize(named.join(shown, "entity"), "pii-held")), "pii-holders")
     most = shown.agg(F.max("n_entity")).first()[0] or 0  # as in disclosing(), for any entity
-    rare = sized(frequency.where((F.col("n_term") >= SUPPORT) & (
-        F.col("n_term") <= most ** DISCLOSURE * total ** (1 - DISCLOSURE) * (1 + 1e-9))), "pii-rare")
     asked = holders.select("_row").distinct()
-    runs = words(hit.select("_row", "_text").join(asked, "_row", "left_semi")).join(rare, "term").drop("n_term")
-    terms = materialize(outside(base.join(asked, "_row", "left_semi"), runs), "pii-terms")
+    runs = materialize(words(hit.select("_row", "_text").join(asked, "_row", "left_semi")), "pii-words")
+    # only the corpus frequency of words that stand in these texts is of use
+    rare = sized(frequency.where((F.col("n_term") >= SUPPORT) & (
+        F.col("n_term") <= most ** DISCLOSURE * total ** (1 - DISCLOSURE) * (1 + 1e-9))).join(
+        runs.select("term").distinct(), "term"), "pii-rare")
+    terms = outside(base.join(asked, "_row", "left_semi"), runs.join(rare, "term").drop("n_term"))
+    terms = materialize(terms, "pii-terms")
     told = sized(disclosing(holders, terms.select("_row", "term").distinct().join(rare, "term"), total), "pii-told")
     marked = holders.join(told, "entity").groupBy("_row", "term").agg(F.max("removed").alias("removed"))
     return terms.join(marked, ["_row", "term"]).select("_row", "start", "end", "removed")
