@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -94,3 +99,75 @@ def test_saved_tables_predict_what_the_broadcast_model_does(spark, monkeypatch):
         assert np.isclose(x.score, y.score, atol=1e-6)
         assert x.cross_entropy == y.cross_entropy or np.isclose(x.cross_entropy, y.cross_entropy, atol=1e-7)
     assert L.predict(empty_docs(spark), large).count() == 0
+
+
+def plain_kneser_ney(texts):
+    """-log p of each n-gram's last character, by dicts: (chars before, char) -> nats."""
+    counts = [Counter() for _ in range(L.ORDER + 1)]
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            padded = " " * (L.ORDER - 1) + w + " "
+            counts[L.ORDER].update(padded[i:i + L.ORDER] for i in range(len(w) + 1))
+    for n in range(L.ORDER - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    chars = len(counts[1])
+
+    def discount(n):
+        ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        return min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
+
+    def p(gram):
+        if not gram:
+            return 1 / (chars + 1)
+        n, d = len(gram), discount(len(gram))
+        same = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:])
+        total = sum(same.values())
+        return max(same.get(gram, 0) - d, 0) / total + d * len(same) / total * p(gram[1:])
+
+    def cross_entropy(text):
+        grams = [(" " * (L.ORDER - 1) + w + " ")[i:i + L.ORDER]
+                 for w in re.findall(r"[^\W\d_]+", text.lower()) for i in range(len(w) + 1)]
+        return sum(-math.log(p(g)) for g in grams) / len(grams)
+    return cross_entropy
+
+
+def test_models_equal_a_plain_kneser_ney(spark):
+    train = {"en": ["The cat sat on the mat", "a cat and a dog, the dogs", "that thing there"],
+             "de": ["der Hund und die Katze", "das ist ein Haus und dort", "Straße über dem Fluß"]}
+    df = spark.createDataFrame([(t, x) for x, ts in train.items() for t in ts], "text string, lang string")
+    asked = ["the cat and the dog", "die Straße und das Haus", "qqq zzz", "cat", "x", "THE\u0130 \u00e9t\u00e9"]
+    texts = spark.createDataFrame(list(enumerate(asked)), "id int, text string")
+    models = {x: plain_kneser_ney(ts) for x, ts in train.items()}
+    for grams in (L.BROADCAST_GRAMS, 5):
+        for r in L.predict(texts, L.fit(df, broadcast_grams=grams)).collect():
+            want = {x: m(asked[r.id]) for x, m in models.items()}
+            assert r.lang_pred == min(want, key=lambda x: (want[x], x))
+            assert math.isclose(r.cross_entropy, want[r.lang_pred], abs_tol=1e-6), asked[r.id]
+
+
+def test_rejection_is_calibrated_on_texts_left_out(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    learned = docs.where(~L.held_out(F.col("doc_id")))
+    m = L.fit(learned)
+    assert all(0 < limit < 1000 for _, limit in m.usual)
+    # of texts that neither the models nor the limits have seen, few are rejected
+    unseen = L.predict(docs.where(L.held_out(F.col("doc_id")) & ~L.left_out(F.col("text"))), m, excess=True)
+    rows_ = [r for r in unseen.collect() if r.lang_pred == r.lang]
+    assert sum(r.rejected for r in rows_) / len(rows_) < 0.03
+    limits = dict(zip(m.langs, (limit for _, limit in m.usual)))
+    assert all(r.rejected == (r.excess > limits[r.lang_pred]) for r in rows_)
+    # shuffled letters of the same texts are
+    rnd = random.Random(1)
+    odd = [(i, "".join(rnd.sample(t, len(t)))) for i, t in enumerate(r.text.replace(" ", "")[:300] for r in rows_[:60])]
+    got = L.predict(spark.createDataFrame(odd, "id int, text string"), m).collect()
+    assert sum(r.rejected for r in got) / len(got) > 0.9
+
+
+def test_a_language_without_left_out_texts_has_a_limit(spark):
+    rows_ = [(f"the cat and the dog number {'abcdefghij'[i % 10] * (i // 10 + 1)}", "en") for i in range(100)]
+    m = L.fit(spark.createDataFrame([*rows_, ("qu\u00e9 pasa aqu\u00ed", "es")], "text string, lang string"))
+    assert m.langs == ["en", "es"] and m.usual[0][1] == m.usual[1][1] < math.inf
+    alone = L.fit(spark.createDataFrame([("ab", "x")], "text string, lang string"))
+    assert len(alone.langs) == 1

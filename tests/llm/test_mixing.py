@@ -1,7 +1,10 @@
+import math
+import random
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
 from edge import edge_docs, empty_docs, rows
@@ -72,12 +75,70 @@ def test_hot_source_of_equal_sizes(spark):
     check(got, data, 0.5)
 
 
+def test_tilts_solve_the_dual(spark):
+    """Each source's lambda is the root that bisection finds; rates above the cap are cut."""
+    rnd = random.Random(2)
+    data = [(i, "w " * rnd.choice([0, 1, 2, 5, 20, 100, 700]), rnd.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    src = F.col("source")
+    cells = docs.groupBy(F.coalesce(src, F.lit("")).alias("_s"), src.isNull().alias("_z"), M.words(F.col("text")).alias("_size")).agg(
+        F.count(F.lit(1)).alias("n"))
+    rows_ = cells.collect()
+    got = M.tilts(cells, M.targets(cells, M.WEIGHTS, M.TOTAL, M.MOST), M.MOST).collect()
+    assert len(got) == 5
+    for r in got:
+        own = [(c["_size"], c.n) for c in rows_ if (c["_s"], c["_z"]) == (r["_s"], r["_z"]) and c["_size"]]
+        assert r.scale == pytest.approx(sum(z * n for z, n in own) / sum(n for _, n in own))
+        if r["_full"]:
+            assert r.target == pytest.approx(2 * r.source_size)
+            continue
+        def taken(lam):
+            return sum(n * z * min(2.0, math.exp(lam * z / r.scale)) for z, n in own)
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if taken(mid) < r.target else (lo, mid)
+        assert taken(r.lam) == pytest.approx(r.target, rel=1e-5, abs=1.1)
+        assert r.lam == pytest.approx(lo, abs=2e-3)
+    assert {r["_full"] for r in got} == {True, False}
+
+
+def test_steps_that_don_t_converge_are_told(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROUNDS", 1)
+    monkeypatch.setattr(M, "STEPS", 1)
+    data = [(i, "w " * (1 + i % 90), "ab"[i % 2]) for i in range(300)]
+    with pytest.raises(RuntimeError, match="after 1 steps"):
+        M.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(5, 1))
+
+
 def test_rates_are_tilted_by_size(spark):
-    # with a target above the size, long documents are taken more often than short ones
-    data = [(i, "w " * (1 + i % 50), "a") for i in range(1000)] + [(5000 + i, "w " * 600, "b") for i in range(20)]
-    got = M.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(3, 1)).collect()
-    long = [r.copies for r in got if r.doc_id < 5000 and r["size"] > 40]
-    short = [r.copies for r in got if r.doc_id < 5000 and r["size"] < 10]
-    ratio = got[0].target / got[0].source_size
-    a = next(r for r in got if r.doc_id == 0)
-    assert (sum(long) / len(long) >= sum(short) / len(short)) == (a.target >= a.source_size) or ratio == 2
+    # a target below the size takes short documents more often than long ones; one above it
+    # the long ones, until they reach the cap
+    data = [(i, "w " * (1 + i % 50), "a") for i in range(1000)] + [(5000 + i, "w " * 250, "b") for i in range(100)]
+    for weights, total, long_first in (((1, 3), 0.7, False), ((1, 1), 1.3, True)):
+        got = M.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=weights, total=total).collect()
+        a = next(r for r in got if r.doc_id == 0)
+        assert (a.target > a.source_size) == long_first
+
+        def mean(of):
+            return sum(r.copies for r in of) / len(of)
+        long = mean([r for r in got if r.doc_id < 5000 and r["size"] > 40])
+        short = mean([r for r in got if r.doc_id < 5000 and r["size"] < 10])
+        assert (long - short > 0.05) if long_first else (short - long > 0.05)
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_many_rows_of_one_id_are_dealt_in_parts(spark, monkeypatch, hot):
+    """As many copies for each id as if the id's rows stood in one bucket."""
+    data = [(hot, "a b c", "s")] * 900 + [(i, "a b c", "s") for i in range(300)] + [(5000 + i, "x " * 30, "t") for i in range(200)]
+    src = spark.createDataFrame(data, "doc_id long, text string, source string")
+    monkeypatch.setattr(M, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(M, "LARGE", 1000)
+    want = M.mix(src, keep=["doc_id"]).collect()
+    monkeypatch.setattr(M, "LARGE", 4)
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    for parts in (1, 6):
+        got = M.mix(src.repartition(parts), keep=["doc_id"]).collect()
+        assert sorted(got, key=key) == sorted(want, key=key)
+    if hot is not None:
+        check(got, data, 0.5)

@@ -9,6 +9,7 @@ whose model needs the fewest bits per character, the same on both paths.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,10 @@ PART_TEXTS = 100_000
 # the order in which tasks add.
 SCALE = 1 << 30
 UNKNOWN = "und"
+# One text of so many is left out of the models that calibrate the rejection, and the share
+# of a language's left-out texts that may lie beyond its limit, as read from counts of
+# excesses in cells of 1/CELLS, CELL_LIMIT at most.
+FOLDS, REJECT_SHARE, CELLS, CELL_LIMIT = 10, 0.001, 100, 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -71,26 +76,33 @@ def _strings(rows: np.ndarray) -> list[str]:
     return [flat[i:i + ORDER] for i in range(0, len(flat), ORDER)]
 
 
+def left_out(text: Column) -> Column:
+    """The texts that only calibrate the rejection: one of FOLDS, equal texts alike."""
+    return F.pmod(F.xxhash64(F.lit("fold"), text), F.lit(FOLDS)) == 0
+
+
 def gram_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, n): how often each n-gram stands in the texts of each language. Each
-    task adds up what it has seen before anything is shuffled."""
-    src = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("_text"), F.col(lang_col).alias("lang"))
+    """(lang, out, gram, n): how often each n-gram stands in the texts of each language, and
+    apart from them in those that are left out. Each task adds up what it has seen before
+    anything is shuffled."""
+    text = F.col(text_col)
+    src = df.where(F.col(lang_col).isNotNull() & text.isNotNull()).select(
+        text.alias("_text"), F.struct(F.col(lang_col).alias("lang"), left_out(text).alias("out")).alias("_of"))
 
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
+        for (lang, out), parts in held.items():
             rows, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()),
+                [pa.repeat(lang, len(n)), pa.repeat(out, len(n)),
                  pa.array(_strings(rows), pa.string()),
-                 pa.array(n)], names=["lang", "gram", "n"])
+                 pa.array(n)], names=["lang", "out", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
         size = 0
         for batch in batches:
             for part in slices(batch, 0, CHUNK_BYTES):
-                langs = part.column(1).to_pylist()
+                langs = [(x["lang"], x["out"]) for x in part.column(1).to_pylist()]
                 split = [words_of(t) for t in part.column(0).to_pylist()]
                 for lang in set(langs):
                     code, words = distinct(list(chain.from_iterable(
@@ -105,8 +117,8 @@ def gram_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                 held, size = {}, 0
         yield from emit(held)
 
-    out = src.mapInArrow(run, "lang string, gram string, n long")
-    return out.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    out = src.mapInArrow(run, "lang string, out boolean, gram string, n long")
+    return out.groupBy("lang", "out", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -124,7 +136,7 @@ class Model:
     langs: list[str]
     tables: list[list[Table]]  # by language, then by order from 1
     floor: list[float]         # log probability of a character never seen
-    usual: list[tuple[float, float]]  # mean and deviation of -log p of a character
+    usual: list[tuple[float, float]]  # mean of -log p of a character, and limit of the excess
 
     def log_probs(self, rows: np.ndarray) -> np.ndarray:
         """Log probability of each n-gram's last character, a column per language."""
@@ -150,8 +162,9 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (table[at] == keys if len(table) else np.zeros(len(keys), bool))
 
 
-def _kneser_ney(rows: np.ndarray, n: np.ndarray) -> tuple[list[Table], float, tuple[float, float]]:
-    """The tables of one language from its n-grams of the highest order and their counts.
+def _kneser_ney(rows: np.ndarray, n: np.ndarray) -> tuple[list[Table], float, float]:
+    """The tables of one language from its n-grams of the highest order and their counts, the
+    log probability of an unknown character, and the mean of -log p over the n-grams.
 
     Lower orders count the distinct characters seen before an n-gram. From each count a
     discount goes to the context's back-off weight, which scales the order below."""
@@ -183,8 +196,7 @@ def _kneser_ney(rows: np.ndarray, n: np.ndarray) -> tuple[list[Table], float, tu
         tables.append(Table(h, np.log(p), context, np.log(backoff)))
     bits = -tables[-1].logp
     weight = levels[-1][1][np.argsort(hashes(levels[-1][0]))]
-    mean = float(np.average(bits, weights=weight))
-    return tables, floor, (mean, float(np.sqrt(np.average((bits - mean) ** 2, weights=weight))))
+    return tables, floor, float(np.average(bits, weights=weight))
 
 
 @dataclass
@@ -231,13 +243,11 @@ def _saved_kneser_ney(counts: DataFrame) -> SavedModel:
             p = p + F.col("backoff") * F.exp("_logp")
         grams.append(materialize(rows.select("lang", "gram", "n", F.log(p).alias("logp")), "langid-grams"))
         contexts.append(context.select("lang", "context", F.log("backoff").alias("backoff")))
-    mean = grams[-1].groupBy("lang").agg((F.sum(-F.col("logp") * F.col("n")) / F.sum("n")).alias("mean"))
-    off = F.col("n") * (-F.col("logp") - F.col("mean")) ** 2
-    usual = {r["lang"]: (r["mean"], r["dev"]) for r in grams[-1].join(F.broadcast(mean), "lang").groupBy("lang").agg(
-        F.first("mean").alias("mean"), F.sqrt(F.sum(off) / F.sum("n")).alias("dev")).collect()}
-    langs = sorted(usual)
+    mean = {r["lang"]: r["mean"] for r in grams[-1].groupBy("lang").agg(
+        (F.sum(-F.col("logp") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    langs = sorted(mean)
     return SavedModel(langs, [g.drop("n") for g in grams], contexts,
-                      [floor[x] for x in langs], [usual[x] for x in langs])
+                      [floor[x] for x in langs], [(mean[x], math.inf) for x in langs])
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int | None = None,
@@ -248,9 +258,15 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams
     ``broadcast_grams`` of them come to the driver; more stay in saved tables, with the
     same predictions. A caller who wants a small model of the most frequent n-grams only
     names ``max_grams`` (a cut on the count, found from a histogram of counts, so that
-    n-grams of equal count stay or go together)."""
+    n-grams of equal count stay or go together).
+
+    From what excess on a text is rejected is calibrated: models of nine tenths of the texts
+    judge the tenth that they haven't seen, and a language's limit is that of the excesses
+    of those of its left-out texts that it recognises which ``REJECT_SHARE`` of them exceed. A
+    language with too few such texts to show so small a share has the widest limit of all."""
     from ticketspark.session import materialize
-    counts = materialize(gram_counts(df, text_col, lang_col), "langid")
+    parts = materialize(gram_counts(df, text_col, lang_col), "langid-parts")
+    counts = materialize(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid")
     if max_grams is not None:
         hist = counts.groupBy(F.least("n", F.lit(max_grams)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
         kept, cut = 0, 1
@@ -260,6 +276,19 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams
                 cut = row["n"] + 1
                 break
         counts = counts.where(F.col("n") >= cut)
+    model = _model(counts, broadcast_grams)
+    known = df.where(F.col(lang_col).isNotNull() & left_out(F.col(text_col))).select(
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    limits = _limits(known, _model(parts.where(~F.col("out")).select("lang", "gram", "n"), broadcast_grams))
+    widest = max((limit for limit, _ in limits.values()), default=math.inf)
+    for k, (x, (mean, _)) in enumerate(zip(model.langs, model.usual)):
+        limit, texts = limits.get(x, (widest, 0))
+        model.usual[k] = (mean, limit if texts * REJECT_SHARE >= 1 else widest)
+    return model
+
+
+def _model(counts: DataFrame, broadcast_grams: int) -> Model | SavedModel:
+    """The models of all languages from (lang, gram, n), without limits."""
     if counts.count() > broadcast_grams:
         return _saved_kneser_ney(counts)
     pdf = counts.toArrow()
@@ -269,19 +298,39 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams
     rows = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
     model = Model(sorted(set(langs)), [], [], [])
     for lang in model.langs:
-        tables, floor, usual = _kneser_ney(rows[langs == lang], n[langs == lang])
+        tables, floor, mean = _kneser_ney(rows[langs == lang], n[langs == lang])
         model.tables.append(tables)
         model.floor.append(floor)
-        model.usual.append(usual)
+        model.usual.append((mean, math.inf))
     return model
 
 
-# Characters that count as independent evidence, and deviations beyond the training
-# texts' mean that a text may need.
+def _limits(known: DataFrame, model: Model | SavedModel) -> dict[str, tuple[float, int]]:
+    """The limit of each language's excess from (text, lang) rows that the model hasn't seen,
+    and the number of texts behind it.
+    What comes to the driver are counts of cells, ``CELL_LIMIT`` a language at most."""
+    seen = predict(known, model, keep=["lang"], excess=True).where(F.col("lang_pred") == F.col("lang"))
+    cell = F.least(F.floor(F.greatest("excess", F.lit(0.0)) * CELLS), F.lit(CELL_LIMIT))
+    found: dict[str, list] = {}
+    for lang, at, n in seen.groupBy("lang", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
+        found.setdefault(lang, []).append((at, n))
+    out = {}
+    for lang, cells in found.items():
+        texts = sum(n for _, n in cells)
+        over, may = 0, REJECT_SHARE * texts
+        for at, n in sorted(cells, reverse=True):
+            over += n
+            if over > may:
+                out[lang] = ((at + 1) / CELLS, texts)
+                break
+    return out
+
+
+# Characters that count as independent evidence.
 EVIDENCE = 50
-REJECT_Z = 6.0
 FIELDS = [field("lang_pred", "string"), field("score", "double"),
           field("cross_entropy", "double"), field("rejected", "boolean")]
+EXCESS = field("excess", "double")
 
 
 def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -292,19 +341,21 @@ def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _judge(model: Model | SavedModel, total: np.ndarray, chars: np.ndarray, letter: list[bool]) -> list:
-    """The output fields from each text's summed log probabilities by language."""
-    out = [[], [], [], []]
+    """The output fields from each text's summed log probabilities by language, and the
+    excess: how far its cross-entropy is above the language's mean, in units that shrink
+    with the root of its length, as the spread of a mean does."""
+    out = [[], [], [], [], []]
     for i, some in enumerate(letter):
         if not model.langs or not some:
-            row = (UNKNOWN, 0.0, None, True)
+            row = (UNKNOWN, 0.0, None, True, None)
         else:
             ce = -(total[i] / SCALE) / max(chars[i], 1)
             best = int(np.argmin(ce))
             m = min(chars[i], EVIDENCE)
-            mean, dev = model.usual[best]
-            beyond = (ce[best] - mean) / (dev / np.sqrt(max(m, 1)) + 1e-9) - REJECT_Z
-            score = 1 / np.exp((ce[best] - ce) * m).sum() * min(1.0, float(np.exp(-max(beyond, 0))))
-            row = (model.langs[best], float(score), float(ce[best]), bool(beyond > 0))
+            mean, limit = model.usual[best]
+            excess = float((ce[best] - mean) * np.sqrt(m))
+            score = 1 / np.exp((ce[best] - ce) * m).sum() * min(1.0, math.exp(min(1 - excess / limit, 0)))
+            row = (model.langs[best], float(score), float(ce[best]), excess > limit, excess)
         for x, y in zip(out, row):
             x.append(y)
     return out
@@ -352,6 +403,7 @@ def _gram_values(asked: DataFrame, model: SavedModel) -> DataFrame:
     is joined shares a context or an ending with as many rows as there are characters."""
     from ticketspark.session import materialize
     spark = asked.sparkSession
+    # a row a language
     langs = F.broadcast(spark.createDataFrame(
         [(k, x, f) for k, (x, f) in enumerate(zip(model.langs, model.floor))], "k int, lang string, floor double"))
     below = None
@@ -371,12 +423,13 @@ def _gram_values(asked: DataFrame, model: SavedModel) -> DataFrame:
     return below.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", scaled.alias("v"))))["v"].alias("values"))
 
 
-def _predict_joined(df: DataFrame, model: SavedModel, text_col: str, keep: list[str] | None) -> DataFrame:
+def _predict_joined(df: DataFrame, model: SavedModel, text_col: str, keep: list[str] | None,
+                    fields: list) -> DataFrame:
     """:func:`predict` by a join of each text's distinct n-grams to the saved tables. An
     n-gram of very many texts is joined in parts, and looked up in the model once."""
     from ticketspark.operators.vocab import sized
     from ticketspark.session import materialize
-    names = [f.name for f in FIELDS]
+    names = [f.name for f in fields]
     kept = [c for c in (plain(df).columns if keep is None else keep) if c.lower() not in names]
     held = df.select(text_col, *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(kept)])
     texts = map_text(held, text_col, [
@@ -400,34 +453,36 @@ def _predict_joined(df: DataFrame, model: SavedModel, text_col: str, keep: list[
     rows = texts.drop("_grams", "_n").join(total, "_row", "left").select(
         "_letter", "_chars", "_total", *held.columns[1:])
     judge = SavedModel(model.langs, [], [], [], model.usual)
-    schema = T.StructType([T.StructField(c, rows.schema[f"_k{i}"].dataType) for i, c in enumerate(kept)] + FIELDS)
+    schema = T.StructType([T.StructField(c, rows.schema[f"_k{i}"].dataType) for i, c in enumerate(kept)] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = [0] * len(judge.langs)
         for batch in batches:
             sums = np.array([t or none for t in batch.column(2).to_pylist()], np.int64)
             out = _judge(judge, sums, batch.column(1).to_numpy(), batch.column(0).to_pylist())
-            cols = [pa.array(x, t) for x, t in zip(out, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
+            types = (pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.float64())
+            cols = [pa.array(x, t) for x, t in zip(out[:len(fields)], types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], *cols], names=[*kept, *names])
 
     return rows.mapInArrow(run, schema)
 
 
 def predict(df: DataFrame, model: Model | SavedModel, text_col: str = "text",
-            keep: list[str] | None = None) -> DataFrame:
+            keep: list[str] | None = None, excess: bool = False) -> DataFrame:
     """``keep`` columns (default: all) plus the language of each whole text.
 
     ``lang_pred`` is the language of the lowest cross-entropy per character (ties: the first
     by code point), ``und`` for a text that is null or has no letter, or if the model has
     no language. ``score`` is the posterior under equal priors, from 50 characters' evidence
-    at most; ``rejected`` marks texts that are far beyond what the language's own
-    training texts need, and lowers their score. Rows are judged one by one; input columns
-    named like an output give way; an empty table stays empty.
+    at most; ``rejected`` marks texts beyond the language's calibrated limit, and lowers their
+    score; with ``excess``, what is compared with the limit is returned too. Rows are judged
+    one by one; input columns named like an output give way; an empty table stays empty.
     """
+    fields = [*FIELDS, EXCESS] if excess else FIELDS
     if isinstance(model, SavedModel):
-        return _predict_joined(df, model, text_col, keep)
+        return _predict_joined(df, model, text_col, keep, fields)
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by BROADCAST_GRAMS
-    return map_text(df, text_col, FIELDS, lambda texts: _predict(sent.value, texts), keep)
+    return map_text(df, text_col, fields, lambda texts: _predict(sent.value, texts)[:len(fields)], keep)
 
 
 def held_out(key: Column) -> Column:

@@ -12,10 +12,13 @@ on the table of (source, size, number of documents).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketspark.llm.common import WORD, plain
+from ticketspark.operators.vocab import sized
 from ticketspark.session import materialize
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
@@ -28,6 +31,8 @@ UNIT = 1024
 REPAIRS = 4
 # Rows of equal source and size that one window task orders, about.
 BUCKET_ROWS = 1024
+# A bucket of over so many times as many rows holds many rows of one id.
+LARGE = 8
 
 _KEY = ["_s", "_z"]  # a source: its name or an empty string, and whether it is null
 
@@ -112,13 +117,18 @@ def tilts(cells: DataFrame, goal: DataFrame, most: float) -> DataFrame:
     state = state.withColumn("lam", F.when(F.col("_full") | (F.col("target") <= 0), 0.0).otherwise(
         F.log(F.col("target") / F.greatest("source_size", F.lit(1))))).withColumn(
         "lo", none).withColumn("hi", none).withColumn("gap", F.lit(1.0))
+    done = []
     for _ in range(ROUNDS):
         for _ in range(STEPS):
             state = _step(cells, state, most)
         state = materialize(state, "mix-tilts")
-        if (state.agg(F.max("gap")).first()[0] or 0) <= TOLERANCE:
-            break
-    return state
+        # solved sources take no further step
+        done.append(state.where(F.col("gap") <= TOLERANCE))
+        state = state.where(F.col("gap") > TOLERANCE)
+        left = state.agg(F.count(F.lit(1)), F.max("gap")).first()
+        if not left[0]:
+            return reduce(DataFrame.unionByName, done)
+    raise RuntimeError(f"{left[0]} sources are up to {left[1]:.2g} of their targets away after {ROUNDS * STEPS} steps")
 
 
 def copies(cells: DataFrame, state: DataFrame, most: float) -> DataFrame:
@@ -146,6 +156,36 @@ def copies(cells: DataFrame, state: DataFrame, most: float) -> DataFrame:
     return c.select(*_KEY, "_size", "n", "k", "source_size", "target")
 
 
+def _many_of_one_id(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """``rows`` of buckets with ``_more`` extra copies, plus ``_one``: does a row get one? As
+    in the order of ids, but the rows of one id, which are exchangeable, are dealt over parts
+    that have their shares of the id's copies. A window holds a bucket's distinct ids, which
+    are as many as in any bucket, or the rows of a part."""
+    rows = rows.withColumn("_none", F.col("_id").isNull())
+    one = [*cell, "_b", "_h", "_none", "_id"]
+    ids = rows.groupBy(*one).agg(F.count(F.lit(1)).alias("_m"), F.first("_more").alias("_more"))
+    upto = Window.partitionBy(*cell, "_b").orderBy("_h", "_none", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    ids = ids.withColumn("_left", F.col("_more") - F.sum("_m").over(upto) + F.col("_m"))
+    ids = ids.withColumn("_extra", F.least(F.greatest("_left", F.lit(0)), F.col("_m")))
+    ids = materialize(ids.select(*[F.col(c).alias(f"{c}_") for c in one], "_m", "_extra"), "mix-ids")
+    same = [rows[c].eqNullSafe(ids[f"{c}_"]) if c == "_id" else rows[c] == ids[f"{c}_"] for c in one]
+    parts = F.ceil(F.col("_m") / BUCKET_ROWS)
+    dealt = rows.join(ids, same).withColumn("_p", F.pmod(F.xxhash64(F.lit("part"), "_row"), parts))
+    dealt = materialize(dealt.drop(*[f"{c}_" for c in one]), "mix-parts")
+    so_far = Window.partitionBy(*cell, "_b", "_h", "_none").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = dealt.groupBy(*cell, "_b", "_h", "_none", "_p").agg(
+        F.count(F.lit(1)).alias("_k"), F.first("_m").alias("_all"), F.first("_extra").alias("_e"))
+
+    def before(n: Column) -> Column:
+        return F.when(n == F.col("_all"), F.col("_e")).otherwise(F.floor(F.col("_e").cast("double") * n / F.col("_all")))
+
+    sizes = sizes.withColumn("_so", F.sum("_k").over(so_far))
+    sizes = sizes.withColumn("_give", before(F.col("_so")) - before(F.col("_so") - F.col("_k")))
+    key = [*cell, "_b", "_h", "_none", "_p"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_row"))
+    return dealt.join(sizes.select(*key, "_give"), key).withColumn("_one", nth <= F.col("_give"))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         keep: list[str] | None = None, weights: tuple = WEIGHTS, total: float = TOTAL,
         most: int = MOST) -> DataFrame:
@@ -188,11 +228,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     def before(rows: Column) -> Column:  # extra copies of a cell's first rows; in doubles, as squares overflow
         return F.when(rows == F.col("n"), extra).otherwise(F.floor(extra.cast("double") * rows / F.col("n")))
 
-    share = share.select(*cell, "_b", (before(F.col("_upto")) - before(F.col("_upto") - F.col("_c"))).alias("_more"))
+    share = share.select(*cell, "_b", "_c", (before(F.col("_upto")) - before(F.col("_upto") - F.col("_c"))).alias("_more"))
     share = materialize(share, "mix-shares")
+    # a bucket that is still large holds an id very many times
+    large = sized(share.where(F.col("_c") > LARGE * BUCKET_ROWS), "mix-large")
     nth = F.row_number().over(Window.partitionBy(*cell, "_b").orderBy("_h", "_id", "_row"))
-    out = dealt.join(share, [*cell, "_b"]).withColumn("copies", (
-        F.floor(F.col("k") / F.col("n")) + (nth <= F.col("_more")).cast("long")).cast("long"))
+    one_more = dealt.join(share, [*cell, "_b"])
+    if not large.isEmpty():
+        one_more = dealt.join(share.where(F.col("_c") <= LARGE * BUCKET_ROWS), [*cell, "_b"])
+    out = one_more.withColumn("_one", nth <= F.col("_more")).select(*dealt.columns, "_one")
+    if not large.isEmpty():
+        out = out.unionByName(_many_of_one_id(dealt.join(large, [*cell, "_b"]), cell).select(*dealt.columns, "_one"))
+    out = out.withColumn("copies", (F.floor(F.col("k") / F.col("n")) + F.col("_one").cast("long")).cast("long"))
     out = out.select("_row", "_id", F.col("_size").alias("size"), "source_size", "target", "copies",
                      (F.col("copies") * F.col("_size")).alias("taken"))
     if all(c.lower() == id_col.lower() for c in kept):
