@@ -1,0 +1,60 @@
+"""Strict parsing of request bodies (J1) against Python's parser, and label membership."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from ticketspark.operators import labelmatch as LM
+from ticketspark.operators import serving as S
+from ticketspark.operators import vocab
+
+BODIES = [
+    '{"message":"a"}', ' {"message":"a"} ', '\n\t{"message" : "a"}\r\n', '{"message":"a"} and more', '{"message":"a"}}',
+    '{"message":"a"}}}', '{"message":"a"}]', '{"message":"a"},{}', '{"message":"a"},"c":{}', '{"message":"a"},"c":{}}',
+    '{"message":"a"},"e":{}', '{"message":"a"}\x00', "{'message':'a'}", "{message:1}", '{"message":null}', '{"message":5}',
+    '{"message":{"x":[1,2]}}', '{"message":"a","message":"b"}', '{"msg":1}', "{}", "[]", "[1]", "[1", "1", "-1.5e3", "01", '"text"',
+    '"a" "b"', "true", "null", "nul", "", " ", "\n", "{", "}", "[]]", "[],[]", "1,2", '{"a":1,}', '{"a":{"b":{"c":"}"}}}', None,
+    '{"message":"\\u00e9 \\"q\\" \\n"}', '{"b":{"x":"y"},"message":"deep"}', '{"message":"🙂 漢字"}']
+
+
+def plain(body):
+    try:
+        v = json.loads(body.strip(" \t\n\r")) if body is not None else json.loads("")
+    except ValueError:
+        return S.MALFORMED, None
+    if not isinstance(v, dict):
+        return S.NOT_OBJECT, None
+    if "message" not in v:
+        return S.MISSING_MESSAGE, None
+    m = v["message"]
+    return None, m if isinstance(m, str) or m is None else json.dumps(m, separators=(",", ":"))
+
+
+def test_bodies_are_judged_as_by_a_strict_parser(spark):
+    df = spark.createDataFrame(list(enumerate(BODIES)), "request_id int, body string")
+    got = {r.request_id: r for r in S.validate_requests(df).collect()}
+    for i, body in enumerate(BODIES):
+        assert (got[i].error_kind, got[i].message) == plain(body), repr(body)
+        assert got[i].accepted == (got[i].error_kind is None)
+
+
+def test_a_body_is_parsed_once(spark):
+    df = spark.createDataFrame(list(enumerate(BODIES)), "request_id int, body string")
+    plan = S.clean_messages(S.validate_requests(df))._jdf.queryExecution().optimizedPlan().toString()
+    # one parser for objects and one for other values, of which a body meets one
+    assert plan.count("from_json") == 2
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_membership_joins(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(vocab, "BROADCAST_ROWS", 0)
+    labels = spark.createDataFrame([("a",), ("b",), ("a",), (None,), ("",)], "intent string")
+    rows = [(1, "a", 0.95), (2, "A", 0.95), (3, "b", 0.5), (4, None, 0.95), (5, "", 0.9), (6, "a", None)]
+    df = spark.createDataFrame(rows, "id int, predicted_intent string, confidence double")
+    flags = {r.id: r.is_label for r in LM.flag_labels(df, F.col("predicted_intent"), labels, "intent").collect()}
+    assert flags == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True}
+    routed = {r.id: (r.auto, r.routed_to) for r in S.route(df, labels, 0.9).collect()}
+    human = (False, S.ROUTE_TO_HUMAN)
+    assert routed == {1: (True, "a"), 2: human, 3: human, 4: human, 5: (True, ""), 6: human}

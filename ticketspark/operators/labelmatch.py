@@ -71,3 +71,13 @@ def decode_outputs(df: DataFrame, raw_col: str, labels: DataFrame, label_col: st
         "held"), F.lit(UNPARSEABLE)).alias(out_col))
     return out.join(sized(named, "decoded-outputs"), "_clean", "left").select(
         *[F.col(f"`{c}`") for c in df.columns if c != out_col], F.coalesce(out_col, F.lit(UNPARSEABLE)).alias(out_col))
+
+
+def flag_labels(df: DataFrame, value: Column, labels: DataFrame, label_col: str = "label",
+                out_col: str = "is_label") -> DataFrame:
+    """``df`` plus ``out_col``: is ``value`` exactly a label? (False for a null value.) Membership
+    is a join with the distinct labels, broadcast within the budget; no row carries them."""
+    known = labels.where(F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{label_col}`").alias("_value")).distinct()
+    known = sized(known.withColumn(out_col, F.lit(True)), "known-labels")
+    return df.withColumn("_value", value).join(known, "_value", "left").select(
+        *[F.col(f"`{c}`") for c in df.columns], F.coalesce(out_col, F.lit(False)).alias(out_col))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ticketspark.functions.decode import decode_lenient
 from ticketspark.functions.prompts import CHATML, ChatTemplate, classification_text
 from ticketspark.functions.text import strip_ws
+from ticketspark.operators.labelmatch import flag_labels
 from ticketspark.operators.predict import Predictor, predict_batch
 
 # Error kinds, the human-routing sentinel and the beginning of error responses.
@@ -26,22 +27,33 @@ ROUTE_TO_HUMAN = "route_to_human"
 ERROR_PREFIX = "A request is a JSON object with a message; this one is wrong: "
 
 
-def _parsed(body: Column) -> Column:
-    """(one, members): ``one`` is true if the body is exactly one strict JSON value;
-    ``members`` are those of an object, equal keys included, else null.
+# What JSON counts as white space.
+JSON_SPACE = " \t\n\r"
+
 
-    Spark's parser stops at the end of a value and takes single quotes unless told not
-    to. What must be whole in an array and in an object at once has nothing after it.
+def _parsed(body: Column) -> Column:
+    """(mark, members, values) of a body, by one strict parse: of an object its members, equal
+    keys included, else what the body is beside the mark.
+
+    Spark's parser stops at the end of a value, and takes single quotes unless told not to. So
+    the body is parsed as the first member of an object whose second one has the body's own
+    digest, the mark, for a key: if there are these two members, the body is one whole value
+    with nothing after it. A body that ends the object itself leaves the mark unread, one that
+    brings members of its own makes them more than two, and none can hold its own digest.
     """
     strict = {"allowSingleQuotes": "false"}
-    in_array = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", strict)
-    in_object = F.concat(F.lit('{"b":'), body, F.lit("}"))
-    is_object = F.startswith(F.ltrim(body), F.lit("{"))
-    members = F.when(is_object, F.from_json(in_object, "map<string,map<string,string>>", strict))
-    value = F.when(~is_object, F.from_json(in_object, "map<string,string>", strict))
-    whole = F.when(is_object, F.size(members) == 1).otherwise(F.size(value) == 1)
-    return F.struct((F.coalesce(F.size(in_array) == 1, F.lit(False)) & F.coalesce(whole, F.lit(False))).alias("one"),
-                    F.try_element_at(members, F.lit("b")).alias("members"))
+    is_object = F.startswith(F.ltrim(body, F.lit(JSON_SPACE)), F.lit("{"))
+    mark = F.md5(body)
+
+    def wrapped(end: str) -> Column:
+        return F.concat(F.lit('{"b":'), body, F.lit(',"'), mark, F.lit(f'":{end}}}'))
+    members = F.when(is_object, F.from_json(wrapped("{}"), "map<string,map<string,string>>", strict))
+    values = F.when(~is_object, F.from_json(wrapped("0"), "map<string,string>", strict))
+    return F.struct(mark.alias("mark"), members.alias("members"), values.alias("values"))
+
+
+def _one(of: str) -> Column:
+    return F.coalesce((F.size(of) == 2) & F.map_contains_key(F.col(of), F.col("mark")), F.lit(False))
 
 
 def request_error(one: Column, members: Column, key: str = "message") -> Column:
@@ -65,6 +77,8 @@ def validate_requests(df: DataFrame, body_col: str = "body", key: str = "message
     Infinity, which strict JSON lacks, are accepted as Spark accepts them.
     """
     parsed = df.select(id_col, F.inline(F.array(_parsed(F.col(body_col)))))
+    parsed = parsed.select(id_col, (_one("members") | _one("values")).alias("one"), F.when(
+        _one("members"), F.try_element_at(F.col("members"), F.lit("b"))).alias("members"))
     err = request_error(F.col("one"), F.col("members"), key)
     return parsed.select(id_col, F.inline(F.array(F.struct(
         err.isNull().alias("accepted"),
@@ -130,19 +144,18 @@ def prompted(predictor: Predictor, labels: list[str], id_col: str = "request_id"
     return predict
 
 
-def route(predicted: DataFrame, labels: Column, threshold: float,
+def route(predicted: DataFrame, labels: DataFrame, threshold: float, label_col: str = "intent",
           pred_col: str = "predicted_intent", conf_col: str = "confidence") -> DataFrame:
     """``predicted`` plus ``routed_to`` (the label, or ``route_to_human``) and ``auto``.
 
-    A prediction is routed automatically only when it is exactly a known label and
-    its confidence reaches ``threshold``.
+    A prediction is routed automatically only when it is exactly one of the labels in the
+    table ``labels`` and its confidence reaches ``threshold``.
     """
-    p = predicted.withColumn("_labels", labels)
-    auto = F.coalesce(F.array_contains(F.col("_labels"), F.col(pred_col)), F.lit(False)) & (
-        F.col(conf_col) >= F.lit(threshold))
+    p = flag_labels(predicted, F.col(pred_col), labels, label_col, "_known")
+    auto = F.col("_known") & F.coalesce(F.col(conf_col) >= F.lit(threshold), F.lit(False))
     return p.withColumn("auto", auto).withColumn(
         "routed_to", F.when(F.col("auto"), F.col(pred_col)).otherwise(F.lit(ROUTE_TO_HUMAN))
-    ).drop("_labels")
+    ).drop("_known")
 
 
 def automation_rate(routed: DataFrame, actual: str = "intent") -> DataFrame:
@@ -159,13 +172,11 @@ def automation_rate(routed: DataFrame, actual: str = "intent") -> DataFrame:
     )
 
 
-def out_of_scope_audit(outputs: DataFrame, labels: Column, output_col: str,
+def out_of_scope_audit(outputs: DataFrame, labels: DataFrame, output_col: str, label_col: str = "intent",
                        arm_col: str = "arm", scope_col: str = "in_scope") -> DataFrame:
     """(arm, in_scope, n_rows, n_label, label_share): how often each arm answers with a
     real label (strict match), for in-scope and out-of-scope messages."""
-    o = outputs.withColumn("_labels", labels)
-    is_label = F.coalesce(F.array_contains(F.col("_labels"), strip_ws(F.col(output_col))), F.lit(False))
+    o = flag_labels(outputs, strip_ws(F.col(output_col)), labels, label_col, "_known")
     return o.groupBy(arm_col, scope_col).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(is_label, 1)).alias("n_label")
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("_known"), 1)).alias("n_label")
     ).withColumn("label_share", F.round(F.col("n_label") / F.col("n_rows"), 6))
-

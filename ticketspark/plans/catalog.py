@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketspark.functions.decode import decode_raw, decode_strict
+from ticketspark.functions.decode import decode_raw
 from ticketspark.functions.hashing import bucket
+from ticketspark.functions.text import strip_ws
 from ticketspark.operators import calibrate as CA
 from ticketspark.operators import compare as C
 from ticketspark.operators import dedup as D
@@ -314,8 +315,7 @@ def q_decode_lenient(spark, d):
 @query("decode_strict")
 def q_decode_strict(spark, d):
     sc = fx.scored(spark, d)
-    return sc.withColumn("_labels", V.label_array(sc)).select(
-        "ticket_id", "arm", decode_strict(F.col("raw_output"), F.col("_labels")).alias("is_label"))
+    return LM.flag_labels(sc, strip_ws(F.col("raw_output")), sc, "intent").select("ticket_id", "arm", "is_label")
 
 
 @query("decode_raw")
@@ -537,7 +537,7 @@ def q_score_requests(spark, d):
 
 
 def _routed(spark, d) -> DataFrame:
-    return S.route(_nb_test_predictions(spark, d), SH.train_labels(spark, d), SH.ROUTE_THRESHOLD)
+    return S.route(_nb_test_predictions(spark, d), SH.side(SH.split_dedup(spark, d), "train"), SH.ROUTE_THRESHOLD)
 
 
 @query("route_tickets")
@@ -553,12 +553,13 @@ def q_out_of_scope_audit(spark, d):
     off = fx.offtopic(spark, d).select("ticket_id", "instruction", F.lit(False).alias("in_scope"))
     msgs = test.unionByName(off)
     p = P.predict_naive_bayes(SH.nb_model(spark, d), msgs, carry=["in_scope"])
-    r = S.route(p, SH.train_labels(spark, d), SH.ROUTE_THRESHOLD)
+    train = SH.side(SH.split_dedup(spark, d), "train")
+    r = S.route(p, train, SH.ROUTE_THRESHOLD)
     # both arms come from one prediction
     arms = r.select("in_scope", F.explode(F.array(
         F.struct(F.lit("forced").alias("arm"), F.col("predicted_intent").alias("output")),
         F.struct(F.lit("routed").alias("arm"), F.col("routed_to").alias("output")))).alias("a"))
-    return S.out_of_scope_audit(arms.select("in_scope", "a.arm", "a.output"), SH.train_labels(spark, d), "output")
+    return S.out_of_scope_audit(arms.select("in_scope", "a.arm", "a.output"), train, "output")
 
 
 @query("automation_rate")
