@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketspark.operators.vocab import sized
 from ticketspark.session import materialize
 
 K, TABLES, PROBES, SEED = 10, 10, 10, 7
-# Indexed vectors that one task compares at once, about: larger buckets are dealt in parts.
+# Indexed vectors of a bucket that one task compares at once, about: larger buckets are dealt
+# in parts.
 PART_ROWS = 4096
 
 
@@ -125,9 +127,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     queries = classes.where("asked").select("cls", "vec", F.lit(True).alias("query"))
     index = classes.select("cls", "vec", F.lit(False).alias("query"))
     key = ["dim", "tab", "bucket"]
-    largest = _hashed(index, tables, probes, seed, False).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    found = _in_parts(_hashed(index.unionByName(queries), tables, probes, seed, True), key, largest, k)
+    found = _in_parts(_hashed(index.unionByName(queries), tables, probes, seed, True), key,
+                      _hashed(index, tables, probes, seed, False), k)
     found = _top(found, k)
     # (q, id, dist) of the k + 1 nearest members: the query itself may be among them
     found = materialize(_members(found, members, k), "vector-found")
@@ -137,8 +138,7 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     short = materialize(short, "vector-short")
     if not short.isEmpty():
         whole = index.unionByName(short).select("*", F.size("vec").alias("dim"))
-        most = whole.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        again = _members(_top(_in_parts(whole, ["dim"], most, k), k), members, k)
+        again = _members(_top(_in_parts(whole, ["dim"], whole.where(~F.col("query")), k), k), members, k)
         found = found.join(short.select(F.col("cls").alias("q")), "q", "left_anti").unionByName(again)
     out = asking.withColumnRenamed("cls", "q").join(found, "q").where(F.col("qid") != F.col("id"))
     out = out.groupBy("qid", "id").agg(F.min("dist").alias("dist"))
@@ -147,13 +147,16 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
         F.col("qid").alias("query_id"), "rank", F.col("id").alias(id_col), F.col("dist").alias("score"))
 
 
-def _in_parts(rows: DataFrame, key: list[str], largest: int, k: int) -> DataFrame:
-    """Nearest classes within each group of ``key``, whose indexed rows are dealt over
-    parts so that none holds many more than PART_ROWS; queries go to each part."""
-    parts = max(1, -(-largest // PART_ROWS))
-    part = F.when(F.col("query"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(
-        F.array(F.pmod(F.xxhash64("cls"), F.lit(parts)).cast("int")))
-    dealt = rows.withColumn("part", F.explode(part))
+def _in_parts(rows: DataFrame, key: list[str], indexed: DataFrame, k: int) -> DataFrame:
+    """Nearest classes within each group of ``key``. The ``indexed`` rows of a group that has
+    many more than PART_ROWS are dealt over parts of about so many, and the queries that probe
+    this group go to each of its parts; all other groups stay whole."""
+    large = indexed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS)
+    large = sized(large.select(*key, F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), "large-groups")
+    rows = rows.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.when(F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")))
+    dealt = rows.withColumn("part", F.explode(part)).drop("parts")
     return dealt.groupBy(*key, "part").applyInPandas(_compare(k + 1), "q long, cls long, dist double")
 
 
