@@ -50,3 +50,12 @@ def test_release_saved_deletes_tables(spark):
     assert any("release-probe-" in d for d in deleted)
     left = [f for f in os.listdir(path.replace("file:", "")) if f in folder]
     assert left == []
+
+
+def test_release_deletes_the_named_tables_only(spark):
+    from ticketspark.session import materialize, release, saved_paths
+    one, two = (materialize(spark.range(n), "release-some") for n in (3, 4))
+    paths = saved_paths()[-2:]
+    assert release(spark, paths[:1]) == paths[:1] and saved_paths()[-1] == paths[1]
+    assert two.count() == 4 and release(spark, paths) == paths[1:]
+    assert release(spark, ["/not/saved/here"]) == []

@@ -100,26 +100,32 @@ def saved_paths() -> list[str]:
     return list(_saved)
 
 
-def release_saved(spark: SparkSession, keep: int = 0) -> list[str]:
-    """Delete every table this process saved with :func:`materialize`, but for the first
-    ``keep``, and forget the shared intermediates if any were built from them; returns the
+def release(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Delete these of the tables this process saved with :func:`materialize`; returns the
     deleted paths.
 
     Uses the Hadoop FileSystem of each path, so it works for HDFS, object stores and
     local folders alike. DataFrames read from these tables are unusable afterwards.
     """
-    from ticketspark.plans import shared
-
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     deleted = []
-    while len(_saved) > keep:
-        path = _saved.pop()
+    for path in [p for p in _saved if p in set(paths)]:
+        _saved.remove(path)
         p = jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(conf)
         if fs.exists(p):
             fs.delete(p, True)
             deleted.append(path)
+    return deleted
+
+
+def release_saved(spark: SparkSession, keep: int = 0) -> list[str]:
+    """:func:`release` every table this process saved, but for the first ``keep``, and forget
+    the shared intermediates if any were built from them."""
+    from ticketspark.plans import shared
+
+    deleted = release(spark, _saved[keep:])
     if not keep:
         shared._memo.clear()
     return deleted
