@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketspark.llm import bpe, mixing, quality, secrets, simhash
-from ticketspark.session import materialize
+from ticketspark.session import materialize, release, saved_paths
 from ticketspark.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,10 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each written and read again before the next. What a
+    stage saved on its way goes once its result is written, and the result once the
+    next one is."""
     docs = read_table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES:
+        had = len(saved_paths())
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = materialize(docs, name)
+            *used, result = saved_paths()[had:]
+            release(spark, [*before, *used])
+            before = [result]
     return docs
