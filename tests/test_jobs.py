@@ -61,6 +61,12 @@ def test_prepare_subset_evaluate_score(spark, tmp_dir):
     r = jobs.main(["score", "--requests", out("requests"), "--labels", out("split"),
                    "--output", out("responses"), "--checkpoint", out("ck")], spark)
     assert spark.read.parquet(out("responses")).count() == reqs.count()
+    r = jobs.main(["score", "--requests", out("requests"), "--labels", out("split"), "--append",
+                   "--output", out("responses2"), "--checkpoint", out("ck2")], spark)
+    assert r["responses"] == reqs.count()
+    with pytest.raises(ValueError, match="row by row"):
+        jobs.main(["score", "--requests", out("requests"), "--labels", out("split"), "--append", "--model", "nb",
+                   "--output", out("responses3"), "--checkpoint", out("ck3")], spark)
 
 
 def test_prepare_from_json_lines_without_id(spark, tmp_dir):

@@ -153,11 +153,19 @@ def train(spark, a) -> dict:
 
 
 def score(spark, a) -> dict:
-    from ticketspark.streaming.scoring import request_line_stream, request_stream, start_scoring
+    from ticketspark.streaming.scoring import (
+        request_line_stream, request_stream, start_appending, start_scoring)
+    if a.append and a.model == "nb":
+        raise ValueError("naive Bayes does not score row by row: leave --append out")
     rows = side(spark, a.labels, "train") if a.labels else None
     predictor = scorer(spark, a.model, a.model_path, rows)
     stream = (request_line_stream(spark, a.requests) if a.format == "lines"
               else request_stream(spark, a.requests, fmt=a.format))
+    if a.append:
+        # row by row: the file sink's own log says which responses count
+        start_appending(stream, lambda df: predictor(df, "request_id", "text", ["message", "error_kind"]),
+                        a.output, a.checkpoint).awaitTermination()
+        return {"output": a.output, "responses": spark.read.parquet(a.output).count()}
     seen = {"batches": 0}
 
     def predict_batch(df: DataFrame) -> DataFrame:
@@ -218,6 +226,7 @@ def build_parser() -> argparse.ArgumentParser:
     sc.add_argument("--labels", default=None, help="split folder, for keyword rules or to fit a model on")
     sc.add_argument("--output", required=True)
     sc.add_argument("--checkpoint", required=True)
+    sc.add_argument("--append", action="store_true", help="an append stream (keyword rules and lr)")
     return p
 
 
