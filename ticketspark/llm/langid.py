@@ -213,6 +213,7 @@ class SavedModel:
 def _saved_kneser_ney(counts: DataFrame) -> SavedModel:
     """What :func:`_kneser_ney` computes, for all languages, by groupings and joins of
     tables. Only a few numbers a language come to the driver."""
+    from ticketspark.operators.vocab import sized
     from ticketspark.session import materialize
     levels = [counts]
     for n in range(ORDER - 1, 0, -1):
@@ -227,7 +228,7 @@ def _saved_kneser_ney(counts: DataFrame) -> SavedModel:
         per_lang = level.groupBy("lang").agg(discount.alias("d"), F.count(F.lit(1)).alias("size"))
         rows = level.withColumn("context", F.substring("gram", 1, order - 1))
         context = rows.groupBy("lang", "context").agg(
-            F.sum("n").alias("total"), F.count(F.lit(1)).alias("follow")).join(F.broadcast(per_lang), "lang")
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("follow")).join(sized(per_lang, "langid-order"), "lang")
         context = materialize(context.withColumn(
             "backoff", F.col("d") * F.col("follow") / F.col("total")), "langid-contexts")
         rows = rows.join(context, ["lang", "context"])
@@ -401,14 +402,16 @@ def _gram_values(asked: DataFrame, model: SavedModel) -> DataFrame:
     """(gram, values): the scaled log probability of each asked n-gram's last character by
     language, in the order of ``model.langs``. Equal shorter n-grams are looked up once; what
     is joined shares a context or an ending with as many rows as there are characters."""
+    from ticketspark.operators.vocab import sized
     from ticketspark.session import materialize
     spark = asked.sparkSession
-    # a row a language
-    langs = F.broadcast(spark.createDataFrame(
-        [(k, x, f) for k, (x, f) in enumerate(zip(model.langs, model.floor))], "k int, lang string, floor double"))
+    langs = sized(spark.createDataFrame(
+        [(k, x, f) for k, (x, f) in enumerate(zip(model.langs, model.floor))], "k int, lang string, floor double"), "langid-langs")
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(model.langs) - 1))).alias("k")
     below = None
     for n in range(1, ORDER + 1):
-        need = asked.select(F.substring("gram", ORDER - n + 1, n).alias("gram")).distinct().crossJoin(langs)
+        need = asked.select(F.substring("gram", ORDER - n + 1, n).alias("gram")).distinct().select(
+            "gram", every).join(langs, "k")
         rows = need.join(model.grams[n - 1], ["lang", "gram"], "left")
         if n == 1:
             value = F.coalesce("logp", "floor")
