@@ -39,21 +39,22 @@ def duplicate_groups(df: DataFrame, text_col: str = "instruction") -> DataFrame:
         "redundant_rows", (F.col("group_size") - 1) * F.col("n_groups"))
 
 
-def label_conflicts(df: DataFrame, text_col: str = "instruction", label_cols: list[str] | None = None) -> DataFrame:
-    """(key, text_md5, n_rows, n_labels, labels): texts whose copies carry more than one
-    label, for each of the label columns ``key`` (default: ``intent``).
+def label_conflicts(df: DataFrame, text_col: str = "instruction", label_col: str = "intent",
+                    label_cols: list[str] | None = None) -> DataFrame:
+    """(text_md5, n_rows, n_labels, labels): texts whose copies carry more than one label. With
+    ``label_cols`` the same for each of these columns, named in a column ``key``.
 
     One pass over the texts serves all columns: rows are combined to distinct (text, labels)
     groups first, and the per-text label list is bounded by the number of classes.
     """
-    label_cols = label_cols or ["intent"]
-    groups = text_groups(df, text_col, [F.col(f"`{c}`").alias(f"_label{i}") for i, c in enumerate(label_cols)])
+    cols = label_cols or [label_col]
+    groups = text_groups(df, text_col, [F.col(f"`{c}`").alias(f"_label{i}") for i, c in enumerate(cols)])
     each = groups.select("_key", "_md5", "_n", F.inline(F.array(*[F.struct(
-        F.lit(c).alias("key"), F.col(f"_label{i}").alias("label")) for i, c in enumerate(label_cols)])))
+        F.lit(c).alias("key"), F.col(f"_label{i}").alias("label")) for i, c in enumerate(cols)])))
     pairs = each.groupBy("_key", "_md5", "key", "label").agg(F.sum("_n").alias("n"))
     per_text = pairs.groupBy("_key", "_md5", "key").agg(
         F.sum("n").cast("long").alias("n_rows"),
         F.count(F.lit(1)).alias("n_labels"),
         F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"),
     ).where(F.col("n_labels") > 1)
-    return per_text.select("key", F.col("_md5").alias("text_md5"), "n_rows", "n_labels", "labels")
+    return per_text.select(*(["key"] if label_cols else []), F.col("_md5").alias("text_md5"), "n_rows", "n_labels", "labels")
