@@ -19,6 +19,7 @@ from ticketspark.operators import calibrate as CA
 from ticketspark.operators import compare as C
 from ticketspark.operators import dedup as D
 from ticketspark.operators import labelmatch as LM
+from ticketspark.operators import logistic as LT
 from ticketspark.operators import metrics as M
 from ticketspark.operators import predict as P
 from ticketspark.operators import profile as PR
@@ -288,7 +289,20 @@ def q_predict_lr(spark, d):
     s = SH.split_dedup(spark, d)
     train, test = SH.side(s, "train"), SH.side(s, "test").select("ticket_id", "intent", "instruction")
     fitted = P.fit_logistic(train.select("instruction", "intent"))
-    pred = materialize(P.predict_logistic(fitted, test).select("ticket_id", "intent", "predicted_intent"), "lr")
+    return _checked_lr(spark, d, P.predict_logistic(fitted, test))
+
+
+@query("predict_lr_table")
+def q_predict_lr_table(spark, d):
+    """The same of the fit whose coefficients are a table of blocks, every token a feature."""
+    s = SH.split_dedup(spark, d)
+    train, test = SH.side(s, "train"), SH.side(s, "test").select("ticket_id", "intent", "instruction")
+    model = LT.fit_logistic_table(train.select("instruction", "intent"), reg=1e-2, tol=1e-2)
+    return _checked_lr(spark, d, LT.predict_logistic_table(model, test))
+
+
+def _checked_lr(spark, d, predicted: DataFrame) -> DataFrame:
+    pred = materialize(predicted.select("ticket_id", "intent", "predicted_intent"), "lr")
     rows = pred.withColumn("_labels", SH.train_labels(spark, d)).select(
         "ticket_id", "intent", F.array_contains("_labels", F.col("predicted_intent")).alias("ok"))
     hits = pred.groupBy("intent").agg(

@@ -358,6 +358,7 @@ SELECT t.ticket_id, t.intent, coalesce(k.label, 'UNPARSEABLE') AS predicted_inte
 FROM test t LEFT JOIN kw_best k ON k.kid = t.ticket_id"""
     q["predict_lr"] = f"""{SPLIT}{TEST} SELECT ticket_id, intent, true AS ok FROM test
 UNION ALL SELECT -1, '(all)', true"""
+    q["predict_lr_table"] = q["predict_lr"]
     q["predict_nb"] = SPLIT + TRAIN + TEST + nb_ctes("nb", "train", "test", "intent") + """
 SELECT ticket_id, intent, predicted_intent, round(confidence, 6) AS confidence FROM nb_pred"""
 
