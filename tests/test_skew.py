@@ -114,3 +114,20 @@ def test_saved_naive_bayes_predicts_alike(spark, tmp_dir):
         a, b = (sorted(predict.predict_naive_bayes(x, t, carry=[]).select("ticket_id", "predicted_intent").collect())
                 for x in (m, again))
         assert a == b
+
+
+def test_split_naive_bayes_ships_little(spark, monkeypatch):
+    """The split of the weights broadcasts nothing, the frequent tokens' table is small in
+    memory at any size."""
+    assert predict.HOT_ROWS_BUDGET * 130 <= 100e6 and predict.HOT_BYTES_BUDGET <= 64 << 20
+    rows = [(i, "de" if i % 2 else "en", f"w{i % 7} w{i % 5} only{i} w{i % 7}") for i in range(60)]
+    t = spark.createDataFrame(rows, "ticket_id long, intent string, instruction string")
+    sent = []
+    real = predict.F.broadcast
+    monkeypatch.setattr(predict.F, "broadcast", lambda df: sent.append(1) or real(df))
+    m = predict.fit_and_save_naive_bayes(t, "nb-ships", budget_rows=20)
+    assert not sent and m.cold_weights is not None
+    assert m.hot_weights.count() + m.cold_weights.count() == m.weights.count()
+    # no frequency whose tokens fit: all are the long tail
+    none = predict.fit_and_save_naive_bayes(t, "nb-none", budget_rows=1)
+    assert none.hot_weights.count() == 0 and none.cold_weights.count() == m.weights.count()

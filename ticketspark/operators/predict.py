@@ -102,38 +102,28 @@ class NaiveBayesModel:
     weights: DataFrame
     classes: DataFrame
     alpha: float = 1.0
-    # optional split of ``weights`` by token frequency (see ``split_hot``)
+    # optional split of ``weights`` by token frequency (see ``fit_and_save_naive_bayes``)
     hot_tokens: DataFrame | None = None
     hot_weights: DataFrame | None = None
     cold_weights: DataFrame | None = None
 
 
 # Broadcast budget for the weights of frequent tokens: rows of (token, class, w, first) and
-# their bytes.
-HOT_ROWS_BUDGET, HOT_BYTES_BUDGET = 2_000_000, 128 << 20
+# their bytes. In memory a broadcast table takes some 130 bytes a row.
+HOT_ROWS_BUDGET, HOT_BYTES_BUDGET = 500_000, 32 << 20
 
 
-def hot_token_set(counts: DataFrame, budget_rows: int = HOT_ROWS_BUDGET) -> DataFrame:
-    """(token): the most frequent training tokens whose weight rows fit ``budget_rows``.
+def hot_from(weights: DataFrame, budget_rows: int = HOT_ROWS_BUDGET) -> Column:
+    """The smallest frequency ``tf`` from which on all weight rows fit ``budget_rows`` (null
+    if none does), a scalar subquery.
 
     Exact, and without sorting the vocabulary: a histogram of total token counts (at
-    most sqrt(2 * total tokens) distinct values) is summed from the top; every token
-    whose count is at or above the last count that still fits is hot.
+    most sqrt(2 * total tokens) distinct values) is summed from the top.
     """
-    per_token = counts.groupBy("token").agg(F.sum("cnt").alias("tf"), F.count(F.lit(1)).alias("k"))
-    hist = per_token.groupBy("tf").agg(F.sum("k").alias("rows"))
+    hist = weights.groupBy("tf").agg(F.count(F.lit(1)).alias("rows"))
     w = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c_min = hist.withColumn("cum", F.sum("rows").over(w)).where(
+    return hist.withColumn("cum", F.sum("rows").over(w)).where(
         F.col("cum") <= F.lit(budget_rows)).agg(F.min("tf")).scalar()
-    return per_token.where(F.col("tf") >= c_min).select("token")
-
-
-def split_hot(model: "NaiveBayesModel", hot: DataFrame) -> "NaiveBayesModel":
-    """The model with its weights split into the hot part (bounded, broadcast at
-    prediction) and the long tail (shuffle-joined)."""
-    hw = model.weights.join(F.broadcast(hot), "token", "left_semi")
-    cw = model.weights.join(F.broadcast(hot), "token", "left_anti")
-    return NaiveBayesModel(model.weights, model.classes, model.alpha, hot, hw, cw)
 
 
 def token_counts(train: DataFrame, text_col: str = "instruction",
@@ -147,22 +137,31 @@ def token_counts(train: DataFrame, text_col: str = "instruction",
     return counts, n_docs
 
 
-def model_from_counts(counts: DataFrame, n_docs: DataFrame, alpha: float = 1.0) -> NaiveBayesModel:
+def _weights(counts: DataFrame, alpha: float) -> DataFrame:
+    """(token, class, w, first, tf): ``tf`` is the token's frequency over all classes."""
     # a token has at most one row per class, so this window never holds a hot group
-    first = (F.row_number().over(Window.partitionBy("token").orderBy("class")) == 1).cast("long")
-    weights = counts.select("token", "class",
-                            (F.log(F.col("cnt") + F.lit(alpha)) - F.log(F.lit(alpha))).alias("w"),
-                            first.alias("first"))
-    v = counts.select(F.count_distinct("token")).scalar()
+    token = Window.partitionBy("token")
+    return counts.select(
+        "token", "class", (F.log(F.col("cnt") + F.lit(alpha)) - F.log(F.lit(alpha))).alias("w"),
+        (F.row_number().over(token.orderBy("class")) == 1).cast("long").alias("first"),
+        F.sum("cnt").over(token).alias("tf"))
+
+
+def _classes(counts: DataFrame, n_docs: DataFrame, v: Column, alpha: float) -> DataFrame:
+    """(class, prior, dflt) for a vocabulary of ``v`` tokens."""
     n_tok = counts.groupBy("class").agg(F.sum("cnt").alias("n_tokens"))
     cls = n_docs.join(n_tok, "class", "left")
     tot = F.sum("n_docs").over(Window.partitionBy())
-    classes = cls.select(
+    return cls.select(
         "class",
         (F.log(F.col("n_docs")) - F.log(tot)).alias("prior"),
         (F.log(F.lit(alpha)) - F.log(F.coalesce(F.col("n_tokens"), F.lit(0)) + F.lit(alpha) * v)).alias("dflt"),
     )
-    return NaiveBayesModel(weights, classes, alpha)
+
+
+def model_from_counts(counts: DataFrame, n_docs: DataFrame, alpha: float = 1.0) -> NaiveBayesModel:
+    v = counts.select(F.count_distinct("token")).scalar()
+    return NaiveBayesModel(_weights(counts, alpha).drop("tf"), _classes(counts, n_docs, v, alpha), alpha)
 
 
 def fit_naive_bayes(train: DataFrame, text_col: str = "instruction", label_col: str = "intent",
@@ -181,24 +180,28 @@ def fit_and_save_naive_bayes(train: DataFrame, name: str, text_col: str = "instr
     from the saved counts and saved. The join layout is then chosen by the model's
     measured size: within ``budget_rows`` the whole weight table is broadcast at
     prediction; beyond it the weights are saved split into the frequent-token part
-    (exactly ``budget_rows`` or fewer rows, broadcast) and the long tail (shuffled).
+    (exactly ``budget_rows`` or fewer rows, broadcast) and the long tail (shuffled). The
+    split is a filter on the tokens' frequencies, saved with the weights: nothing is
+    shuffled or broadcast for it.
     """
     from ticketspark.session import materialize
     counts, n_docs = token_counts(train, text_col, label_col)
     counts = materialize(counts, f"{name}-counts")
-    m = model_from_counts(counts, n_docs, alpha)
-    weights = materialize(m.weights, f"{name}-weights")
-    classes = materialize(m.classes, f"{name}-classes")
+    by_tf = materialize(_weights(counts, alpha), f"{name}-weights")
+    weights = by_tf.drop("tf")
+    # a token has one first row, so they count the vocabulary
+    v = by_tf.agg(F.coalesce(F.sum("first"), F.lit(0)).alias("v")).scalar()
+    classes = materialize(_classes(counts, n_docs, v, alpha), f"{name}-classes")
     rows, size = measure(weights)
     if rows <= budget_rows and size <= HOT_BYTES_BUDGET:
         return NaiveBayesModel(weights, classes, alpha, hot_weights=weights)
     # fewer rows where tokens are long, so that both budgets hold
     within = min(budget_rows, max(1, int(rows * HOT_BYTES_BUDGET / max(size, 1))))
-    hot = materialize(hot_token_set(counts, within), f"{name}-hot")
-    split = split_hot(NaiveBayesModel(weights, classes, alpha), hot)
-    return NaiveBayesModel(weights, classes, alpha, hot,
-                           materialize(split.hot_weights, f"{name}-hot-weights"),
-                           materialize(split.cold_weights, f"{name}-cold-weights"))
+    hot = F.coalesce(F.col("tf") >= hot_from(by_tf, within), F.lit(False))
+    hot_weights = materialize(by_tf.where(hot).drop("tf"), f"{name}-hot-weights")
+    cold_weights = materialize(by_tf.where(~hot).drop("tf"), f"{name}-cold-weights")
+    hot_tokens = materialize(hot_weights.where("first = 1").select("token"), f"{name}-hot")
+    return NaiveBayesModel(weights, classes, alpha, hot_tokens, hot_weights, cold_weights)
 
 
 def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ticket_id",
@@ -209,7 +212,7 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
 
     Token occurrences meet the sparse weights on ``token``: a model within the
     broadcast budget is broadcast whole; a larger one is split by token frequency
-    (``split_hot``) so frequent tokens are joined map-side and only the long tail is
+    so frequent tokens are joined map-side and only the long tail is
     shuffled, the numbered rows being saved first; an unsplit lazy model is joined by Spark's size-based choice (AQE splits
     hot-token partitions). Per-(doc, class) sums are combined map-side; each document then
     holds at most one entry per class, and the K class scores are array expressions
