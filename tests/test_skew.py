@@ -118,7 +118,7 @@ def test_saved_naive_bayes_predicts_alike(spark, tmp_dir):
 
 def test_split_naive_bayes_ships_little(spark, monkeypatch):
     """The split of the weights broadcasts nothing, the frequent tokens' table is small in
-    memory at any size."""
+    memory at any size, and long-tail occurrences are shuffled with a number alone."""
     assert predict.HOT_ROWS_BUDGET * 130 <= 100e6 and predict.HOT_BYTES_BUDGET <= 64 << 20
     rows = [(i, "de" if i % 2 else "en", f"w{i % 7} w{i % 5} only{i} w{i % 7}") for i in range(60)]
     t = spark.createDataFrame(rows, "ticket_id long, intent string, instruction string")
@@ -131,3 +131,13 @@ def test_split_naive_bayes_ships_little(spark, monkeypatch):
     # no frequency whose tokens fit: all are the long tail
     none = predict.fit_and_save_naive_bayes(t, "nb-none", budget_rows=1)
     assert none.hot_weights.count() == 0 and none.cold_weights.count() == m.weights.count()
+    odd = t.withColumn("ride", F.lit("ride along")).unionByName(spark.createDataFrame(
+        [(99, None, None, "x"), (99, "en", "", None), (99, "en", "unknown words", "x")],
+        "ticket_id long, intent string, instruction string, ride string"))
+    lazy = predict.fit_naive_bayes(t)
+    want, *got = (sorted(map(str, predict.predict_naive_bayes(x, odd, carry=["ride"]).select(
+        "ticket_id", "ride", "predicted_intent", F.round("confidence", 9)).collect())) for x in (lazy, m, none))
+    assert got == [want, want] and len(want) == 63
+    plan = predict.predict_naive_bayes(m, odd, carry=["ride"])._jdf.queryExecution().optimizedPlan().toString()
+    groups = [x for x in plan.splitlines() if "Aggregate [" in x]
+    assert groups and not [x for x in groups if "ride#" in x]

@@ -212,12 +212,14 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
 
     Token occurrences meet the sparse weights on ``token``: a model within the
     broadcast budget is broadcast whole; a larger one is split by token frequency
-    so frequent tokens are joined map-side and only the long tail is
-    shuffled, the numbered rows being saved first; an unsplit lazy model is joined by Spark's size-based choice (AQE splits
+    so frequent tokens are joined map-side and only the long tail is shuffled, with
+    nothing but the row's number; the numbered rows are saved first, and joined back by
+    number. An unsplit lazy model is joined by Spark's size-based choice (AQE splits
     hot-token partitions). Per-(doc, class) sums are combined map-side; each document then
     holds at most one entry per class, and the K class scores are array expressions
-    over the class table (a guarded scalar subquery) -- no doc x class join, and no
-    join back to the input (``carry`` columns ride along as group keys).
+    over the class table (a guarded scalar subquery) -- no doc x class join, and, unless
+    the weights are split, no join back to the input (``carry`` columns ride along as
+    group keys).
     """
     keep = _carry(df, id_col, text_col, carry)
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), *keep,
@@ -225,27 +227,31 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, id_col: str = "ti
     if model.cold_weights is not None:
         # two branches read the rows, which an input that isn't saved may number differently
         rows = materialize(rows, "nb-rows")
-    occ = rows.select("_row", "_id", *keep, F.explode_outer(tokens(F.col("_text"))).alias("token"))
-    if model.hot_weights is not None and model.cold_weights is None:
-        # the whole model fits the broadcast budget (checked when it was fitted)
-        hit = occ.join(F.broadcast(model.hot_weights), "token", "left")
-    elif model.hot_weights is not None:
+    split = model.hot_weights is not None and model.cold_weights is not None
+    if split:
         # frequent tokens -- most occurrences, and the skewed keys -- meet a broadcast
         # of their bounded weights map-side; only long-tail occurrences are shuffled
+        given, ride = rows.select("_row", "_id", *keep), []
+        occ = rows.select("_row", F.explode(tokens(F.col("_text"))).alias("token"))
         hot = occ.join(F.broadcast(model.hot_weights), "token")
-        cold = occ.join(F.broadcast(model.hot_tokens), "token", "left_anti").join(
-            model.cold_weights, "token", "left")
+        cold = occ.join(F.broadcast(model.hot_tokens), "token", "left_anti").join(model.cold_weights, "token")
         hit = hot.unionByName(cold)
     else:
-        hit = occ.join(model.weights, "token", "left")
-    # rows without any known token keep a row of no class
-    sums = hit.groupBy("_row", "_id", *keep, "class").agg(
+        ride = ["_id", *keep]
+        occ = rows.select("_row", *ride, F.explode_outer(tokens(F.col("_text"))).alias("token"))
+        # a whole model that fits the broadcast budget (checked when it was fitted), or a lazy one
+        weights = model.weights if model.hot_weights is None else F.broadcast(model.hot_weights)
+        hit = occ.join(weights, "token", "left")
+    # unsplit, rows without any known token keep a row of no class
+    sums = hit.groupBy("_row", *ride, "class").agg(
         F.sum(F.coalesce("w", F.lit(0.0))).alias("s"), F.sum(F.coalesce("first", F.lit(0))).alias("f"))
-    per_doc = sums.groupBy("_row", "_id", *keep).agg(
+    per_doc = sums.groupBy("_row", *ride).agg(
         F.sum("f").cast("double").alias("_L"),
         F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(),
                                                  F.struct("class", "s")))).alias("_sparse"),
     )
+    if split:
+        per_doc = given.join(per_doc, "_row", "left").withColumn("_L", F.coalesce("_L", F.lit(0.0)))
     params = model.classes.select(
         guard_size(F.array_sort(F.collect_list(F.struct("class", "prior", "dflt"))), MAX_CLASSES,
                    "class table").alias("p")).scalar()
