@@ -96,3 +96,18 @@ def test_edges_saving_and_many_classes(spark, tmp_dir):
 def test_not_converged_raises(spark):
     with pytest.raises(RuntimeError):
         L.fit_logistic_table(noisy(spark, 60), reg=0.0, max_iter=1)
+
+
+def test_own_tokens_of_a_text_share_a_feature(spark, monkeypatch):
+    """The fit equals Newton's on a column for each token, with a feature for the tokens of
+    one text alone, which blocks hold as packed bytes."""
+    train = noisy(spark, 40).withColumn("instruction", F.when(F.col("ticket_id") % 2 == 0, F.concat(
+        "instruction", F.lit(" x"), "ticket_id", F.lit(" y"), "ticket_id", F.lit(" y"), "ticket_id")).otherwise(
+        F.col("instruction")))
+    monkeypatch.setattr(L, "BLOCK", 8)
+    monkeypatch.setitem(globals(), "WORDS", WORDS + [f"{c}{i}" for c in "xy" for i in range(0, 40, 2)])
+    model = L.fit_logistic_table(train, reg=0.2)
+    assert model.vocab.count() == len(WORDS) == 9 + 40
+    assert model.vocab.agg(F.max("feature")).first()[0] == 9 + 20 - 1
+    got = {r.ticket_id: r for r in L.predict_logistic_table(model, train).collect()}
+    compare(got, exact(train, 0.2), 1e-3)
