@@ -8,9 +8,11 @@ import sys
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors
 
 from ticketspark.operators import predict as P
 from ticketspark.operators import softmax as S
+from ticketspark.session import saved_paths
 
 from conftest import ROOT
 from test_logistic_table import LABELS, SCHEMA, noisy
@@ -74,6 +76,28 @@ def test_texts_without_words_one_class_and_no_convergence(spark):
         P.fit_logistic(noisy(spark), num_features=64, max_iter=2)
 
 
+def test_texts_are_cut_into_tokens_once(spark, monkeypatch):
+    """The fit reads saved frequencies, no tokenizer's or hashing's functions, and removes them."""
+    plans, kept = [], saved_paths()
+
+    def fit(rows, *given):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return S.fit_softmax(rows, *given)
+    monkeypatch.setattr(P, "fit_softmax", fit)
+    P.fit_logistic(noisy(spark), num_features=64)
+    assert len(plans) == 1 and "UDF" not in plans[0] and saved_paths() == kept
+
+
+def test_chunks_hold_only_frequencies_other_than_one(spark):
+    rows = spark.createDataFrame([(1.0, Vectors.sparse(300, [2, 299], [1.0, 3.0])), (0.0, Vectors.sparse(300, [], [])),
+                                  (1.0, Vectors.sparse(300, [2], [2.0 ** 30]))], ["label", "tf"]).coalesce(1)
+    (part, (f, lengths, odd, more, row, y)), = rows.mapInArrow(S._chunks(1, 2), "part int, chunk binary").rdd.map(
+        S._loaded).collect()
+    assert part == 0 and f.dtype == np.uint16 and f.tolist() == [2, 299, 2] and lengths.tolist() == [2, 0, 1]
+    assert odd.tolist() == [299, 2] and more.tolist() == [2.0, 2.0 ** 30 - 1] and row.tolist() == [0, 2]
+    assert y.tolist() == [1, 0, 1]
+
+
 def test_gradients_stay_off_the_driver(tmp_dir):
     """Task results are the size of the coefficients and the tokens' frequencies once, not
     once for each evaluation of the loss."""
