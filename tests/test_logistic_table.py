@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ticketspark.functions.text import tokens
 from ticketspark.operators import logistic as L
 from ticketspark.operators import predict as P
 
@@ -111,3 +112,25 @@ def test_own_tokens_of_a_text_share_a_feature(spark, monkeypatch):
     assert model.vocab.agg(F.max("feature")).first()[0] == 9 + 20 - 1
     got = {r.ticket_id: r for r in L.predict_logistic_table(model, train).collect()}
     compare(got, exact(train, 0.2), 1e-3)
+
+
+def test_terms_hold_a_token_once_a_batch(spark, monkeypatch):
+    """Frequencies are those of ``functions.text.tokens``; a batch has each of its tokens as a
+    string once, however many rows hold it, and rows without tokens are kept."""
+    texts = [" Pay pay\tCARD\u000bpay ", "", None, "  ", "card Été été\n x", "pay " * 50 + "card"]
+    rows = spark.createDataFrame(list(enumerate(texts * 4)), "_row long, _text string").coalesce(1)
+    want = {(r._row, t): r.t.count(t) for r in rows.select("_row", tokens("_text").alias("t")).collect() for t in r.t or ()}
+    for held in (L.HELD_VALUES, 60):
+        monkeypatch.setattr(L, "HELD_VALUES", held)
+        got, seen, batches = {}, [], L._terms(rows).collect()
+        for b in batches:
+            ids, lengths, code, tf = (np.frombuffer(v, t) for v, t in zip((b.rows, b.lengths, b.code, b.tf), "qiii"))
+            seen += ids.tolist()
+            for i, c, n in zip(np.repeat(ids, lengths), code, tf):
+                got[int(i), b.words[c].token] = int(n)
+            for c, w in enumerate(b.words):
+                own = [(int(i), int(n)) for i, x, n in zip(np.repeat(ids, lengths), code, tf) if x == c]
+                assert (w.df, w.s, w.q, w.first) == (len(own), sum(n for _, n in own), sum(n * n for _, n in own), own[0][0])
+            assert len({w.token for w in b.words}) == len(b.words)
+        assert got == want and sorted(seen) == list(range(len(texts) * 4))
+        assert len(batches) == 1 if held > 60 else len(batches) > 1
