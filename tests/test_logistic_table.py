@@ -120,8 +120,8 @@ def test_terms_hold_a_token_once_a_batch(spark, monkeypatch):
     texts = [" Pay pay\tCARD\u000bpay ", "", None, "  ", "card Été été\n x", "pay " * 50 + "card"]
     rows = spark.createDataFrame(list(enumerate(texts * 4)), "_row long, _text string").coalesce(1)
     want = {(r._row, t): r.t.count(t) for r in rows.select("_row", tokens("_text").alias("t")).collect() for t in r.t or ()}
-    for held in (L.HELD_VALUES, 60):
-        monkeypatch.setattr(L, "HELD_VALUES", held)
+    for held in (L.TERMS, 60):
+        monkeypatch.setattr(L, "TERMS", held)
         got, seen, batches = {}, [], L._terms(rows).collect()
         for b in batches:
             ids, lengths, code, tf = (np.frombuffer(v, t) for v, t in zip((b.rows, b.lengths, b.code, b.tf), "qiii"))
